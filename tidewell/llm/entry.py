@@ -9,16 +9,23 @@ from pyspark.sql import DataFrame, SparkSession
 from tidewell.llm.block_names import exact_duplicates
 from tidewell.llm.common import read
 from tidewell.llm.hash_tree import shards
+from tidewell.llm.language import languages
 from tidewell.llm.packing import pack
 from tidewell.llm.prefix_counts import token_counts
 from tidewell.llm.scaled_sketch import fingerprints_with_edits
+from tidewell.llm.simhash import near_duplicates
 from tidewell.llm.token_files import token_files
+from tidewell.llm.toxicity import toxicity
 
 
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edits(read(spark, sf_dir, "documents"))
 
 
+def op3_subword_bag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_hash_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(read(spark, sf_dir, "documents"), 40)
 
@@ -31,6 +38,14 @@ def op6_prefix_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(read(spark, sf_dir, "documents"))
 
 
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op8_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(read(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(read(spark, sf_dir, "documents"))
 
@@ -40,7 +55,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_scaled_sketch, op4_hash_tree, op5_block_naming, op6_prefix_counts, op9_token_files, op10_sum_of_squares)}
+    return {f.__name__: f for f in (op2_scaled_sketch, op3_subword_bag, op4_hash_tree, op5_block_naming, op6_prefix_counts, op7_multi_index, op8_word_backoff, op9_token_files, op10_sum_of_squares)}
 
 
 def oracle_sql() -> dict[str, str]:
