@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.block_names import exact_duplicates
 from tidewell.llm.common import read
+from tidewell.llm.gumbel_pieces import sampled_encodings
 from tidewell.llm.hash_tree import shards
 from tidewell.llm.language import languages
 from tidewell.llm.packing import pack
@@ -18,6 +19,10 @@ from tidewell.llm.token_files import token_files
 from tidewell.llm.toxicity import toxicity
 
 
+def op1_gumbel_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sampled_encodings(read(spark, sf_dir, "documents"))
+
+
 def op2_scaled_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints_with_edits(read(spark, sf_dir, "documents"))
 
@@ -55,7 +60,7 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_scaled_sketch, op3_subword_bag, op4_hash_tree, op5_block_naming, op6_prefix_counts, op7_multi_index, op8_word_backoff, op9_token_files, op10_sum_of_squares)}
+    return {f.__name__: f for f in (op1_gumbel_top_k, op2_scaled_sketch, op3_subword_bag, op4_hash_tree, op5_block_naming, op6_prefix_counts, op7_multi_index, op8_word_backoff, op9_token_files, op10_sum_of_squares)}
 
 
 def oracle_sql() -> dict[str, str]:
