@@ -186,7 +186,7 @@ _KARYO_FLAGS = ["trisomy_8", "plus_21", "del_5q_or_mono5", "monosomy_7_or_del7q"
 
 
 def karyotype_flags(spark: SparkSession, d: str) -> DataFrame:
-    return karyotype.cytogenetics(view(spark, d, "fx_clinical")).select("ID", *_KARYO_FLAGS)
+    return karyotype.cytogenetics(view(spark, d, "fx_clinical")).select("ID", *[F.col(c).cast("double").alias(c) for c in _KARYO_FLAGS])
 
 
 def karyotype_clones(spark: SparkSession, d: str) -> DataFrame:
@@ -270,10 +270,10 @@ ORACLES = {
         r"""WITH k AS (SELECT ID, CYTOGENETICS AS raw, regexp_replace(regexp_replace(regexp_replace(CYTOGENETICS, '([+-]\s*[xyXY])\s*\[[0-9]+\]', '\1', 'g'), '(?i)([+-]\s*m(?:ar)?[a-z0-9]*)\s*\[[0-9]+\]', '\1', 'g'), '(?i)([+-]\s*r[a-z0-9]*)\s*\[[0-9]+\]', '\1', 'g') AS t FROM fx_clinical),
         f AS (SELECT ID, t, regexp_matches(t, '\+\s*8([^0-9]|$)') AS a, regexp_matches(t, '\+\s*21([^0-9]|$)') AS b, regexp_matches(t, '-\s*5([^0-9]|$)|del\s*\(\s*5\s*\)\s*\(q') AS c, regexp_matches(t, '-\s*7([^0-9]|$)|del\s*\(\s*7\s*\)\s*\(q') AS d,
           regexp_matches(t, 'del\s*\(\s*17\s*\)\s*\(p|i\s*\(\s*17\s*\)\s*\(q|17p-') AS e, regexp_matches(t, 'del\s*\(\s*12\s*\)\s*\(p') AS g, TRY_CAST(nullif(regexp_extract(t, '^\s*(\d+)', 1), '') AS DOUBLE) AS n FROM k)
-        SELECT ID, CASE WHEN t IS NULL THEN 1 ELSE 0 END AS cyto_is_missing, CAST(a AS INT) AS trisomy_8, CAST(b AS INT) AS plus_21, CAST(c AS INT) AS del_5q_or_mono5, CAST(d AS INT) AS monosomy_7_or_del7q, CAST(e AS INT) AS del_17p_or_i17q, CAST(g AS INT) AS del_12p,
+        SELECT ID, COLUMNS(* EXCLUDE (ID))::DOUBLE FROM (SELECT ID, CASE WHEN t IS NULL THEN 1 ELSE 0 END AS cyto_is_missing, CAST(a AS INT) AS trisomy_8, CAST(b AS INT) AS plus_21, CAST(c AS INT) AS del_5q_or_mono5, CAST(d AS INT) AS monosomy_7_or_del7q, CAST(e AS INT) AS del_17p_or_i17q, CAST(g AS INT) AS del_12p,
           n AS chromosome_count, CASE WHEN t IS NOT NULL THEN CAST(coalesce(n < 46, false) AS INT) END AS hypodiploidy, CASE WHEN t IS NOT NULL THEN CAST(coalesce(n >= 49, false) AS INT) END AS hyperdiploidy,
           CAST(regexp_matches(t, '(?i)XX') AND NOT regexp_matches(t, '(?i)XY') AS INT) AS SEX_XX, CAST(regexp_matches(t, '(?i)XY') AS INT) AS SEX_XY,
-          CASE WHEN t IS NOT NULL THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '\[cp(\d+)\]', 1), '') AS INT), 0) END AS cp_max, len(regexp_extract_all(t, '(?i)-\s*[xy]')) AS sex_chromosome_loss_count FROM f""",
+          CASE WHEN t IS NOT NULL THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '\[cp(\d+)\]', 1), '') AS INT), 0) END AS cp_max, len(regexp_extract_all(t, '(?i)-\s*[xy]')) AS sex_chromosome_loss_count FROM f)""",
         "fx_clinical",
     ),
     "karyotype_quick_risk": oracle(r"""WITH k AS (SELECT ID, coalesce(CYTOGENETICS, '') AS t FROM fx_clinical), f AS (SELECT ID, t, regexp_matches(t, '(?i)complex|-\s*7([^0-9]|$)|-\s*5([^0-9]|$)|del\s*\(\s*17\s*\)\s*\(p|inv\s*\(\s*3\s*\)') AS a, regexp_matches(t, '(?i)t\s*\(\s*8\s*;\s*21\s*\)|inv\s*\(\s*16\s*\)|t\s*\(\s*16\s*;\s*16\s*\)|t\s*\(\s*15\s*;\s*17\s*\)') AS v FROM k) SELECT ID, CAST(t <> '' AND a AS INT) AS aux_cyto_adverse, CAST(t <> '' AND v AND NOT a AS INT) AS aux_cyto_favorable, CAST(t <> '' AND NOT v AND NOT a AS INT) AS aux_cyto_intermediate FROM f""", "fx_clinical"),
