@@ -58,10 +58,11 @@ def average_ranks(df: DataFrame, value: str, out: str = "rank", by: tuple[str, .
         sizes = df.filter(F.col(value).isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("_all")) if by else df.agg(F.count(value).alias("_all"))
         table = table.join(sizes, list(by)) if by else table.crossJoin(F.broadcast(sizes))  # one row
         table = table.withColumn(out, F.col(out) / F.col("_all")).drop("_all")
-    condition = df[value] == table["_v"]
-    for b in by:
-        condition = condition & (df[b] == table[b])
-    return df.join(table, condition, "left").select(*df.columns, out)
+    table = table.select(F.col("_v").alias("_k0"), *[F.col(b).alias(f"_k{i}") for i, b in enumerate(by, 1)], F.col(out).alias("_rank"))
+    condition = F.col(value) == F.col("_k0")
+    for i, b in enumerate(by, 1):
+        condition = condition & (F.col(b) == F.col(f"_k{i}"))
+    return df.join(table, condition, "left").select(*df.columns, F.col("_rank").alias(out))
 
 
 def top(df: DataFrame, k: int, by: str, tie: str = "ID", within: tuple[str, ...] = ()) -> DataFrame:

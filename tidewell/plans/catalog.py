@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import features
+from tidewell.plans import features, ranking
 
-_PARTS = (features,)
+_PARTS = (features, ranking)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
