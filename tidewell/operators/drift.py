@@ -90,9 +90,9 @@ def group_differences(df: DataFrame, columns: list[str], group: Column) -> DataF
     """By feature: for 0/1 features the difference in share, for others the mean difference over the rest's deviation; largest first."""
     long = long_values(df, columns, group)
     side = lambda k, f: f(F.when(F.col("in_b") == k, F.col("value")))
-    g = long.groupBy("feature").agg(F.bool_and(F.coalesce(F.col("value").isin(0.0, 1.0), F.lit(True))).alias("binary"), side(1, F.avg).alias("mean_group"), side(0, F.avg).alias("mean_rest"), side(0, F.stddev_samp).alias("std_rest"))
+    g = long.groupBy("feature").agg(F.bool_and(F.coalesce(F.col("value").isin(0.0, 1.0), F.lit(True))).alias("is_binary"), side(1, F.avg).alias("mean_group"), side(0, F.avg).alias("mean_rest"), side(0, F.stddev_samp).alias("std_rest"))
     diff = F.col("mean_group") - F.col("mean_rest")
-    return g.select("feature", "binary", "mean_group", "mean_rest", F.when(F.col("binary"), diff).otherwise(F.try_divide(diff, F.col("std_rest"))).alias("effect"))
+    return g.select("feature", "is_binary", "mean_group", "mean_rest", F.when(F.col("is_binary"), diff).otherwise(F.try_divide(diff, F.col("std_rest"))).alias("effect"))
 
 
 def sanity(df: DataFrame, columns: list[str]) -> DataFrame:

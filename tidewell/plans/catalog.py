@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import features, ranking
+from tidewell.plans import features, fitting, ranking, records
 
-_PARTS = (features, ranking)
+_PARTS = (features, ranking, fitting, records)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
