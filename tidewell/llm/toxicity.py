@@ -3,8 +3,8 @@
 A word is the bag of its character n-grams (3 to 5 code points, with a mark at either end), so an unseen misspelling or inflection shares
 vectors with words that were seen. The vectors of a window of WINDOW words are averaged and go into a linear softmax over (clean, toxic); a
 document is as toxic as its most toxic window, so that a few words don't drown in a long text. Vectors and softmax are trained jointly in
-numpy on the driver, on at most MOST_TOXIC + MOST_CLEAN labelled documents taken by a hash of the id (a bound that the corpus doesn't
-move); training starts from whole-document averages and then follows each document's own worst windows.
+numpy on the driver, on at most MOST_TOXIC + MOST_CLEAN labelled documents of up to MOST_CHARS code points, taken by a hash of the id
+(a bound that the corpus doesn't move); training starts from whole-document averages and then follows each document's own worst windows.
 
 Since averaging and the output are linear, scoring needs only one number for each n-gram bucket: vector times output weights. That table
 is what tasks get (4 bytes x 2**BITS).
@@ -28,7 +28,9 @@ from tidewell.llm.textarrays import Words, text_slices
 
 SIZES, BITS, DIMENSIONS, WINDOW = range(3, 6), 18, 8, 8
 #: Labelled documents that training takes at most, of either kind.
-MOST_TOXIC, MOST_CLEAN = 1000, 2000
+MOST_TOXIC, MOST_CLEAN = 700, 1300
+#: Code points of a document that is trained on, at most; longer ones are scored but not learned from.
+MOST_CHARS = 20_000
 WHOLE, EPOCHS, STEPS, RATE, DECAY, SEEN = 20, 25, 4, 0.05, 0.01, 3
 
 
@@ -42,15 +44,14 @@ class Model:
         out = np.zeros(len(texts))
         for a, b in text_slices(texts):
             words = Words(texts[a:b])
-            bags = _Bags(words)
-            out[a:b] = bags.worst(self.gram, self.bias)[0]
+            out[a:b] = _Bags(words).worst(self.gram, self.bias)
         return 1 / (1 + np.exp(-np.clip(out, -30, 30))) if self.known else np.zeros(len(texts))
 
 
 class _Bags:
     """Windows of words as n-gram sums."""
 
-    def __init__(self, words: Words, keep_grams: bool = False):
+    def __init__(self, words: Words):
         self.n_texts, n = words.n_texts, len(words.start)
         first = np.searchsorted(words.text, words.text, side="left") if n else np.zeros(0, np.int64)
         nth = (np.arange(n) - first) // WINDOW
@@ -59,31 +60,27 @@ class _Bags:
         self.window = np.cumsum(new) - 1  # of each word
         self.starts = np.flatnonzero(new)
         self.text = words.text[self.starts]
-        self.words, self.grams = words, None
-        if keep_grams:
-            parts = [((h & np.uint64((1 << BITS) - 1)).astype(np.int32), self.window[w].astype(np.int32)) for h, w in words.padded_grams(SIZES)]
-            self.grams = tuple(np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        self.words = words
 
-    def logits(self, gram: np.ndarray, bias: float) -> np.ndarray:
-        """Of each window."""
+    def buckets(self) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of all n-grams, window after window, and how many each window has."""
+        parts = [((h & np.uint64((1 << BITS) - 1)).astype(np.int32), self.window[w].astype(np.int32)) for h, w in self.words.padded_grams(SIZES)]
+        bucket, window = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32), np.zeros(0, np.int32))
+        return bucket[np.argsort(window, kind="stable")], np.bincount(window, minlength=len(self.starts))
+
+    def worst(self, gram: np.ndarray, bias: float) -> np.ndarray:
+        """The largest window logit of each text; a text without words has the bias alone."""
         n = len(self.starts)
         total, count = np.zeros(n), np.zeros(n)
-        if self.grams is not None:
-            total, count = np.bincount(self.grams[1], gram[self.grams[0]], n), np.bincount(self.grams[1], minlength=n)
-        else:
-            for h, w in self.words.padded_grams(SIZES):
-                at = self.window[w]
-                total += np.bincount(at, gram[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)], n)
-                count += np.bincount(at, minlength=n)
-        return total / np.maximum(count, 1) + bias
-
-    def worst(self, gram: np.ndarray, bias: float) -> tuple[np.ndarray, np.ndarray]:
-        """The largest window logit of each text (a text without words: the bias), and all windows' logits."""
-        logits, out = self.logits(gram, bias), np.full(self.n_texts, bias)
-        if len(logits):
+        for h, w in self.words.padded_grams(SIZES):
+            at = self.window[w]
+            total += np.bincount(at, gram[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)], n)
+            count += np.bincount(at, minlength=n)
+        out = np.full(self.n_texts, bias)
+        if n:
             head = np.flatnonzero(np.diff(self.text, prepend=-1))
-            out[self.text[head]] = np.maximum.reduceat(logits, head)
-        return out, logits
+            out[self.text[head]] = np.maximum.reduceat(total / np.maximum(count, 1) + bias, head)
+        return out
 
 
 def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
@@ -92,20 +89,24 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(1 << BITS, np.float32), 0.0, known=False)
     rng = np.random.default_rng(seed)
-    bags = _Bags(Words(texts), keep_grams=True)
-    bucket, window = bags.grams
-    order = np.argsort(window, kind="stable")
-    bucket, window = bucket[order], window[order]
-    n_windows = len(bags.starts)
-    grams_in = np.bincount(window, minlength=n_windows)
-    first = np.cumsum(grams_in) - grams_in
-    # a bucket that fewer than SEEN texts have says nothing about others; the rest get vectors
-    bags_of: list[tuple[np.ndarray, np.ndarray]] = []
+    # n-grams of a run of texts at a time, since the arrays on the way are several times as large as what is kept
+    parts, sizes_of, text_of, bags_of = [], [], [], []
     by_text = np.zeros(1 << BITS, dtype=np.int32)
-    for text in range(bags.n_texts):
-        a, b = np.searchsorted(bags.text, [text, text + 1])
-        bags_of.append(np.unique(bucket[first[a] : first[b - 1] + grams_in[b - 1]] if a < b else bucket[:0], return_counts=True))
-        by_text[bags_of[-1][0]] += 1
+    for a, b in text_slices(texts, 1 << 17):
+        bags = _Bags(Words(texts[a:b]))
+        bucket, sizes = bags.buckets()
+        cut = np.concatenate([[0], np.cumsum(np.bincount(bags.text, sizes, b - a).astype(np.int64))])
+        for i in range(b - a):
+            k, n = np.unique(bucket[cut[i] : cut[i + 1]], return_counts=True)
+            bags_of.append((k.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)))
+            by_text[k] += 1
+        parts.append(bucket)
+        sizes_of.append(sizes)
+        text_of.append(bags.text + a)
+    bucket, grams_in, text_of_window = np.concatenate(parts), np.concatenate(sizes_of), np.concatenate(text_of)
+    del parts
+    first, n_windows = np.cumsum(grams_in) - grams_in, len(grams_in)
+    # a bucket that fewer than SEEN texts have says nothing about others; the rest get vectors
     active = np.flatnonzero(by_text >= SEEN)
     index = np.full(1 << BITS, len(active), dtype=np.int32)  # the last vector stays zero
     index[active] = np.arange(len(active))
@@ -120,9 +121,9 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
         """One step on bags: bucket, text and share in the text's average of each of their n-grams."""
         nonlocal vectors, out, bias, t
         t += 1
-        logit = np.bincount(whose, (vectors @ out)[b] * weight, bags.n_texts) + bias
+        logit = np.bincount(whose, (vectors @ out).astype(np.float32)[b] * weight, len(y)) + bias
         error = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y) * balance / len(y)
-        by_bucket = np.bincount(b, error[whose] * weight, len(vectors))
+        by_bucket = np.bincount(b, error.astype(np.float32)[whose] * weight, len(vectors))
         by_bucket[-1] = 0
         grads = [np.outer(by_bucket, out) + DECAY / len(y) * vectors, vectors.T @ by_bucket + DECAY * out, error.sum()]
         new = []
@@ -131,22 +132,30 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
             new.append(value - RATE * (m[0] / (1 - 0.9**t)) / (np.sqrt(m[1] / (1 - 0.999**t)) + 1e-8))
         vectors, out, bias = new
 
-    whole = [index[np.concatenate([x[0] for x in bags_of])], np.repeat(np.arange(bags.n_texts), [len(x[0]) for x in bags_of]), np.concatenate([x[1] / max(1, x[1].sum()) for x in bags_of])]
+    whole = [index[np.concatenate([x[0] for x in bags_of])], np.repeat(np.arange(len(y), dtype=np.int32), [len(x[0]) for x in bags_of]), np.concatenate([x[1] for x in bags_of])]
+    del bags_of
     for _ in range(WHOLE):
         step(*whole)
-    filled = np.flatnonzero(grams_in)
-    head = np.flatnonzero(np.diff(bags.text, prepend=-1))
+    del whole
+    head = np.flatnonzero(np.diff(text_of_window, prepend=-1))
     for _ in range(EPOCHS if n_windows else 0):
-        logits = np.full(n_windows, -np.inf)
-        logits[filled] = np.add.reduceat((vectors @ out)[bucket], first[filled]) / grams_in[filled]
+        gram, logits = (vectors @ out).astype(np.float32), np.full(n_windows, -np.inf)
+        for a in range(0, n_windows, 1 << 13):  # a run of windows at a time
+            size = grams_in[a : a + (1 << 13)]
+            filled = np.flatnonzero(size)
+            if len(filled):
+                at = first[a : a + (1 << 13)]
+                sums = np.add.reduceat(gram[bucket[at[0] : at[-1] + size[-1]]], (at - at[0])[filled], dtype=np.float64)
+                logits[a + filled] = sums / size[filled]
         worst = np.repeat(np.maximum.reduceat(logits, head), np.diff(head, append=n_windows))
         top = np.flatnonzero(logits >= worst - 1e-12)
         sizes = grams_in[top]
         at = np.arange(int(sizes.sum())) + np.repeat(first[top] - (np.cumsum(sizes) - sizes), sizes)
-        of = bags.text[top]
-        weight = np.repeat(1 / np.maximum(sizes, 1) / np.bincount(of, minlength=bags.n_texts)[of], sizes)
+        of = text_of_window[top]
+        weight = np.repeat(1 / np.maximum(sizes, 1) / np.bincount(of, minlength=len(y))[of], sizes).astype(np.float32)
+        b, whose = bucket[at], np.repeat(of, sizes).astype(np.int32)
         for _ in range(STEPS):
-            step(bucket[at], np.repeat(of, sizes), weight)
+            step(b, whose, weight)
     gram = np.zeros(1 << BITS, dtype=np.float32)
     gram[active] = (vectors @ out)[:-1]
     return Model(gram, float(bias))
@@ -155,10 +164,10 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
     """text and toxic of the labelled documents to learn from: a bounded number of either kind, by a hash of the id."""
     marked = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    known = marked.join(docs.select("doc_id"), "doc_id", "left_semi")
+    known = marked.join(docs.filter(F.length("text") <= MOST_CHARS).select("doc_id"), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), "doc_id")
     taken = known.filter("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.filter("toxic = 0").orderBy(*order).limit(most_clean))
-    return texts_of(docs).join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic")
+    return texts_of(docs).filter(F.length("text") <= MOST_CHARS).join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic")
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
