@@ -105,6 +105,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, place: Callable[[Colum
     groups = rows.groupBy("n_blocks", "name").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_id")).alias("keep"), F.count(F.lit(1)).alias("group_size")
     )
+    groups = settle(groups, "groups")  # so that both sides of the join are plain shuffles, which Spark can split where a group is large
     return rows.join(groups, ["n_blocks", "name"]).select(
         "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", (F.col("row_id") == F.col("keep.row_id")).alias("kept"), "text_sha256"
     )
