@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import features, fitting, ranking, records
+from tidewell.plans import features, fitting, modeling, ranking, records
 
-_PARTS = (features, ranking, fitting, records)
+_PARTS = (features, ranking, fitting, records, modeling)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
