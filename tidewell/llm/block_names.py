@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle
+from tidewell.llm.common import settle, without
 
 #: Bytes in a block.
 BLOCK = 32768
@@ -118,7 +118,7 @@ def without_exact_duplicates(docs: DataFrame) -> DataFrame:
     twice = bool(gone.filter("stay > 0").head(1))
     gone = settle(gone.select(F.col("doc_id").alias("_tw_id"), F.col("text_sha256").alias("_tw_sha"), F.col("stay").alias("_tw_stay")), "gone")
     own_sha = F.sha2(normalised(docs["text"]).cast("binary"), 256)
-    out = docs.join(gone, docs["doc_id"].eqNullSafe(F.col("_tw_id")) & (own_sha == F.col("_tw_sha")), "left_anti")
+    out = without(docs, gone, docs["doc_id"].eqNullSafe(F.col("_tw_id")) & (own_sha == F.col("_tw_sha")))
     if twice:  # of rows that repeat a doc_id and its text, one comes back
         back = docs.join(gone.filter("_tw_stay > 0"), docs["doc_id"].eqNullSafe(F.col("_tw_id")) & (own_sha == F.col("_tw_sha")))
         back = back.dropDuplicates(["_tw_id", "_tw_sha"]).select(*[docs[c] for c in docs.columns])

@@ -52,3 +52,12 @@ def unsigned(h: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows that a classifier never learns from: crc32 of the id as text, modulo 5, is 0."""
     return (F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0)
+
+
+#: Rows of a table of keys that are broadcast; more are joined by a shuffle.
+FEW = 200_000
+
+
+def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
+    """docs less the rows that `gone` (a settled table of keys) matches: by broadcast where its counted rows are few, else by a shuffle."""
+    return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone.hint("merge"), same, "left_anti")

@@ -158,5 +158,17 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+def with_known_language(docs: DataFrame, model: Model, sure: float) -> DataFrame:
+    """The rows of docs, with all their columns, whose language can be told with at least the given posterior; each row by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names, scores = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array([n != UNDETERMINED and s >= sure for n, s in zip(names, scores, strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def languages(docs: DataFrame) -> DataFrame:
     return predict(docs, fit(docs))

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bytes_of, settle
+from tidewell.llm.common import bytes_of, settle, without
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 _BATCH = 1 << 16
@@ -112,4 +112,4 @@ def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = DIS
     their fate, so those that repeat it are left as they are; rows without doc_id stay."""
     found = near_duplicates(docs, words, distance)
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("doc_id is not null and not stays")
-    return docs.join(gone.select(F.col("doc_id").alias("_tw_id")), docs["doc_id"] == F.col("_tw_id"), "left_anti")
+    return without(docs, settle(gone.select(F.col("doc_id").alias("_tw_id")), "gone"), docs["doc_id"] == F.col("_tw_id"))

@@ -188,5 +188,17 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return scored.select("doc_id", F.coalesce(held_out(F.col("doc_id")), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def without_toxic(docs: DataFrame, model: Model, limit: float) -> DataFrame:
+    """The rows of docs, with all their columns, that score below the limit; each row by its own text."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(scores < limit, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels))
