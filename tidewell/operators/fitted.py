@@ -142,9 +142,9 @@ def fit_preprocess(df: DataFrame, kinds: dict[str, list[str]]) -> PreprocessMode
 
 def zero_variance(df: DataFrame, columns: list[str], split: str, protected: tuple[str, ...] = ()) -> list[str]:
     """Columns with one distinct value at most (NULL counting as one) in any of the splits: one aggregation over all columns."""
-    distinct = [(F.count_distinct(F.col(c)) + F.max(F.col(c).isNull().cast("int"))).alias(c) for c in columns]
-    rows = df.groupBy(split).agg(*distinct).collect()  # one row for each split
-    return [c for c in columns if c not in protected and any(r[c] <= 1 for r in rows)]
+    varies = [(F.coalesce(F.min(c) < F.max(c), F.lit(False)) | (F.bool_or(F.col(c).isNull()) & F.bool_or(F.col(c).isNotNull()))).alias(c) for c in columns]
+    rows = df.groupBy(split).agg(*varies).collect()  # one row for each split
+    return [c for c in columns if c not in protected and any(not r[c] for r in rows)]
 
 
 def correlations(df: DataFrame, columns: list[str]) -> tuple[list[str], list[list[float]]]:
