@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import settle
 
 #: Ranges whose bounds the driver holds, rows that a bucket is meant to have, and buckets in all at most (beyond that, buckets grow).
-COARSE, ROWS, BUCKETS = 256, 4000, 100_000
+COARSE, ROWS, BUCKETS = 64, 1000, 100_000
 
 
 def id_bucket(ids: DataFrame) -> tuple[Column, int]:
