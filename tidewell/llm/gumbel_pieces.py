@@ -81,8 +81,8 @@ class Lattices:
                     h = h * _MULT + c[:, j]
                 h = _mix(h)
                 order = np.argsort(h)
-                slots = np.zeros(1 << 21, dtype=bool)
-                slots[(h & np.uint64((1 << 21) - 1)).astype(np.int64)] = True
+                slots = np.zeros(1 << 18, dtype=bool)
+                slots[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
                 self.by_length[size] = (h[order], np.array(normal)[mine][order], weight[mine][order], slots)
 
     @classmethod
@@ -108,7 +108,7 @@ class Lattices:
                 continue
             keys, piece, weight, slots = self.by_length[n]
             k = _mix(h[live])
-            maybe = slots[(k & np.uint64((1 << 21) - 1)).astype(np.int64)]
+            maybe = slots[(k & np.uint64((1 << 18) - 1)).astype(np.int64)]
             k, p = k[maybe], live[maybe]
             i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
             hit = keys[i] == k
@@ -143,7 +143,7 @@ class Lattice:
     """Edges into each node with their probabilities given the node, for drawing paths from the end of a unit."""
 
     def __init__(self, lengths: np.ndarray, start: np.ndarray, end: np.ndarray, depth: np.ndarray, ids: np.ndarray, weight: np.ndarray):
-        order = np.lexsort((end, depth))
+        order = np.argsort(depth * (int(end.max(initial=0)) + 1) + end)
         start, end, depth, ids, weight = (x[order] for x in (start, end, depth, ids, weight))
         alpha = np.zeros(int((lengths + 1).sum()))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]]) if len(depth) else [0]
@@ -198,8 +198,8 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = SAMP
     """For each text, up to k distinct (piece ids, log probability, perturbed value, log inclusion probability), the largest value first."""
     units_of = [_UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
     flat = [u for us in units_of for u in us]
-    known: dict[str, int] = {}
-    which = np.fromiter((known.setdefault(u, len(known)) for u in flat), np.int64, len(flat))
+    known = {u: i for i, u in enumerate(dict.fromkeys(flat))}
+    which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
     lattice = lattices.build(list(known)) if known else None
     bounds = np.concatenate([[0], np.cumsum([len(u) for u in units_of])]).astype(np.int64)
     keys = _mix(keys.astype(np.uint64))
