@@ -143,7 +143,7 @@ class Lattice:
     """Edges into each node with their probabilities given the node, for drawing paths from the end of a unit."""
 
     def __init__(self, lengths: np.ndarray, start: np.ndarray, end: np.ndarray, depth: np.ndarray, ids: np.ndarray, weight: np.ndarray):
-        order = np.argsort(depth * (int(end.max(initial=0)) + 1) + end)
+        order = np.argsort(depth * (int(end.max(initial=0)) + 1) + end, kind="stable")
         start, end, depth, ids, weight = (x[order] for x in (start, end, depth, ids, weight))
         alpha = np.zeros(int((lengths + 1).sum()))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]]) if len(depth) else [0]
@@ -155,21 +155,22 @@ class Lattice:
         order = np.argsort(end, kind="stable")
         self.start, self.end, self.ids = start[order], end[order], ids[order]
         self.log_p = alpha[self.start] + weight[order] - alpha[self.end]
-        p = np.exp(self.log_p)
-        total = np.cumsum(p)
-        heads = np.concatenate([[0], np.flatnonzero(np.diff(self.end)) + 1]) if len(p) else np.zeros(0, np.int64)
-        number = np.cumsum(np.diff(self.end, prepend=-1) != 0) - 1
-        within = total - (total - p)[heads][number] if len(p) else total
+        heads = np.concatenate([[0], np.flatnonzero(np.diff(self.end)) + 1]) if len(self.end) else np.zeros(0, np.int64)
+        self.heads = np.concatenate([heads, [len(self.end)]])
         self.nth = np.full(len(alpha), -1, dtype=np.int64)
         self.nth[self.end[heads]] = np.arange(len(heads))
-        self.cum = number + np.minimum(within, 1.0)
-        if len(p):  # the last edge of a node takes what rounding leaves
-            self.cum[np.concatenate([heads[1:], [len(p)]]) - 1] = number[np.concatenate([heads[1:], [len(p)]]) - 1] + 1.0
-        self.heads = np.concatenate([heads, [len(p)]])
+        # cumulated edge by edge and in whole numbers, so that a draw depends on its node alone and on no other unit of the batch
+        within, many, at = np.exp(self.log_p), np.diff(self.heads), heads
+        for k in range(1, int(many.max(initial=1))):
+            at = heads[many > k] + k
+            within[at] += within[at - 1]
+        self.cum = np.floor(np.minimum(within, 1.0) * 2.0**32).astype(np.int64)
+        self.cum[self.heads[1:] - 1] = 1 << 32  # the last edge of a node takes what rounding leaves
+        self.cum += np.repeat(np.arange(len(heads)) << 32, many)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge into each node."""
-        return np.searchsorted(self.cum, self.nth[node] + u, side="right")
+        return np.searchsorted(self.cum, (self.nth[node] << 32) + (u * 2.0**32).astype(np.int64), side="right")
 
     def edges_into(self, node: int) -> tuple[int, int]:
         n = self.nth[node]
