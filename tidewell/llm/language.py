@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import held_out
 from tidewell.llm.textarrays import Table, Words, text_slices
+from tidewell.llm.tokens import forget
 
 #: Documents of a language that training takes (on average over the hash), code points of each language's sample at most, longest n-gram.
 PER_LANGUAGE, MOST_CHARS, LONGEST, SMOOTHING = 600, 8_000_000, 5, 0.5
@@ -150,6 +151,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             names, scores = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
@@ -163,6 +165,7 @@ def with_known_language(docs: DataFrame, model: Model, sure: float) -> DataFrame
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             names, scores = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array([n != UNDETERMINED and s >= sure for n, s in zip(names, scores, strict=True)], pa.bool_()))

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import bytes_of, settle, without
+from tidewell.llm.tokens import forget
 
 WORDS, SEED, DISTANCE = 3, 42, 3
 _BATCH = 1 << 16
@@ -52,6 +53,7 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and the fingerprint as a signed 64-bit integer."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             prints = [simhash(d, words) for d in batch.column("data").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"])

@@ -101,7 +101,8 @@ class Words:
 class Table:
     """A direct-mapped table from hashes to rows. Of keys that fall into one slot, the first given stays; the others count as unknown."""
 
-    def __init__(self, keys: np.ndarray, bits: int = 20):
+    def __init__(self, keys: np.ndarray, most_bits: int = 20):
+        bits = min(most_bits, max(14, len(keys).bit_length() + 4))
         self.mask = np.uint64((1 << bits) - 1)
         slot = (keys & self.mask).astype(np.int64)
         _, first = np.unique(slot, return_index=True)
@@ -116,7 +117,7 @@ class Table:
         return np.where(self.tag[slot] == (keys >> np.uint64(32)).astype(np.uint32), self.row[slot], -1)
 
 
-def text_slices(texts: list[str], most: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def text_slices(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Runs of texts of about `most` code points; one longer text is a run of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):

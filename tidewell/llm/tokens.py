@@ -22,6 +22,12 @@ _TAIL = b".,;:!?)]}*#%&$|\""
 _open: dict[str, "Encoder"] = {}
 
 
+def forget() -> None:
+    """Give back what this worker remembers; operators that don't need tokens call it when their task begins."""
+    for encoder in _open.values():
+        encoder.known, encoder.words = {}, {}
+
+
 def default_path() -> str:
     import public_tokenizers
 

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import held_out, texts_of
 from tidewell.llm.textarrays import Words, text_slices
+from tidewell.llm.tokens import forget
 
 SIZES, BITS, DIMENSIONS, WINDOW = range(3, 6), 18, 8, 8
 #: Labelled documents that training takes at most, of either kind.
@@ -180,6 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 1 MB whatever the corpus
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             s = shared.value.scores(batch.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, pa.float64()), pa.array((s >= 0.5).astype(np.int32), pa.int32())], names=["doc_id", "score", "predicted"])
@@ -193,6 +195,7 @@ def without_toxic(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             scores = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
             yield batch.filter(pa.array(scores < limit, pa.bool_()))
