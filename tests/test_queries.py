@@ -121,3 +121,15 @@ def test_row_level_features_run_on_a_stream(spark, sf_dir, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("streamed").count() == 50 and set(spark.table("streamed").columns) == set(make(table).columns)
+
+
+def test_unknown_class_is_predicted(spark):
+    df = spark.createDataFrame([(str(i), float(i % 2) if i % 5 else 0.5, float(i % 2) * 3 + i / 100) for i in range(60)], "ID string, sex double, x double")
+    out = {r.ID: r.sex for r in models.impute_class(df, "sex", ["x"]).collect()}
+    assert all(out[str(i)] == i % 2 for i in range(60))
+
+
+def test_early_impute_keeps_ranges(spark):
+    df = spark.createDataFrame([(str(i), float(i), 2.0 * i if i % 4 else None) for i in range(40)], "ID string, a double, b double")
+    got = models.early_impute(df, ["b"], {"b": (0, 30)}, ["a"], rounds=2)
+    assert got.filter("b IS NULL OR b < 0 OR b > 30").count() == 0

@@ -138,3 +138,20 @@ def spearman_and_pearson(df: DataFrame, a: str, b: str) -> DataFrame:
         return F.when(varied, F.try_divide(cov, F.stddev_pop(x) * F.stddev_pop(y)))
 
     return ranked.agg(corr("a", "b").alias("pearson"), corr("ra", "rb").alias("spearman"), F.count(F.lit(1)).alias("n"))
+
+
+def subgroup_differences(df: DataFrame, columns: list[str], group: Column, burden: str, q: float, high: bool = True, least_share: float = 0.05, least_effect: float = 0.2) -> DataFrame:
+    """Group differences within the rows whose burden lies above (or below) a quantile: 0/1 features with a share of at least `least_share` on
+    a side and the others with an effect of at least `least_effect`."""
+    cut = df.agg(F.percentile(burden, F.lit(q))).first()[0]
+    rows = df.filter(F.col(burden) >= cut) if high else df.filter(F.col(burden) <= cut)
+    out = group_differences(rows, columns, group)
+    wide = F.greatest("mean_group", "mean_rest") >= least_share
+    return out.filter((F.col("is_binary") & wide) | (~F.col("is_binary") & (F.abs("effect") >= least_effect)))
+
+
+def compared(scores: DataFrame, model: str = "model", score: str = "score") -> DataFrame:
+    """(model, mean, largest and smallest score, best) of a table of scores; one model is best, ties going to the first by name."""
+    table = scores.groupBy(model).agg(F.avg(score).alias("mean"), F.max(score).alias("most"), F.min(score).alias("least"))
+    best = table.orderBy(F.desc("mean"), model).limit(1).select(F.col(model).alias("_best"))
+    return table.join(F.broadcast(best), table[model] == F.col("_best"), "left").withColumn("best", F.col("_best").isNotNull()).drop("_best")

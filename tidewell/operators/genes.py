@@ -151,3 +151,19 @@ def pattern_counts(df: DataFrame, column: str, patterns: dict[str, str]) -> Data
     """(pattern, rows that contain it) from one pass."""
     row = df.agg(*[F.count_if(F.col(column).rlike(f"(?i){p}")).alias(n) for n, p in patterns.items()])
     return row.unpivot([], list(patterns), "pattern", "rows")
+
+
+def harmonised_mutations(rows: DataFrame, samples: DataFrame, barcode: str, sample: str, patient: str) -> DataFrame:
+    """A cohort's mutation rows in the common layout: patient by sample barcode (unmatched rows go), depth and allele fraction from reads,
+    alternative allele and protein change with their fallbacks, the deepest row of each variant."""
+    from tidewell.operators.ordered import first_by_key
+
+    depth, vaf = read_depth("t_ref_count", "t_alt_count")
+    known = samples.select(F.col(sample).alias("_s"), F.col(patient).alias("_p"))
+    out = rows.join(known, F.col(barcode) == F.col("_s")).select(
+        F.col("_p").alias("ID"), F.regexp_replace(F.col("Chromosome").cast("string"), "(?i)^chr", "").alias("CHR"), number(F.col("Start_Position")).alias("START"), number(F.col("End_Position")).alias("END"),
+        F.col("Reference_Allele").alias("REF"), alternative_allele("Tumor_Seq_Allele2", "Tumor_Seq_Allele1").alias("ALT"), F.col("Hugo_Symbol").alias("GENE"),
+        F.coalesce(blank_as_null(F.col("HGVSp_Short")), short_protein(F.col("HGVSp"))).alias("PROTEIN_CHANGE"), F.col("Consequence").alias("EFFECT"), vaf.alias("VAF"), depth.alias("DEPTH"),
+    )
+    out = out.filter("ID IS NOT NULL AND GENE IS NOT NULL")
+    return first_by_key(out, ["ID", "CHR", "START", "END", "REF", "ALT", "GENE"], F.col("DEPTH").desc_nulls_last(), F.col("VAF").desc_nulls_last(), "PROTEIN_CHANGE", "EFFECT")

@@ -342,3 +342,22 @@ def baseline(clinical: DataFrame, mutation_rows: DataFrame, target: DataFrame, c
     return fit_median(rows, list(columns)).transform(rows)
 
 
+
+
+def impute_class(df: DataFrame, target: str, features: list[str], unknown: float = 0.5, trees: int = 20, seed: int = 42) -> DataFrame:
+    """Rows whose 0/1 column has the `unknown` mark get the class that a forest fitted on the known rows predicts."""
+    from pyspark.ml.classification import RandomForestClassifier
+
+    rows = VectorAssembler(inputCols=features, outputCol="_x", handleInvalid="keep").transform(df.na.fill(0.0, subset=features))
+    known = rows.filter(F.col(target).isin(0.0, 1.0))
+    if known.select(target).distinct().count() < 2:
+        return df
+    model = RandomForestClassifier(featuresCol="_x", labelCol=target, predictionCol="_p", probabilityCol="_q", rawPredictionCol="_r", numTrees=trees, seed=seed).fit(known)
+    out = model.transform(rows).withColumn(target, F.when(F.col(target) == unknown, F.col("_p")).otherwise(F.col(target)))
+    return out.select(*df.columns)
+
+
+def early_impute(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]], auxiliary: list[str] = (), rounds: int = 5) -> DataFrame:
+    """Chained equations with auxiliary columns as predictors, imputed values kept within their ranges."""
+    filled = iterative_impute(df, [*columns, *auxiliary], rounds)
+    return filled.withColumns({c: F.least(F.greatest(F.col(c), F.lit(float(lo))), F.lit(float(hi))) for c, (lo, hi) in ranges.items() if c in columns})

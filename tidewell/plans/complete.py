@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import legacy, prepare
+from tidewell.operators import drift, genes, legacy, prepare, survival
 from tidewell.plans.features import _clinical, _round
 from tidewell.plans.fixtures import oracle, view
 
@@ -35,11 +35,37 @@ def integrated_scores(spark: SparkSession, d: str) -> DataFrame:
     return _round(legacy.integrated_scores(rows))
 
 
-QUERIES = {f.__name__: f for f in (karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores)}
+def harmonised_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """Mutation rows written in another cohort's layout and brought back; rows of unknown samples go."""
+    m = view(spark, d, "fx_molecular")
+    other = m.select(
+        F.concat(F.lit("S-"), "ID").alias("Tumor_Sample_Barcode"), F.col("DEPTH").cast("int").cast("string").alias("t_ref_count"), F.lit("5").alias("t_alt_count"), F.col("REF").alias("Tumor_Seq_Allele1"), F.when(F.col("ALT") != "CT", F.col("ALT")).otherwise("-").alias("Tumor_Seq_Allele2"),
+        F.when(F.col("PROTEIN_CHANGE") != "p.R882H", F.col("PROTEIN_CHANGE")).alias("HGVSp_Short"), F.lit("p.Arg882His").alias("HGVSp"), F.concat(F.lit("chr"), "CHR").alias("Chromosome"), F.col("START").cast("string").alias("Start_Position"), F.col("END").cast("string").alias("End_Position"),
+        F.col("REF").alias("Reference_Allele"), F.col("GENE").alias("Hugo_Symbol"), F.col("EFFECT").alias("Consequence"),
+    )
+    samples = view(spark, d, "fx_clinical").filter("CENTER <> 'CTR_3'").select(F.concat(F.lit("S-"), "ID").alias("SAMPLE_ID"), F.col("ID").alias("PATIENT_ID"))
+    out = genes.harmonised_mutations(other, samples, "Tumor_Sample_Barcode", "SAMPLE_ID", "PATIENT_ID")
+    return _round(out.groupBy("ID").agg(F.count(F.lit(1)).alias("n"), F.sum("DEPTH").alias("depth"), F.count_if(F.col("PROTEIN_CHANGE") == "p.R882H").alias("r882h")))
+
+
+def subgroup_drivers(spark: SparkSession, d: str) -> DataFrame:
+    c = _clinical(spark, d).withColumns({"wbc_missing": F.col("WBC").isNull().cast("int"), "burden": F.expr("CAST(CAST(substr(ID, 2) AS BIGINT) % 10 AS DOUBLE)")})
+    return _round(drift.subgroup_differences(c, ["ANC", "HB", "wbc_missing"], F.col("CENTER") == "CTR_1", "burden", 0.5, least_effect=0.0))
+
+
+def compared_models(spark: SparkSession, d: str) -> DataFrame:
+    long = survival.long_scores(view(spark, d, "fx_scores"), ["m_a", "m_b", "m_c"])
+    return _round(drift.compared(long.withColumnRenamed("pred", "score")))
+
+
+QUERIES = {f.__name__: f for f in (harmonised_mutations, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores)}
 
 _N = lambda p: f"coalesce(len(list_filter(flatten(list_transform(string_split(lower(CYTOGENETICS), '/'), lambda c: string_split(regexp_replace(c, '\\[\\d+\\]', '', 'g'), ','))), lambda x: regexp_matches(x, '{p}'))), 0)::DOUBLE"
 
 ORACLES = {
+    "harmonised_mutations": oracle("WITH j AS (SELECT ID, CHR, START, \"END\", REF, CASE WHEN ALT = 'CT' THEN REF ELSE ALT END AS ALT, GENE, PROTEIN_CHANGE, EFFECT, DEPTH + 5 AS DEPTH FROM fx_molecular WHERE ID IN (SELECT ID FROM fx_clinical WHERE CENTER <> 'CTR_3')), f AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY ID, CHR, START, \"END\", REF, ALT, GENE ORDER BY DEPTH DESC, PROTEIN_CHANGE, EFFECT) = 1) SELECT ID, count(*) AS n, sum(DEPTH) AS depth, count(*) FILTER (PROTEIN_CHANGE = 'p.R882H') AS r882h FROM f GROUP BY ID", "fx_clinical", "fx_molecular"),
+    "subgroup_drivers": oracle("WITH r AS (SELECT CENTER = 'CTR_1' AS g, CASE WHEN ANC BETWEEN 0 AND 100 THEN ANC END AS ANC, CASE WHEN HB BETWEEN 2 AND 25 THEN HB END AS HB, (WBC IS NULL OR WBC NOT BETWEEN 0 AND 400)::INT::DOUBLE AS wbc_missing, (CAST(substr(ID, 2) AS BIGINT) % 10)::DOUBLE AS b FROM fx_clinical), k AS (SELECT * FROM r WHERE b >= (SELECT quantile_cont(b, 0.5) FROM r)), l AS (UNPIVOT k ON ANC, HB, wbc_missing INTO NAME feature VALUE value), s AS (SELECT feature, bool_and(value IN (0, 1)) AS is_binary, avg(value) FILTER (g) AS mg, avg(value) FILTER (NOT g) AS mr, stddev_samp(value) FILTER (NOT g) AS sr FROM l GROUP BY feature) SELECT feature, is_binary, round(mg, 6) AS mean_group, round(mr, 6) AS mean_rest, round(CASE WHEN is_binary THEN mg - mr ELSE (mg - mr) / sr END, 6) AS effect FROM s WHERE NOT is_binary OR greatest(mg, mr) >= 0.05", "fx_clinical"),
+    "compared_models": oracle("WITH l AS (UNPIVOT fx_scores ON m_a, m_b, m_c INTO NAME model VALUE pred), t AS (SELECT model, avg(pred) AS m, max(pred) AS most, min(pred) AS least FROM l GROUP BY model) SELECT model, round(m, 6) AS mean, most, least, m = max(m) OVER () AS best FROM t", "fx_scores"),
     "karyotype_summary_v1": oracle(
         "SELECT ID, coalesce(len(string_split(CYTOGENETICS, '/')), 0)::DOUBLE AS num_subclones, "
         + ", ".join(f"{_N(p)} AS {n}" for n, p in {"num_translocations": r"t\(\d+;\d+\)", "num_deletions": r"del\(", "num_inversions": r"inv\(", "num_additions": r"add\(", "num_monosomies": r"-\d+", "num_trisomies": r"\+\d+"}.items())
