@@ -188,3 +188,19 @@ def test_empty_tables(spark):
     assert ordered.average_ranks(empty, "s").count() == 0
     assert survival.kaplan_meier(empty).count() == 0
     assert clean.clean_target(empty).count() == 0
+
+
+def test_last_known_value_is_carried_over_ranges(spark):
+    rows = [(float(i), 0, float(i) if i % 10 == 3 else None) for i in range(300)]
+    got = ordered.last_known(spark.createDataFrame(rows, "t double, k int, v double"), "t", "k", "v", "out").orderBy("t").collect()
+    assert [r.out for r in got] == [None if i < 3 else float((i - 3) // 10 * 10 + 3) for i in range(300)]
+
+
+def test_concordance_with_other_training_rows(spark):
+    schema = "ID string, OS_YEARS double, OS_STATUS int, s double"
+    train = spark.createDataFrame([(str(i), float(i) + 0.5, i % 2, 0.0) for i in range(10)], schema)
+    test = spark.createDataFrame([("a", 1.0, 1, 3.0), ("b", 4.0, 1, 2.0), ("c", 6.0, 0, 2.5)], schema)
+    g = {t: math.prod(1 - (1 / (10 - i)) * (i % 2 == 0) for i in range(10) if i + 0.5 <= t) for t in (1.0, 4.0)}
+    w = {t: 1 / g[t] ** 2 for t in g}
+    want = (w[1.0] * 2) / (w[1.0] * 2 + w[4.0])  # a before b and c: both concordant; b before c: discordant
+    assert math.isclose(survival.concordance(test, "s", train=train).first().c_index, want, rel_tol=1e-9)

@@ -87,3 +87,13 @@ def row_statistics(long: DataFrame, value: str, key: str = "ID") -> DataFrame:
 def latest(runs: DataFrame, name: str = "run_id", at: str = "created_at") -> DataFrame:
     """The run that was created last."""
     return runs.orderBy(F.col(at).desc(), F.col(name).desc()).limit(1)
+
+
+def last_known(df: DataFrame, order: str, then: str, value: str, out: str) -> DataFrame:
+    """The value of the last row at or before each row, in the order of two columns, that has one. Ranges of the order hand on their last value."""
+    rows = settle(df)
+    rows = rows.withColumn("_range", _range(rows, order, False))
+    inside = Window.partitionBy("_range").orderBy(order, then).rowsBetween(Window.unboundedPreceding, 0)
+    ends = rows.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, then))).alias("_end"))
+    ends = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # RANGES rows
+    return rows.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(ends, "_range").select(*df.columns, F.coalesce("_own", "_carried").alias(out))

@@ -7,7 +7,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ordered import average_ranks, prefix_sums, settle
+from tidewell.operators.ordered import average_ranks, last_known, prefix_sums, settle
 
 
 def kaplan_meier(df: DataFrame, time: str = "OS_YEARS", event: str = "OS_STATUS", censoring: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -31,10 +31,8 @@ def censoring_weights(test: DataFrame, train: DataFrame, tau: float | None, time
     g = kaplan_meier(train, time, event, censoring=True).select(F.col(time).alias("_t"), F.lit(0).alias("_ask"), F.col("survival").alias("_g"))
     asked = test.filter((F.col(event) == 1) & ((F.col(time) < tau) if tau is not None else F.lit(True))).select(F.col(time).alias("_t")).distinct()
     both = g.unionByName(asked.select("_t", F.lit(1).alias("_ask"), F.lit(None).cast("double").alias("_g")))
-    # the last step at or before each asked time; distinct times are few beside the rows
-    w = Window.orderBy("_t", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    filled = both.withColumn("_g", F.last("_g", ignorenulls=True).over(w)).filter("_ask = 1")
-    return filled.select(F.col("_t").alias(time), (1 / F.pow(F.coalesce("_g", F.lit(1.0)), 2)).alias("weight"))
+    filled = last_known(both, "_t", "_ask", "_g", "_last").filter("_ask = 1")
+    return filled.select(F.col("_t").alias(time), (1 / F.pow(F.coalesce("_last", F.lit(1.0)), 2)).alias("weight"))
 
 
 def concordance(df: DataFrame, score: str, train: DataFrame | None = None, tau: float | None = None, time: str = "OS_YEARS", event: str = "OS_STATUS", by: tuple[str, ...] = ()) -> DataFrame:
