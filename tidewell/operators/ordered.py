@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges whose bounds the driver holds.
-RANGES = 200
+#: Ranges that an order is cut into at least and at most (the driver holds their bounds), and rows that one is meant to have.
+RANGES, MOST_RANGES, ROWS = 200, 2000, 1_000_000
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -26,8 +26,9 @@ def settle(df: DataFrame) -> DataFrame:
 
 def _range(df: DataFrame, order: str, descending: bool) -> Column:
     """Number of the range that a value of the order column lies in, ascending along the order."""
-    bounds = df.agg(F.percentile_approx(order, [i / RANGES for i in range(1, RANGES)], 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
+    n, bounds = df.agg(F.count(order), F.percentile_approx(order, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 10_000)).first()
+    wanted = max(RANGES, min(MOST_RANGES, n // ROWS))
+    bounds = sorted(set((bounds or [])[MOST_RANGES // wanted - 1 :: MOST_RANGES // wanted]))
     at = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (b < F.col(order)).cast("int")) if bounds else F.lit(0)
     return -at if descending else at
 
@@ -35,8 +36,8 @@ def _range(df: DataFrame, order: str, descending: bool) -> Column:
 def prefix_sums(df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
     """For each distinct (by, order): sums of the value expressions (`<name>`), and over everything strictly before (`<name>_before`).
 
-    Equal order values are collapsed first, so ties never straddle ranges. Ranges of the order get totals, whose running sums (RANGES rows for
-    each `by`) are joined to running sums within the range.
+    Equal order values are collapsed first, so ties never straddle ranges. Ranges of the order get totals, whose running sums (MOST_RANGES rows
+    at most for each `by`) are joined to running sums within the range.
     """
     grouped = df.groupBy(*by, order).agg(*[F.sum(v).alias(n) for n, v in values.items()])
     grouped = settle(grouped.filter(F.col(order).isNotNull()))
@@ -95,5 +96,5 @@ def last_known(df: DataFrame, order: str, then: str, value: str, out: str) -> Da
     rows = rows.withColumn("_range", _range(rows, order, False))
     inside = Window.partitionBy("_range").orderBy(order, then).rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, then))).alias("_end"))
-    ends = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # RANGES rows
+    ends = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # MOST_RANGES rows at most
     return rows.withColumn("_own", F.last(value, ignorenulls=True).over(inside)).join(ends, "_range").select(*df.columns, F.coalesce("_own", "_carried").alias(out))
