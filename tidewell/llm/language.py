@@ -18,6 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,13 +165,14 @@ def with_known_language(docs: DataFrame, model: Model, sure: float) -> DataFrame
     """The rows of docs, with all their columns, whose language can be told with at least the given posterior; each row by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def told(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forget()
-        for batch in batches:
-            names, scores = shared.value.predict([t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array([n != UNDETERMINED and s >= sure for n, s in zip(names, scores, strict=True)], pa.bool_()))
+        for texts in batches:
+            names, scores = shared.value.predict([t or "" for t in texts])
+            yield pd.Series([n != UNDETERMINED and s >= sure for n, s in zip(names, scores, strict=True)], dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(told(docs["text"]))  # only texts go to Python, and only verdicts come back
 
 
 def languages(docs: DataFrame) -> DataFrame:

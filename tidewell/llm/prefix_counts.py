@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tidewell.llm.common import bytes_of
-from tidewell.llm.tokens import Encoder, default_path, slices
+from tidewell.llm.tokens import Encoder, default_path, slices, small
 
 #: Tokens that a document may have.
 LIMIT = 2048
@@ -66,7 +66,7 @@ def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.at(path)
-        for batch in batches:
+        for batch in small(batches):
             data = batch.column("data").to_pylist()
             n, fit = [], []
             for a, b in slices(data):

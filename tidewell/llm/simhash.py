@@ -55,7 +55,8 @@ def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
         for batch in batches:
-            prints = [simhash(d, words) for d in batch.column("data").to_pylist()]
+            data = batch.column("data")
+            prints = [simhash(d, words) for i in range(0, len(data), 256) for d in data.slice(i, 256).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.int64())], names=["doc_id", "print"])
 
     return bytes_of(docs).mapInArrow(run, "doc_id long, print long")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import settle, shared_dir
 from tidewell.llm.order import id_bucket
-from tidewell.llm.tokens import Encoder, default_path, slices
+from tidewell.llm.tokens import Encoder, default_path, slices, small
 
 #: The id that ends each document.
 END = 1
@@ -84,7 +84,7 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
         encoder = Encoder.at(path)
         kind = "<u2" if encoder.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         tail, now, done = np.array([end], "<u4").tobytes(), None, []
-        for batch in batches:
+        for batch in small(batches):
             data, ids, buckets = batch.column("data").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("bucket").to_pylist()
             for a, b in slices(data):
                 for i, chunks in enumerate(encoder.batch(data[a:b]), a):

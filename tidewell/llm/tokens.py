@@ -16,7 +16,7 @@ import numpy as np
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 #: Chunks that a worker remembers.
-CACHE = 700_000
+CACHE = 400_000
 #: What no merge crosses when it follows a letter; the apostrophe is not among them, since the pre-tokenizer gives it a meaning.
 _TAIL = b".,;:!?)]}*#%&$|\""
 _open: dict[str, "Encoder"] = {}
@@ -114,6 +114,13 @@ class Encoder:
         return np.fromiter(map(len, map(self.known.__getitem__, chunks)), dtype=np.int64, count=len(chunks)) // 4
 
 
+def small(batches: Iterable, rows: int = 512) -> Iterable:
+    """The same rows in smaller batches, so that only a few texts at a time exist twice."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def slices(data: list[bytes], most: int = 4 << 20) -> Iterable[tuple[int, int]]:
     """Runs of texts of about `most` bytes, so that a batch of long texts is worked off in bounded pieces."""
     start, size = 0, 0

@@ -19,6 +19,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -194,13 +195,13 @@ def without_toxic(docs: DataFrame, model: Model, limit: float) -> DataFrame:
     """The rows of docs, with all their columns, that score below the limit; each row by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.pandas_udf("boolean")
+    def clean(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         forget()
-        for batch in batches:
-            scores = shared.value.scores([t or "" for t in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(scores < limit, pa.bool_()))
+        for texts in batches:
+            yield pd.Series(shared.value.scores([t or "" for t in texts]) < limit, dtype=bool)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.filter(clean(docs["text"]))  # only texts go to Python, and only verdicts come back
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
