@@ -13,7 +13,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import block_names, gumbel_pieces, hash_tree, language, packing, prefix_counts, scaled_sketch, simhash, token_files, toxicity
+from tidewell.llm import block_names, gumbel_pieces, hash_tree, language, near_copies, packing, prefix_counts, scaled_sketch, simhash, token_files, toxicity
 from tidewell.llm.common import read
 from tidewell.llm.tokens import Encoder, default_path
 
@@ -279,6 +279,55 @@ def test_components_of_long_chains(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys((100, 101, 102, 105), 100)}
 
 
+def brute_near_copies(texts):
+    """Ids that stay: of each component over pairs whose sets of 5-word shingles have a similarity of at least 0.8, the smallest."""
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    sets, root = {k: shingles(t) for k, t in texts.items()}, {k: k for k in texts}
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if b < a and (sets[a] == sets[b] or len(sets[a] & sets[b]) / len(sets[a] | sets[b]) >= 0.8):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k for k in texts if find(k) == k}
+
+
+def test_near_copies_of_similarity_from_08_on_go(spark):
+    rng = np.random.default_rng(8)
+    word = lambda n: [f"w{x}" for x in rng.integers(0, 10**6, n)]
+    texts = []
+    for j in np.linspace(0.72, 0.97, 40):  # a pair of similarity j: a replaced end shares 300 * 2j / (1 + j) shingles
+        w = word(304)
+        keep = round(300 * 2 * j / (1 + j)) + 4
+        texts += [w, w[:keep] + word(304 - keep)]
+    line = word(12)
+    texts += [line * 20 + word(20) for _ in range(30)]  # one repeated line, sets mostly unlike
+    big = word(400)
+    for _ in range(50):  # a crowd of near copies
+        w = list(big)
+        w[int(rng.integers(400))] = "edited"
+        texts.append(w)
+    rows = [(i, " ".join(w)) for i, w in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_near_copies(dict(rows))
+    assert 20 < len(rows) - len(want) - 49 < 40
+    assert set(by_text(near_copies.without_near_copies(docs))) == want
+
+
+def test_near_copies_on_edge_cases(docs, small, none):
+    for df in (docs, small):
+        assert set(by_text(near_copies.without_near_copies(df))) == brute_near_copies(by_text(df))
+    assert near_copies.without_near_copies(none).count() == 0
+
+
 # classifiers
 
 

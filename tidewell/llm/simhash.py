@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bytes_of, settle, without
+from tidewell.llm.common import bytes_of, settle
 from tidewell.llm.tokens import forget
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -98,21 +98,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
-    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable over links, for each row."""
-    rows = settle(fingerprints(docs, words), "prints")
-    groups = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "groups")
-    linked = components(links(groups.select("print"), distance))
+def classes(groups: DataFrame, edges: DataFrame) -> DataFrame:
+    """print and component_id, the smallest `least` reachable over the edges (a, b), for a table of distinct print with their `least` doc_id."""
+    linked = components(edges)
     linked = linked.join(groups, linked["node"] == groups["print"]).select("print", "root", "least")
     lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
     joined = settle(linked.join(lowest, "root").select(F.col("print").alias("linked"), "component_id"), "joined")
-    classes = settle(groups.join(joined, groups["print"] == joined["linked"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
-    return rows.join(classes, "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return settle(groups.join(joined, groups["print"] == joined["linked"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
 
 
-def without_near_duplicates(docs: DataFrame, words: int = 5, distance: int = DISTANCE) -> DataFrame:
-    """The rows of docs that stay, with all their columns: of each component the document with the smallest doc_id. Rows of one doc_id share
-    their fate, so those that repeat it are left as they are; rows without doc_id stay."""
-    found = near_duplicates(docs, words, distance)
-    gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("doc_id is not null and not stays")
-    return without(docs, settle(gone.select(F.col("doc_id").alias("_tw_id")), "gone"), docs["doc_id"] == F.col("_tw_id"))
+def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
+    """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable over links, for each row."""
+    rows = settle(fingerprints(docs, words), "prints")
+    groups = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "groups")
+    return rows.join(classes(groups, links(groups.select("print"), distance)), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
