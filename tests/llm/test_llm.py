@@ -181,6 +181,31 @@ def test_every_prefix_has_its_exact_count():
     assert all(p.within(b) == max(i for i, n in enumerate(want) if n <= b) for b in range(max(want) + 1))
 
 
+def test_budgets_inside_long_chunks_equal_brute_force():
+    rng = np.random.default_rng(6)
+    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+    encoder = Encoder.at(default_path())
+    texts = [
+        pick("abcdefghijklmnopqrstuvwxyz", 150), pick("theinganre", 200), pick("aab", 150), pick("日本語中文字のにはテキスト", 120), pick("日本語。、12", 120), pick("ABCxyz019+/", 150), pick("!?.'-=<>", 150), "e\u0301a\u0323\u0301o" * 20,
+        "각한글" * 20, pick("กขคเแ่้ิี", 120), "it's'rewe've" * 8, "x!<|endoftext|>y<|startoftext|>" * 4, "a\u3000b\u00a0\u00a0c" * 10, pick("😂😍🇺🇸", 90), "İΣß" * 30,
+    ]
+    for text in texts:
+        want = [len(x) for x in reference_ids([text[:i] for i in range(len(text) + 1)])]
+        p = prefix_counts.PrefixCounts(text.encode(), encoder)
+        for b in range(max(want) + 1):
+            assert p.within(b) == max(i for i, n in enumerate(want) if n <= b), (text, b)
+
+
+@pytest.mark.parametrize("alphabet", ["日本語中文字のにはテキスト", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", "abcdefghijklmnopqrstuvwxyz"])
+def test_budget_in_a_huge_chunk_takes_few_encodings(alphabet, monkeypatch):
+    text, calls = "".join(np.random.default_rng(7).choice(list(alphabet), 200_000)), []
+    count, batch = prefix_counts.Chunk.count, Encoder.at(default_path()).tokenizer.encode_batch_fast
+    monkeypatch.setattr(prefix_counts.Chunk, "count", lambda self, a, b: calls.append(b - a) or count(self, a, b))
+    fit = prefix_counts.PrefixCounts(text.encode(), Encoder.at(default_path())).within(2048)
+    a, b = (len(e.ids) for e in batch([text[:fit], text[: fit + 1]], add_special_tokens=False))
+    assert a <= 2048 < b and sum(calls) < 10_000
+
+
 def test_token_files(docs, small, none):
     for df in (docs, small):
         texts = by_text(df)

@@ -1,15 +1,19 @@
 """Token counts by dynamic programming over prefixes.
 
-For each document the exact token count of every prefix is stored in two levels: running totals at the ends of its white-space-separated
-chunks (white space adds no tokens and no merge crosses it), and, for a chunk that a question falls into, the count of each of its own
-prefixes. total[i] + inside[j] is the exact count of any prefix, so truncation and budget questions need no encoding of the document.
+For each document running token totals are stored at the ends of its white-space-separated chunks (white space adds no tokens and no merge
+crosses it). A budget question goes to one chunk, there by the totals at the ends of the pre-tokenizer's units to one unit, and only inside
+that unit prefixes are counted: by the library, one at a time, if it is short, and else by dynamic programming over its bytes, which gives
+the count of each prefix from those of shorter ones and ends when no longer prefix can fit. The work is linear in the chunk. The count of one given prefix takes one
+encoding of its last chunk.
 
 Defined results: a null or blank text has no tokens; every prefix of it does, too; repeated rows are rows of their own.
 """
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +28,135 @@ LIMIT = 2048
 _CHUNK = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
+#: Code points of a unit whose prefixes the library counts.
+SHORT = 64
+_END = "</w>"
+
+
+class Merges:
+    """Counts of all prefixes of one unit of byte symbols.
+
+    The tokens of a sequence without its last token are the tokens of what that last token leaves, and a token may follow another if the two
+    together are encoded as themselves; so exactly one token can end a prefix, and it is found from the prefixes before. Each prefix is
+    counted with the end mark on its last symbol, the inner ones are kept without it.
+    """
+
+    def __init__(self, encoder: Encoder):
+        model = json.loads(encoder.tokenizer.to_str())["model"]
+        pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+        self.ranks = {tuple(m): i for i, m in enumerate(pairs)}
+        self.vocab = model["vocab"]
+        self.longest = max(len(t.removesuffix(_END)) for t in self.vocab)
+        self.follows: dict[tuple[str, str], bool] = {}
+
+    @classmethod
+    def of(cls, encoder: Encoder) -> "Merges":
+        if not hasattr(encoder, "merges"):
+            encoder.merges = cls(encoder)
+        return encoder.merges
+
+    def encoded(self, text: str, end: bool) -> list[str]:
+        parts = [*text[:-1], text[-1] + _END * end]
+        while len(parts) > 1:
+            rank, i = min((self.ranks.get(p, len(self.ranks)), i) for i, p in enumerate(zip(parts, parts[1:], strict=False)))
+            if rank == len(self.ranks):
+                break
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        return parts
+
+    def may_follow(self, a: str, b: str) -> bool:
+        known = self.follows.get((a, b))
+        if known is None:
+            if len(self.follows) >= 1 << 18:
+                self.follows.clear()
+            text = a + b.removesuffix(_END)
+            known = self.follows[a, b] = self.encoded(text, b.endswith(_END)) == ([a, b] if a else [b])
+        return known
+
+    def last(self, text: str, i: int, lasts: list[str], mark: str) -> tuple[str, int]:
+        """The token that ends the first i symbols, and where it starts."""
+        for j in range(max(0, i - self.longest), i):
+            token = text[j:i] + mark
+            if token in self.vocab and self.may_follow(lasts[j], token):
+                return token, j
+        raise ValueError(f"no token ends {text[:i]!r}")
+
+    def within(self, unit: str, room: int, encoder: Encoder) -> int:
+        """Code points of the longest prefix of a unit that has at most `room` tokens."""
+        norm, split = encoder.tokenizer.normalizer.normalize_str, encoder.tokenizer.pre_tokenizer.pre_tokenize_str
+        lasts, counts, best = [""], [0], 0
+        text, cluster, start = "", "", 0  # what is normalised; code points that may still change together; where they start in text
+        for m, c in enumerate(unit, 1):
+            if cluster and not unicodedata.combining(c) and norm(cluster + c) == norm(cluster) + norm(c):
+                cluster, start = "", len(text)
+            cluster += c
+            text = text[:start] + "".join(x for x, _ in split(norm(cluster)))
+            del lasts[start + 1 :], counts[start + 1 :]
+            for i in range(start + 1, len(text) + 1):
+                token, j = self.last(text, i, lasts, "")
+                lasts.append(token)
+                counts.append(counts[j] + 1)
+            if counts[self.last(text, len(text), lasts, _END)[1]] + 1 <= room:
+                best = m
+            if start >= self.longest and min(counts[start - self.longest + 1 : start + 1]) >= room:
+                break  # every longer prefix has more
+        return best
+
+
+class Chunk:
+    """Units of one chunk: where each starts and ends in code points, and the tokens up to its end."""
+
+    def __init__(self, text: str, encoder: Encoder):
+        self.text, self.encoder = text, encoder
+        e = encoder.tokenizer.encode(text, add_special_tokens=False)
+        special = {i for i in encoder.tokenizer.get_added_tokens_decoder()}
+        self.units: list[tuple[int, int, int, bool]] = []
+        start = None
+        for n, (token, (a, b)) in enumerate(zip(e.ids, e.offsets, strict=True), 1):
+            start = a if start is None else start
+            if token in special or (encoder.ends[token] and self._apart(b)):
+                self.units.append((start, b, n, token in special))
+                start = None
+        if start is not None:
+            self.units.append((start, len(text), len(e.ids), False))
+
+    def _apart(self, at: int) -> bool:
+        """Whether no normalisation joins what lies before and after."""
+        if at == 0 or at == len(self.text) or self.text[at].isascii():
+            return True
+        end = at + 1
+        while end < len(self.text) and end < at + 16 and unicodedata.combining(self.text[end]):
+            end += 1
+        norm, a, b = self.encoder.tokenizer.normalizer.normalize_str, self.text[at - 1], self.text[at:end]
+        return not (unicodedata.combining(a) and unicodedata.combining(b[0])) and norm(a + b) == norm(a) + norm(b)
+
+    def count(self, a: int, b: int) -> int:
+        return len(self.encoder.tokenizer.encode(self.text[a:b], add_special_tokens=False).ids)
+
+    def within(self, room: int) -> int:
+        """Code points of the longest prefix that has at most `room` tokens."""
+        k = next((k for k, u in enumerate(self.units) if u[2] > room), len(self.units))
+        if k == len(self.units):
+            return len(self.text)
+        a, b, _, special = self.units[k]
+        used = self.units[k - 1][2] if k else 0
+        if special:
+            best = a
+        elif b - a > SHORT and len(self.encoder.tokenizer.pre_tokenizer.pre_tokenize_str(self.encoder.tokenizer.normalizer.normalize_str(self.text[a:b]))) == 1:
+            best = a + Merges.of(self.encoder).within(self.text[a:b], room - used, self.encoder)
+        else:
+            best = next((i for i in range(b - 1, a, -1) if used + self.count(a, i) <= room), a)
+        # a prefix that ends in a special token has no such token: the unit before goes on into its beginning
+        for q in range(min(k + 1, len(self.units) - 1), -1, -1):
+            s, e, _, special = self.units[q]
+            if e <= best:
+                break
+            if special:
+                p, before = (self.units[q - 1][0], self.units[q - 2][2] if q > 1 else 0) if q and not self.units[q - 1][3] else (s, self.units[q - 1][2] if q else 0)
+                best = max(best, next((i for i in range(e - 1, s, -1) if before + self.count(p, i) <= room), best))
+        return best
+
+
 class PrefixCounts:
     """Exact token counts of all prefixes of one text, measured in code points."""
 
@@ -36,11 +169,6 @@ class PrefixCounts:
     def tokens(self) -> int:
         return int(self.totals[-1]) if len(self.totals) else 0
 
-    def inside(self, chunk: bytes) -> list[int]:
-        """Token counts of the prefixes of one chunk, from one code point to all."""
-        text = chunk.decode("utf-8", "replace")
-        return [len(e.ids) for e in self.encoder.tokenizer.encode_batch_fast([text[: i + 1] for i in range(len(text))], add_special_tokens=False)]
-
     def within(self, budget: int) -> int:
         """Code points of the longest prefix that has at most `budget` tokens."""
         whole = int(np.searchsorted(self.totals, budget, side="right"))  # chunks that fit entirely
@@ -48,7 +176,7 @@ class PrefixCounts:
             return len(self.data.decode("utf-8", "replace"))
         at = next(m for i, m in enumerate(_CHUNK.finditer(self.data)) if i == whole)
         before, room = len(self.data[: at.start()].decode("utf-8", "replace")), budget - (int(self.totals[whole - 1]) if whole else 0)
-        return before + max((i + 1 for i, n in enumerate(self.inside(at.group())) if n <= room), default=0)
+        return before + Chunk(at.group().decode("utf-8", "replace"), self.encoder).within(room)
 
     def at(self, chars: int) -> int:
         """Tokens of the first `chars` code points."""
@@ -57,7 +185,7 @@ class PrefixCounts:
         if whole == 0:
             return 0
         last = max(_CHUNK.finditer(upto), key=lambda m: m.start()).group()
-        return (int(self.totals[whole - 2]) if whole > 1 else 0) + self.inside(last)[-1]
+        return (int(self.totals[whole - 2]) if whole > 1 else 0) + len(self.encoder.tokenizer.encode(last.decode("utf-8", "replace"), add_special_tokens=False).ids)
 
 
 def token_counts(docs: DataFrame, limit: int = LIMIT, path: str | None = None) -> DataFrame:
