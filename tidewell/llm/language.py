@@ -5,8 +5,9 @@ n-gram (5 code points down to 1) that starts there, and the word by the mean ove
 largest sum over its words; the score is that language's
 posterior, with log odds divided by the square root of the number of words, since words aren't independent.
 
-The model is fitted on a bounded sample of labelled texts: for each language about PER_LANGUAGE documents, chosen by a hash of the id among
-all labelled rows that may be learned from. Tasks get fixed-size tables.
+The model is fitted on a bounded sample of labelled texts: for each language about PER_LANGUAGE documents of up to MOST_CHARS code points,
+chosen by a hash of id and text among all labelled rows that may be learned from (equal rows count once). A word or n-gram is known if the
+sample holds it LEAST times; the tables hold every known one, and since the sample is bounded, so are they.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or where nothing could be learned; ties go to the language with
 more labelled rows, then to the first by name; repeated rows are predicted alike; an empty table gives an empty table.
@@ -27,8 +28,9 @@ from tidewell.llm.common import held_out
 from tidewell.llm.textarrays import Table, Words, text_slices
 from tidewell.llm.tokens import forget
 
-#: Documents of a language that training takes (on average over the hash), code points of each language's sample at most, longest n-gram.
-PER_LANGUAGE, MOST_CHARS, LONGEST, SMOOTHING = 600, 8_000_000, 5, 0.5
+#: Documents of a language that training takes (on average over the hash), code points of a document that it takes at most (longer ones are
+#: predicted but not learned from), longest n-gram, how often the sample must hold a word or n-gram for it to be known.
+PER_LANGUAGE, MOST_CHARS, LONGEST, LEAST, SMOOTHING = 600, 10_000, 5, 2, 0.5
 UNDETERMINED = "und"
 
 
@@ -117,10 +119,10 @@ def train(samples: dict[str, list[str]]) -> Model:
             can = distinct.rem >= k
             key, at = np.unique(g[can], return_inverse=True)
             grams_of[k - 1].append((key, np.bincount(at, weight[can])))
-    keys, logs = _log_frequencies(words_of, counts_of, 2)
+    keys, logs = _log_frequencies(words_of, counts_of, LEAST)
     tables, scores = [], []
     for parts in grams_of:
-        k, s = _log_frequencies([p[0] for p in parts], [p[1] for p in parts], 2)
+        k, s = _log_frequencies([p[0] for p in parts], [p[1] for p in parts], LEAST)
         tables.append(Table(k))
         scores.append(s)
     if not len(keys):
@@ -130,26 +132,23 @@ def train(samples: dict[str, list[str]]) -> Model:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
     """Learn from text and lang of rows that aren't held out."""
-    usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    usable = docs.select("doc_id", "lang", "text").filter(F.col("lang").isNotNull() & (F.length("text") <= MOST_CHARS) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     counts = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row per language
     order = sorted(counts, key=lambda x: (-counts[x], x))
     if not order:
         return Model([])
     share = F.create_map(*[F.lit(x) for k in order for x in (k, min(1.0, per_language / counts[k]))])
-    place = F.shiftrightunsigned(F.xxhash64("doc_id", F.lit("language")), 11).cast("double") * 2.0**-53
-    rows = usable.filter(place < share[F.col("lang")]).select("lang", "doc_id", "text").collect()  # about per_language for each
+    place = F.shiftrightunsigned(F.xxhash64("doc_id", "text", F.lit("language")), 11).cast("double") * 2.0**-53
+    rows = usable.filter(place < share[F.col("lang")]).distinct().orderBy(F.xxhash64("doc_id", "text")).limit(2 * per_language * len(order)).collect()
     samples: dict[str, list[str]] = {k: [] for k in order}
-    size = dict.fromkeys(order, 0)
     for r in sorted(rows, key=lambda r: (r["doc_id"] is None, r["doc_id"], r["text"])):
-        if size[r["lang"]] < MOST_CHARS:
-            samples[r["lang"]].append(r["text"])
-            size[r["lang"]] += len(r["text"])
+        samples[r["lang"]].append(r["text"])
     return train(samples)
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, lang_pred, score."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # tables of a fixed size
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # learned from a bounded sample
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()

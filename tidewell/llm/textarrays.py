@@ -99,22 +99,34 @@ class Words:
 
 
 class Table:
-    """A direct-mapped table from hashes to rows. Of keys that fall into one slot, the first given stays; the others count as unknown."""
+    """An open-addressing table from distinct 64-bit hashes to rows; it grows with its keys (half full at most) and holds every one of them."""
 
-    def __init__(self, keys: np.ndarray, most_bits: int = 20):
-        bits = min(most_bits, max(14, len(keys).bit_length() + 4))
-        self.mask = np.uint64((1 << bits) - 1)
-        slot = (keys & self.mask).astype(np.int64)
-        _, first = np.unique(slot, return_index=True)
+    def __init__(self, keys: np.ndarray):
+        bits = max(10, (2 * len(keys)).bit_length())
+        self.mask = (1 << bits) - 1
         self.row = np.full(1 << bits, -1, dtype=np.int32)
-        self.tag = np.zeros(1 << bits, dtype=np.uint32)
-        self.row[slot[first]] = first
-        self.tag[slot[first]] = (keys[first] >> np.uint64(32)).astype(np.uint32)
+        self.key = np.zeros(1 << bits, dtype=np.uint64)
+        left, slot = np.arange(len(keys)), (keys & np.uint64(self.mask)).astype(np.int64)
+        while len(left):
+            _, first = np.unique(slot, return_index=True)
+            first = first[self.row[slot[first]] < 0]  # the first of those that want an empty slot gets it
+            self.row[slot[first]], self.key[slot[first]] = left[first], keys[left[first]]
+            rest = np.ones(len(left), dtype=bool)
+            rest[first] = False
+            left, slot = left[rest], (slot[rest] + 1) & self.mask
 
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Row of each key, or -1."""
-        slot = (keys & self.mask).astype(np.int64)
-        return np.where(self.tag[slot] == (keys >> np.uint64(32)).astype(np.uint32), self.row[slot], -1)
+        slot = (keys & np.uint64(self.mask)).astype(np.int64)
+        row = self.row[slot]
+        at = np.flatnonzero((self.key[slot] != keys) & (row >= 0))
+        slot = slot[at]
+        while len(at):
+            slot = (slot + 1) & self.mask
+            row[at] = self.row[slot]
+            on = (self.key[slot] != keys[at]) & (row[at] >= 0)
+            at, slot = at[on], slot[on]
+        return row
 
 
 def text_slices(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[int, int]]:

@@ -9,7 +9,7 @@ numpy on the driver, on at most MOST_TOXIC + MOST_CLEAN labelled documents of up
 Since averaging and the output are linear, scoring needs only one number for each n-gram bucket: vector times output weights. That table
 is what tasks get (4 bytes x 2**BITS).
 
-Defined results: a null or letterless text has the score of an empty bag, that of a clean one; ties and repeated rows score alike; without
+Defined results: a doc_id with labels of both kinds isn't learned from; a null or letterless text has the score of an empty bag, that of a clean one; ties and repeated rows score alike; without
 labelled rows of both kinds every score is 0; an empty table gives an empty table.
 """
 
@@ -32,7 +32,7 @@ SIZES, BITS, DIMENSIONS, WINDOW = range(3, 6), 18, 8, 8
 #: Labelled documents that training takes at most, of either kind.
 MOST_TOXIC, MOST_CLEAN = 700, 1300
 #: Code points of a document that is trained on, at most; longer ones are scored but not learned from.
-MOST_CHARS = 20_000
+MOST_CHARS = 8_000
 WHOLE, EPOCHS, STEPS, RATE, DECAY, SEEN = 20, 25, 4, 0.05, 0.01, 3
 
 
@@ -164,16 +164,19 @@ def train(texts: list[str], toxic: np.ndarray, seed: int = 7) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, most_toxic: int = MOST_TOXIC, most_clean: int = MOST_CLEAN) -> DataFrame:
-    """text and toxic of the labelled documents to learn from: a bounded number of either kind, by a hash of the id."""
-    marked = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    known = marked.join(docs.filter(F.length("text") <= MOST_CHARS).select("doc_id"), "doc_id", "left_semi")
+    """doc_id, text and toxic of the labelled documents to learn from: a bounded number of either kind, by a hash of the id. Ids with labels
+    of both kinds are left out; of rows that repeat an id, the first text by order is taken."""
+    marked = labels.filter(F.col("toxic").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("most"))
+    marked = marked.filter("toxic = most").select("doc_id", "toxic")
+    short = texts_of(docs).filter(F.length("text") <= MOST_CHARS)
+    known = marked.join(short.select("doc_id"), "doc_id", "left_semi")
     order = (F.xxhash64("doc_id"), "doc_id")
     taken = known.filter("toxic = 1").orderBy(*order).limit(most_toxic).unionByName(known.filter("toxic = 0").orderBy(*order).limit(most_clean))
-    return texts_of(docs).filter(F.length("text") <= MOST_CHARS).join(F.broadcast(taken), "doc_id").select("doc_id", "text", "toxic")
+    return short.join(F.broadcast(taken), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    rows = sorted(training_rows(docs, labels).collect(), key=lambda r: (r["doc_id"], r["text"]))  # bounded by MOST_TOXIC + MOST_CLEAN
+    rows = sorted(training_rows(docs, labels).collect(), key=lambda r: r["doc_id"])  # MOST_TOXIC + MOST_CLEAN at most
     return train([r["text"] for r in rows], np.array([r["toxic"] for r in rows]))
 
 
