@@ -393,8 +393,7 @@ def test_language_held_out(spark, sf_dir, docs, none):
 
 def every_segmentation(lattices, text):
     pieces = {}
-    for _, (_, ids, weights, _) in lattices.by_length.items():
-        pieces |= {lattices.sp.id_to_piece(int(i)): (int(i), float(w)) for i, w in zip(ids, weights, strict=True)}
+    pieces |= {lattices.sp.id_to_piece(int(i)): (int(i), float(w)) for i, w in zip(lattices.ids, lattices.weight, strict=True)}
 
     def cut(s):
         if not s:

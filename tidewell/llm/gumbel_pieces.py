@@ -9,7 +9,7 @@ the (k+1)-th value as threshold t, a path of log probability p was included with
 
 The model file holds merge ranks and no probabilities, so a piece of rank r weighs as 1 / (r + 2) (Zipf), normalised over the vocabulary and
 raised to the power THETA; a code point without a piece becomes its bytes. No piece spans a blank's left edge or a line feed, so the lattice
-falls apart into units between them, and each distinct unit of a batch is expanded once. Draws are hashes of (row key, sample, place), so a
+falls apart into units between them, and each distinct unit of a batch is expanded once; the units met first stay for later batches. Draws are hashes of (row key, sample, place), so a
 row's samples depend on nothing but its key, its text and the parameters.
 
 Defined results: a null text is the empty text, which has one segmentation, of no pieces; a text with fewer than k segmentations gets them
@@ -27,10 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 
 from tidewell.llm.common import texts_of
-from tidewell.llm.textarrays import text_slices
+from tidewell.llm.textarrays import Table, text_slices
 
 SAMPLES, THETA, SEED = 2, 1.0, 20
 BLANK = "▁"
+#: Edges of the lattices that a worker keeps from batch to batch.
+KEEP = 1 << 19
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _MULT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _open: dict[tuple, "Lattices"] = {}
@@ -60,7 +62,8 @@ class Lattices:
     def __init__(self, path: str, theta: float = THETA):
         from sentencepiece import SentencePieceProcessor
 
-        self.sp = sp = SentencePieceProcessor(model_file=path)
+        self.sp, self.shelf = SentencePieceProcessor(model_file=path), Shelf()
+        sp = self.sp
         n = sp.get_piece_size()
         normal = [i for i in range(n) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i))]
         low = min(normal)
@@ -70,20 +73,22 @@ class Lattices:
         weight = theta * -np.log((rank + 2) * np.sum(1 / (rank + 2)))
         pieces = [sp.id_to_piece(i) for i in normal]
         self.longest = max(map(len, pieces))
-        # pieces by length: sorted hashes, for exact look-up
-        self.by_length = {}
+        # one table of hashes of pieces, told apart by length
+        order = sorted(range(len(pieces)), key=lambda k: len(pieces[k]))
+        hashes = []
         for size in range(1, self.longest + 1):
-            mine = [k for k, p in enumerate(pieces) if len(p) == size]
-            if mine:
-                c = np.frombuffer("".join(pieces[k] for k in mine).encode("utf-32-le"), "<u4").reshape(len(mine), size)
-                h = np.zeros(len(mine), np.uint64)
-                for j in range(size):
-                    h = h * _MULT + c[:, j]
-                h = _mix(h)
-                order = np.argsort(h)
-                slots = np.zeros(1 << 18, dtype=bool)
-                slots[(h & np.uint64((1 << 18) - 1)).astype(np.int64)] = True
-                self.by_length[size] = (h[order], np.array(normal)[mine][order], weight[mine][order], slots)
+            mine = [pieces[k] for k in order if len(pieces[k]) == size]
+            h = np.zeros(len(mine), np.uint64)
+            for j in range(size):
+                h = h * _MULT + np.frombuffer("".join(mine).encode("utf-32-le"), "<u4").reshape(-1, size)[:, j]
+            hashes.append(h * _STEP + np.uint64(size))
+        self.lengths = set(map(len, pieces))
+        keys = np.concatenate(hashes)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two pieces have one hash")
+        self.table, self.ids, self.weight = Table(_mix(keys)), np.array(normal)[order], weight[order]
+        self.maybe = np.zeros(1 << 18, dtype=bool)  # by the upper bits of a hash: most substrings are no pieces, which this tells at once
+        self.maybe[keys >> np.uint64(46)] = True
 
     @classmethod
     def at(cls, path: str, theta: float) -> "Lattices":
@@ -93,35 +98,33 @@ class Lattices:
 
     def build(self, units: list[str]) -> "Lattice":
         lengths = np.fromiter(map(len, units), np.int64, len(units))
-        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4")
-        unit = np.repeat(np.arange(len(units)), lengths)
-        at = np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rem = np.repeat(lengths, lengths) - at
-        node = np.arange(len(chars)) + unit  # a unit of n code points has n + 1 nodes
-        starts, sizes, ids, weights = [], [], [], []
-        h, covered = np.zeros(len(chars), np.uint64), np.zeros(len(chars), dtype=bool)
-        live = np.arange(len(chars))
-        for n in range(1, self.longest + 1):
-            live = live[rem[live] >= n]
-            h[live] = h[live] * _MULT + chars[live + n - 1]
-            if n not in self.by_length:
+        chars = np.frombuffer("".join(units).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+        unit = np.repeat(np.arange(len(units), dtype=np.int32), lengths)
+        at = (np.arange(len(chars)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+        rem = (np.repeat(lengths, lengths) - at).astype(np.int32)
+        node = np.arange(len(chars), dtype=np.int32) + unit  # a unit of n code points has n + 1 nodes
+        starts, sizes, rows = [], [], []
+        h, covered, live = np.zeros(len(chars), np.uint64), np.zeros(len(chars), dtype=bool), np.arange(len(chars), dtype=np.int32)
+        for n in range(1, min(self.longest, int(lengths.max(initial=0))) + 1):
+            if n in (4, 8, 12):  # what is left of short units is dropped now and then
+                keep = np.flatnonzero(rem >= n)
+                live, h, rem = live[keep], h[keep], rem[keep]
+            h = h * _MULT + chars[np.minimum(live + n - 1, len(chars) - 1)]
+            if n not in self.lengths:
                 continue
-            keys, piece, weight, slots = self.by_length[n]
-            k = _mix(h[live])
-            maybe = slots[(k & np.uint64((1 << 18) - 1)).astype(np.int64)]
-            k, p = k[maybe], live[maybe]
-            i = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
-            hit = keys[i] == k
-            p, i = p[hit], i[hit]
+            key = h * _STEP + np.uint64(n)
+            p = np.flatnonzero(self.maybe[(key >> np.uint64(46)).astype(np.int32)] & (rem >= n))
+            row = self.table.find(_mix(key[p]))
+            hit = np.flatnonzero(row >= 0)
+            starts.append(live[p[hit]])
+            rows.append(row[hit])
+            sizes.append(np.full(len(hit), n, dtype=np.int32))
             if n == 1:
-                covered[p] = True
-            starts.append(p)
-            sizes.append(np.full(len(p), n))
-            ids.append(piece[i])
-            weights.append(weight[i])
+                covered[starts[0]] = True
+        ids, weights = [self.ids[r] for r in rows], [self.weight[r] for r in rows]
         bare = np.flatnonzero(~covered)  # as bytes; the id is minus the code point
         width = 1 + (chars[bare] > 0x7F) + (chars[bare] > 0x7FF) + (chars[bare] > 0xFFFF)
-        starts, sizes, ids = np.concatenate([*starts, bare]), np.concatenate([*sizes, np.ones(len(bare), np.int64)]), np.concatenate([*ids, -chars[bare].astype(np.int64) - 1])
+        starts, sizes, ids = np.concatenate([*starts, bare]), np.concatenate([*sizes, np.ones(len(bare), np.int32)]), np.concatenate([*ids, -chars[bare].astype(np.int64) - 1])
         return Lattice(lengths, node[starts], node[starts] + sizes, at[starts] + sizes, ids, np.concatenate([*weights, self.floor * width]))
 
     def expand(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -143,19 +146,18 @@ class Lattice:
     """Edges into each node with their probabilities given the node, for drawing paths from the end of a unit."""
 
     def __init__(self, lengths: np.ndarray, start: np.ndarray, end: np.ndarray, depth: np.ndarray, ids: np.ndarray, weight: np.ndarray):
-        order = np.argsort(depth * (int(end.max(initial=0)) + 1) + end, kind="stable")
-        start, end, depth, ids, weight = (x[order] for x in (start, end, depth, ids, weight))
+        # by depth of the end node, then end node, then from the longest piece to the shortest, which is drawn least
+        order = np.argsort((depth.astype(np.int64) * (int(end.max(initial=0)) + 1) + end) * 64 - (end - start))
+        self.start, self.end, self.ids, weight, depth = start[order], end[order], ids[order], weight[order], depth[order]
         alpha = np.zeros(int((lengths + 1).sum()))
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(depth)) + 1, [len(depth)]]) if len(depth) else [0]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            heads = np.concatenate([[0], np.flatnonzero(np.diff(end[a:b])) + 1])
-            alpha[end[a:b][heads]] = np.logaddexp.reduceat(alpha[start[a:b]] + weight[a:b], heads)
-        self.last = np.cumsum(lengths + 1) - 1  # the end node of each unit
-        self.first = self.last - lengths
-        order = np.argsort(end, kind="stable")
-        self.start, self.end, self.ids = start[order], end[order], ids[order]
-        self.log_p = alpha[self.start] + weight[order] - alpha[self.end]
         heads = np.concatenate([[0], np.flatnonzero(np.diff(self.end)) + 1]) if len(self.end) else np.zeros(0, np.int64)
+        inside = np.searchsorted(heads, cuts)
+        for k, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+            h = heads[inside[k] : inside[k + 1]]
+            alpha[self.end[h]] = np.logaddexp.reduceat(alpha[self.start[a:b]] + weight[a:b], h - a)
+        self.last = np.cumsum(lengths + 1) - 1  # the end node of each unit
+        self.log_p = alpha[self.start] + weight - alpha[self.end]
         self.heads = np.concatenate([heads, [len(self.end)]])
         self.nth = np.full(len(alpha), -1, dtype=np.int64)
         self.nth[self.end[heads]] = np.arange(len(heads))
@@ -166,11 +168,15 @@ class Lattice:
             within[at] += within[at - 1]
         self.cum = np.floor(np.minimum(within, 1.0) * 2.0**32).astype(np.int64)
         self.cum[self.heads[1:] - 1] = 1 << 32  # the last edge of a node takes what rounding leaves
-        self.cum += np.repeat(np.arange(len(heads)) << 32, many)
 
     def draw(self, node: np.ndarray, u: np.ndarray) -> np.ndarray:
         """An edge into each node."""
-        return np.searchsorted(self.cum, (self.nth[node] << 32) + (u * 2.0**32).astype(np.int64), side="right")
+        edge, u = self.heads[self.nth[node]], (u * 2.0**32).astype(np.int64)
+        on = np.flatnonzero(self.cum[edge] <= u)
+        while len(on):
+            edge[on] += 1
+            on = on[self.cum[edge[on]] <= u[on]]
+        return edge
 
     def edges_into(self, node: int) -> tuple[int, int]:
         n = self.nth[node]
@@ -181,6 +187,38 @@ class Lattice:
         return self.nth[node] < 0
 
 
+class Shelf:
+    """Lattices one after another: those of the first KEEP edges' units, which a worker keeps, and those of the batch at hand. A draw depends on
+    its node alone, so what is kept changes no result."""
+
+    def __init__(self):
+        self.units: dict[str, int] = {}
+        self.nodes = self.edges = self.groups = 0
+        self.room: dict[str, np.ndarray] = {}
+
+    def of(self, units: list[str], lattices: "Lattices") -> tuple["Lattice", np.ndarray]:
+        """A lattice that holds all the units, and the number of each."""
+        place = dict.fromkeys(units)
+        new = [u for u in place if u not in self.units]
+        known = len(self.units)
+        place = self.units | {u: known + i for i, u in enumerate(new)} if len(new) < len(place) else {u: known + i for i, u in enumerate(new)}
+        part = lattices.build(new)
+        out = object.__new__(Lattice)
+        for name, at, add in (("start", self.edges, self.nodes), ("end", self.edges, self.nodes), ("ids", self.edges, 0), ("log_p", self.edges, 0), ("cum", self.edges, 0), ("heads", self.groups, self.edges), ("nth", self.nodes, self.groups), ("last", known, self.nodes)):
+            values = getattr(part, name)
+            upto = at + len(values)
+            if name not in self.room or len(self.room[name]) < upto:
+                room = np.zeros(2 * upto, dtype=values.dtype)
+                room[:at] = self.room[name][:at] if at else 0
+                self.room[name] = room
+            self.room[name][at:upto] = np.where(values < 0, -1, values + add) if name == "nth" else values + add if add else values
+            setattr(out, name, self.room[name][:upto])
+        if self.edges + len(part.start) <= KEEP:
+            self.units = place
+            self.nodes, self.edges, self.groups = self.nodes + len(part.nth), self.edges + len(part.start), self.groups + len(part.heads) - 1
+        return out, np.fromiter(map(place.__getitem__, units), np.int64, len(units))
+
+
 def _truncated(phi: np.ndarray, bound: np.ndarray, u: np.ndarray) -> np.ndarray:
     """Gumbel variates of location phi, truncated at the bound."""
     return phi - np.log(np.exp(phi - bound) - np.log(u))
@@ -199,9 +237,7 @@ def sample(lattices: Lattices, texts: list[str], keys: np.ndarray, k: int = SAMP
     """For each text, up to k distinct (piece ids, log probability, perturbed value, log inclusion probability), the largest value first."""
     units_of = [_UNIT.findall(BLANK + t.replace(" ", BLANK)) if t else [] for t in texts]
     flat = [u for us in units_of for u in us]
-    known = {u: i for i, u in enumerate(dict.fromkeys(flat))}
-    which = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-    lattice = lattices.build(list(known)) if known else None
+    lattice, which = lattices.shelf.of(flat, lattices) if flat else (None, np.zeros(0, np.int64))
     bounds = np.concatenate([[0], np.cumsum([len(u) for u in units_of])]).astype(np.int64)
     keys = _mix(keys.astype(np.uint64))
     n = len(texts)
