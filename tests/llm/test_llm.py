@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 import zlib
 from collections import Counter, defaultdict
 
@@ -173,37 +174,62 @@ def test_token_counts_and_prefixes(docs, small, none):
     assert prefix_counts.token_counts(none).count() == 0
 
 
+def prefix_lengths(text):
+    return [len(x) for x in reference_ids([text[:i] for i in range(len(text) + 1)])]
+
+
+def table_of(text):
+    return next(prefix_counts.Counter.at(default_path()).tables([text.encode()])).tolist()
+
+
+#: What normalisation joins or splits, what the pre-tokenizer treats on its own, and unspaced scripts.
+POOLS = [
+    "abcXYZ..,,''!?<>|=-_ \n\t09é É ß İ ÀÿÖ×÷ \ufb01 \u01c5 日本 \u0958\u09dc \u0301\u0308\u0338\u200d\ufeff\u3000 \x1c\x00\x85 \u0663 ½ 😀 가\u1100\u1161\u11a8 \u0e49 กิ Σς \u212a \u212b",
+    "aeéß'sretvlmd!\u0301\u0307\u0308", "abcdefghijklmnopqrstuvwxyz", "日本語中文字のに。", "éa\u0300\u0301e\u0308", "가\u1100\u1161\u11a8각", "กขคเแ\u0e48\u0e49\u0e34\u0e35", "!.-='<\u0338>\u0301",
+]
+PARTS = ["<|endoftext|>", "<|startoftext|>", "<|", "|>", "it's", "'re", "'LL", "don't", "'r", "'l", "..."]
+
+
+def odd_texts(n, seed, sizes=(6, 20, 60)):
+    rng = np.random.default_rng(seed)
+    for _ in range(n):
+        pool = POOLS[rng.integers(len(POOLS))]
+        yield "".join(PARTS[rng.integers(len(PARTS))] if rng.random() < 0.08 else pool[rng.integers(len(pool))] for _ in range(sizes[rng.integers(len(sizes))]))
+
+
 def test_every_prefix_has_its_exact_count():
-    text = "Unbelievable  cats, it's 12.5 o'clock!\nnaïve"
-    p = prefix_counts.PrefixCounts(text.encode(), Encoder.at(default_path()))
-    want = [len(x) for x in reference_ids([text[:i] for i in range(len(text) + 1)])]
-    assert [p.at(i) for i in range(len(text) + 1)] == want
-    assert all(p.within(b) == max(i for i, n in enumerate(want) if n <= b) for b in range(max(want) + 1))
+    texts = ["", " \n", "Unbelievable  cats, it's 12.5 o'clock!\nnaïve", "x!<|endoftext|>y<|startoftext|>" * 4, "a\u3000b\u00a0\u00a0c" * 10, "İΣß" * 30, *odd_texts(800, 6)]
+    for text in texts:
+        assert table_of(text) == prefix_lengths(text), text
 
 
-def test_budgets_inside_long_chunks_equal_brute_force():
-    rng = np.random.default_rng(6)
-    pick = lambda alphabet, n: "".join(rng.choice(list(alphabet), n))
+def test_ids_equal_the_library_on_odd_texts():
     encoder = Encoder.at(default_path())
-    texts = [
-        pick("abcdefghijklmnopqrstuvwxyz", 150), pick("theinganre", 200), pick("aab", 150), pick("日本語中文字のにはテキスト", 120), pick("日本語。、12", 120), pick("ABCxyz019+/", 150), pick("!?.'-=<>", 150), "e\u0301a\u0323\u0301o" * 20,
-        "각한글" * 20, pick("กขคเแ่้ิี", 120), "it's'rewe've" * 8, "x!<|endoftext|>y<|startoftext|>" * 4, "a\u3000b\u00a0\u00a0c" * 10, pick("😂😍🇺🇸", 90), "İΣß" * 30,
-    ]
-    for text in texts:
-        want = [len(x) for x in reference_ids([text[:i] for i in range(len(text) + 1)])]
-        p = prefix_counts.PrefixCounts(text.encode(), encoder)
-        for b in range(max(want) + 1):
-            assert p.within(b) == max(i for i, n in enumerate(want) if n <= b), (text, b)
-
-
-@pytest.mark.parametrize("alphabet", ["日本語中文字のにはテキスト", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", "abcdefghijklmnopqrstuvwxyz"])
-def test_budget_in_a_huge_chunk_takes_few_encodings(alphabet, monkeypatch):
-    text, calls = "".join(np.random.default_rng(7).choice(list(alphabet), 200_000)), []
-    count, batch = prefix_counts.Chunk.count, Encoder.at(default_path()).tokenizer.encode_batch_fast
-    monkeypatch.setattr(prefix_counts.Chunk, "count", lambda self, a, b: calls.append(b - a) or count(self, a, b))
-    fit = prefix_counts.PrefixCounts(text.encode(), Encoder.at(default_path())).within(2048)
-    a, b = (len(e.ids) for e in batch([text[:fit], text[: fit + 1]], add_special_tokens=False))
-    assert a <= 2048 < b and sum(calls) < 10_000
+    letters = [chr(c) for c in range(0x20000) if unicodedata.category(chr(c))[0] in "LMN"]
+    texts = [f % x for f in ("%s.", "%s.x", "a%s!", ".%s", "1%s2", '"%s"') for x in letters] + list(odd_texts(20_000, 9))
+    got = [np.frombuffer(encoder.ids(c), "<u4").tolist() for c in encoder.batch([t.encode() for t in texts])]
+    assert got == reference_ids(texts)
+
+
+@pytest.mark.parametrize("alphabet", ["日本語中文字のにはテキスト", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJ0123456789+/", "abcdefghijklmnopqrstuvwxyz", "e\u0301"])
+def test_prefixes_of_a_huge_chunk_take_linear_time_and_no_encoding(alphabet, monkeypatch):
+    text = "".join(np.random.default_rng(7).choice(list(alphabet), 100_000))
+    counter = prefix_counts.Counter.at(default_path())
+    assert not hasattr(counter, "tokenizer")
+    counts = next(counter.tables([text.encode()]))
+    at = [0, 1, 17, 4000, 31_000, 70_001, 100_000]
+    assert len(counts) == 100_001 and counts[at].tolist() == [len(x) for x in reference_ids([text[:i] for i in at])]
+
+
+def test_stored_tables_answer_questions(docs):
+    texts, limits = by_text(docs), (0, 1, 7, 2048)
+    tables = prefix_counts.prefix_tables(docs)
+    rows = rows_of(tables.select("doc_id", "counts", *[prefix_counts.fitting_chars(F.col("counts"), F.lit(b)).alias(f"fit{b}") for b in limits], prefix_counts.first_tokens(F.col("counts"), F.lit(12)).alias("first")))
+    for k, t in texts.items():
+        if len(t) < 5000:
+            want = prefix_lengths(t)
+            assert rows[k].counts == want and rows[k].first == want[min(12, len(t))]
+            assert [rows[k][f"fit{b}"] for b in limits] == [max(i for i, n in enumerate(want) if n <= b) for b in limits]
 
 
 def test_token_files(docs, small, none):

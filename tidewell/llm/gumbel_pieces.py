@@ -32,7 +32,7 @@ from tidewell.llm.textarrays import Table, text_slices
 SAMPLES, THETA, SEED = 2, 1.0, 20
 BLANK = "▁"
 #: Edges of the lattices that a worker keeps from batch to batch.
-KEEP = 1 << 19
+KEEP = 1 << 21
 _UNIT = re.compile(f"{BLANK}*[^{BLANK}\n]+|{BLANK}+|\n")
 _MULT, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 _open: dict[tuple, "Lattices"] = {}

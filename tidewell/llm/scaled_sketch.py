@@ -1,9 +1,10 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
 A sketch keeps every distinct shingle hash below a fixed fraction of the 64-bit range, so that a long document has a long sketch, sketches
-of parts merge by union, and containment can be estimated between very unequal documents. A floor of FLOOR smallest hashes is kept as
-well, since a short document may have none below the fraction; the sketch is complete up to a known bound either way, and two sketches are
-compared on the hashes up to the lower of their bounds, which makes the estimate exact for documents with at most FLOOR shingles.
+of parts merge by union, and containment can be estimated between very unequal documents. The fraction decides for documents of more than
+FLOOR * 2**SCALE shingles; shorter ones keep their FLOOR smallest hashes, since few or none may lie below the fraction. The sketch is complete
+up to a known bound either way, and two sketches are compared on the hashes up to the lower of their bounds, which makes the estimate exact for
+documents with at most FLOOR shingles.
 
 Only DataFrame functions are used. The text crosses the network once, to meet the next document.
 
@@ -22,7 +23,7 @@ from tidewell.llm.common import BLANKS
 from tidewell.llm.order import lead_in_bucket, with_next
 
 #: Words in a shingle; the kept fraction of the hash range is 1 / 2**SCALE; smallest hashes that are kept in any case.
-WORDS, SCALE, FLOOR = 5, 5, 128
+WORDS, SCALE, FLOOR = 5, 1, 64
 _TOP = 2**63 - 1
 
 

@@ -9,11 +9,12 @@ A task writes under a name of its own attempt, and only the manifest row of the
 repeated attempts leave at most unreferenced files.
 
 Defined results: a null text has only the end id; of rows with one doc_id the order is that of the crc32 of the text; a null doc_id comes
-first; an empty table gives no files and an empty table.
+first; very long texts are written as they are; an empty table gives no files and an empty table.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import settle, shared_dir
-from tidewell.llm.order import id_bucket
+from tidewell.llm.order import Buckets
 from tidewell.llm.tokens import Encoder, default_path, slices, small
 
 #: The id that ends each document.
 END = 1
-#: Stands for a null doc_id in a file.
-NONE = -(2**63)
+#: Documents of a range (one set of files), on average.
+ROWS = 4000
+#: The range of rows without doc_id, for which the file holds zeros.
+NONE = -1
 
 
 def _open(uri: str):
@@ -65,7 +68,7 @@ class _Range:
         self.n += len(ids)
         self.docs += 1
         self.off.write(np.array([self.n], "<i8").tobytes())
-        self.doc.write(np.array([NONE if doc_id is None else doc_id], "<i8").tobytes())
+        self.doc.write(np.array([doc_id or 0], "<i8").tobytes())
 
     def close(self) -> tuple[int, str, int, int]:
         for f in (self.ids, self.off, self.doc):
@@ -99,8 +102,8 @@ def write_token_files(docs: DataFrame, folder: str | None = None, path: str | No
             cols = list(zip(*done, strict=True))
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], names=["bucket", "stem", "n_docs", "n_ids"])
 
-    bucket, _ = id_bucket(docs.select("doc_id"))
-    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"), bucket.alias("bucket")).repartition("bucket")
+    order = Buckets(docs.select("doc_id"), ROWS)
+    dealt = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("data"), order.bucket.alias("bucket")).repartition(order.tasks, "bucket")
     manifest = settle(dealt.sortWithinPartitions("bucket", "doc_id", F.crc32("data")).mapInArrow(write, _MANIFEST), "manifest")
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range, order.BUCKETS at most
     return manifest.withColumn("base", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
@@ -111,7 +114,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for stem, n_docs, n_ids, base in zip(*(batch.column(c).to_pylist() for c in ("stem", "n_docs", "n_ids", "base")), strict=True):
+            for bucket, stem, n_docs, n_ids, base in zip(*(batch.column(c).to_pylist() for c in ("bucket", "stem", "n_docs", "n_ids", "base")), strict=True):
                 off, doc, size = _load(f"{stem}.off", "<i8"), _load(f"{stem}.doc", "<i8"), 0
                 raw = _load(f"{stem}.ids", "u1")
                 size = len(raw) // n_ids  # bytes of an id
@@ -120,13 +123,11 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                     b = min(n_docs, a + 8192)
                     crc = [zlib.crc32(ids[off[i] : off[i + 1]].astype("<u4").tobytes()) for i in range(a, b)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(doc[a:b], mask=doc[a:b] == NONE), pa.array(base + off[a:b]), pa.array(np.diff(off[a : b + 1])), pa.array(crc, pa.int64())],
+                        [pa.array(doc[a:b], mask=np.full(b - a, bucket == NONE)), pa.array(base + off[a:b]), pa.array(np.diff(off[a : b + 1])), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
 
-    spark = manifest.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return manifest.repartition(n, "bucket").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return manifest.repartition(max(1, math.ceil(manifest.count() / 4)), "bucket").mapInArrow(load, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def token_files(docs: DataFrame) -> DataFrame:
