@@ -1,14 +1,17 @@
 """Shards by a tree of weighted hash draws.
 
-Shards hang in racks and racks in regions. At each level, every child draws -ln(u) / weight from a hash of the row's key and the child's
-place, and the smallest draw wins, so that a child is taken in proportion to its weight (the sum of the weights below). A change of weights
-moves rows only into or out of subtrees whose weights change, and a shard that opens a region of its own takes rows only into itself.
+Shards hang in racks and racks in regions. A shard draws -ln(u) / weight from a hash of the row's key and the shard's number; the draw of a rack
+is the smallest of its shards' draws, that of a region the smallest of its racks'. The minimum of such draws is itself a draw for the sum of the
+weights, so each level is taken in proportion to its weight, and a row descends to the region, the rack and the shard with the smallest draw. A
+change of one shard's weight changes no other shard's draw: when it grows, or when a shard is added at any count, rows move into that shard only;
+when it shrinks, only its own rows move. Each row draws once for each shard.
 
 Slots number the rows of a shard without gaps: rows are counted by (shard, part of the hash range), the counts are summed up over the parts
-of a shard, and each part numbers its own rows from there; no task gets a whole shard.
+of a shard, and each part numbers its own rows from there; no task gets a whole shard, and the parts grow in number with the table.
 
 Defined results: doc_id and the shard weights alone decide; a null doc_id is a key like any other; a null text has no bytes; rows that
-repeat a doc_id go to one shard, in slots of their own; an empty table gives an empty table.
+repeat a doc_id go to one shard, in slots of their own (spread over parts by their texts); very long texts are measured, not copied; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -18,43 +21,44 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.common import texts_of, unsigned
 
-#: Shards in a rack, racks in a region; parts of the hash range that number their rows on their own; bytes of a row besides its text.
-RACK, REGION, PARTS, OVERHEAD = 4, 2, 256, 16
+#: Shards in a rack, racks in a region; rows that a part numbers on its own, shards times parts at most (one short row each is broadcast);
+#: bytes of a row besides its text.
+RACK, REGION, ROWS, PARTS, OVERHEAD = 4, 2, 2000, 1_000_000, 16
 
 
-def _draw(key: Column, level: str, nodes: list[tuple[Column | int, Column | float]]) -> Column:
-    """The node with the smallest weighted draw; nodes of weight 0 are never taken."""
-    draws = []
-    for node, weight in nodes:
-        node, weight = (x if isinstance(x, Column) else F.lit(x) for x in (node, weight))
-        draw = -F.ln(unsigned(F.xxhash64(key, F.lit(level), node.cast("long")))) / weight
-        draws.append(F.struct(F.when(weight > 0, draw).otherwise(F.lit(float("inf"))).alias("draw"), node.cast("int").alias("node")))
-    return F.array_min(F.array(*draws))["node"]
+def shard_of(key: Column, weights: list[float], rack: int = RACK, region: int = REGION) -> Column:
+    """The shard that a key falls into, for shards 0, 1, ... of the given weights (0: never taken)."""
+    size = rack * region
 
+    def draw(shard: Column) -> Column:
+        weight = F.get(F.array(*[F.lit(float(w)) for w in weights]), shard)
+        return F.when(weight > 0, -F.ln(unsigned(F.xxhash64(key, F.lit("shard"), shard.cast("long")))) / weight).otherwise(F.lit(float("inf")))
 
-def shard_of(key: Column, weights: list[float], rack: int = RACK, region: int = REGION) -> Column:
-    """The shard that a key falls into, for shards 0, 1, ... of the given weights."""
-    racks = [sum(weights[i : i + rack]) for i in range(0, len(weights), rack)]
-    regions = [sum(racks[i : i + region]) for i in range(0, len(racks), region)]
+    def least(draws: Column, start: Column, nodes: int, width: int) -> Column:
+        """First shard of the node with the smallest draw, among some nodes of one width in shards."""
+        of = lambda i: F.struct(F.coalesce(F.array_min(F.slice(draws, start + i * width + 1, width)), F.lit(float("inf"))).alias("draw"), (start + i * width).alias("first"))
+        return F.array_min(F.transform(F.sequence(F.lit(0), F.lit(nodes - 1)), of))["first"]
 
-    def below(parent: Column, fan: int, values: list[float]) -> list[tuple[Column, Column]]:
-        table = F.array(*[F.lit(float(v)) for v in values + [0.0] * (-len(values) % fan)])
-        return [(parent * fan + j, F.get(table, parent * fan + j)) for j in range(fan)]
+    def descend(draws: Column) -> Column:
+        # one-element arrays bind each level's choice
+        regions = F.array(least(draws, F.lit(0), -(-len(weights) // size), size))
+        racks = F.transform(regions, lambda r: least(draws, r, region, rack))
+        return F.get(F.transform(racks, lambda r: least(draws, r, rack, 1)), F.lit(0))
 
-    # one-element arrays bind each level's choice, so that it is drawn once
-    drawn = F.transform(F.array(_draw(key, "region", [(i, float(w)) for i, w in enumerate(regions)])), lambda r: _draw(key, "rack", below(r, region, racks)))
-    return F.get(F.transform(drawn, lambda r: _draw(key, "shard", below(r, rack, weights))), F.lit(0))
+    drawn = F.array(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), draw))
+    return F.get(F.transform(drawn, descend), F.lit(0))
 
 
 def shards(docs: DataFrame, n: int, rack: int = RACK, region: int = REGION, weights: list[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard) for each row."""
     weights = weights or [1.0] * n
+    parts = max(1, min(docs.count() // (n * ROWS), PARTS // n))
     rows = texts_of(docs).select(
         "doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
         shard_of(F.col("doc_id"), weights, rack, region).alias("shard"), shard_of(F.col("doc_id"), [*weights, 1.0], rack, region).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", F.lit("slot")), F.lit(PARTS)).cast("int").alias("part"),
     )
-    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # n shards x PARTS rows at most
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(parts)).cast("int"))
+    counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # PARTS rows at most
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     own = Window.partitionBy("shard", "part").orderBy("doc_id", "text_crc32", "size")

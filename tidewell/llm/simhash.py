@@ -26,6 +26,8 @@ from tidewell.llm.common import bytes_of, settle
 from tidewell.llm.tokens import forget
 
 WORDS, SEED, DISTANCE = 3, 42, 3
+#: Copies of a table of labels that the rows of one label are spread over.
+SALTS = 16
 _BATCH = 1 << 16
 
 
@@ -40,8 +42,8 @@ def shingle_hashes(data: bytes, words: int = WORDS) -> list[int]:
     return [h(joined[a:b], SEED) for a, b in zip(starts, ends[words - 1 :].tolist(), strict=False)]
 
 
-def simhash(data: bytes, words: int = WORDS) -> int:
-    hashes = np.array(shingle_hashes(data, words), dtype="<u8")
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of some 64-bit hashes have, as a signed integer."""
     counts = np.zeros(64, dtype=np.int64)
     for i in range(0, len(hashes), _BATCH):
         bits = np.unpackbits(hashes[i : i + _BATCH].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -49,6 +51,10 @@ def simhash(data: bytes, words: int = WORDS) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
+def simhash(data: bytes, words: int = WORDS) -> int:
+    return majority(np.array(shingle_hashes(data, words), dtype="<u8"))
+
+
 def fingerprints(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """doc_id and the fingerprint as a signed 64-bit integer."""
 
@@ -75,6 +81,14 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     return table.join(probes, (table["which"] == probes["which"]) & (table["value"] == probes["value"]) & near).select("a", "b").distinct()
 
 
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """rows with the column `to` of a table of distinct `at` where rows[key] is at, else null. One key may be that of most rows, so rows are
+    spread over SALTS copies of the table by their node."""
+    copies = table.select("at", "to", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_copy"))
+    spread = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return spread.join(copies, (F.col(key) == F.col("at")) & (F.col("_salt") == F.col("_copy")), "left").drop("at", "_copy", "_salt")
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """node and root, the smallest node reachable, for the nodes of the undirected edges (a, b).
 
@@ -86,12 +100,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     for _ in range(rounds):
         offered = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        lower = labels.join(offered, "node").select("node", F.col("root").alias("old"), F.least("root", "offer").alias("root"))
+        lower = settle(labels.join(offered, "node").select("node", F.col("root").alias("old"), F.least("root", "offer").alias("root")), "offers")
         # a root that has learned of a lower one tells all nodes that point to it
         hooked = lower.filter("root < old").groupBy(F.col("old").alias("at")).agg(F.min("root").alias("to"))
-        lower = settle(lower.join(hooked, F.col("root") == F.col("at"), "left").select("node", "old", F.least("root", F.coalesce("to", "root")).alias("root")), "lower")
-        jump = lower.select(F.col("node").alias("at"), F.col("root").alias("to"))
-        new = settle(lower.join(jump, F.col("root") == F.col("at"), "left").select("node", "old", F.least("root", F.coalesce("to", "root")).alias("root")), "labels")
+        lower = settle(_looked_up(lower, "root", hooked).select("node", "old", F.least("root", F.coalesce("to", "root")).alias("root")), "lower")
+        # a label that is no longer its own label gives way to that one's
+        jump = lower.filter("root < node").select(F.col("node").alias("at"), F.col("root").alias("to")).join(lower.select(F.col("root").alias("at")).distinct(), "at", "left_semi")
+        new = settle(_looked_up(lower, "root", jump).select("node", "old", F.least("root", F.coalesce("to", "root")).alias("root")), "labels")
         labels = new.select("node", "root")
         if not new.filter("root < old").head(1):
             return labels
@@ -101,9 +116,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def classes(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """print and component_id, the smallest `least` reachable over the edges (a, b), for a table of distinct print with their `least` doc_id."""
     linked = components(edges)
-    linked = linked.join(groups, linked["node"] == groups["print"]).select("print", "root", "least")
-    lowest = linked.groupBy("root").agg(F.min("least").alias("component_id"))
-    joined = settle(linked.join(lowest, "root").select(F.col("print").alias("linked"), "component_id"), "joined")
+    linked = settle(linked.join(groups, linked["node"] == groups["print"]).select("node", "root", "least"), "linked")
+    lowest = linked.groupBy(F.col("root").alias("at")).agg(F.min("least").alias("to"))
+    joined = settle(_looked_up(linked, "root", lowest).select(F.col("node").alias("linked"), F.col("to").alias("component_id")), "joined")
     return settle(groups.join(joined, groups["print"] == joined["linked"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
 
 
