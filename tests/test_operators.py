@@ -168,9 +168,9 @@ def test_group_folds_keep_groups(spark):
 
 
 def test_effects_and_proteins(spark):
-    df = spark.createDataFrame([("missense_variant", "p.Arg882His"), (None, "p.Gly12Ter"), ("splice_donor&intron", "p.R882H"), ("weird", "p.Arg1Xyz")], "e string, p string")
+    df = spark.createDataFrame([("missense_variant", "p.Arg882His"), (None, "p.Gly12Ter"), ("splice_donor&intron", "p.R882H"), ("weird", "p.Arg1Xyz"), ("stop_gained&splice", "p.Arg882fs"), ("UTR_variant", "p.R882X"), ("start_lost", "c.5A>G"), ("Inframe_deletion", None)], "e string, p string")
     got = [tuple(r) for r in df.select(genes.standard_effect(F.col("e")), genes.short_protein(F.col("p"))).collect()]
-    assert got == [("non_synonymous_codon", "p.R882H"), ("unknown", "p.G12*"), ("splice_site_variant", "p.R882H"), ("weird", "p.R1?")]
+    assert got == [("non_synonymous_codon", "p.R882H"), ("unknown", "p.G12?"), ("splice_site_variant", "p.R882H"), ("other", "p.R1?"), ("frameshift_or_stop_gained", "p.Arg882fs"), ("utr_variant", "p.R882*"), ("start_lost", "c.5A>G"), ("inframe_variant", None)]
 
 
 def test_best_annotation_takes_the_first_of_the_highest(spark):

@@ -18,8 +18,8 @@ def test_csv_and_tsv(spark, tmp_path):
 
 
 def test_vcf(spark, tmp_path):
-    (tmp_path / "v.vcf").write_text("##fileformat=VCF\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t5\t.\tA\tC\t.\t.\tAF=1;CLNSIG=Benign;X=2\n1\t5\t.\tA\tC\t.\t.\tAF=1\n1\t6\t.\tA\tC,G\t.\t.\tCLNSIG=Pathogenic\n2\tx\t.\tA\tC\t.\t.\t.\n")
-    assert [(r.vid, r.CLNSIG) for r in readers.vcf(spark, str(tmp_path / "v.vcf")).collect()] == [("chr1:g.5A>C", "Benign")]
+    (tmp_path / "v.vcf").write_text("##fileformat=VCF\n#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\n1\t5\t.\tA\tC\t.\t.\tAF=1\n1\t5\t.\tA\tC\t.\t.\tAF=1;CLNSIG=Pathogenic;X=2\n1\t5\t.\tA\tC\t.\t.\tCLNSIG=Benign\n1\t7\t.\tA\tC\t.\t.\tAF=1\n1\t6\t.\tA\tC,G\t.\t.\tCLNSIG=Pathogenic\n2\tx\t.\tA\tC\t.\t.\t.\n")
+    assert [(r.vid, r.CLNSIG) for r in readers.vcf(spark, str(tmp_path / "v.vcf")).collect()] == [("chr1:g.5A>C", "Pathogenic")]
 
 
 def test_annotation_lines(spark):

@@ -36,10 +36,17 @@ LOGS = ["WBC", "PLT", "ANC", "MONOCYTES"]
 
 RARE_CENTER, OTHER_CENTER = 40, "CENTER_OTHER"
 
-GENES = ["TP53", "NPM1", "FLT3", "ASXL1", "RUNX1", "DNMT3A", "IDH1", "IDH2", "TET2", "SF3B1", "SRSF2", "CEBPA", "NRAS", "KRAS", "KIT"]
-
 FAVORABLE_GENES = ["NPM1", "CEBPA"]
 ADVERSE_GENES = ["TP53", "ASXL1", "RUNX1", "BCOR", "EZH2", "SF3B1", "SRSF2", "STAG2", "U2AF1", "ZRSR2"]
+INTERMEDIATE_GENES = ["FLT3", "DNMT3A", "TET2", "IDH1", "IDH2", "KIT"]
+RAS_GENES = ["NRAS", "KRAS", "PTPN11"]
+FIRST_TIER_GENES = ["CBL", "DDX41", "CUX1", "NF1", "PHF6", "SETBP1", "JAK2", "MLL", "WT1", "ETV6", "PPM1D"]
+SECOND_TIER_GENES = ["GATA2", "KMT2C", "BCORL1", "MPL", "SH2B3", "CSNK1A1"]
+FURTHER_GENES = [
+    "ETNK1", "BRCC3", "CTCF", "EP300", "ZBTB33", "GNB1", "ASXL2", "ARID2", "PRPF8", "GNAS",
+    "U2AF2", "KMT2D", "CREBBP", "NFE2", "CSF3R", "RAD21", "SMC1A", "SMC3", "KDM6A", "SUZ12", "EED", "STAT3",
+]
+GENES = sorted({*FAVORABLE_GENES, *ADVERSE_GENES, *INTERMEDIATE_GENES, *RAS_GENES, *FIRST_TIER_GENES, *SECOND_TIER_GENES, *FURTHER_GENES})
 
 PATHWAYS = {
     "DNA_methylation": ["DNMT3A", "TET2", "IDH1", "IDH2"],

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import number
+from tidewell.operators.fitted import quantiles
 
 
 def to_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -96,13 +97,10 @@ def redundant(columns: list[str], keep_missing: tuple[str, ...] | None = None, c
 
 
 def winsorized(df: DataFrame, columns: list[str], q: float = 0.25, times: float = 1.5) -> DataFrame:
-    """Values pulled to [Q(q) - times x IQR, Q(1-q) + times x IQR]; all quantiles come from one aggregation."""
-    quantiles = df.agg(*[F.percentile(F.col(c), F.array(F.lit(q), F.lit(1 - q))).alias(c) for c in columns]).first()
+    """Values pulled to [Q(q) - times x IQR, Q(1-q) + times x IQR]."""
     out = {}
-    for c in columns:
-        if quantiles[c] is not None and quantiles[c][0] is not None:
-            lo, hi = quantiles[c]
-            out[c] = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo - times * (hi - lo))), F.lit(hi + times * (hi - lo))))
+    for c, (lo, hi) in quantiles(df, columns, [q, 1 - q]).items():
+        out[c] = F.when(F.col(c).isNotNull(), F.least(F.greatest(F.col(c), F.lit(lo - times * (hi - lo))), F.lit(hi + times * (hi - lo))))
     return df.withColumns(out)
 
 

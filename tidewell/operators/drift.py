@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.fitted import correlations
+from tidewell.operators.fitted import correlations, quantiles
 from tidewell.operators.ordered import prefix_sums
 
 
@@ -20,11 +20,10 @@ def distances(long: DataFrame, least: int = 10, by: tuple[str, ...] = ()) -> Dat
     keys = (*by, "feature")
     sizes = long.groupBy(*keys).agg(F.count(F.when(F.col("in_b") == 0, F.col("value"))).alias("n_a"), F.count(F.when(F.col("in_b") == 1, F.col("value"))).alias("n_b"))
     sizes = sizes.filter((F.col("n_a") >= least) & (F.col("n_b") >= least))
-    steps = prefix_sums(long.filter("value IS NOT NULL"), "value", {"a": (F.col("in_b") == 0).cast("int"), "b": F.col("in_b")}, keys)
+    steps = prefix_sums(long.filter("value IS NOT NULL"), "value", {"a": (F.col("in_b") == 0).cast("int"), "b": F.col("in_b")}, keys, following="_next")
     steps = steps.join(sizes, list(keys))
     gap = F.abs((F.col("a") + F.col("a_before")) / F.col("n_a") - (F.col("b") + F.col("b_before")) / F.col("n_b"))
-    nxt = F.lead("value").over(Window.partitionBy(*keys).orderBy("value"))  # distinct values of one feature
-    steps = steps.select(*keys, "n_a", "n_b", gap.alias("gap"), (nxt - F.col("value")).alias("step"))
+    steps = steps.select(*keys, "n_a", "n_b", gap.alias("gap"), (F.col("_next") - F.col("value")).alias("step"))
     return steps.groupBy(*keys, "n_a", "n_b").agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0)).alias("wasserstein"))
 
 
@@ -67,15 +66,43 @@ def missing_shift(df: DataFrame, columns: list[str], split: Column) -> DataFrame
     return wide.filter("m > 0").agg(F.avg("d").alias("missing_delta_mean"))
 
 
-def fold_drift(df: DataFrame, columns: list[str], fold: str = "fold", folds: int = 5, center: str | None = None) -> DataFrame:
-    """By fold (its rows against all others): mean, median and top-5 mean of KS, mean Wasserstein distance, and the JS distance of centers."""
-    spread = df.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("_in", F.col(fold) == F.col("of"))
+def _by_fold(df: DataFrame, fold: str, folds: int) -> DataFrame:
+    """Each row once for each fold `of`, with `_in` telling whether it belongs to it."""
+    return df.withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))).withColumn("_in", F.col(fold) == F.col("of"))
+
+
+def fold_drift(df: DataFrame, columns: list[str], fold: str = "fold", folds: int = 5, center: str | None = None, binary: tuple[str, ...] = (), scores: DataFrame | None = None) -> DataFrame:
+    """By fold (its rows against all others): mean, median and top-5 mean of KS, mean Wasserstein distance, the sum of prevalence shifts of 0/1
+    columns, the mean shift of missing rates, the JS distance of centers, and the fold's scores (a table of fold and score) where given."""
+    spread = _by_fold(df, fold, folds)
     d = distances(long_values(spread, columns, F.col("_in"), ("of",)), 5, ("of",))
     d = d.withColumn("_nth", F.row_number().over(Window.partitionBy("of").orderBy(F.desc("ks"), "feature")))  # one row for each feature
     out = d.groupBy("of").agg(F.avg("ks").alias("ks_mean"), F.median("ks").alias("ks_median"), F.avg(F.when(F.col("_nth") <= 5, F.col("ks"))).alias("ks_top5"), F.avg("wasserstein").alias("w1_mean"))
+    if binary:
+        shifts = prevalence(long_values(spread, list(binary), F.col("_in"), ("of",)), ("of",))
+        out = out.join(shifts.groupBy("of").agg(F.coalesce(F.sum("abs_delta"), F.lit(0.0)).alias("prevalence_shift")), "of")
+    every = [*columns, *binary]
+    rate = lambda c, side: F.avg(F.when(F.col("_in") == side, F.col(c).isNull().cast("int")))
+    gaps = spread.groupBy("of").agg(*[F.when(F.count_if(F.col(c).isNull()) > 0, F.abs(rate(c, True) - rate(c, False))).alias(f"_g{i}") for i, c in enumerate(every)])
+    out = out.join(gaps.select("of", F.coalesce(F.expr("try_divide(aggregate(array_compact(array(" + ", ".join(f"_g{i}" for i in range(len(every))) + ")), 0D, (s, x) -> s + x), size(array_compact(array(" + ", ".join(f"_g{i}" for i in range(len(every))) + "))))"), F.lit(0.0)).alias("missing_shift")), "of")
     if center:
         out = out.join(jensen_shannon(spread, center, F.col("_in"), ("of",)), "of")
-    return out.withColumnRenamed("of", "fold")
+    out = out.withColumnRenamed("of", "fold")
+    return out.join(scores, "fold", "left") if scores is not None else out
+
+
+def most_drifted(df: DataFrame, columns: list[str], fold: str = "fold", folds: int = 5, k: int = 20) -> DataFrame:
+    """(fold, feature, ks, wasserstein, d_mean, d_std): of each fold, the k features that differ most from all other folds."""
+    long = long_values(_by_fold(df, fold, folds), columns, F.col("_in"), ("of",))
+    table = distances(long, 5, ("of",)).join(moments(long, ("of",)), ["of", "feature"])
+    nth = F.row_number().over(Window.partitionBy("of").orderBy(F.desc("ks"), F.desc("wasserstein"), "feature"))  # one row for each feature
+    return table.withColumn("_nth", nth).filter(F.col("_nth") <= k).select(F.col("of").alias("fold"), "feature", "ks", "wasserstein", "d_mean", "d_std")
+
+
+def most_variable(df: DataFrame, columns: list[str], k: int = 30) -> list[str]:
+    """The k columns with the largest sample variance, ties by name."""
+    row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
+    return sorted((c for c in columns if row[c] is not None), key=lambda c: (-row[c], c))[:k]
 
 
 def correlated_pairs(df: DataFrame, columns: list[str], limit: float) -> DataFrame:
@@ -143,7 +170,7 @@ def spearman_and_pearson(df: DataFrame, a: str, b: str) -> DataFrame:
 def subgroup_differences(df: DataFrame, columns: list[str], group: Column, burden: str, q: float, high: bool = True, least_share: float = 0.05, least_effect: float = 0.2) -> DataFrame:
     """Group differences within the rows whose burden lies above (or below) a quantile: 0/1 features with a share of at least `least_share` on
     a side and the others with an effect of at least `least_effect`."""
-    cut = df.agg(F.percentile(burden, F.lit(q))).first()[0]
+    cut = quantiles(df, [burden], [q])[burden][0]
     rows = df.filter(F.col(burden) >= cut) if high else df.filter(F.col(burden) <= cut)
     out = group_differences(rows, columns, group)
     wide = F.greatest("mean_group", "mean_rest") >= least_share

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, field
+from functools import reduce
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.stat import Correlation
@@ -11,14 +12,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import flag
-from tidewell.operators.ordered import prefix_sums
+from tidewell.operators.ordered import long_quantiles, prefix_sums
+
+
+#: Rows up to which one aggregation may hold a column's distinct values; larger tables take running counts instead, with equal results.
+IN_ONE = 1_000_000
 
 
 def quantiles(df: DataFrame, columns: list[str], at: list[float], exact: bool = True) -> dict[str, list[float]]:
-    """Linear-interpolated quantiles of all columns from one aggregation, or approximate ones for very large tables."""
+    """Linear-interpolated quantiles of all columns, or approximate ones (a fixed sketch) on request."""
     if not columns:
         return {}
     probs = F.array(*[F.lit(float(p)) for p in at])
+    if exact and df.count() > IN_ONE:
+        long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+        return long_quantiles(long, "value", at, "feature")
     row = df.agg(*[(F.percentile(F.col(c), probs) if exact else F.percentile_approx(c, probs, 10_000)).alias(c) for c in columns]).first()
     return {c: row[c] for c in columns if row[c] is not None and row[c][0] is not None}
 
@@ -140,6 +148,16 @@ def fit_preprocess(df: DataFrame, kinds: dict[str, list[str]]) -> PreprocessMode
     return PreprocessModel(clip, impute, scale, ImputeModel(rest), fit_one_hot(filled, kinds.get("categorical", [])))
 
 
+def preprocessed_by(df: DataFrame, cohort: str, kinds: dict[str, list[str]]) -> tuple[DataFrame, dict[str, PreprocessModel]]:
+    """Each cohort preprocessed by a model of its own, and the models by cohort; columns that only some cohorts have come out NULL elsewhere."""
+    names = sorted(r[0] for r in df.select(cohort).distinct().limit(101).collect() if r[0] is not None)
+    if len(names) > 100:
+        raise ValueError(f"{cohort} has more than 100 values")
+    models = {n: fit_preprocess(df.filter(F.col(cohort) == n), kinds) for n in names}
+    parts = [m.transform(df.filter(F.col(cohort) == n)) for n, m in models.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else df, models
+
+
 def zero_variance(df: DataFrame, columns: list[str], split: str, protected: tuple[str, ...] = ()) -> list[str]:
     """Columns with one distinct value at most (NULL counting as one) in any of the splits: one aggregation over all columns."""
     varies = [(F.coalesce(F.min(c) < F.max(c), F.lit(False)) | (F.bool_or(F.col(c).isNull()) & F.bool_or(F.col(c).isNotNull()))).alias(c) for c in columns]

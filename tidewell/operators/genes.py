@@ -9,16 +9,25 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import blank_as_null, flag, number
 
-# ordered: the first that an effect's text contains decides (fixed values)
+# fixed values: the first line with a word that an effect's text contains decides
 EFFECT_HIERARCHY = [
-    ("frameshift", "frameshift_variant"), ("stop_gained", "stop_gained"), ("stop_lost", "stop_lost"), ("start_lost", "initiator_codon_change"),
-    ("inframe_deletion", "inframe_codon_loss"), ("inframe_insertion", "inframe_codon_gain"), ("splice", "splice_site_variant"),
-    ("missense", "non_synonymous_codon"), ("synonymous", "synonymous_codon"), ("utr", "UTR_variant"), ("intron", "intron_variant"),
-]
-
+    (("frameshift", "stop_gained"), "frameshift_or_stop_gained"),
+    (("stop_lost",), "stop_lost"),
+    (("start_lost", "initiator_codon"), "start_lost"),
+    (("splice",), "splice_site_variant"),
+    (("inframe",), "inframe_variant"),
+    (("missense", "non_synonymous"), "non_synonymous_codon"),
+    (("synonymous",), "synonymous_codon"),
+    (("utr_variant",), "utr_variant"),
+    (("upstream", "downstream"), "regulatory_variant"),
+    (("intron",), "intron_variant"),
+    (("intergenic",), "intergenic_variant"),
+]
+
+# fixed values: the amino acids by their common abbreviations
 AMINO_ACIDS = {
     "Ala": "A", "Arg": "R", "Asn": "N", "Asp": "D", "Cys": "C", "Gln": "Q", "Glu": "E", "Gly": "G", "His": "H", "Ile": "I", "Leu": "L",
-    "Lys": "K", "Met": "M", "Phe": "F", "Pro": "P", "Ser": "S", "Thr": "T", "Trp": "W", "Tyr": "Y", "Val": "V", "Ter": "*", "X": "*",
+    "Lys": "K", "Met": "M", "Phe": "F", "Pro": "P", "Ser": "S", "Thr": "T", "Trp": "W", "Tyr": "Y", "Val": "V",
 }
 
 IMPACTS = {"HIGH": 4, "MODERATE": 3, "LOW": 2, "MODIFIER": 1}
@@ -29,12 +38,15 @@ def token_flags(columns: dict[str, tuple[str, str]]) -> dict[str, Column]:
     return {name: flag(F.col(c).rlike(f"(?i){p}")) for name, (c, p) in columns.items()}
 
 
-def gene_dimension(rows: DataFrame, gene: str, flags: list[str], tier: str | None = None, first: tuple[str, ...] = ()) -> DataFrame:
-    """One row per gene: largest flags, smallest tier, and for text columns the first non-empty value in their own order."""
+def gene_dimension(rows: DataFrame, gene: str, flags: list[str], tier: str | None = None, first: tuple[str, ...] = (), order: tuple[str, ...] = ()) -> DataFrame:
+    """One row per gene: largest flags, smallest tier, and for text columns the first non-empty value by the order columns (the smallest
+    value where there are none, or of equals), for example the place of a row in its file."""
     aggs = [F.max(c).alias(c) for c in flags]
     if tier:
         aggs.append(F.min(tier).alias(tier))
-    aggs += [F.min(blank_as_null(F.col(c))).alias(c) for c in first]
+    for c in first:
+        value = blank_as_null(F.col(c))
+        aggs.append(F.min(F.when(value.isNotNull(), F.struct(*[F.col(o) for o in order], value.alias("value"))))["value"].alias(c))
     return rows.filter(F.col(gene).isNotNull()).groupBy(F.upper(F.trim(gene)).alias(gene)).agg(*aggs)
 
 
@@ -51,21 +63,24 @@ def arm(band: str) -> Column:
 
 
 def standard_effect(effect: Column) -> Column:
-    """One of a few labels by the first part of the hierarchy that the text contains; NULL and blank are 'unknown'."""
+    """One of a few labels, the gravest that the text names; NULL is 'unknown', text that names none is 'other'."""
     text = F.lower(effect)
-    out = F.when(effect.isNull() | (F.trim(effect) == ""), "unknown")
-    for token, label in EFFECT_HIERARCHY:
-        out = out.when(text.contains(token), label)
-    return out.otherwise(effect)
+    out = F.when(effect.isNull(), "unknown")
+    for words, label in EFFECT_HIERARCHY:
+        out = out.when(reduce(Column.__or__, [text.contains(w) for w in words]), label)
+    return out.otherwise("other")
 
 
 def short_protein(notation: Column) -> Column:
-    """p.Arg882His as p.R882H; a trailing X or Ter as *; unknown residues as ?; other text as it is."""
+    """p.Arg882His as p.R882H, whatever follows the second residue; unknown residues as ?. A trailing X becomes * first. Text without p. and
+    notations without two residues of three letters (p.Arg882fs) stay as they are."""
     table = F.create_map(*[F.lit(x) for kv in AMINO_ACIDS.items() for x in kv])
-    pattern = r"^p\.([A-Z][a-z]{2})(\d+)([A-Z][a-z]{2}|X|\*|=)?"
-    a, n, b = (F.regexp_extract(notation, pattern, i) for i in (1, 2, 3))
-    last = F.when(b == "", "").when(b.isin("*", "="), b).otherwise(F.coalesce(F.try_element_at(table, b), F.lit("?")))
-    return F.when(notation.rlike(pattern), F.concat(F.lit("p."), F.coalesce(F.try_element_at(table, a), F.lit("?")), n, last)).otherwise(notation)
+    text = F.regexp_replace(notation, "[Xx]$", "*")
+    pattern = r"^p\.([A-Za-z]{3})([0-9]+)([A-Za-z]{3}|\*)"
+    a, n, b = (F.regexp_extract(text, pattern, i) for i in (1, 2, 3))
+    residue = lambda x: F.coalesce(F.try_element_at(table, x), F.lit("?"))
+    short = F.concat(F.lit("p."), residue(a), n, F.when(b == "*", b).otherwise(residue(b)))
+    return F.when(~notation.startswith("p."), notation).when(text.rlike(pattern), short).otherwise(text)
 
 
 ANNOTATION = "array<struct<gene_name:string,hgvs_p:string,effect:string,putative_impact:string>>"
@@ -83,6 +98,11 @@ def cleaned_annotations(ann: Column) -> Column:
     return F.transform(ann, lambda a: F.struct(a["gene_name"].alias("gene_name"), short_protein(a["hgvs_p"]).alias("hgvs_p"), standard_effect(a["effect"]).alias("effect"), a["putative_impact"].alias("putative_impact")))
 
 
+def distinct_effects(found: DataFrame, ann: str = "ann") -> DataFrame:
+    """(effect, n): the distinct effects inside lists of annotations, with the number of entries that have each."""
+    return found.select(F.explode(ann).alias("a")).select(F.col("a.effect").alias("effect")).filter("effect IS NOT NULL").groupBy("effect").agg(F.count(F.lit(1)).alias("n"))
+
+
 def best_annotation(ann: Column) -> Column:
     """The entry of the highest impact; of equal ones, the first."""
     table = F.create_map(*[F.lit(x) for kv in IMPACTS.items() for x in kv])

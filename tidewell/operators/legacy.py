@@ -79,3 +79,36 @@ def gene_interactions(df: DataFrame) -> DataFrame:
     """TP53 with a complex karyotype, and the four states of NPM1 and FLT3 (0 neither, 1 NPM1 alone, 2 both, 3 FLT3 alone)."""
     n, f = F.col("mut_NPM1") == 1, F.col("mut_FLT3") == 1
     return df.withColumns({"TP53_complex_cyto": flag((F.col("mut_TP53") == 1) & (F.col("complex_karyotype") == 1)), "FLT3_NPM1_interaction": F.when(n & ~f, 1).when(n & f, 2).when(~n & f, 3).otherwise(0)})
+
+
+#: Names of the flags of the older risk rules; their patterns follow the risk groups of 2022.
+OLD_FAVORABLE = {"t_8_21": r"t\(8;21\)", "inv_16": r"inv\(16\)", "t_16_16": r"t\(16;16\)", "t_15_17": r"t\(15;17\)"}
+OLD_NORMAL = r"^46,X[XY](\[\d+\])?$"
+OLD_INTERMEDIATE = {"trisomy_8": r"\+8(?![0-9])", "t_9_11": r"t\(9;11\)", "kmt2a_rearranged": r"11q23"}
+OLD_ADVERSE = {
+    "del_5q": r"-5(?![0-9])|del\(5\)|del\(5q\)", "monosomy_7": r"-7(?![0-9])|del\(7\)|del\(7q\)", "del_17p": r"del\(17\)|del\(17p\)", "abn_3q": r"inv\(3\)|t\(3;3\)",
+    "t_6_9": r"t\(6;9\)", "t_9_22": r"t\(9;22\)",
+}
+
+
+def old_risk(df: DataFrame, text: str = "CYTOGENETICS", key: str = "ID") -> DataFrame:
+    """Karyotype flags and risk (0 favorable, 1, 2 adverse) by the older rules. Missing text counts as 46,XX; the chromosome number is the
+    first number in the text if it lies in 30 to 80, else 46; sex is 0 for XX, 1 for XY (which wins), 0.5 if neither is named."""
+    raw = F.trim(F.coalesce(F.col(text), F.lit("46,XX")))
+    has = lambda p: F.col("_t").rlike(f"(?i){p}")
+    n = F.regexp_extract("_t", r"(\d+)", 1).try_cast("int")
+    rows = df.select(key, raw.alias("_t"))
+    rows = rows.withColumns({
+        "chromosome_count": F.coalesce(F.when(n.between(30, 80), n), F.lit(46)),
+        "sex_chromosomes": F.when(has(r"\bXY\b"), 1.0).when(has(r"\bXX\b"), 0.0).otherwise(0.5),
+        **{c: flag(has(p)) for c, p in {**OLD_FAVORABLE, **OLD_INTERMEDIATE, **OLD_ADVERSE}.items()},
+        "normal_karyotype": flag(F.col("_t").rlike(OLD_NORMAL)),
+        "num_cyto_abnormalities": F.regexp_count("_t", F.lit(",")),
+    })
+    twice = lambda p: F.regexp_count("_t", F.lit(f"(?i){p}")) >= 2
+    rows = rows.withColumns({
+        "any_favorable_cyto": F.greatest(*OLD_FAVORABLE), "any_adverse_cyto": F.greatest(*OLD_ADVERSE),
+        "complex_karyotype": flag(F.col("num_cyto_abnormalities") >= 3), "monosomal_karyotype": flag(twice(r"-\d+\b") | twice("monosomy")),
+    })
+    risk = F.when((F.col("any_adverse_cyto") == 1) | (F.col("complex_karyotype") == 1), 2).when(F.col("any_favorable_cyto") == 1, 0).otherwise(1)
+    return rows.withColumn("eln_cyto_risk", risk).drop("_t")

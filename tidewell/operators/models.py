@@ -12,6 +12,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomFor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators.fitted import quantiles
 from tidewell.operators.ordered import prefix_sums, settle
 from tidewell.operators.survival import concordance, k_folds
 
@@ -243,10 +244,10 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 5, alpha:
 
     For each step, one aggregation gathers the Gram matrix of all columns over the rows where the column was observed."""
     p = len(columns)
-    medians = df.agg(*[F.median(c).alias(c) for c in columns]).first()
+    medians = quantiles(df, columns, [0.5])
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     order = sorted((c for c in columns if gaps[c]), key=lambda c: (gaps[c], c))
-    work = df.withColumns({f"_miss_{c}": F.col(c).isNull() for c in columns}).withColumns({c: F.coalesce(F.col(c), F.lit(float(medians[c] or 0.0))) for c in columns})
+    work = df.withColumns({f"_miss_{c}": F.col(c).isNull() for c in columns}).withColumns({c: F.coalesce(F.col(c), F.lit(float(medians.get(c, [0.0])[0]))) for c in columns})
     work = settle(work)
     spread = work.agg(*[F.stddev_pop(c).alias(c) for c in columns]).first()
     for _ in range(rounds):
@@ -273,14 +274,21 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 5, alpha:
     return work.drop(*[f"_miss_{c}" for c in columns])
 
 
-def knn_impute(df: DataFrame, columns: list[str], k: int = 4, key: str = "ID", blocks: int = 8) -> DataFrame:
+#: Rows of a block of nearest-neighbour search.
+BLOCK = 4096
+
+
+def knn_impute(df: DataFrame, columns: list[str], k: int = 4, key: str = "ID", blocks: int | None = None) -> DataFrame:
     """Each gap becomes the mean of the k nearest donors that have the value (Euclidean over common columns, scaled up for missing ones).
 
     Exact: every recipient meets every donor, in blocks. Distances are numpy blocks inside tasks; of each block only the k best for each gap
-    leave, and a second step takes the k best of all. This is a stated all-pairs method; its work is recipients x donors.
+    leave, and a second step takes the k best of all. This is a stated all-pairs method; its work is recipients x donors. The number of blocks
+    follows the rows, so that a task holds about BLOCK recipients and BLOCK donors whatever the table.
     """
     import pandas as pd
 
+    blocks = blocks or max(2, -(-df.count() // BLOCK))
+
     p, kinds = len(columns), "key string, col int, dist double, value double"
     rows = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
     need = rows.filter(" OR ".join(f"{c} IS NULL" for c in columns)).withColumn("side", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
@@ -318,15 +326,15 @@ def supervised_impute(df: DataFrame, target: str, features: list[str], least_row
     """Gaps of one non-negative column predicted by boosted trees on log1p of the observed rows, kept at or above 0, at or below `cap`, and
     below a high quantile of the predictions; `<target>_imputed` says where. Too few observed rows leave the table as it is."""
     mark = df.withColumn(f"{target}_imputed", F.col(target).isNull().cast("int"))
-    medians = df.agg(*[F.median(c).alias(c) for c in features]).first()
-    filled = mark.select("*", *[F.coalesce(F.col(c), F.lit(float(medians[c] or 0.0))).alias(f"_f_{c}") for c in features])
+    medians = quantiles(df, features, [0.5])
+    filled = mark.select("*", *[F.coalesce(F.col(c), F.lit(float(medians.get(c, [0.0])[0]))).alias(f"_f_{c}") for c in features])
     rows = settle(VectorAssembler(inputCols=[f"_f_{c}" for c in features], outputCol="_x").transform(filled).drop(*[f"_f_{c}" for c in features]))
     seen = rows.filter(F.col(target).isNotNull())
     if seen.count() < least_rows:
         return mark.withColumn(f"{target}_imputed", F.lit(0))
     model = GBTRegressor(featuresCol="_x", labelCol="_y", maxIter=10, maxDepth=3, seed=seed, predictionCol="_p").fit(seen.withColumn("_y", F.log1p(F.col(target))))
     out = model.transform(rows).withColumn("_p", F.greatest(F.expm1("_p"), F.lit(0.0)))
-    limit = out.filter(F.col(target).isNull()).agg(F.percentile("_p", F.lit(upper))).first()[0]
+    limit = quantiles(out.filter(F.col(target).isNull()), ["_p"], [upper]).get("_p", [None])[0]
     guess = F.least(F.col("_p"), F.lit(float(limit))) if limit is not None else F.col("_p")
     if cap:
         guess = F.least(guess, F.coalesce(F.col(cap), guess))

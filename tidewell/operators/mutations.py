@@ -90,6 +90,22 @@ def tiers(column: str, values: list[int]) -> dict[str, Column]:
     return {f"{column}_min": F.min(column)} | {f"tier{v}_gene_count": F.count_if(F.round(F.col(column)) == v) for v in values} | {"has_tier": F.max(flag(F.col(column).isNotNull()))}
 
 
+#: Words in an observed effect, and the flags of a gene that say which kinds are expected.
+TRUNCATING, EXPECTED_TRUNCATING = "nonsense|frameshift|splice|stop_gained|stop_lost|start_lost", ("cosmic_has_nonsense_common", "cosmic_has_frameshift_common", "cosmic_has_splice_common")
+
+
+def driver_matches(columns: list[str], effect: str = "EFFECT", oncogene: str = "is_oncogene", suppressor: str = "is_tumor_suppressor", expected_missense: str = "cosmic_has_missense_common", expected_truncating: tuple[str, ...] = EXPECTED_TRUNCATING) -> dict[str, Column]:
+    """Rows that look like drivers: a missense mutation in an oncogene that has such mutations, a truncating one in a tumour suppressor that
+    has. `columns` are those of the table; flags that it lacks count as 0."""
+    is_set = lambda c: F.coalesce(F.col(c).try_cast("double") == 1, F.lit(False)) if c in columns else F.lit(False)
+    text = F.lower(F.coalesce(F.col(effect).cast("string"), F.lit("")))
+    truncating = reduce(Column.__or__, [is_set(c) for c in expected_truncating])
+    return {
+        "oncogene_missense_match": F.count_if(is_set(oncogene) & is_set(expected_missense) & text.contains("missense")),
+        "tsg_truncating_match": F.count_if(is_set(suppressor) & truncating & text.rlike(TRUNCATING)),
+    }
+
+
 def arms(column: str, wanted: list[str]) -> dict[str, Column]:
     """Whether a patient has a row on a chromosome arm."""
     return {f"mutated_arm_{a}": F.max(flag(F.col(column) == a)) for a in wanted}
@@ -169,7 +185,7 @@ def interactions(df: DataFrame, rules: dict[str, dict]) -> tuple[DataFrame, list
 
 def arm_cross(df: DataFrame, pairs: dict[str, str]) -> DataFrame:
     """Mutated arm and loss of the same arm."""
-    return df.withColumns({f"mut_in_{a}_and_lost": flag((F.col(f"mutated_arm_{a}") == 1) & (F.col(c) == 1)) for a, c in pairs.items() if {f"mutated_arm_{a}", c} <= set(df.columns)})
+    return df.withColumns({f"mut_in_{a}_and_del{a}": flag((F.col(f"mutated_arm_{a}") == 1) & (F.col(c) == 1)) for a, c in pairs.items() if {f"mutated_arm_{a}", c} <= set(df.columns)})
 
 
 def frequent(wanted: list[str], least: int, *tables: DataFrame, gene: str = "GENE") -> DataFrame:

@@ -2,39 +2,56 @@
 
 from __future__ import annotations
 
+import json
+import math
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranges that an order is cut into at least and at most (the driver holds their bounds), and rows that one is meant to have.
 RANGES, MOST_RANGES, ROWS = 200, 2000, 1_000_000
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """Write to the folder of spark.checkpoint.dir and read back: cuts lineage, survives lost executors, fixes what a recomputation might change."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, what: str) -> str:
+    """A new path in the folder of spark.checkpoint.dir, which driver and executors share; one of our own only in local mode where that is unset."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewell-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/settled-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Write to the shared folder and read back: cuts lineage, survives lost executors, fixes what a recomputation might change."""
+    path = shared_path(df.sparkSession, "settled")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _range(df: DataFrame, order: str, descending: bool) -> Column:
-    """Number of the range that a value of the order column lies in, ascending along the order."""
+    """Number of the range that a value of the order column lies in, ascending along the order, found by binary search among the bounds."""
     n, bounds = df.agg(F.count(order), F.percentile_approx(order, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 10_000)).first()
     wanted = max(RANGES, min(MOST_RANGES, n // ROWS))
     bounds = sorted(set((bounds or [])[MOST_RANGES // wanted - 1 :: MOST_RANGES // wanted]))
-    at = F.aggregate(F.array(*[F.lit(b) for b in bounds]), F.lit(0), lambda n, b: n + (b < F.col(order)).cast("int")) if bounds else F.lit(0)
+    kind = df.schema[order].dataType.simpleString()
+    if not bounds:
+        return F.lit(0)
+    if kind in ("double", "float", "bigint", "int", "smallint", "tinyint"):
+        table = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")  # a constant
+    else:
+        table = F.array(*[F.lit(b) for b in bounds])
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
+    at = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.get(table, k + s - 1) < F.col(order), k + s).otherwise(k))  # bounds below the value
     return -at if descending else at
 
 
-def prefix_sums(df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
-    """For each distinct (by, order): sums of the value expressions (`<name>`), and over everything strictly before (`<name>_before`).
+def prefix_sums(df: DataFrame, order: str, values: dict[str, Column], by: tuple[str, ...] = (), descending: bool = False, following: str | None = None) -> DataFrame:
+    """For each distinct (by, order): sums of the value expressions (`<name>`), and over everything strictly before (`<name>_before`); on
+    request the order value that comes next, under the name `following`.
 
     Equal order values are collapsed first, so ties never straddle ranges. Ranges of the order get totals, whose running sums (MOST_RANGES rows
     at most for each `by`) are joined to running sums within the range.
@@ -42,13 +59,31 @@ def prefix_sums(df: DataFrame, order: str, values: dict[str, Column], by: tuple[
     grouped = df.groupBy(*by, order).agg(*[F.sum(v).alias(n) for n, v in values.items()])
     grouped = settle(grouped.filter(F.col(order).isNotNull()))
     grouped = grouped.withColumn("_range", _range(grouped, order, descending))
-    totals = grouped.groupBy(*by, "_range").agg(*[F.sum(n).alias(f"_t_{n}") for n in values])
-    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    bases = totals.select(*by, "_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
-    inside = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc() if descending else F.col(order)).rowsBetween(Window.unboundedPreceding, -1)
-    out = grouped.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in values})
+    end = F.max(order) if descending else F.min(order)
+    totals = grouped.groupBy(*by, "_range").agg(end.alias("_first"), *[F.sum(n).alias(f"_t_{n}") for n in values])
+    ranges = Window.partitionBy(*by).orderBy("_range")
+    before = ranges.rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(*by, "_range", F.lead("_first").over(ranges).alias("_then"), *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    places = Window.partitionBy(*by, "_range").orderBy(F.col(order).desc() if descending else F.col(order))
+    inside = places.rowsBetween(Window.unboundedPreceding, -1)
+    out = grouped.withColumns({f"{n}_before": F.coalesce(F.sum(n).over(inside), F.lit(0)) for n in values} | ({"_next": F.lead(order).over(places)} if following else {}))
     out = out.join(bases, [*by, "_range"])
-    return out.select(*by, order, *values, *[(F.col(f"{n}_before") + F.col(f"_b_{n}")).alias(f"{n}_before") for n in values])
+    return out.select(*by, order, *values, *[(F.col(f"{n}_before") + F.col(f"_b_{n}")).alias(f"{n}_before") for n in values], *([F.coalesce("_next", "_then").alias(following)] if following else []))
+
+
+def long_quantiles(long: DataFrame, value: str, at: list[float], by: str) -> dict[str, list[float]]:
+    """Exact linear-interpolated quantiles of each group of a long table, from running counts: no task holds a group's values."""
+    rows = long.filter(F.col(value).isNotNull())
+    sizes = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each group
+    if not sizes:
+        return {}
+    places = {g: [(math.floor(p * (n - 1)), math.ceil(p * (n - 1)), p * (n - 1)) for p in at] for g, n in sizes.items()}
+    wanted = sorted((g, k) for g, ps in places.items() for k in {x for lo, hi, _ in ps for x in (lo, hi)})
+    table = rows.sparkSession.createDataFrame(wanted, f"_g {long.schema[by].dataType.simpleString()}, _k long")
+    steps = prefix_sums(rows, value, {"_n": F.lit(1)}, (by,))
+    hit = steps.join(F.broadcast(table), (F.col(by) == F.col("_g")) & (F.col("_n_before") <= F.col("_k")) & (F.col("_k") < F.col("_n_before") + F.col("_n")))
+    found = {(r["_g"], r["_k"]): float(r[value]) for r in hit.select("_g", "_k", value).collect()}
+    return {g: [found[g, lo] + (found[g, hi] - found[g, lo]) * (x - lo) for lo, hi, x in ps] for g, ps in places.items()}
 
 
 def average_ranks(df: DataFrame, value: str, out: str = "rank", by: tuple[str, ...] = (), share: bool = False) -> DataFrame:

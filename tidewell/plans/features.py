@@ -98,7 +98,7 @@ def formula_columns(spark: SparkSession, d: str) -> DataFrame:
 
 
 def placeholder_targets(spark: SparkSession, d: str) -> DataFrame:
-    return clean.placeholder_target(view(spark, d, "fx_clinical").filter("CENTER = 'CTR_3'"))
+    return clean.placeholder_target(view(spark, d, "fx_clinical"))
 
 
 def row_sample(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +139,7 @@ def category_pivot(spark: SparkSession, d: str) -> DataFrame:
 
 def frequent_genes(spark: SparkSession, d: str) -> DataFrame:
     m = view(spark, d, "fx_molecular")
-    return mutations.frequent(C.GENES, 5, m.filter("CHR = '1'"), m.filter("CHR = '2'"))
+    return mutations.frequent(C.GENES, 5, m.filter("CAST(CHR AS INT) % 2 = 1"), m.filter("CAST(CHR AS INT) % 2 = 0"))
 
 
 def base_counts(spark: SparkSession, d: str) -> DataFrame:
@@ -251,14 +251,14 @@ ORACLES = {
     "schema_align_union": oracle("SELECT ID, CENTER, round(WBC, 6) AS WBC, HB, 'main' AS cohort FROM fx_clinical WHERE CENTER <> 'CTR_0' UNION ALL SELECT ID, NULL, round(WBC, 6), NULL, 'cohort' FROM fx_clinical WHERE CENTER = 'CTR_0'", "fx_clinical"),
     "iqr_winsorize": oracle("WITH q AS (SELECT quantile_cont(WBC, 0.25) AS a, quantile_cont(WBC, 0.75) AS b, quantile_cont(PLT, 0.25) AS c, quantile_cont(PLT, 0.75) AS d FROM fx_clinical) SELECT ID, CASE WHEN WBC IS NOT NULL THEN round(least(greatest(WBC, a - 1.5::DOUBLE * (b - a)), b + 1.5::DOUBLE * (b - a)), 6) END AS WBC, CASE WHEN PLT IS NOT NULL THEN round(least(greatest(PLT, c - 1.5::DOUBLE * (d - c)), d + 1.5::DOUBLE * (d - c)), 6) END AS PLT FROM fx_clinical, q", "fx_clinical"),
     "formula_columns": oracle("SELECT ID, round(ANC / nullif(WBC, 0), 6) AS q, round(PLT - HB, 6) AS diff, round(WBC * HB, 6) AS prod, CASE WHEN ANC < HB THEN 1 ELSE 0 END AS less, round(ln(1 + PLT), 6) AS lg FROM fx_clinical", "fx_clinical"),
-    "placeholder_targets": oracle("SELECT ID, 1.0::DOUBLE AS OS_YEARS, 0 AS OS_STATUS FROM fx_clinical WHERE CENTER = 'CTR_3'", "fx_clinical"),
+    "placeholder_targets": oracle("SELECT ID, 1.0::DOUBLE AS OS_YEARS, 0 AS OS_STATUS FROM fx_clinical", "fx_clinical"),
     "mutation_presence": oracle(_zeroed(_PRESENT), *_MAIN[:2]),
     "vaf_features": oracle(_grouped(_VAFS), "fx_molecular"),
     "mutation_types": oracle(_grouped(_KINDS), "fx_molecular"),
     "pathway_features": oracle(_grouped(_PATHS), "fx_molecular"),
     "burden": oracle(_grouped(_BURDEN), "fx_molecular"),
     "category_pivot": oracle(_grouped(_IMPACT), "fx_molecular"),
-    "frequent_genes": oracle("SELECT GENE, count(*) AS n FROM fx_molecular WHERE CHR IN ('1', '2') AND GENE IN (" + ", ".join(f"'{g}'" for g in C.GENES) + ") GROUP BY GENE HAVING count(*) >= 5", "fx_molecular"),
+    "frequent_genes": oracle("SELECT GENE, count(*) AS n FROM fx_molecular WHERE GENE IN (" + ", ".join(f"'{g}'" for g in C.GENES) + ") GROUP BY GENE HAVING count(*) >= 5", "fx_molecular"),
     "base_counts": oracle("SELECT ID, " + ", ".join(f"CAST(sum(length(ALT) - length(replace(ALT, '{x}', ''))) AS BIGINT) AS ALT_{x}" for x in "ACGT") + ', sum(coalesce("END" - START + 1, 0)) AS span_sum FROM fx_molecular GROUP BY ID', "fx_molecular"),
     "patient_aggregates": oracle("WITH r AS (SELECT *, \"END\" - START + 1 AS len, TRY_CAST(nullif(regexp_extract(PROTEIN_CHANGE, 'p\\.[A-Za-z*]+(\\d+)', 1), '') AS DOUBLE) AS aa FROM fx_molecular) SELECT ID, " + ", ".join(f"count(*) FILTER (EFFECT = '{e}') AS effect_{e}" for e in _EFFECTS) + ", sum(len) AS mut_length_sum, avg(len) AS mut_length_mean, max(len) AS mut_length_max, sum(aa) AS aa_sum, round(avg(aa), 6) AS aa_mean, min(aa) AS aa_min, max(aa) AS aa_max, count(*) AS n_mutations, count(DISTINCT GENE) AS n_genes, round(avg(CASE WHEN VAF > 0.3 THEN 1 ELSE 0 END), 6) AS share_high_vaf FROM r GROUP BY ID", "fx_molecular"),
     "variant_ids": oracle("WITH v AS (SELECT *, concat('chr', CHR, ':g.', CAST(CAST(START AS BIGINT) AS VARCHAR), REF, '>', ALT) AS vid FROM fx_molecular) SELECT DISTINCT ID, vid, CASE WHEN length(REF) = 1 AND length(ALT) = 1 THEN vid END AS snv, CAST(CHR AS INT) AS chromosome, TRY_CAST(nullif(regexp_extract(PROTEIN_CHANGE, 'p\\.[A-Za-z*]+(\\d+)', 1), '') AS DOUBLE) AS aa FROM v", "fx_molecular"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,7 @@ def one_hot(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rare_crosstab(spark: SparkSession, d: str) -> DataFrame:
-    return fitted.crosstab_rare(view(spark, d, "fx_molecular"), "ID", "GENE", 3700, "rare")
+    return fitted.crosstab_rare(view(spark, d, "fx_molecular"), "ID", "GENE", 2500, "rare")
 
 
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
@@ -132,7 +134,18 @@ def _folded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def fold_drift(spark: SparkSession, d: str) -> DataFrame:
-    return _round(drift.fold_drift(_folded(spark, d), ["ANC", "HB", "PLT"], center="CENTER"))
+    rows = _folded(spark, d).withColumn("few", (F.col("PLT") < 100).cast("int"))
+    return _round(drift.fold_drift(rows, ["ANC", "HB", "PLT"], center="CENTER", binary=("few",)))
+
+
+def most_drifted(spark: SparkSession, d: str) -> DataFrame:
+    return _round(drift.most_drifted(_folded(spark, d), _NUM, k=4))
+
+
+def preprocess_by_cohort(spark: SparkSession, d: str) -> DataFrame:
+    """Two cohorts, each clipped, filled and scaled by its own quantiles."""
+    c = _clinical(spark, d).select("ID", *_NUM, F.when(F.col("CENTER") == "CTR_2", "extra").otherwise("main").alias("cohort"))
+    return _round(fitted.preprocessed_by(c, "cohort", {"continuous": _NUM})[0])
 
 
 def corr_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -172,7 +185,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         clip_quantiles, impute_median, robust_scale, standard_scale, rare_category_grouping, one_hot, rare_crosstab, stratified_split, preprocess_full, variable_kinds, zero_variance_list, correlation_prune_list,
-        uncorrelated_list, rare_binary_list, ks_drift, wasserstein, moment_drift, prevalence_shift, js_distance, missing_rates, missing_shift, fold_drift, corr_pairs, group_diff, sanity_report, value_shares,
+        uncorrelated_list, rare_binary_list, ks_drift, wasserstein, moment_drift, prevalence_shift, js_distance, missing_rates, missing_shift, fold_drift, most_drifted, preprocess_by_cohort, corr_pairs, group_diff, sanity_report, value_shares,
         rule_violations, cohort_means, spearman,
     )
 }
@@ -185,15 +198,42 @@ _QUARTERS = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_a, median({c}) AS {c}_m,
 _ECDF = f"""{_UNPIVOT}, s AS (SELECT feature, value, {_SQL_TEST} AS b FROM l WHERE value IS NOT NULL), z AS (SELECT feature, count(*) FILTER (NOT b) AS n_a, count(*) FILTER (b) AS n_b FROM s GROUP BY feature),
   v AS (SELECT feature, value, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM s GROUP BY feature, value),
   g AS (SELECT feature, n_a, n_b, abs(sum(a) OVER w / n_a - sum(c) OVER w / n_b) AS gap, lead(value) OVER w - value AS step FROM v JOIN z USING (feature) WINDOW w AS (PARTITION BY feature ORDER BY value))"""
+_FOLDS = f"""WITH r AS ({_RANGED}), k AS (SELECT *, CASE WHEN PLT < 100 THEN 1 WHEN PLT >= 100 THEN 0 END::DOUBLE AS few, (CAST(substr(ID, 2) AS BIGINT) * 7919 + 42) % 104729 % 5 AS fold FROM r), o AS (SELECT k.*, f, fold = f AS b FROM k, range(5) t(f))"""
+_FOLD_KS = """l AS (UNPIVOT (SELECT f, b, {cols} FROM o) ON {cols} INTO NAME feature VALUE value), z AS (SELECT f, feature, count(*) FILTER (NOT b) AS n_a, count(*) FILTER (b) AS n_b FROM l GROUP BY ALL),
+  v AS (SELECT f, feature, value, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM l GROUP BY ALL), g AS (SELECT f, feature, abs(sum(a) OVER w / n_a - sum(c) OVER w / n_b) AS gap, lead(value) OVER w - value AS step FROM v JOIN z USING (f, feature) WINDOW w AS (PARTITION BY f, feature ORDER BY value)),
+  ks AS (SELECT f, feature, max(gap) AS ks, sum(gap * step) AS w1 FROM g GROUP BY ALL)"""
+
+
+def _own_scale(where: str, cohort: str) -> str:
+    """SQL of the clipped, filled and scaled measures of some rows by their own quantiles."""
+    r = f"(SELECT * FROM r WHERE {where})"
+    clip = ", ".join(f"CASE WHEN {c} IS NOT NULL THEN least(greatest({c}, (SELECT quantile_cont({c}, 0.01) FROM {r})), (SELECT quantile_cont({c}, 0.99) FROM {r})) END AS {c}" for c in _NUM)
+    fill = ", ".join(f"coalesce({c}, median({c}) OVER ()) AS {c}" for c in _NUM)
+    scale = ", ".join(f"round(({c} - median({c}) OVER ()) / CASE WHEN quantile_cont({c}, 0.75) OVER () = quantile_cont({c}, 0.25) OVER () THEN 1 ELSE quantile_cont({c}, 0.75) OVER () - quantile_cont({c}, 0.25) OVER () END, 6) AS {c}" for c in _NUM)
+    return f"SELECT ID, {scale}, '{cohort}' AS cohort FROM (SELECT ID, {fill} FROM (SELECT ID, {clip} FROM {r}))"
+
+
+_WIDE = f"{_R}, m AS (SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _NUM) + f" FROM r), w AS (SELECT ID, " + ", ".join(f"coalesce({c}, {c}_m) AS {c}" for c in _NUM) + f", CASE WHEN {_SQL_TEST} THEN 'test' ELSE 'train' END AS split FROM r, m), x AS (SELECT *, WBC * 2 + HB / 100 AS WBC2, 0::DOUBLE AS zero, (CAST(substr(ID, 2) AS BIGINT) % 997 = 0)::INT AS rare, (CAST(substr(ID, 2) AS INT) % 2) AS half FROM w)"
 
 ORACLES = {
+    "fold_drift": oracle(_FOLDS + ", " + _FOLD_KS.format(cols="ANC, HB, PLT") + """, n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY ks DESC, feature) AS nth FROM ks), d AS (SELECT f, avg(ks) AS ks_mean, median(ks) AS ks_median, avg(ks) FILTER (nth <= 5) AS ks_top5, avg(w1) AS w1_mean FROM n GROUP BY f),
+      p AS (SELECT f, abs(avg(few) FILTER (b) - avg(few) FILTER (NOT b)) AS prevalence_shift FROM o GROUP BY f),
+      h AS (SELECT f, coalesce(list_avg([""" + ", ".join(f"CASE WHEN bool_or({c} IS NULL) THEN abs(avg(({c} IS NULL)::INT) FILTER (b) - avg(({c} IS NULL)::INT) FILTER (NOT b)) END" for c in ("ANC", "HB", "PLT", "few")) + """]), 0) AS missing_shift FROM o GROUP BY f),
+      c AS (SELECT f, CENTER, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM o GROUP BY ALL), q AS (SELECT f, (a / sum(a) OVER u + 1e-9) / (1 + 1e-9 * count(*) OVER u) AS p, (c / sum(c) OVER u + 1e-9) / (1 + 1e-9 * count(*) OVER u) AS q FROM c WINDOW u AS (PARTITION BY f)),
+      j AS (SELECT f, sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) / 2 + q * ln(q / ((p + q) / 2)) / 2), 0)) AS js FROM q GROUP BY f)
+      SELECT f AS fold, round(ks_mean, 6) AS ks_mean, round(ks_median, 6) AS ks_median, round(ks_top5, 6) AS ks_top5, round(w1_mean, 6) AS w1_mean, round(prevalence_shift, 6) AS prevalence_shift, round(missing_shift, 6) AS missing_shift, round(js, 6) AS js FROM d JOIN p USING (f) JOIN h USING (f) JOIN j USING (f)""", "fx_clinical"),
+    "most_drifted": oracle(_FOLDS + ", " + _FOLD_KS.format(cols=", ".join(_NUM)) + ", e AS (SELECT f, feature, avg(value) FILTER (b) - avg(value) FILTER (NOT b) AS d_mean, stddev_samp(value) FILTER (b) - stddev_samp(value) FILTER (NOT b) AS d_std FROM l GROUP BY ALL) SELECT f AS fold, feature, round(ks, 6) AS ks, round(w1, 6) AS wasserstein, round(d_mean, 6) AS d_mean, round(d_std, 6) AS d_std FROM ks JOIN e USING (f, feature) QUALIFY row_number() OVER (PARTITION BY f ORDER BY ks DESC, w1 DESC, feature) <= 4", "fx_clinical"),
+    "preprocess_by_cohort": oracle(f"{_R} " + _own_scale("CENTER = 'CTR_2'", "extra") + " UNION ALL " + _own_scale("CENTER <> 'CTR_2'", "main"), "fx_clinical"),
+    "zero_variance_list": oracle(_WIDE + ", v AS (SELECT split, " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in (*_NUM, "WBC2", "zero", "rare", "half")) + " FROM x GROUP BY split), l AS (UNPIVOT v ON " + ", ".join((*_NUM, "WBC2", "zero", "rare", "half")) + " INTO NAME feature VALUE n) SELECT DISTINCT feature FROM l WHERE n <= 1", "fx_clinical"),
+    "rare_binary_list": oracle(_WIDE + f", v AS (SELECT split, avg(rare) AS rare, avg(half) AS half FROM x GROUP BY split), l AS (UNPIVOT v ON rare, half INTO NAME feature VALUE p) SELECT DISTINCT feature FROM l WHERE p < {C.RARE_SHARE}", "fx_clinical"),
+    "corr_pairs": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + ") SELECT a, b, round(r, 6) AS r FROM p WHERE abs(r) > 0.5", "fx_clinical"),
     "clip_quantiles": oracle(_CLIP + " SELECT ID, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUM) + " FROM c", "fx_clinical"),
     "impute_median": oracle(f"{_R}, q AS (SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _NUM) + f" FROM r WHERE NOT ({_SQL_TEST})) SELECT ID, " + ", ".join(f"round(coalesce({c}, {c}_m), 6) AS {c}" for c in _NUM) + " FROM r, q", "fx_clinical"),
     "robust_scale": oracle(f"{_R}, q AS (SELECT {_QUARTERS} FROM r) SELECT ID, " + ", ".join(_ROBUST.format(c=c) for c in _NUM) + " FROM r, q", "fx_clinical"),
     "standard_scale": oracle(f"{_R}, q AS (SELECT " + ", ".join(f"avg({c}) AS {c}_m, stddev_pop({c}) AS {c}_s" for c in _NUM) + " FROM r) SELECT ID, " + ", ".join(f"round(({c} - {c}_m) / {c}_s, 6) AS {c}" for c in _NUM) + " FROM r, q", "fx_clinical"),
     "rare_category_grouping": oracle(f"WITH k AS (SELECT CENTER FROM fx_clinical WHERE NOT ({_SQL_TEST}) GROUP BY CENTER HAVING count(*) >= 40) SELECT ID, CENTER, CASE WHEN CENTER IN (SELECT CENTER FROM k) THEN CENTER ELSE 'CENTER_OTHER' END AS CENTER_GROUP FROM fx_clinical", "fx_clinical"),
     "one_hot": oracle("SELECT DISTINCT ID, " + ", ".join(f"CASE WHEN EFFECT = '{e}' THEN 1 ELSE 0 END AS EFFECT_{e}" for e in ("ITD", "PTD", "frameshift_variant", "non_synonymous_codon", "splice_site_variant", "stop_gained")) + " FROM fx_molecular", "fx_molecular"),
-    "rare_crosstab": oracle("WITH k AS (SELECT GENE FROM fx_molecular GROUP BY GENE HAVING count(*) >= 3700) SELECT ID, CASE WHEN GENE IN (SELECT GENE FROM k) THEN GENE ELSE 'rare' END AS value, count(*) AS n FROM fx_molecular GROUP BY ALL", "fx_molecular"),
+    "rare_crosstab": oracle("WITH k AS (SELECT GENE FROM fx_molecular GROUP BY GENE HAVING count(*) >= 2500) SELECT ID, CASE WHEN GENE IN (SELECT GENE FROM k) THEN GENE ELSE 'rare' END AS value, count(*) AS n FROM fx_molecular GROUP BY ALL", "fx_molecular"),
     "stratified_split": oracle("WITH v AS (SELECT ID, OS_STATUS, CAST(substr(ID, 2) AS BIGINT) AS k FROM fx_target WHERE OS_YEARS > 0 AND OS_STATUS IS NOT NULL) SELECT ID, OS_STATUS, CASE WHEN row_number() OVER (PARTITION BY OS_STATUS ORDER BY (k * 7919 + 42) % 104729, k) <= floor(count(*) OVER (PARTITION BY OS_STATUS) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM v", "fx_target"),
     "preprocess_full": oracle(_CLIP + ", m AS (SELECT " + ", ".join(f"median({c}) AS {c}_d" for c in _NUM) + " FROM c), i AS (SELECT ID, " + ", ".join(f"coalesce({c}, {c}_d) AS {c}" for c in _NUM) + f" FROM c, m), s AS (SELECT {_QUARTERS} FROM i) SELECT ID, " + ", ".join(_ROBUST.format(c=c) for c in _NUM) + " FROM i, s", "fx_clinical"),
     "ks_drift": oracle(_ECDF + " SELECT feature, n_a, n_b, round(max(gap), 6) AS ks FROM g GROUP BY ALL", "fx_clinical"),

@@ -22,7 +22,7 @@ SELECT concat('P', CAST(l_orderkey AS STRING)) AS ID, CAST(1 + l_suppkey % 22 AS
   CAST(l_partkey * 1000 + l_linenumber AS DOUBLE) AS "END",
   split_part('A|C|G|T', '|', CAST(1 + l_partkey % 4 AS INT)) AS REF,
   split_part('C|G|T|A|CT', '|', CAST(1 + l_suppkey % 5 AS INT)) AS ALT,
-  split_part('TP53|NPM1|FLT3|ASXL1|RUNX1|DNMT3A|IDH1|IDH2|TET2|SF3B1|SRSF2|CEBPA|NRAS|KRAS|MLL|KIT', '|', CAST(1 + (l_partkey + l_linenumber) % 16 AS INT)) AS GENE,
+  split_part('TP53|NPM1|FLT3|ASXL1|RUNX1|DNMT3A|IDH1|IDH2|TET2|SF3B1|SRSF2|CEBPA|NRAS|KRAS|MLL|KIT|U2AF1|ZRSR2|BCOR|EZH2|STAG2|PTPN11|STAT3|KDM6A', '|', CAST(1 + (l_partkey + l_linenumber) % 24 AS INT)) AS GENE,
   split_part('p.R882H|p.E545K|MLL_PTD|FLT3_ITD|p.D835Y', '|', CAST(1 + l_suppkey % 5 AS INT)) AS PROTEIN_CHANGE,
   split_part('non_synonymous_codon|stop_gained|frameshift_variant|ITD|splice_site_variant|PTD', '|', CAST(1 + l_partkey % 6 AS INT)) AS EFFECT,
   CASE WHEN l_linenumber = 5 THEN NULL ELSE l_discount * CAST(10 AS DOUBLE) END AS VAF,

@@ -50,28 +50,42 @@ def annotation_backlog(spark: SparkSession, d: str) -> DataFrame:
     return readers.backlog(m, cache).select("vid")
 
 
+_RAW_EFFECTS = [
+    "Missense_Variant", "splice_region_variant&intron_variant", "stop_gained&splice", "FRAMESHIFT_VARIANT", "conservative_inframe_deletion", "start_lost", "initiator_codon_variant", "stop_lost",
+    "3_prime_UTR_variant", "upstream_gene_variant", "intron_variant", "intergenic_region", "synonymous_variant", "non_synonymous_codon", "ITD", "",
+]
+
+
 def effect_standardize(spark: SparkSession, d: str) -> DataFrame:
-    m = view(spark, d, "fx_molecular").select("EFFECT").distinct()
-    raw = F.replace(F.replace("EFFECT", F.lit("non_synonymous_codon"), F.lit("missense_variant")), F.lit("splice_site"), F.lit("splice_donor&intron"))
-    return m.select("EFFECT", genes.standard_effect(raw).alias("label"))
+    """Raw effects of all kinds dealt over the mutation rows, and rows without any, counted by what they become."""
+    m = view(spark, d, "fx_molecular").select(F.when(F.col("CHR") != "22", F.get(F.array(*map(F.lit, _RAW_EFFECTS)), (F.col("START") % len(_RAW_EFFECTS)).cast("int"))).alias("raw"))
+    return m.groupBy("raw", genes.standard_effect(F.col("raw")).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+
+
+_RAW_PROTEINS = ["p.Arg{n}His", "p.Arg{n}fs", "p.Gln{n}*", "p.Arg{n}X", "p.Leu{n}ProfsTer12", "p.Abc{n}Val", "p.V{n}F", "p.Met{n}=", "c.{n}A>G", "p.glu{n}lys"]
 
 
 def protein_short(spark: SparkSession, d: str) -> DataFrame:
-    m = view(spark, d, "fx_molecular").select("PROTEIN_CHANGE", "DEPTH").distinct()
-    long = F.when(F.col("PROTEIN_CHANGE") == "p.R882H", F.concat(F.lit("p.Arg"), F.col("DEPTH").cast("int"), F.lit("His"))).otherwise(F.col("PROTEIN_CHANGE"))
-    return m.select(long.alias("given"), genes.short_protein(long).alias("short")).distinct()
+    """Notations of many forms dealt over the mutation rows, with positions of one to three digits."""
+    m = view(spark, d, "fx_molecular").select(F.get(F.array(*map(F.lit, _RAW_PROTEINS)), (F.col("START") % len(_RAW_PROTEINS)).cast("int")).alias("form"), (F.col("START") % 700).cast("int").cast("string").alias("n"))
+    given = F.replace("form", F.lit("{n}"), "n")
+    return m.select(given.alias("given"), genes.short_protein(given).alias("short")).distinct()
 
 
 def lab_transpose(spark: SparkSession, d: str) -> DataFrame:
-    c = view(spark, d, "fx_clinical").filter("CAST(substr(ID, 2) AS BIGINT) < 8").select("ID", "WBC", "HB")
-    matrix = c.unpivot(["ID"], ["WBC", "HB"], "NAME", "value").groupBy("NAME").pivot("ID", [f"P{i}" for i in range(8)]).agg(F.first("value"))
-    return _round(readers.lab_matrix(matrix, "NAME", [f"P{i}" for i in range(8)], {"WBC": "wbc", "HB": "hb"}))
+    """Measures of all patients written as matrices of 50 samples (one for each block of ids) and turned back."""
+    c = view(spark, d, "fx_clinical").select("ID", "WBC", "HB", F.expr("CAST(substr(ID, 2) AS BIGINT)").alias("n"))
+    slots = [f"s{i}" for i in range(50)]
+    long = c.select("ID", F.floor(F.col("n") / 50).alias("block"), F.concat(F.lit("s"), F.col("n") % 50).alias("slot"), "WBC", "HB").unpivot(["ID", "block", "slot"], ["WBC", "HB"], "NAME", "value")
+    matrices = long.groupBy("block", "NAME").pivot("slot", slots).agg(F.first("value"))
+    turned = readers.lab_matrix(matrices, "NAME", slots, {"WBC": "wbc", "HB": "hb"}, by=["block"])
+    return _round(turned.join(long.select("ID", "block", F.col("slot").alias("sample")).distinct(), ["block", "sample"]).select(F.col("ID").alias("sample"), "wbc", "hb"))
 
 
 def derive_vaf(spark: SparkSession, d: str) -> DataFrame:
     m = view(spark, d, "fx_molecular").select("ID", "DEPTH", F.col("CHR").cast("double").alias("alt_reads"), "REF", F.when(F.col("ALT") == "CT", "-").otherwise(F.col("ALT")).alias("ALT"))
     depth, vaf = genes.read_depth("DEPTH", "alt_reads")
-    return m.select("ID", depth.alias("depth"), F.round(vaf, 3).alias("vaf"), genes.alternative_allele("ALT", "REF").alias("allele"))
+    return m.select("ID", depth.alias("depth"), vaf.alias("vaf"), genes.alternative_allele("ALT", "REF").alias("allele"))
 
 
 def json_props(spark: SparkSession, d: str) -> DataFrame:
@@ -104,7 +118,7 @@ def harmonised_target(spark: SparkSession, d: str) -> DataFrame:
 
 def relational_features(spark: SparkSession, d: str) -> DataFrame:
     out = genes.relational_features(view(spark, d, "fx_clinical"), view(spark, d, "fx_molecular"), "ID", ["DEPTH", "VAF"], ["GENE"])
-    return _round(out.drop("DEPTH_skew", "VAF_skew", "GENE_mode"))
+    return _round(out).withColumns({f"{c}_skew": F.col(f"{c}_skew") + F.lit(0.0) for c in ("DEPTH", "VAF")})  # no negative zero
 
 
 def string_agg_events(spark: SparkSession, d: str) -> DataFrame:
@@ -138,11 +152,77 @@ def aux_flags(spark: SparkSession, d: str) -> DataFrame:
     return mutations.with_blocks(view(spark, d, "fx_clinical").select("ID"), block)
 
 
+def _with_dimension(spark: SparkSession, d: str) -> DataFrame:
+    """Mutation rows with gene flags that follow from the gene's name."""
+    m = view(spark, d, "fx_molecular")
+    kind = F.length("GENE") % 2
+    return m.withColumns({
+        "is_oncogene": kind, "is_tumor_suppressor": 1 - kind, "cosmic_has_missense_common": F.lit(1), "cosmic_has_frameshift_common": F.col("GENE").startswith("T").cast("int"), "cosmic_has_splice_common": F.col("GENE").startswith("A").cast("int"),
+        "EFFECT": F.when(F.col("EFFECT") == "non_synonymous_codon", "Missense_Variant").otherwise(F.col("EFFECT")), "arm": F.concat(F.col("CHR"), F.when(F.col("DEPTH") > 25, "q").otherwise("p")),
+    })
+
+
+def driver_matches(spark: SparkSession, d: str) -> DataFrame:
+    m = _with_dimension(spark, d)
+    return mutations.by_patient(m, mutations.driver_matches(m.columns))
+
+
+def arm_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Arms with a mutation, and crossed with the loss of the same arm."""
+    from tidewell import config as C
+
+    m = mutations.by_patient(_with_dimension(spark, d), mutations.arms("arm", list(C.ARMS)))
+    t = F.coalesce(F.col("CYTOGENETICS"), F.lit(""))
+    c = view(spark, d, "fx_clinical").select("ID", *[t.contains(x).cast("int").alias(n) for x, n in (("-5", "del_5q_or_mono5"), ("-7", "monosomy_7_or_del7q"), ("del(17)", "del_17p_or_i17q"))])
+    return mutations.arm_cross(mutations.with_blocks(c, m), C.ARMS)
+
+
+def nested_effects(spark: SparkSession, d: str) -> DataFrame:
+    """Distinct effects inside annotations that are an object for some variants and a list for others."""
+    m = view(spark, d, "fx_molecular")
+    entry = F.concat(F.lit('{"gene_name":"'), "GENE", F.lit('","hgvs_p":"","effect":"'), "EFFECT", F.lit('","putative_impact":"LOW"}'))
+    payload = F.when(F.col("CHR").cast("int") % 2 == 0, entry).otherwise(F.concat(F.lit("["), entry, F.lit(","), entry, F.lit("]")))
+    found = m.select(genes.annotation_list(F.parse_json(F.concat(F.lit('{"snpeff":{"ann":'), payload, F.lit("}}")))).alias("ann"))
+    return genes.distinct_effects(found)
+
+
+def old_risk(spark: SparkSession, d: str) -> DataFrame:
+    from tidewell.operators import legacy
+
+    return legacy.old_risk(view(spark, d, "fx_clinical")).withColumn("sex_chromosomes", F.col("sex_chromosomes").cast("double"))
+
+
+def exon_parts(spark: SparkSession, d: str) -> DataFrame:
+    text = F.concat((F.col("START") % 30).cast("int").cast("string"), F.when(F.col("CHR") != "1", F.concat(F.lit("/"), F.col("CHR"))).otherwise(F.lit("")))
+    n, total, share = genes.exon(text)
+    return _round(view(spark, d, "fx_molecular").select("ID", n.alias("exon"), total.alias("exons"), share.alias("share")))
+
+
+def float_columns(spark: SparkSession, d: str) -> DataFrame:
+    """Measures as 4-byte floats, but the protected one; what was lost by it."""
+    c = view(spark, d, "fx_clinical")
+    f = clean.as_floats(c, keep=("HB",)).select("ID", *[F.col(x).cast("double").alias(f"{x}_f") for x in ("WBC", "PLT", "HB")], *[F.typeof(x).alias(f"{x}_type") for x in ("WBC", "HB")])
+    return _round(f, 2)
+
+
+def vcf_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Variants written as a VCF (a header, rows with several alleles, rows without significance) and read back, one row per variant."""
+    from tidewell.operators.ordered import shared_path
+
+    m = view(spark, d, "fx_molecular").groupBy("CHR", "START", "REF", "ALT").agg(F.min("DEPTH").alias("dp"))
+    info = F.concat(F.lit("DP="), F.col("dp").cast("int"), F.when(F.col("dp") > 10, F.concat(F.lit(";CLNSIG="), F.when(F.col("dp") > 30, "Pathogenic").otherwise("Benign"), F.lit(";X=1"))).otherwise(F.lit("")))
+    alt = F.when(F.col("dp") % 7 == 0, F.concat("ALT", F.lit(",N"))).otherwise(F.col("ALT"))
+    lines = m.select(F.concat_ws("\t", F.concat(F.lit("chr"), "CHR"), F.col("START").cast("long"), F.lit("."), "REF", alt, F.lit("."), F.lit("."), info).alias("value"))
+    path = shared_path(spark, "vcf")
+    lines.unionByName(spark.createDataFrame([("##fileformat=VCFv4.2",), ("#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO",)], "value string")).write.text(path)
+    return readers.vcf(spark, path).select("vid", "POS", "REF", "ALT", "CLNSIG")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         gene_dimension, gene_flags_by_patient, clinvar_features, cadd_features, annotation_backlog, effect_standardize, protein_short, lab_transpose, derive_vaf, json_props, annotate_mutations, harmonised_target,
-        relational_features, string_agg_events, value_counts, pattern_counts, external_cohort, aux_flags,
+        relational_features, string_agg_events, value_counts, pattern_counts, external_cohort, aux_flags, driver_matches, arm_flags, nested_effects, old_risk, exon_parts, float_columns, vcf_scan,
     )
 }
 
@@ -150,21 +230,36 @@ _DIM = "dim AS (SELECT GENE, max(CASE WHEN regexp_matches(EFFECT, '(?i)stop|fram
 _SIG = "s AS (SELECT ID, split_part('pathogenic|likely_pathogenic|benign|uncertain_significance|conflicting', '|', 1 + CAST(CHR AS INT) % 5) AS s FROM fx_molecular)"
 _TRUST = "(VAF BETWEEN 0 AND 1 AND DEPTH >= 10) IS TRUE OR EFFECT = 'ITD' OR contains(PROTEIN_CHANGE, 'ITD') OR (GENE IN ('MLL', 'KMT2A') AND (contains(EFFECT, 'PTD') OR contains(PROTEIN_CHANGE, 'PTD')))"
 _VID = "concat('chr', CHR, ':g.', CAST(CAST(START AS BIGINT) AS VARCHAR), REF, '>', ALT)"
+_HAS = lambda n, p, t="t": f"regexp_matches({t}, '(?i){p}')::INT AS {n}"
 
 ORACLES = {
+    "driver_matches": oracle("SELECT ID, count(*) FILTER (length(GENE) % 2 = 1 AND EFFECT = 'non_synonymous_codon') AS oncogene_missense_match, count(*) FILTER (length(GENE) % 2 = 0 AND (GENE LIKE 'T%' OR GENE LIKE 'A%') AND EFFECT IN ('stop_gained', 'frameshift_variant', 'splice_site_variant')) AS tsg_truncating_match FROM fx_molecular GROUP BY ID", "fx_molecular"),
+    "arm_flags": oracle("WITH m AS (SELECT ID, " + ", ".join(f"max((CHR = '{a[:-1]}' AND {'DEPTH > 25' if a[-1] == 'q' else 'DEPTH <= 25'})::INT) AS mutated_arm_{a}" for a in ("5q", "7q", "17p")) + " FROM fx_molecular GROUP BY ID), c AS (SELECT ID, coalesce(contains(CYTOGENETICS, '-5'), false)::INT AS del_5q_or_mono5, coalesce(contains(CYTOGENETICS, '-7'), false)::INT AS monosomy_7_or_del7q, coalesce(contains(CYTOGENETICS, 'del(17)'), false)::INT AS del_17p_or_i17q FROM fx_clinical), j AS (SELECT c.*, " + ", ".join(f"coalesce(mutated_arm_{a}, 0) AS mutated_arm_{a}" for a in ("5q", "7q", "17p")) + " FROM c LEFT JOIN m USING (ID)) SELECT *, mutated_arm_5q * del_5q_or_mono5 AS mut_in_5q_and_del5q, mutated_arm_7q * monosomy_7_or_del7q AS mut_in_7q_and_del7q, mutated_arm_17p * del_17p_or_i17q AS mut_in_17p_and_del17p FROM j", "fx_clinical", "fx_molecular"),
+    "nested_effects": oracle("SELECT EFFECT AS effect, sum(CASE WHEN CAST(CHR AS INT) % 2 = 0 THEN 1 ELSE 2 END)::BIGINT AS n FROM fx_molecular GROUP BY EFFECT", "fx_molecular"),
+    "old_risk": oracle(
+        "WITH k AS (SELECT ID, trim(coalesce(CYTOGENETICS, '46,XX')) AS t FROM fx_clinical), f AS (SELECT ID, t, CASE WHEN TRY_CAST(nullif(regexp_extract(t, '(\\d+)', 1), '') AS INT) BETWEEN 30 AND 80 THEN CAST(regexp_extract(t, '(\\d+)', 1) AS INT) ELSE 46 END AS chromosome_count, CASE WHEN regexp_matches(t, '(?i)\\bXY\\b') THEN 1 WHEN regexp_matches(t, '(?i)\\bXX\\b') THEN 0 ELSE 0.5 END::DOUBLE AS sex_chromosomes, "
+        + ", ".join(_HAS(n, p) for n, p in {"t_8_21": r"t\(8;21\)", "inv_16": r"inv\(16\)", "t_16_16": r"t\(16;16\)", "t_15_17": r"t\(15;17\)", "trisomy_8": r"\+8([^0-9]|$)", "t_9_11": r"t\(9;11\)", "kmt2a_rearranged": "11q23", "del_5q": r"-5([^0-9]|$)|del\(5\)|del\(5q\)", "monosomy_7": r"-7([^0-9]|$)|del\(7\)|del\(7q\)", "del_17p": r"del\(17\)|del\(17p\)", "abn_3q": r"inv\(3\)|t\(3;3\)", "t_6_9": r"t\(6;9\)", "t_9_22": r"t\(9;22\)"}.items())
+        + ", regexp_matches(t, '^46,X[XY](\\[\\d+\\])?$')::INT AS normal_karyotype, length(t) - length(replace(t, ',', '')) AS num_cyto_abnormalities FROM k), g AS (SELECT * EXCLUDE (t), greatest(t_8_21, inv_16, t_16_16, t_15_17) AS any_favorable_cyto, greatest(del_5q, monosomy_7, del_17p, abn_3q, t_6_9, t_9_22) AS any_adverse_cyto, (num_cyto_abnormalities >= 3)::INT AS complex_karyotype, (len(regexp_extract_all(t, '-\\d+\\b')) >= 2 OR len(regexp_extract_all(lower(t), 'monosomy')) >= 2)::INT AS monosomal_karyotype FROM f) SELECT *, CASE WHEN any_adverse_cyto = 1 OR complex_karyotype = 1 THEN 2 WHEN any_favorable_cyto = 1 THEN 0 ELSE 1 END AS eln_cyto_risk FROM g",
+        "fx_clinical",
+    ),
+    "exon_parts": oracle("SELECT ID, CAST(CAST(START % 30 AS INT) AS DOUBLE) AS exon, CASE WHEN CHR <> '1' THEN CAST(CHR AS DOUBLE) END AS exons, CASE WHEN CHR <> '1' THEN round(CAST(CAST(START % 30 AS INT) AS DOUBLE) / CAST(CHR AS DOUBLE), 6) END AS share FROM fx_molecular", "fx_molecular"),
+    "float_columns": oracle("SELECT ID, round(CAST(CAST(WBC AS FLOAT) AS DOUBLE), 2) AS WBC_f, round(PLT, 2) AS PLT_f, round(HB, 2) AS HB_f, 'float' AS WBC_type, 'double' AS HB_type FROM fx_clinical", "fx_clinical"),
+    "vcf_scan": oracle("WITH m AS (SELECT CHR, START, REF, ALT, min(DEPTH) AS dp FROM fx_molecular GROUP BY ALL) SELECT concat('chr', CHR, ':g.', CAST(CAST(START AS BIGINT) AS VARCHAR), REF, '>', ALT) AS vid, CAST(START AS BIGINT) AS POS, REF, ALT, CASE WHEN dp > 30 THEN 'Pathogenic' ELSE 'Benign' END AS CLNSIG FROM m WHERE dp > 10 AND dp % 7 <> 0", "fx_molecular"),
     "gene_dimension": oracle(f"WITH {_DIM} SELECT * FROM dim", "fx_molecular"),
     "gene_flags_by_patient": oracle(f"WITH {_DIM} SELECT ID, sum(is_itd)::BIGINT AS is_itd_count, CASE WHEN sum(is_itd) > 0 THEN 1 ELSE 0 END AS any_is_itd, min(tier) AS tier_min, count(*) FILTER (tier = 1) AS tier1_gene_count, count(*) FILTER (tier = 2) AS tier2_gene_count, count(*) FILTER (tier = 3) AS tier3_gene_count, max((tier IS NOT NULL)::INT) AS has_tier, count(DISTINCT GENE) AS gene_count FROM fx_molecular JOIN dim USING (GENE) GROUP BY ID", "fx_molecular"),
     "clinvar_features": oracle(f"WITH {_SIG} SELECT ID, " + ", ".join(f"count(*) FILTER (contains(s, '{c}')) AS clinvar_{c}_count, CASE WHEN count(*) FILTER (contains(s, '{c}')) > 0 THEN 1 ELSE 0 END AS any_clinvar_{c}, round(count(*) FILTER (contains(s, '{c}')) / count(s), 6) AS clinvar_{c}_ratio" for c in ("pathogenic", "likely_pathogenic", "benign", "uncertain", "conflicting")) + " FROM s GROUP BY ID", "fx_molecular"),
     "cadd_features": oracle("WITH s AS (SELECT ID, CASE WHEN length(REF) = 1 AND length(ALT) = 1 AND START = \"END\" THEN DEPTH * 0.7::DOUBLE END AS c FROM fx_molecular) SELECT ID, round(max(c), 6) AS cadd_max, round(avg(c), 6) AS cadd_mean, count(*) FILTER (c >= 20) AS cadd_high_count FROM s GROUP BY ID", "fx_molecular"),
     "annotation_backlog": oracle(f"WITH v AS (SELECT CHR, {_VID} AS vid FROM fx_molecular WHERE length(REF) = 1 AND length(ALT) = 1) SELECT DISTINCT vid FROM v WHERE vid NOT IN (SELECT vid FROM v WHERE CHR = '1')", "fx_molecular"),
-    "effect_standardize": oracle("SELECT DISTINCT EFFECT, EFFECT AS label FROM fx_molecular", "fx_molecular"),
-    "protein_short": oracle("SELECT DISTINCT CASE WHEN PROTEIN_CHANGE = 'p.R882H' THEN 'p.Arg' || CAST(DEPTH AS INT) || 'His' ELSE PROTEIN_CHANGE END AS given, CASE WHEN PROTEIN_CHANGE = 'p.R882H' THEN 'p.R' || CAST(DEPTH AS INT) || 'H' ELSE PROTEIN_CHANGE END AS short FROM fx_molecular", "fx_molecular"),
-    "lab_transpose": oracle("SELECT ID AS sample, round(WBC, 6) AS wbc, HB AS hb FROM fx_clinical WHERE CAST(substr(ID, 2) AS BIGINT) < 8", "fx_clinical"),
-    "derive_vaf": oracle("SELECT ID, DEPTH + CAST(CHR AS DOUBLE) AS depth, round(round_even(CAST(CHR AS DOUBLE) / (DEPTH + CAST(CHR AS DOUBLE)), 4), 3) AS vaf, CASE WHEN ALT = 'CT' THEN REF ELSE ALT END AS allele FROM fx_molecular", "fx_molecular"),
+    "effect_standardize": oracle("WITH r AS (SELECT CASE WHEN CHR <> '22' THEN list_extract([" + ", ".join(f"'{e}'" for e in _RAW_EFFECTS) + f"], CAST(START % {len(_RAW_EFFECTS)} AS INT) + 1) END AS raw FROM fx_molecular) SELECT raw, " + """CASE WHEN raw IS NULL THEN 'unknown' WHEN lower(raw) IN ('frameshift_variant', 'stop_gained&splice') THEN 'frameshift_or_stop_gained' WHEN raw = 'stop_lost' THEN 'stop_lost' WHEN raw IN ('start_lost', 'initiator_codon_variant') THEN 'start_lost'
+        WHEN raw LIKE 'splice%' THEN 'splice_site_variant' WHEN raw = 'conservative_inframe_deletion' THEN 'inframe_variant' WHEN raw IN ('Missense_Variant', 'non_synonymous_codon') THEN 'non_synonymous_codon' WHEN raw = 'synonymous_variant' THEN 'synonymous_codon' WHEN raw LIKE '3%' THEN 'utr_variant'
+        WHEN raw = 'upstream_gene_variant' THEN 'regulatory_variant' WHEN raw = 'intron_variant' THEN 'intron_variant' WHEN raw LIKE 'intergenic%' THEN 'intergenic_variant' ELSE 'other' END AS label, count(*) AS n FROM r GROUP BY raw, label""", "fx_molecular"),
+    "protein_short": oracle("WITH r AS (SELECT DISTINCT CAST(START % 10 AS INT) AS form, CAST(CAST(START % 700 AS INT) AS VARCHAR) AS n FROM fx_molecular) SELECT list_extract([" + ", ".join(f"replace('{x}', '{{n}}', n)" for x in _RAW_PROTEINS) + "], form + 1) AS given, list_extract(['p.R' || n || 'H', 'p.Arg' || n || 'fs', 'p.Q' || n || '*', 'p.R' || n || '*', 'p.L' || n || 'P', 'p.?' || n || 'V', 'p.V' || n || 'F', 'p.Met' || n || '=', 'c.' || n || 'A>G', 'p.?' || n || '?'], form + 1) AS short FROM r", "fx_molecular"),
+    "lab_transpose": oracle("SELECT ID AS sample, round(WBC, 6) AS wbc, HB AS hb FROM fx_clinical", "fx_clinical"),
+    "derive_vaf": oracle("SELECT ID, DEPTH + CAST(CHR AS DOUBLE) AS depth, round_even(CAST(CHR AS DOUBLE) / (DEPTH + CAST(CHR AS DOUBLE)), 4) AS vaf, CASE WHEN ALT = 'CT' THEN REF ELSE ALT END AS allele FROM fx_molecular", "fx_molecular"),
     "json_props": "SELECT event_type, count(json_extract(props, '$.k')) AS n, sum(CAST(json_extract(props, '$.k') AS BIGINT))::BIGINT AS total, max(CAST(json_extract(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type",
     "annotate_mutations": oracle("WITH m AS (SELECT *, CASE WHEN DEPTH > 25 THEN EFFECT ELSE 'non_synonymous_codon' END AS e, CASE WHEN DEPTH > 25 THEN PROTEIN_CHANGE ELSE 'p.R882H' END AS p FROM fx_molecular) SELECT e AS EFFECT, p AS PROTEIN_CHANGE, 'MODERATE' AS IMPACT, count(*) AS n, count(*) AS genes, round(avg(coalesce(VAF, 0.25)), 6) AS vaf FROM m GROUP BY e, p", "fx_molecular"),
     "harmonised_target": oracle("SELECT t.ID, CAST(OS_STATUS AS DOUBLE) AS OS_STATUS, round(OS_YEARS * 12 / 12, 6) AS OS_YEARS, CASE WHEN CENTER = 'CTR_0' THEN 'CTR_UNKNOWN' ELSE CENTER END AS CENTER FROM fx_target t JOIN fx_clinical USING (ID)", "fx_target", "fx_clinical"),
-    "relational_features": oracle("WITH g AS (SELECT ID, count(*) AS n, " + ", ".join(f"round(sum({c}), 6) AS {c}_sum, round(avg({c}), 6) AS {c}_mean, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max, round(stddev_samp({c}), 6) AS {c}_std" for c in ("DEPTH", "VAF")) + ", CAST(count(DISTINCT GENE) AS DOUBLE) AS GENE_distinct FROM fx_molecular GROUP BY ID) SELECT c.ID, coalesce(n, 0) AS n_rows, g.* EXCLUDE (ID, n) FROM fx_clinical c LEFT JOIN g USING (ID)", "fx_clinical", "fx_molecular"),
+    "relational_features": oracle("WITH g AS (SELECT ID, count(*) AS n, " + ", ".join(f"round(sum({c}), 6) AS {c}_sum, round(avg({c}), 6) AS {c}_mean, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max, round(stddev_samp({c}), 6) AS {c}_std, CASE WHEN min({c}) < max({c}) THEN round(avg(power({c} - m_{c}, 3)) / power(stddev_pop({c}), 3), 6) + 0.0::DOUBLE END AS {c}_skew" for c in ("DEPTH", "VAF")) + ", CAST(count(DISTINCT GENE) AS DOUBLE) AS GENE_distinct, any_value(top) AS GENE_mode FROM (SELECT m.*, avg(DEPTH) OVER (PARTITION BY ID) AS m_DEPTH, avg(VAF) OVER (PARTITION BY ID) AS m_VAF, top FROM fx_molecular m JOIN (SELECT ID, GENE AS top FROM fx_molecular GROUP BY ID, GENE QUALIFY row_number() OVER (PARTITION BY ID ORDER BY count(*) DESC, GENE) = 1) USING (ID)) GROUP BY ID) SELECT c.ID, coalesce(n, 0) AS n_rows, g.* EXCLUDE (ID, n) FROM fx_clinical c LEFT JOIN g USING (ID)", "fx_clinical", "fx_molecular"),
     "string_agg_events": oracle("SELECT ID, string_agg(DISTINCT EFFECT, '; ' ORDER BY EFFECT) AS events FROM fx_molecular GROUP BY ID", "fx_molecular"),
     "value_counts": oracle("WITH t AS (SELECT trim(unnest(regexp_split_to_array(CYTOGENETICS, '[,/]'))) AS value FROM fx_clinical) SELECT value, count(*) AS n FROM t WHERE value <> '' GROUP BY value", "fx_clinical"),
     "pattern_counts": oracle(" UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) FILTER (contains(CYTOGENETICS, '{p}')) AS rows FROM fx_clinical" for n, p in (("t_8_21", "t(8;21)"), ("inv16", "inv(16)"), ("complex", "complex"), ("minus7", "-7"))), "fx_clinical"),

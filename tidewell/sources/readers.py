@@ -32,18 +32,26 @@ def tsv(spark: SparkSession, path: str, names: list[str], missing: tuple[str, ..
     return rows.select(*[blank_as_null(F.col(c), *missing).alias(c) for c in names])
 
 
-def gene_census(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    """A census table as strings, broken lines dropped, the tier as a number."""
-    rows = spark.read.schema(_strings(names)).option("sep", "\t").option("header", True).option("mode", "DROPMALFORMED").csv(path)
-    rows = rows.select(*[blank_as_null(F.col(c)).alias(c) for c in names])
-    return rows.withColumn("TIER", number(F.col("TIER"))) if "TIER" in names else rows
+def gene_census(spark: SparkSession, path: str, names: list[str], wanted: dict[str, str] | None = None) -> DataFrame:
+    """A census table as strings, broken lines dropped, some columns kept under other names, the tier as a number. wanted: name in the file,
+    blanks around it left out -> new name."""
+    rows = spark.read.schema(_strings([n.strip() for n in names])).option("sep", "\t").option("header", True).option("enforceSchema", True).option("mode", "DROPMALFORMED").csv(path)
+    rows = rows.select(*[blank_as_null(F.col(f"`{c}`")).alias(new) for c, new in (wanted or {n.strip(): n.strip() for n in names}).items()])
+    return rows.withColumn("TIER", number(F.col("TIER"))) if "TIER" in rows.columns else rows
+
+
+def gene_list(spark: SparkSession, path: str, names: list[str], wanted: dict[str, str]) -> DataFrame:
+    """A few columns of a tab-separated gene list; the scan reads no others."""
+    return tsv(spark, path, names).select(*[F.col(f"`{c}`").alias(new) for c, new in wanted.items()])
 
 
 def vcf(spark: SparkSession, path: str) -> DataFrame:
-    """vid, CHROM, POS, REF, ALT and CLNSIG of single-allele rows, the first of each variant."""
+    """vid, CHROM, POS, REF, ALT and CLNSIG of single-allele rows that have a significance; of rows of one variant, the first of the file."""
     rows = spark.read.schema(_strings(VCF)).option("sep", "\t").option("comment", "#").csv(path)
-    rows = rows.filter(~F.col("ALT").contains(",")).select("CHROM", F.col("POS").try_cast("long").alias("POS"), "REF", "ALT", F.nullif(F.regexp_extract("INFO", "CLNSIG=([^;]+)", 1), F.lit("")).alias("CLNSIG")).filter("POS IS NOT NULL")
-    return first_by_key(rows.withColumn("vid", variant_id("CHROM", "POS", "REF", "ALT")), "vid", F.col("CLNSIG").asc_nulls_last(), "CHROM")
+    place = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    rows = rows.select("CHROM", F.col("POS").try_cast("long").alias("POS"), "REF", "ALT", F.nullif(F.regexp_extract("INFO", "CLNSIG=([^;]+)", 1), F.lit("")).alias("CLNSIG"), place.alias("_place"))
+    rows = rows.filter(~F.col("ALT").contains(",") & F.col("CLNSIG").isNotNull() & F.col("POS").isNotNull() & F.col("REF").isNotNull())
+    return first_by_key(rows.withColumn("vid", variant_id("CHROM", "POS", "REF", "ALT")), "vid", "_place").drop("_place")
 
 
 def annotations(lines: DataFrame, column: str = "value") -> DataFrame:
@@ -57,12 +65,14 @@ def score_cache(lines: DataFrame, column: str = "value") -> DataFrame:
     return lines.select(F.explode(F.from_json(column, "map<string,double>")).alias("vid", "score"))
 
 
-def lab_matrix(rows: DataFrame, metric: str, samples: list[str], wanted: dict[str, str]) -> DataFrame:
-    """A matrix with one row per metric and one column per sample, turned: one row per sample, wanted metrics renamed, as numbers.
+def lab_matrix(rows: DataFrame, metric: str, samples: list[str], wanted: dict[str, str], by: list[str] | None = None) -> DataFrame:
+    """Matrices with one row per metric and one column per sample, turned: one row per sample, wanted metrics renamed, as numbers. Several
+    matrices of one layout are told apart by the columns `by`.
 
     A wanted metric that doesn't occur is an error."""
-    long = rows.filter(F.col(metric).isin(list(wanted))).select(metric, *[F.col(s).cast("string").alias(s) for s in samples]).unpivot([metric], samples, "sample", "value")
-    out = long.groupBy("sample").agg(*[F.first(F.when(F.col(metric) == m, number(F.col("value"))), ignorenulls=True).alias(name) for m, name in wanted.items()])
+    by = by or []
+    long = rows.filter(F.col(metric).isin(list(wanted))).select(*by, metric, *[F.col(s).cast("string").alias(s) for s in samples]).unpivot([*by, metric], samples, "sample", "value")
+    out = long.groupBy(*by, "sample").agg(*[F.first(F.when(F.col(metric) == m, number(F.col("value"))), ignorenulls=True).alias(name) for m, name in wanted.items()])
     have = {r[0] for r in rows.filter(F.col(metric).isin(list(wanted))).select(metric).distinct().collect()}
     if set(wanted) - have:
         raise ValueError(f"missing metrics: {sorted(set(wanted) - have)}")
