@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tidewell.config import COMPLEX_FROM, EVENTS, FAVORABLE_CYTO, FREE_TEXT_COMPLEX, NORMALIZATION, SPECIFIC_ABNORMALITIES, STRUCTURAL
 from tidewell.functions.nulls import flag
+from tidewell.operators.ordered import settle
 
 _NAMES = list(EVENTS)
 
@@ -81,14 +82,15 @@ def clones(df: DataFrame, text: str = "CYTOGENETICS") -> DataFrame:
 
     df = df.withColumn("_clones", F.aggregate("_own", start, fold)["out"])
     df = df.withColumn("_clones", F.transform("_clones", lambda c: F.struct(c["cells"].alias("cells"), c["counts"].alias("counts"), _total(c["counts"]).alias("abn"))))
-    df = df.withColumn("_free", event_counts(F.col("_norm")))
     listed = F.col("_norm").rlike(r"^\s*\d{1,2}")
     normal = F.col("_norm").rlike(r"(?i)^normal$")
     complex_text = ~listed & ~normal & F.col("_norm").rlike("(?i)" + FREE_TEXT_COMPLEX)
     free = ~listed & ~normal & ~complex_text
+    df = df.withColumn("_free", F.when(free, event_counts(F.col("_norm"))))
+    df = df.withColumns({"_most": F.array_max(F.transform("_clones", lambda c: c["abn"])), "_cells": F.array_max(F.transform("_clones", lambda c: c["cells"]))})
     any_clone = listed & (F.size("_clones") > 0)
-    most = F.get(F.filter("_clones", lambda c: c["abn"] == F.array_max(F.transform("_clones", lambda x: x["abn"]))), F.lit(0))
-    main = F.get(F.filter("_clones", lambda c: c["cells"] == F.array_max(F.transform("_clones", lambda x: x["cells"]))), F.lit(0))
+    most = F.get(F.filter("_clones", lambda c: c["abn"] == F.col("_most")), F.lit(0))
+    main = F.get(F.filter("_clones", lambda c: c["cells"] == F.col("_cells")), F.lit(0))
     cells = F.aggregate("_clones", F.lit(0), lambda a, c: a + c["cells"])
     weighted = F.aggregate("_clones", F.lit(0), lambda a, c: a + c["cells"] * c["abn"])
     counts = F.when(any_clone, most["counts"]).when(free, F.col("_free")).otherwise(zero)
@@ -105,12 +107,23 @@ def clones(df: DataFrame, text: str = "CYTOGENETICS") -> DataFrame:
         }
     )
     df = df.withColumns({n: F.coalesce(F.get("_counts", F.lit(i)), F.lit(0)) for i, n in enumerate(_NAMES)})
-    return df.drop("_pieces", "_own", "_clones", "_free", "_counts")
+    return df.drop("_pieces", "_own", "_clones", "_free", "_counts", "_most", "_cells")
 
 
 def cytogenetics(df: DataFrame, text: str = "CYTOGENETICS", key: str = "ID") -> DataFrame:
-    """The whole block: key, cyto_is_missing, and all features sorted by name; the features of a missing karyotype are NULL."""
-    out = clones(df.select(key, text), text)
+    """The whole block: key, cyto_is_missing, and all features sorted by name; the features of a missing karyotype are NULL.
+
+    Texts repeat, so each distinct one is parsed once and joined back (by broadcast if the written table is small, else Spark splits what is
+    skewed)."""
+    parsed = settle(_parsed(df.select(text).filter(F.col(text).isNotNull()).distinct(), text)).withColumnRenamed(text, "_text")
+    rows = df.select(key, text).join(parsed, F.col(text) == F.col("_text"), "left")
+    made = {c: F.col(c) for c in parsed.columns if c != "_text"} | {"cyto_is_missing": F.col(text).isNull().cast("int")}
+    return rows.select(key, *[made[c].alias(c) for c in sorted(made)])
+
+
+def _parsed(texts: DataFrame, text: str) -> DataFrame:
+    """All features of each karyotype text."""
+    out = clones(texts, text)
     t = F.col("_norm")
     has = lambda p: flag(t.rlike("(?i)" + p))
     n = F.regexp_extract(t, r"^\s*(\d+)", 1).try_cast("double")
@@ -143,10 +156,7 @@ def cytogenetics(df: DataFrame, text: str = "CYTOGENETICS", key: str = "ID") ->
     out = out.withColumn("any_adverse_cyto", F.greatest("del_5q_or_mono5", "monosomy_7_or_del7q", "del_17p_or_i17q", "rearr_3q26", "monosomal_karyotype"))
     adverse, favorable = (F.col("any_adverse_cyto") == 1) | (F.col("complex_karyotype") == 1), F.coalesce(t.rlike("(?i)" + FAVORABLE_CYTO), F.lit(False))
     out = out.withColumns({"eln_cyto_adverse": adverse.cast("int"), "eln_cyto_favorable": (favorable & ~adverse).cast("int"), "eln_cyto_intermediate": (~favorable & ~adverse).cast("int")})
-    names = sorted(c for c in out.columns if c not in (key, text, "_norm"))
-    missing = F.col(text).isNull()
-    made = {c: F.when(~missing, F.col(c)).alias(c) for c in names} | {"cyto_is_missing": missing.cast("int").alias("cyto_is_missing")}
-    return out.select(key, *[made[c] for c in sorted(made)])
+    return out.drop("_norm")
 
 
 def quick_risk(df: DataFrame, text: str = "CYTOGENETICS") -> DataFrame:

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import warnings
 from dataclasses import dataclass, field
+from functools import reduce
 from itertools import product
 
 import numpy as np
@@ -99,26 +101,41 @@ def fit_cox(df: DataFrame, features: list[str], alpha: float = 0.01, rounds: int
         beta = beta + np.clip(step, -2, 2)
         if np.abs(step).max() < tolerance:
             break
+    else:
+        warnings.warn(f"coefficients still move by {np.abs(step).max():.1g} after {rounds} steps", stacklevel=2)
     return LinearRisk(features, (beta / sd).tolist(), mean.tolist())
 
 
-def fit_coxnet(df: DataFrame, features: list[str], mixing: float = 0.9, path: int = 5, least: float = 0.05, rounds: int = 30) -> list[tuple[float, LinearRisk]]:
-    """The elastic-net path: models by falling penalty, each by proximal gradient steps from the one before."""
+def _elastic_step(beta: np.ndarray, g: np.ndarray, h: np.ndarray, lasso: float, ridge: float) -> np.ndarray:
+    """Minimum of the quadratic approximation at beta plus both penalties, by coordinate descent on a matrix of the number of features."""
+    new = beta.copy()
+    for _ in range(1000):
+        before = new.copy()
+        for j in range(len(new)):
+            slope = g[j] - h[j] @ (new - beta) + h[j, j] * new[j]
+            new[j] = np.sign(slope) * max(abs(slope) - lasso, 0.0) / max(h[j, j] + ridge, 1e-12)
+        if np.abs(new - before).max() < 1e-10:
+            break
+    return new
+
+
+def fit_coxnet(df: DataFrame, features: list[str], mixing: float = 0.9, path: int = 5, least: float = 0.05, rounds: int = 30, tolerance: float = 1e-5) -> list[tuple[float, LinearRisk]]:
+    """The elastic-net path: models by falling penalty, each from the one before by proximal Newton steps (one pass over the rows for each).
+    A model that hasn't settled after `rounds` steps gives a warning."""
     rows, mean, sd = _standardised(df, features)
     n = rows.count() or 1
-    g0, h0, _ = _gradient(rows, features, np.zeros(len(features)))
+    g0, _, _ = _gradient(rows, features, np.zeros(len(features)))
     top = np.abs(g0).max() / n / max(mixing, 1e-3)
-    size = n / max(np.linalg.eigvalsh(h0).max(), 1e-9)
     beta, out = np.zeros(len(features)), []
     for lam in np.geomspace(top, top * least, path):
         for _ in range(rounds):
-            g, _, _ = _gradient(rows, features, beta, second=False)
-            moved = beta + size * (g / n - lam * (1 - mixing) * beta)
-            new = np.sign(moved) * np.maximum(np.abs(moved) - size * lam * mixing, 0)
-            done = np.abs(new - beta).max() < 1e-4
-            beta = new
-            if done:
+            g, h, _ = _gradient(rows, features, beta)
+            new = _elastic_step(beta, g / n, h / n, lam * mixing, lam * (1 - mixing))
+            moved, beta = np.abs(new - beta).max(), new
+            if moved < tolerance:
                 break
+        else:
+            warnings.warn(f"penalty {lam:.3g}: coefficients still move by {moved:.1g} after {rounds} steps", stacklevel=2)
         out.append((float(lam), LinearRisk(features, (beta / sd).tolist(), mean.tolist())))
     return out
 
@@ -224,6 +241,26 @@ def trials(space: dict[str, list], done: DataFrame | None, spark, most: int | No
     return table.join(done.select("trial"), "trial", "left_anti") if done is not None else table
 
 
+def run_trials(df: DataFrame, features: list[str], kind: str, space: dict[str, list], log: DataFrame | None = None, folds: int = 5, tau: float | None = 7.0, most: int | None = None, key: str = "ID") -> DataFrame:
+    """(trial, params, fold, score): every parameter row of the grid that the log lacks is fitted and scored out of fold; rows of the log stay.
+
+    Trials run one after another (each is a distributed fit), and a run that is broken off goes on from the log that it has written."""
+    open_ = trials(space, log, df.sparkSession, most).orderBy("params").collect()  # one row for each trial
+    rows, target = settle(df), df.select(key, TIME, EVENT)
+    done = [log] if log is not None else []
+    for trial in open_:
+        oof = out_of_fold(rows, features, {kind: json.loads(trial["params"])}, folds, key)
+        score = fold_scores(oof, target, tau, key)
+        done.append(settle(score.select(F.lit(trial["trial"]).alias("trial"), F.lit(trial["params"]).alias("params"), "fold", "score")))
+    return reduce(DataFrame.unionByName, done)
+
+
+def retrained_without(df: DataFrame, outliers: DataFrame, features: list[str], models: dict[str, dict], folds: int = 5, tau: float | None = 7.0, key: str = "ID") -> DataFrame:
+    """(model, fold, score) of out-of-fold fits on the rows that aren't among the outliers."""
+    rows = settle(df.join(outliers.select(key), key, "left_anti"))
+    return fold_scores(out_of_fold(rows, features, models, folds, key), rows.select(key, TIME, EVENT), tau, key)
+
+
 def best_trial(log: DataFrame) -> DataFrame:
     """trial, params, mean score and folds, the best first."""
     return log.groupBy("trial", "params").agg(F.avg("score").alias("mean_score"), F.count(F.lit(1)).alias("folds")).orderBy(F.desc("mean_score"), "trial")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell import config as C
@@ -11,16 +13,62 @@ from tidewell.operators.joins import add_new_columns
 from tidewell.operators.ordered import settle
 
 
-def features(patients: DataFrame, mutation_rows: DataFrame) -> DataFrame:
-    """Clinical, cytogenetic, molecular, co-mutation, risk and interaction blocks of cleaned tables. Absent mutation features are 0."""
-    base = clinical.clinical_features(patients, C.MEASURES, C.RATIOS, C.THRESHOLDS, C.SCORES, C.SCORE_FLAGS)
-    base = add_new_columns(base, karyotype.cytogenetics(patients))
-    molecular = mutations.by_patient(mutation_rows, mutations.presence(C.GENES), mutations.allele_fractions(C.VAF_THRESHOLDS), mutations.kinds(C.MUTATION_TYPES), mutations.pathways(C.PATHWAYS), mutations.burden())
-    out = mutations.with_blocks(base, molecular)
-    out = mutations.comutations(out, C.COMUTATIONS, C.PATHWAYS)
-    out = mutations.molecular_risk(out, [f"mut_{g}" for g in C.FAVORABLE_GENES], [f"mut_{g}" for g in C.ADVERSE_GENES])
-    out, _ = mutations.interactions(out, C.INTERACTIONS)
-    return mutations.arm_cross(out, C.ARMS)
+@dataclass
+class Annotations:
+    """What is known about genes and variants, each table optional.
+
+    genes: GENE, 0/1 flags, and `tier` and `arm` where known (genes.gene_dimension and genes.arm make it); significance: vid and CLNSIG
+    (readers.vcf makes it); scores: vid and score (readers.score_cache makes it). One row for each gene or variant.
+    """
+
+    genes: DataFrame | None = None
+    significance: DataFrame | None = None
+    scores: DataFrame | None = None
+    tiers: tuple[int, ...] = (1, 2)
+
+    def blocks(self, rows: DataFrame) -> tuple[DataFrame, list[dict[str, Column]]]:
+        """Mutation rows with the annotations joined to them, and the aggregates of those that there are."""
+        blocks: list[dict[str, Column]] = []
+        if self.genes is not None:
+            new = [c for c in self.genes.columns if c not in rows.columns]
+            rows = rows.join(self.genes.select("GENE", *new), "GENE", "left")
+            flags = [c for c in new if c not in ("tier", "arm")]
+            blocks += [mutations.dimension_flags(flags), mutations.driver_matches(rows.columns)]
+            if "tier" in new:
+                blocks.append(mutations.tiers("tier", list(self.tiers)))
+            if "arm" in new:
+                blocks.append(mutations.arms("arm", list(C.ARMS)))
+        if self.significance is not None or self.scores is not None:
+            rows = rows.withColumn("_vid", mutations.variant_id())
+        if self.significance is not None:
+            rows = rows.join(self.significance.select(F.col("vid").alias("_vid"), "CLNSIG"), "_vid", "left")
+            blocks.append(mutations.significance("CLNSIG", C.CLINVAR_CATEGORIES))
+        if self.scores is not None:
+            rows = rows.join(self.scores.select(F.col("vid").alias("_vid"), F.col("score").alias("_score")), "_vid", "left")
+            blocks.append(mutations.pathogenicity("_score", C.CADD_HIGH))
+        return rows, blocks
+
+
+def features(patients: DataFrame, mutation_rows: DataFrame, known: Annotations | None = None, leave: tuple[str, ...] = ()) -> DataFrame:
+    """Clinical, cytogenetic, molecular, annotation, co-mutation, risk, interaction and arm blocks of cleaned tables; absent mutation features
+    are 0. `leave` names blocks to leave out: clinical, cytogenetic, molecular, annotations, comutations, risk, interactions, arms."""
+    out = patients
+    if "clinical" not in leave:
+        out = clinical.clinical_features(out, C.MEASURES, C.RATIOS, C.THRESHOLDS, C.SCORES, C.SCORE_FLAGS)
+    if "cytogenetic" not in leave:
+        out = add_new_columns(out, karyotype.cytogenetics(patients))
+    rows, blocks = known.blocks(mutation_rows) if known and "annotations" not in leave else (mutation_rows, [])
+    if "molecular" not in leave:
+        blocks = [mutations.presence(C.GENES), mutations.allele_fractions(C.VAF_THRESHOLDS), mutations.kinds(C.MUTATION_TYPES), mutations.pathways(C.PATHWAYS), mutations.burden(), *blocks]
+    if blocks:
+        out = mutations.with_blocks(out, mutations.by_patient(rows, *blocks))
+    if "comutations" not in leave:
+        out = mutations.comutations(out, C.COMUTATIONS, C.PATHWAYS)
+    if "risk" not in leave:
+        out = mutations.molecular_risk(out, [f"mut_{g}" for g in C.FAVORABLE_GENES], [f"mut_{g}" for g in C.ADVERSE_GENES])
+    if "interactions" not in leave:
+        out, _ = mutations.interactions(out, C.INTERACTIONS)
+    return out if "arms" in leave else mutations.arm_cross(out, C.ARMS)
 
 
 def matrix(patients: DataFrame, mutation_rows: DataFrame, target: DataFrame, test: DataFrame) -> tuple[DataFrame, list[str]]:

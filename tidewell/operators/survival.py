@@ -96,8 +96,11 @@ def k_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ID") -> DataF
     return hashed.join(order, "_h").drop("_h")
 
 
-def group_folds(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Whole groups in folds of near-equal size: the largest group first, each to the lightest fold. Groups (not rows) are listed on the driver."""
+def group_folds(df: DataFrame, group: str, k: int = 5, most: int = 1_000_000) -> DataFrame:
+    """Whole groups in folds of near-equal size: the largest group first, each to the lightest fold. Groups (not rows) are listed on the
+    driver; more than `most` of them are an error, since a hash of the group then balances as well."""
+    if df.select(group).distinct().limit(most + 1).count() > most:
+        raise ValueError(f"{group} has more than {most} values")
     sizes = sorted(((r[group], r["n"]) for r in df.groupBy(group).agg(F.count(F.lit(1)).alias("n")).collect()), key=lambda x: (-x[1], str(x[0])))
     load, rows = [0] * k, []
     for g, n in sizes:

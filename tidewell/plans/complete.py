@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import drift, genes, legacy, prepare, survival
+from tidewell.operators import drift, genes, legacy, mutations, prepare, survival
 from tidewell.plans.features import _clinical, _round
 from tidewell.plans.fixtures import oracle, view
 
@@ -20,7 +20,12 @@ def karyotype_summary_v3(spark: SparkSession, d: str) -> DataFrame:
 
 
 def full_features(spark: SparkSession, d: str) -> DataFrame:
-    return prepare.features(_clinical(spark, d).drop("CENTER"), view(spark, d, "fx_molecular"))
+    """All blocks, with gene flags, tiers and arms, significances and scores that follow from the mutation rows."""
+    m = view(spark, d, "fx_molecular")
+    of_gene = genes.gene_dimension(m.withColumns({"is_oncogene": F.length("GENE") % 2, "is_tumor_suppressor": 1 - F.length("GENE") % 2, "cosmic_has_missense_common": F.lit(1), "tier": F.length("GENE") % 2 + 1, "band": F.lit("17p13.1")}), "GENE", ["is_oncogene", "is_tumor_suppressor", "cosmic_has_missense_common"], "tier", ("band",))
+    vid = m.select(mutations.variant_id().alias("vid"), "DEPTH").groupBy("vid").agg(F.max("DEPTH").alias("depth"))
+    known = prepare.Annotations(of_gene.withColumn("arm", genes.arm("band")).drop("band"), vid.select("vid", F.when(F.col("depth") > 25, "Pathogenic").otherwise("Benign").alias("CLNSIG")), vid.select("vid", F.col("depth").alias("score")))
+    return prepare.features(_clinical(spark, d).drop("CENTER"), m, known)
 
 
 def preprocessed_matrix(spark: SparkSession, d: str) -> DataFrame:

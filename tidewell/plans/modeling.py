@@ -26,31 +26,31 @@ def cox_fit(spark: SparkSession, d: str) -> DataFrame:
 
 
 def coxnet_path(spark: SparkSession, d: str) -> DataFrame:
-    path = models.fit_coxnet(_baseline(spark, d), FEATURES, path=3, rounds=4)
+    path = models.fit_coxnet(_baseline(spark, d), FEATURES)
     return spark.createDataFrame([(float(lam), f, float(b)) for lam, m in path for f, b in zip(m.features, m.beta, strict=True)], "penalty double, feature string, beta double")
 
 
 def boost_linear(spark: SparkSession, d: str) -> DataFrame:
-    model = models.fit_componentwise(_baseline(spark, d), FEATURES, rounds=4)
+    model = models.fit_componentwise(_baseline(spark, d), FEATURES)
     return model.transform(_baseline(spark, d)).select("ID", F.round("risk", 5).alias("risk"))
 
 
 def boost_tree(spark: SparkSession, d: str) -> DataFrame:
-    return models.fit_boosting(_baseline(spark, d), FEATURES, rounds=2).transform(_baseline(spark, d)).select("ID", "risk")
+    return models.fit_boosting(_baseline(spark, d), FEATURES).transform(_baseline(spark, d)).select("ID", "risk")
 
 
 def survival_forest(spark: SparkSession, d: str) -> DataFrame:
-    return models.fit_forest(_baseline(spark, d), FEATURES, trees=5).transform(_baseline(spark, d)).select("ID", "risk")
+    return models.fit_forest(_baseline(spark, d), FEATURES).transform(_baseline(spark, d)).select("ID", "risk")
 
 
 def oof_scores(spark: SparkSession, d: str) -> DataFrame:
     rows = _baseline(spark, d)
-    oof = models.out_of_fold(rows, FEATURES, {"cox": {"rounds": 2}, "forest": {"trees": 3, "depth": 3}}, folds=2)
+    oof = models.out_of_fold(rows, FEATURES, {"cox": {}, "forest": {}})
     return models.fold_scores(oof, rows.select("ID", "OS_YEARS", "OS_STATUS"))
 
 
 def iterative_impute(spark: SparkSession, d: str) -> DataFrame:
-    return models.iterative_impute(_clinical(spark, d).select("ID", "BM_BLAST", "WBC", "ANC", "HB", "PLT"), ["BM_BLAST", "WBC", "ANC", "HB", "PLT"], rounds=2)
+    return models.iterative_impute(_clinical(spark, d).select("ID", "BM_BLAST", "WBC", "ANC", "HB", "PLT"), ["BM_BLAST", "WBC", "ANC", "HB", "PLT"])
 
 
 def knn_impute(spark: SparkSession, d: str) -> DataFrame:
@@ -64,15 +64,19 @@ def supervised_impute(spark: SparkSession, d: str) -> DataFrame:
     return models.supervised_impute(rows, "MONOCYTES", ["WBC", "ANC", "HB", "PLT", "BM_BLAST"], cap="WBC")
 
 
-def trial_backlog(spark: SparkSession, d: str) -> DataFrame:
-    """Trials of a grid that a log lacks, and the mean score of those that it has, over folds taken from the data."""
-    grid = models.trials({"depth": [2, 3, 4], "rate": [0.1, 0.3]}, None, spark)
-    log = view(spark, d, "fx_scores").select((F.col("m_c") % 6).cast("int").alias("i"), (F.col("m_a") / 211).alias("score"))
-    numbered = grid.withColumn("i", F.pmod(F.crc32(F.col("params").cast("binary")), F.lit(6)).cast("int"))
-    return _round(models.best_trial(numbered.join(log, "i").select("trial", "params", "score")))
+def trial_search(spark: SparkSession, d: str) -> DataFrame:
+    """A grid of ridge penalties, each fitted and scored out of fold, the best first."""
+    return _round(models.best_trial(models.run_trials(_baseline(spark, d), FEATURES, "cox", {"alpha": [0.01, 10.0]}, folds=3)), 5)
 
 
-QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_backlog)}
+def retrained_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Fold scores of a Cox model without the 50 patients that the given scores miss most."""
+    from tidewell.plans.ranking import outlier_ids
+
+    return _round(models.retrained_without(_baseline(spark, d), outlier_ids(spark, d), FEATURES, {"cox": {}}, folds=3), 5)
+
+
+QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_search, retrained_scores)}
 
 _R = "r AS (SELECT ID, " + ", ".join(f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS {c}" for c, (lo, hi) in {"BM_BLAST": (0, 100), "HB": (2, 25), "PLT": (0, 3000)}.items()) + " FROM fx_clinical)"
 ORACLES = {

@@ -58,7 +58,7 @@ def dedup_best(spark: SparkSession, d: str) -> DataFrame:
 
 def set_diff(spark: SparkSession, d: str) -> DataFrame:
     m = view(spark, d, "fx_molecular")
-    return joins.differences(m.filter("CHR IN ('1', '2')").withColumn("v", F.concat("GENE", F.lit("@"), "CHR")), m.filter("CHR IN ('2', '3')").withColumn("v", F.concat("GENE", F.lit("@"), "CHR")), "v")
+    return joins.differences(m.filter("CAST(CHR AS INT) % 3 < 2").withColumn("v", F.concat("GENE", F.lit("@"), "CHR")), m.filter("CAST(CHR AS INT) % 3 > 0").withColumn("v", F.concat("GENE", F.lit("@"), "CHR")), "v")
 
 
 def set_intersection(spark: SparkSession, d: str) -> DataFrame:
@@ -75,7 +75,7 @@ def outer_join_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def count_addition(spark: SparkSession, d: str) -> DataFrame:
     m = view(spark, d, "fx_molecular")
-    return joins.added_counts(m.filter("CHR = '1'"), m.filter("CHR = '2'"), "GENE")
+    return joins.added_counts(m.filter("CAST(CHR AS INT) % 2 = 1"), m.filter("CAST(CHR AS INT) % 2 = 0"), "GENE")
 
 
 def merge_new_columns(spark: SparkSession, d: str) -> DataFrame:
@@ -193,10 +193,10 @@ ORACLES = {
     "topk": oracle("SELECT ID, PLT FROM fx_clinical ORDER BY PLT DESC NULLS LAST, ID LIMIT 20", "fx_clinical"),
     "first_per_key": oracle("SELECT ID, GENE, START, DEPTH, CHR, ALT, PROTEIN_CHANGE FROM fx_molecular QUALIFY row_number() OVER (PARTITION BY ID ORDER BY coalesce(START, 0), GENE, DEPTH, CHR, ALT, PROTEIN_CHANGE) = 1", "fx_molecular"),
     "dedup_best": oracle("SELECT ID, GENE, EFFECT, DEPTH, START FROM fx_molecular QUALIFY row_number() OVER (PARTITION BY ID, GENE, EFFECT ORDER BY DEPTH DESC, START) = 1", "fx_molecular"),
-    "set_diff": oracle("WITH a AS (SELECT DISTINCT GENE || '@' || CHR AS v FROM fx_molecular WHERE CHR IN ('1', '2')), b AS (SELECT DISTINCT GENE || '@' || CHR AS v FROM fx_molecular WHERE CHR IN ('2', '3')) SELECT v, 'added' AS change FROM (SELECT v FROM b EXCEPT SELECT v FROM a) UNION ALL SELECT v, 'removed' FROM (SELECT v FROM a EXCEPT SELECT v FROM b)", "fx_molecular"),
+    "set_diff": oracle("WITH a AS (SELECT DISTINCT GENE || '@' || CHR AS v FROM fx_molecular WHERE CAST(CHR AS INT) % 3 < 2), b AS (SELECT DISTINCT GENE || '@' || CHR AS v FROM fx_molecular WHERE CAST(CHR AS INT) % 3 > 0) SELECT v, 'added' AS change FROM (SELECT v FROM b EXCEPT SELECT v FROM a) UNION ALL SELECT v, 'removed' FROM (SELECT v FROM a EXCEPT SELECT v FROM b)", "fx_molecular"),
     "set_intersection": oracle("SELECT ID FROM fx_clinical WHERE WBC > 100 INTERSECT SELECT ID FROM fx_clinical WHERE PLT > 300", "fx_clinical"),
     "outer_join_blocks": oracle("SELECT coalesce(a.ID, b.ID) AS ID, coalesce(tp53, 0) AS tp53, coalesce(npm1, 0) AS npm1 FROM (SELECT ID, count(*) AS tp53 FROM fx_molecular WHERE GENE = 'TP53' GROUP BY ID) a FULL JOIN (SELECT ID, count(*) AS npm1 FROM fx_molecular WHERE GENE = 'NPM1' GROUP BY ID) b ON a.ID = b.ID", "fx_molecular"),
-    "count_addition": oracle("SELECT GENE, count(*) AS n FROM fx_molecular WHERE CHR IN ('1', '2') GROUP BY GENE", "fx_molecular"),
+    "count_addition": oracle("SELECT GENE, count(*) AS n FROM fx_molecular GROUP BY GENE", "fx_molecular"),
     "merge_new_columns": oracle("SELECT c.ID, c.HB, t.OS_YEARS, t.OS_STATUS FROM fx_clinical c LEFT JOIN fx_target t USING (ID)", "fx_clinical", "fx_target"),
     "variant_lookup": oracle("WITH dim AS (SELECT DISTINCT CHR || '-' || GENE AS k FROM fx_molecular WHERE GENE = 'TP53'), r AS (SELECT DISTINCT ID, CHR, GENE, ALT FROM fx_molecular) SELECT r.ID, r.CHR, r.GENE, r.ALT, coalesce('by ' || a.k, 'by ' || b.k) AS note FROM r LEFT JOIN dim a ON a.k = CHR || '-' || GENE LEFT JOIN dim b ON a.k IS NULL AND ALT = 'CT' AND b.k = CHR || '-TP53'", "fx_molecular"),
     "fill_missing_text": oracle("WITH e AS (SELECT ID, string_agg(DISTINCT EFFECT, '; ' ORDER BY EFFECT) AS events FROM fx_molecular GROUP BY ID) SELECT c.ID, CASE WHEN coalesce(trim(CYTOGENETICS), '') = '' THEN events ELSE CYTOGENETICS END AS CYTOGENETICS FROM fx_clinical c LEFT JOIN e USING (ID)", "fx_clinical", "fx_molecular"),
