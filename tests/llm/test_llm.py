@@ -14,7 +14,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import block_names, gumbel_pieces, hash_tree, language, near_copies, packing, prefix_counts, scaled_sketch, simhash, token_files, toxicity
+from tidewell.llm import block_names, gumbel_pieces, hash_tree, language, near_copies, packing, prefix_counts, scaled_sketch, simhash, textarrays, token_files, toxicity
 from tidewell.llm.common import read
 from tidewell.llm.tokens import Encoder, default_path
 
@@ -474,9 +474,91 @@ def test_encodings_decode_and_repeat(docs, none):
     assert gumbel_pieces.sampled_encodings(none).count() == 0
 
 
+# rows without id, rows that repeat one, the ends of the id range, a long text without blanks
+
+MESSY = [(None, "a b c"), (None, None), (7, "x y z w v u"), (7, "x y z w v u"), (7, "other text here"), (-(2**63), "low"), (2**63 - 1, "high"), (8, "日本語" * 4000)]
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    return spark.createDataFrame([(*r, None, 0, "x", 1, 2, 3, 4) for r in MESSY], SCHEMA)
+
+
+def counted(values):
+    return Counter(map(str, values))
+
+
+def test_counts_files_and_packing_of_messy_rows(messy):
+    want = [len(x) for x in reference_ids([t or "" for _, t in MESSY])]
+    got = prefix_counts.token_counts(messy).collect()
+    assert counted((r.doc_id, r.n_tokens, r.n_bytes) for r in got) == counted((d, n, len((t or "").encode())) for (d, t), n in zip(MESSY, want, strict=True))
+    files = sorted(token_files.token_files(messy).collect(), key=lambda r: r.start)
+    assert counted((r.doc_id, r.n_tokens) for r in files) == counted((d, n + 1) for (d, _), n in zip(MESSY, want, strict=True))
+    assert [r.start for r in files] == [0, *np.cumsum([r.n_tokens for r in files])[:-1].tolist()]
+    assert [r.doc_id for r in files] == sorted((d for d, _ in MESSY), key=lambda d: -(2**64) if d is None else d)
+    pieces = packing.pack(messy, capacity=1000).collect()
+    assert sum(r.length for r in pieces) == sum(want) + len(want) and counted(r.doc_id for r in pieces if r.piece == 0) == counted(d for d, _ in MESSY)
+
+
+def test_sketches_shards_and_samples_of_messy_rows(messy):
+    prints = scaled_sketch.fingerprints_with_edits(messy).collect()
+    assert counted(r.doc_id for r in prints) == counted(d for d, _ in MESSY)
+    assert len({r.fingerprint for r in prints if r.doc_id == 7}) == 2 and all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in prints)
+    slots = defaultdict(list)
+    for r in hash_tree.shards(messy, 3).collect():
+        slots[r.shard].append(r.slot)
+    assert sum(map(len, slots.values())) == len(MESSY) and all(sorted(x) == list(range(len(x))) for x in slots.values())
+    samples = gumbel_pieces.decoded(gumbel_pieces.sampled_encodings(messy)).collect()
+    assert counted((r.doc_id, r.text) for r in samples if r.sample == 1) == counted((d, t or "") for d, t in MESSY)
+
+
+def test_classes_of_messy_rows(spark, messy):
+    got = simhash.near_duplicates(messy).collect()
+    assert counted(r.doc_id for r in got) == counted(d for d, _ in MESSY) and len({r.component_id for r in got if r.doc_id == 7 and r.fingerprint}) <= 2
+    kept = near_copies.without_near_copies(messy)
+    assert kept.columns == messy.columns and kept.count() == len(MESSY)  # rows that repeat an id are left as they are
+    exact = block_names.without_exact_duplicates(messy)
+    assert counted(r.doc_id for r in exact.collect()) == counted([None, None, 7, 7, -(2**63), 2**63 - 1, 8])
+    model = language.train({"en": ["the cat sat on the mat the cat"] * 3, "de": ["der hund lief in den garten der hund"] * 3})
+    assert counted(r.doc_id for r in language.predict(messy, model).collect()) == counted(d for d, _ in MESSY)
+    toxic = toxicity.train(["plain words about gardens"] * 5 + ["you are an idiot"] * 5, np.array([0] * 5 + [1] * 5))
+    assert counted(r.doc_id for r in toxicity.score(messy, toxic).collect()) == counted(d for d, _ in MESSY)
+
+
+def test_training_takes_each_id_once_and_no_contradictions(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in range(20)] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)] + [(4, 1), (4, 0)], "doc_id long, toxic int")
+    got = [r.doc_id for r in toxicity.training_rows(docs, labels).collect()]
+    assert len(got) == len(set(got)) and 4 not in got and all(zlib.crc32(str(i).encode()) % 5 for i in got)
+
+
+def test_table_finds_every_key():
+    rng = np.random.default_rng(2)
+    keys = np.unique(np.concatenate([rng.integers(0, 2**64, 50_000, dtype=np.uint64), np.arange(1, 3000, dtype=np.uint64) << np.uint64(40)]))
+    table = textarrays.Table(keys)
+    assert (table.find(keys) == np.arange(len(keys))).all()
+    other = rng.integers(0, 2**64, 50_000, dtype=np.uint64)
+    assert (table.find(other[~np.isin(other, keys)]) == -1).all() and (textarrays.Table(keys[:0]).find(keys[:5]) == -1).all()
+
+
 # pipeline
 
 
+def test_run_equals_its_stages(spark, tmp_path, docs):
+    """run() on a folder of its own: what it packs is what the stages leave, and an empty corpus gives nothing."""
+    import corpus_pipeline as p
+
+    words = "the cat sat on a mat and looked at some birds in those trees by our house while it rained all day".split()
+    texts = [" ".join(np.random.default_rng(i % 30).permutation(words * 3)) for i in range(45)] + ["12345 !!", "", "der hund lief schnell in den garten und bellte laut"]
+    rows = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 0) for i in range(45)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    got = p.run(spark, str(tmp_path)).collect()
+    assert {r.doc_id for r in got} == {*range(30), 47}  # copies and texts without letters go
+    check_packing(got, {i: texts[i] for i in (*range(30), 47)}, 4096)
+    assert p.STAGES[-1][1](spark, rows.filter("doc_id < 0"), str(tmp_path)).count() == 0
+
+
 def test_pipeline_stages(spark, sf_dir, docs):
     import corpus_pipeline as p
 
@@ -493,7 +575,11 @@ def test_pipeline_stages(spark, sf_dir, docs):
                 first.setdefault(norm(before[k]), k)
             assert set(left) == set(first.values())
         if name == "near_dedup":
-            assert set(left) <= set(before) and len(left) > 0.8 * len(before)
+            assert set(left) == brute_near_copies(before)
+        if name == "toxicity":
+            toxic = {r.doc_id: r.toxic for r in read(spark, sf_dir, "labels").collect()}
+            gone = set(before) - set(left)
+            assert sum(toxic.get(k) == 0 for k in gone) <= 0.02 * len(before) and sum(toxic.get(k) == 1 for k in left) <= 0.2 * sum(toxic.get(k) == 1 for k in before)
         if name == "language":
             assert set(before) - set(left) == {k for k, t in before.items() if not any(c.isalpha() for c in t)}
         at = spark.createDataFrame(after.collect(), after.schema)

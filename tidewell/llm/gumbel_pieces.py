@@ -13,7 +13,8 @@ falls apart into units between them, and each distinct unit of a batch is expand
 row's samples depend on nothing but its key, its text and the parameters.
 
 Defined results: a null text is the empty text, which has one segmentation, of no pieces; a text with fewer than k segmentations gets them
-all, with inclusion probability 1; repeated rows with one key get equal samples; an empty table gives an empty table.
+all, with inclusion probability 1; repeated rows with one key get equal samples, and rows without id share a key; ties of perturbed values
+go to the earlier place; a very long text is a lattice of its own size; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -10,7 +10,8 @@ chosen by a hash of id and text among all labelled rows that may be learned from
 sample holds it LEAST times; the tables hold every known one, and since the sample is bounded, so are they.
 
 Defined results: `und` with score 0 for a null text, a text without letters, or where nothing could be learned; ties go to the language with
-more labelled rows, then to the first by name; repeated rows are predicted alike; an empty table gives an empty table.
+more labelled rows, then to the first by name; repeated rows and rows without id are predicted by their text alone; very long texts are scored
+whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations

@@ -5,7 +5,8 @@ pieces are dealt by hash into groups of about GROUP; within a group, pieces are
 bin (or a new one) that leaves the sum over all residual gaps of (number of open bins with that gap) squared smallest, ties going to the
 smallest remaining gap. Only lengths move between tasks, never ids; a group's size is fixed, so groups grow in number with the corpus.
 
-Defined results: a null text is the end id alone; repeated rows are pieces of their own; an empty table gives an empty table.
+Defined results: a null text is the end id alone; repeated rows and rows without id are pieces of their own; of equal lengths the row that
+was read first is placed first; a very long text is many full pieces and one shorter; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -76,13 +76,13 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, group: int = GROUP, path: st
     short = cut.filter(F.col("length") < capacity)
     groups = max(1, round(short.count() / group))
 
-    def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("piece_id")  # the order in which a shuffle delivers rows doesn't matter
-        bin_of, rows["offset"] = place(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"] = bin_of * groups + key[0]
-        return rows[["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]]
+    def fill(key: tuple, rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("piece_id")  # the order in which a shuffle delivers rows doesn't matter
+        bin_of, offset = place(rows["length"].to_numpy(), capacity)
+        rows = rows.select(["doc_id", "piece", "start", "length", "ids_crc32"])
+        return rows.append_column("sequence_id", pa.array(bin_of * groups + key[0].as_py())).append_column("offset", pa.array(offset))
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    filled = short.withColumn("of", F.pmod(F.xxhash64("piece_id"), F.lit(groups))).groupBy("of").applyInPandas(fill, schema)
+    filled = short.withColumn("of", F.pmod(F.xxhash64("piece_id"), F.lit(groups))).groupBy("of").applyInArrow(fill, schema)
     whole = cut.filter(F.col("length") == capacity).select("doc_id", "piece", "start", "length", "ids_crc32", (-1 - F.col("piece_id")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     return filled.unionByName(whole)

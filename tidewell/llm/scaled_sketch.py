@@ -9,7 +9,8 @@ documents with at most FLOOR shingles.
 Only DataFrame functions are used. The text crosses the network once, to meet the next document.
 
 Defined results: a null or blank text has the single shingle of no words; fewer than five words make one shingle; equal texts have equal
-fingerprints; an only document is its own next; repeated rows count as rows of their own; an empty table gives an empty table.
+fingerprints; an only document is its own next; repeated rows count as rows of their own; rows without id come last in the order; very long
+texts keep a sketch in proportion; an empty table gives an empty table.
 """
 
 from __future__ import annotations

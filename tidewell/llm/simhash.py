@@ -9,7 +9,8 @@ Probing is by fingerprint and not by group: no task holds the pairs of a group,
 
 Defined results: words are runs of other than ASCII white space after lower-casing A-Z; fewer words than a shingle make one shingle, no word
 makes fingerprint zero, which links like any other; a null text is the empty text; a bit is set if more than half of the shingles (repeats
-included) set it; of repeated rows each is a row; an empty table gives an empty table.
+included) set it; of repeated rows each is a row; a null doc_id is no smallest one, so a component without ids has a null component_id; very
+long texts are counted in bounded pieces; an empty table gives an empty table.
 """
 
 from __future__ import annotations
