@@ -99,7 +99,7 @@ def test_iterative_impute_recovers_a_linear_relation(spark):
 def test_folds_are_balanced_and_seeded(spark, sf_dir):
     from tidewell.plans.ranking import kfold
 
-    n = [r["rows"] for r in kfold(spark, sf_dir).collect()]
+    n = [r["count"] for r in kfold(spark, sf_dir).groupBy("fold").count().collect()]
     assert max(n) - min(n) <= 1
 
 

@@ -104,9 +104,9 @@ def winsorized(df: DataFrame, columns: list[str], q: float = 0.25, times: float
     return df.withColumns(out)
 
 
-def sampled(df: DataFrame, n: int, seed: int = 42, key: str = "ID") -> DataFrame:
-    """n rows by a seeded hash of the key."""
-    return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+def sampled(df: DataFrame, n: int, seed: int = 42, key: str = "ID", order: Column | None = None) -> DataFrame:
+    """n rows, the first by a seeded hash of the key or by another order."""
+    return df.orderBy(F.xxhash64(key, F.lit(seed)) if order is None else order, key).limit(n)
 
 
 def placeholder_target(df: DataFrame, key: str = "ID") -> DataFrame:

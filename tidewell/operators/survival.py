@@ -89,9 +89,9 @@ def _strictly_below(cells: DataFrame, node: list[str]) -> DataFrame:
     return cells.withColumn("_in", F.coalesce(F.sum("_later").over(inside), F.lit(0))).join(totals, [*node, "_slice"]).withColumn("_below", F.col("_in") + F.col("_base"))
 
 
-def k_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ID") -> DataFrame:
-    """Equal folds by the rank of a seeded hash of the key."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+def k_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ID", order: Column | None = None) -> DataFrame:
+    """Equal folds by rank in an order of the rows, that of a seeded hash of the key unless another is given."""
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)) if order is None else order)
     order = prefix_sums(hashed, "_h", {"_n": F.lit(1)}).select("_h", (F.col("_n_before") % k).cast("int").alias("fold"))
     return hashed.join(order, "_h").drop("_h")
 
@@ -111,9 +111,9 @@ def group_folds(df: DataFrame, group: str, k: int = 5, most: int = 1_000_000) ->
     return df.join(table, df[group].eqNullSafe(table["_g"])).drop("_g")
 
 
-def stratified_folds(df: DataFrame, stratum: str, k: int = 5, seed: int = 42, key: str = "ID") -> DataFrame:
-    """Folds that are equal within each stratum."""
-    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)))
+def stratified_folds(df: DataFrame, stratum: str, k: int = 5, seed: int = 42, key: str = "ID", order: Column | None = None) -> DataFrame:
+    """Folds that are equal within each stratum, by rank in an order of the rows as in k_folds."""
+    hashed = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed)) if order is None else order)
     order = prefix_sums(hashed, "_h", {"_n": F.lit(1)}, (stratum,)).select(stratum, "_h", (F.col("_n_before") % k).cast("int").alias("fold"))
     return hashed.join(order, [stratum, "_h"]).drop("_h")
 

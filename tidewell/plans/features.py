@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell import config as C
 from tidewell.operators import clean, clinical, joins, karyotype, mutations
-from tidewell.plans.fixtures import oracle, view
+from tidewell.plans.fixtures import SHUFFLED, oracle, view
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -102,7 +102,7 @@ def placeholder_targets(spark: SparkSession, d: str) -> DataFrame:
 
 
 def row_sample(spark: SparkSession, d: str) -> DataFrame:
-    return clean.sampled(view(spark, d, "fx_clinical").select("ID", "CENTER"), 100)
+    return clean.sampled(view(spark, d, "fx_clinical").select("ID", "CENTER"), 100, order=F.expr(SHUFFLED))
 
 
 def _mutations(spark: SparkSession, d: str) -> DataFrame:
@@ -252,6 +252,7 @@ ORACLES = {
     "iqr_winsorize": oracle("WITH q AS (SELECT quantile_cont(WBC, 0.25) AS a, quantile_cont(WBC, 0.75) AS b, quantile_cont(PLT, 0.25) AS c, quantile_cont(PLT, 0.75) AS d FROM fx_clinical) SELECT ID, CASE WHEN WBC IS NOT NULL THEN round(least(greatest(WBC, a - 1.5::DOUBLE * (b - a)), b + 1.5::DOUBLE * (b - a)), 6) END AS WBC, CASE WHEN PLT IS NOT NULL THEN round(least(greatest(PLT, c - 1.5::DOUBLE * (d - c)), d + 1.5::DOUBLE * (d - c)), 6) END AS PLT FROM fx_clinical, q", "fx_clinical"),
     "formula_columns": oracle("SELECT ID, round(ANC / nullif(WBC, 0), 6) AS q, round(PLT - HB, 6) AS diff, round(WBC * HB, 6) AS prod, CASE WHEN ANC < HB THEN 1 ELSE 0 END AS less, round(ln(1 + PLT), 6) AS lg FROM fx_clinical", "fx_clinical"),
     "placeholder_targets": oracle("SELECT ID, 1.0::DOUBLE AS OS_YEARS, 0 AS OS_STATUS FROM fx_clinical", "fx_clinical"),
+    "row_sample": oracle(f"SELECT ID, CENTER FROM fx_clinical ORDER BY {SHUFFLED} LIMIT 100", "fx_clinical"),
     "mutation_presence": oracle(_zeroed(_PRESENT), *_MAIN[:2]),
     "vaf_features": oracle(_grouped(_VAFS), "fx_molecular"),
     "mutation_types": oracle(_grouped(_KINDS), "fx_molecular"),

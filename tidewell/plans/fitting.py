@@ -226,6 +226,9 @@ ORACLES = {
     "preprocess_by_cohort": oracle(f"{_R} " + _own_scale("CENTER = 'CTR_2'", "extra") + " UNION ALL " + _own_scale("CENTER <> 'CTR_2'", "main"), "fx_clinical"),
     "zero_variance_list": oracle(_WIDE + ", v AS (SELECT split, " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in (*_NUM, "WBC2", "zero", "rare", "half")) + " FROM x GROUP BY split), l AS (UNPIVOT v ON " + ", ".join((*_NUM, "WBC2", "zero", "rare", "half")) + " INTO NAME feature VALUE n) SELECT DISTINCT feature FROM l WHERE n <= 1", "fx_clinical"),
     "rare_binary_list": oracle(_WIDE + f", v AS (SELECT split, avg(rare) AS rare, avg(half) AS half FROM x GROUP BY split), l AS (UNPIVOT v ON rare, half INTO NAME feature VALUE p) SELECT DISTINCT feature FROM l WHERE p < {C.RARE_SHARE}", "fx_clinical"),
+    "correlation_prune_list": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + f") SELECT DISTINCT a AS feature FROM p WHERE abs(r) > {C.CORRELATION_LIMIT}", "fx_clinical"),
+    "uncorrelated_list": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + ") SELECT feature FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in (*_NUM, "WBC2")) + "]) AS feature) WHERE feature NOT IN (SELECT b FROM p WHERE abs(r) > 0.9)", "fx_clinical"),
+    "variable_kinds": oracle("WITH n AS (SELECT count(DISTINCT (WBC IS NOT NULL)) AS h, count(DISTINCT length(CYTOGENETICS)) AS e, count(DISTINCT CAST(HB AS INT)) AS g FROM fx_clinical) SELECT 'continuous' AS kind, unnest([" + ", ".join(f"'{c}'" for c in _NUM) + "]) AS feature UNION ALL SELECT 'categorical', unnest(['CENTER', 'CYTOGENETICS']) UNION ALL SELECT CASE WHEN h <= 2 THEN 'binary' ELSE 'ordinal' END, 'has_wbc' FROM n UNION ALL SELECT 'count', 'n_events' FROM n UNION ALL SELECT 'ordinal', 'grade' FROM n", "fx_clinical"),
     "corr_pairs": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + ") SELECT a, b, round(r, 6) AS r FROM p WHERE abs(r) > 0.5", "fx_clinical"),
     "clip_quantiles": oracle(_CLIP + " SELECT ID, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUM) + " FROM c", "fx_clinical"),
     "impute_median": oracle(f"{_R}, q AS (SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _NUM) + f" FROM r WHERE NOT ({_SQL_TEST})) SELECT ID, " + ", ".join(f"round(coalesce({c}, {c}_m), 6) AS {c}" for c in _NUM) + " FROM r, q", "fx_clinical"),

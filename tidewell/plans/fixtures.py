@@ -51,10 +51,16 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(sql, source=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
+#: An arithmetic order of the patients that looks random, in SQL for both.
+SHUFFLED = "(CAST(substr(ID, 2) AS BIGINT) * 7919 + 42) % 104729 * 1000000000 + CAST(substr(ID, 2) AS BIGINT)"
+
+
 def oracle(body: str, *names: str) -> str:
     """SQL for DuckDB in which the views can be named."""
     ctes = ", ".join(f"{n} AS ({VIEWS[n]})" for n in names)
     head = body.lstrip()
     if not ctes:
         return head
+    if head.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {head[15:]}"
     return f"WITH {ctes}, {head[5:]}" if head.upper().startswith("WITH ") else f"WITH {ctes} {head}"

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell import config as C
 from tidewell.operators import clean, joins, ordered, survival
 from tidewell.plans.features import _round
-from tidewell.plans.fixtures import oracle, view
+from tidewell.plans.fixtures import SHUFFLED, oracle, view
 
 MODELS = ["m_a", "m_b", "m_c"]
 _VALID = "SELECT ID, OS_YEARS, OS_STATUS FROM fx_target WHERE OS_YEARS > 0 AND OS_STATUS IS NOT NULL"
@@ -130,19 +130,16 @@ _CINDEX = """WITH v AS (SELECT t.OS_YEARS AS t, t.OS_STATUS AS e, s.m_a AS s FRO
 
 
 def group_kfold(spark: SparkSession, d: str) -> DataFrame:
-    """Sizes and centers of folds that keep centers whole."""
-    out = survival.group_folds(view(spark, d, "fx_clinical").select("ID", "CENTER"), "CENTER")
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("CENTER").alias("centers"), F.min("CENTER").alias("first_center"))
+    """Folds that keep centers whole."""
+    return survival.group_folds(view(spark, d, "fx_clinical").select("ID", "CENTER"), "CENTER")
 
 
 def kfold(spark: SparkSession, d: str) -> DataFrame:
-    out = survival.k_folds(view(spark, d, "fx_clinical").select("ID"))
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"))
+    return survival.k_folds(view(spark, d, "fx_clinical").select("ID"), order=F.expr(SHUFFLED))
 
 
 def stratified_folds(spark: SparkSession, d: str) -> DataFrame:
-    out = survival.stratified_folds(_target(spark, d), "OS_STATUS")
-    return out.groupBy("OS_STATUS", "fold").agg(F.count(F.lit(1)).alias("rows"))
+    return survival.stratified_folds(_target(spark, d).select("ID", "OS_STATUS"), "OS_STATUS", order=F.expr(SHUFFLED))
 
 
 def rank_ensemble(spark: SparkSession, d: str) -> DataFrame:
@@ -207,5 +204,9 @@ ORACLES = {
     "error_analysis": oracle(_RANKED + " SELECT ID, round(avg(rank), 6) AS consensus, round(stddev_samp(rank), 6) AS disagreement, round(avg(error), 6) AS mean_error, round(avg(abs(error)), 6) AS mean_abs_error FROM x GROUP BY ID", "fx_target", "fx_scores"),
     "model_bias": oracle(_RANKED + " SELECT model, round(avg(error), 6) AS bias, round(avg(abs(error)), 6) AS mae, count(*) FILTER (error < -0.2) AS optimistic, count(*) FILTER (error > 0.2) AS pessimistic FROM x WHERE error IS NOT NULL GROUP BY model", "fx_target", "fx_scores"),
     "outlier_ids": oracle(_RANKED + " SELECT ID, round(avg(abs(error)), 6) AS mean_abs_error FROM x GROUP BY ID HAVING avg(abs(error)) IS NOT NULL ORDER BY mean_abs_error DESC, ID LIMIT 50", "fx_target", "fx_scores"),
-    "kfold": oracle("SELECT CAST(f AS INT) AS fold, (count(*) + 4 - f)::BIGINT // 5 AS rows FROM fx_clinical, range(5) r(f) GROUP BY f", "fx_clinical"),
+    "kfold": oracle(f"SELECT ID, ((row_number() OVER (ORDER BY {SHUFFLED}) - 1) % 5)::INT AS fold FROM fx_clinical", "fx_clinical"),
+    "stratified_folds": oracle(f"WITH v AS ({_VALID}) SELECT ID, OS_STATUS, ((row_number() OVER (PARTITION BY OS_STATUS ORDER BY {SHUFFLED}) - 1) % 5)::INT AS fold FROM v", "fx_target"),
+    "group_kfold": oracle("""WITH RECURSIVE g AS (SELECT CENTER, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, CENTER) AS i FROM fx_clinical GROUP BY CENTER),
+      s AS (SELECT 0::BIGINT AS i, [0, 0, 0, 0, 0]::BIGINT[] AS loads, 0 AS fold UNION ALL SELECT g.i, list_transform(range(1, 6), lambda j: loads[j] + CASE WHEN j = list_position(loads, list_min(loads)) THEN g.n ELSE 0 END), (list_position(loads, list_min(loads)) - 1)::INT FROM s JOIN g ON g.i = s.i + 1)
+      SELECT ID, CENTER, fold FROM fx_clinical JOIN g USING (CENTER) JOIN s USING (i)""", "fx_clinical"),
 }
