@@ -419,6 +419,81 @@ def test_language_held_out(spark, sf_dir, docs, none):
     assert language.languages(none).count() == 0 and {r.lang_pred for r in language.predict(docs, language.train({})).collect()} == {"und"}
 
 
+def naive_language(samples, texts):
+    """The same scores word by word with dictionaries: (language, posterior) of each text."""
+    names, split = list(samples), lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    words = {x: Counter(w for t in samples[x] for w in split(t)) for x in names}
+    grams = [{x: Counter() for x in names} for _ in range(language.LONGEST)]
+    for x in names:
+        for w, n in words[x].items():
+            for k in range(1, language.LONGEST + 1):
+                for i in range(len(w) - k + 1):
+                    grams[k - 1][x][w[i : i + k]] += n
+
+    def logs(counts):
+        keys, half = set().union(*counts.values()), language.SMOOTHING
+        total = {x: sum(counts[x].values()) + half * (len(keys) + 1) for x in names}
+        return {k: [math.log((counts[x][k] + half) / total[x]) for x in names] for k in keys if sum(counts[x][k] for x in names) >= language.LEAST}
+
+    known, short = logs(words), [logs(g) for g in grams]
+    out = []
+    for t in texts:
+        sums, found = np.zeros(len(names)), split(t)
+        for w in found:
+            if w in known:
+                sums += known[w]
+                continue
+            for i in range(len(w)):
+                best = next((short[k - 1][w[i : i + k]] for k in range(min(language.LONGEST, len(w) - i), 0, -1) if w[i : i + k] in short[k - 1]), [0.0] * len(names))
+                sums += np.array(best) / len(w)
+        if found:
+            share = 1 / np.exp((sums - sums.max()) / math.sqrt(len(found))).sum()
+            out.append((names[int(sums.argmax())], share))
+        else:
+            out.append(("und", 0.0))
+    return out
+
+
+def test_language_scores_equal_brute_force(small):
+    rows = [r for r in small.collect() if r.text]
+    samples = {x: [r.text for r in rows if r.lang == x][:25] for x in ("en", "fr", "de")}
+    texts = [r.text[:3000] for r in rows[::3]] + ["", "1234 !!", "zzzzqqq xx", "Straße ÉCOLE naïve"]
+    names, scores = language.train(samples).predict(texts)
+    for (want, share), name, score in zip(naive_language(samples, texts), names, scores, strict=True):
+        assert name == want and math.isclose(score, share, abs_tol=2e-3)
+
+
+def naive_toxicity(model, text):
+    """Word by word: the mean over the n-grams of each run of 8 words, the largest of them through the logistic function."""
+    mask, p, q = 2**64 - 1, 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+
+    def bucket(codes):
+        h = 0
+        for c in codes:
+            h = (h * p + c) & mask
+        h = (h + len(codes)) & mask
+        h = ((h ^ (h >> 29)) * q) & mask
+        return (h ^ (h >> 32)) & ((1 << toxicity.BITS) - 1)
+
+    words = re.findall(r"[^\W\d_]+", text.lower())
+    best = []
+    for i in range(0, len(words), toxicity.WINDOW):
+        values = []
+        for w in words[i : i + toxicity.WINDOW]:
+            codes = [0, *(ord(c) + 1 for c in w), 0]
+            values += [float(model.gram[bucket(codes[j : j + n])]) for n in toxicity.SIZES for j in range(len(codes) - n + 1)]
+        best.append(sum(values) / max(1, len(values)))
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, (max(best) if best else 0.0) + model.bias))))
+
+
+def test_toxicity_scores_equal_brute_force(small):
+    clean = [f"plain words about gardens number {c} and rivers" for c in "abcdefghijklmnopqrst"]
+    model = toxicity.train(clean + [f"you {w} person" for w in ("idiot", "idiots", "idiotic", "idiotes") * 5], np.array([0] * 20 + [1] * 20))
+    texts = [(r.text or "")[:3000] for r in small.collect()[::4]] + ["", "12 !", "a", "you idiot " * 30]
+    for text, score in zip(texts, model.scores(texts), strict=True):
+        assert math.isclose(score, naive_toxicity(model, text), abs_tol=1e-6)
+
+
 # sampled segmentations
 
 
@@ -456,6 +531,22 @@ def test_gumbel_samples_follow_the_distribution():
     assert abs(np.mean(estimate) - 1) < 0.01
 
 
+def test_samples_of_a_table_equal_brute_force(spark):
+    """Every sample of short texts is one of all their segmentations, with its exact probability; inclusion follows from the next value."""
+    texts = ["the at", "of a", "an inn", "aa aa", "to be", "x", "", "it is"]
+    lattices = gumbel_pieces.Lattices.at(gumbel_pieces.default_path(), 1.0)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    by_doc = defaultdict(list)
+    for r in gumbel_pieces.sampled_encodings(docs, k=6).collect():
+        by_doc[r.doc_id].append(r)
+    for i, t in enumerate(texts):
+        truth = every_segmentation(lattices, t) if t else {(): 0.0}
+        rows = sorted(by_doc[i], key=lambda r: r.sample)
+        assert len({tuple(r.ids) for r in rows}) == len(rows) == min(6, len(truth)) and [r.sample for r in rows] == list(range(1, len(rows) + 1))
+        assert all(math.isclose(truth[tuple(r.ids)], r.log_prob, abs_tol=1e-9) for r in rows)
+        assert all(a.perturbed >= b.perturbed for a, b in zip(rows, rows[1:], strict=False)) and all(r.log_inclusion <= 0 for r in rows)
+
+
 def test_few_segmentations_come_whole():
     lattices = gumbel_pieces.Lattices.at(gumbel_pieces.default_path(), 1.0)
     samples = gumbel_pieces.sample(lattices, ["of"], np.array([5], np.uint64), 50)[0]
