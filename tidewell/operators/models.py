@@ -152,11 +152,11 @@ def cox_residuals(df: DataFrame, score: str = "risk") -> DataFrame:
 def fit_componentwise(df: DataFrame, features: list[str], rounds: int = 20, rate: float = 0.3) -> LinearRisk:
     """Boosting with one feature's linear term for each round, the one that explains the residuals best."""
     rows, mean, sd = _standardised(df, features)
+    squares = rows.agg(*[F.sum(F.col(c) * F.col(c)).alias(f"b{i}") for i, c in enumerate(features)]).first()
+    b = np.array([squares[f"b{i}"] or 0.0 for i in range(len(features))])
     beta = np.zeros(len(features))
     for _ in range(rounds):
-        res = cox_residuals(rows.withColumn("risk", _linear(features, beta)))
-        row = res.agg(*[F.sum(F.col(c) * F.col("residual")).alias(f"a{i}") for i, c in enumerate(features)], *[F.sum(F.col(c) * F.col(c)).alias(f"b{i}") for i, c in enumerate(features)]).first()
-        a, b = (np.array([row[f"{k}{i}"] or 0.0 for i in range(len(features))]) for k in "ab")
+        a, _, _ = _gradient(rows, features, beta, second=False)  # sums of feature times residual
         slope = np.divide(a, b, out=np.zeros_like(a), where=b > 0)
         best = int(np.argmax(a * slope))
         beta[best] += rate * slope[best]
