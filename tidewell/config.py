@@ -83,6 +83,48 @@ INTERACTIONS = {
     "cyto_complex_and_mol_tp53": {"base": "complex_karyotype", "any_of": ["mut_TP53"]},
 }
 
+# two more rules, left out unless they are asked for
+EXTRA_INTERACTIONS = {
+    "lucky_high_burden_survivor": {"base": "mut_RUNX1", "any_of": ["mut_ASXL1", "mut_STAG2"]},
+    "unlucky_low_burden_aggressive": {"base": "high_blast_count", "all_of": ["thrombocytopenia_severe"]},
+}
+
+CORE_FEATURES = [
+    "SEX_XY", "SEX_UNKNOWN",
+    "BM_BLAST", "WBC", "ANC", "MONOCYTES", "HB", "PLT",
+    "clinical_all_missing",
+    "cyto_is_missing", "complex_karyotype",
+    "eln_cyto_favorable", "eln_cyto_intermediate", "eln_cyto_adverse",
+    "mut_TP53", "mut_NPM1", "mut_FLT3", "mut_ASXL1", "mut_RUNX1",
+    "mut_DNMT3A", "mut_IDH1", "mut_IDH2", "mut_TET2",
+    "mut_SF3B1", "mut_SRSF2", "mut_U2AF1", "mut_ZRSR2",
+    "mut_STAG2", "mut_EZH2",
+    "total_mutations", "num_oncogene_muts", "num_tsg_muts",
+    "impact_HIGH", "impact_MODERATE",
+    "vaf_max", "high_vaf_ratio", "TP53_high_VAF", "FLT3_ITD",
+    "eln_mol_favorable", "eln_mol_intermediate", "eln_mol_adverse",
+    "cyto_normal_mol_adverse", "cyto_complex_and_mol_tp53", "NPM1_pos_FLT3_neg",
+    "lucky_high_burden_survivor", "unlucky_low_burden_aggressive",
+]
+EXPLORATORY_FEATURES = [
+    *CORE_FEATURES,
+    "neutrophil_ratio", "monocyte_ratio", "platelet_wbc_ratio", "blast_platelet_ratio",
+    "anemia_severe", "thrombocytopenia_severe", "neutropenia_severe", "leukocytosis_high",
+    "monosomal_karyotype", "num_cyto_abnormalities",
+    "structural_count", "numerical_count",
+    "has_derivative_chromosome", "has_marker_chromosome",
+    "mut_BCOR", "mut_BCORL1", "mut_CBL", "mut_CEBPA", "mut_CREBBP",
+    "mut_CUX1", "mut_DDX41", "mut_GATA2", "mut_KIT",
+    "mut_KRAS", "mut_NF1", "mut_NRAS", "mut_SETBP1",
+    "DNA_methylation_count", "RNA_splicing_count", "Chromatin_modification_count",
+    "Transcription_factors_count", "Tumor_suppressor_count", "Tyrosine_kinase_count",
+    "RAS_signaling_count", "Cohesin_complex_count",
+    "vaf_mean", "vaf_std", "high_vaf_mutations",
+    "double_hit_spliceosome", "triple_hit_epigenetic",
+]
+#: By name; the default takes all columns.
+FEATURE_SETS = {"default": None, "core": CORE_FEATURES, "exploratory": EXPLORATORY_FEATURES}
+
 CLINVAR_CATEGORIES = {"pathogenic": "Pathogenic", "likely_pathogenic": "Likely_pathogenic", "benign": "Benign", "uncertain": "Uncertain", "conflicting": "Conflicting"}
 CADD_HIGH = 20.0
 ARMS = {"5q": "del_5q_or_mono5", "7q": "monosomy_7_or_del7q", "17p": "del_17p_or_i17q"}

@@ -68,8 +68,10 @@ def as_floats(df: DataFrame, columns: list[str] | None = None, keep: tuple[str,
     return df.withColumns({c: F.col(c).cast("float") for c in chosen})
 
 
-def choose(df: DataFrame, wanted: list[str], always: tuple[str, ...] = ("ID",)) -> tuple[DataFrame, list[str]]:
-    """The wanted columns that exist, and the names of those that don't. Without any overlap the table stays as it is."""
+def choose(df: DataFrame, wanted: list[str] | None, always: tuple[str, ...] = ("ID",)) -> tuple[DataFrame, list[str]]:
+    """The wanted columns that exist, and the names of those that don't. Without a list or any overlap the table stays as it is."""
+    if wanted is None:
+        return df, []
     have = [c for c in df.columns if c in wanted]
     missing = [c for c in wanted if c not in df.columns]
     return (df.select(*[c for c in always if c in df.columns and c not in have], *have) if have else df), missing

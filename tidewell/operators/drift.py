@@ -136,6 +136,27 @@ def value_shares(df: DataFrame, columns: list[str], below: int = 10) -> DataFram
     return counts.join(per, "feature").select("feature", "value", (F.col("n") / F.col("all")).alias("share"))
 
 
+def top_values(df: DataFrame, columns: list[str], k: int = 5, least: int = 10) -> DataFrame:
+    """(feature, value, n): the k most frequent values, as text, of columns that have at least `least` (missing counts as one); ties by value."""
+    long = df.select(*[F.coalesce(F.col(c).cast("string"), F.lit("missing")).alias(c) for c in columns]).unpivot([], columns, "feature", "value")
+    counts = long.groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n"))
+    many = counts.groupBy("feature").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= least).select("feature")
+    nth = F.row_number().over(Window.partitionBy("feature").orderBy(F.desc("n"), F.desc("value")))  # Spark keeps k rows of each task before it deals them
+    return counts.join(F.broadcast(many), "feature").withColumn("nth", nth).filter(F.col("nth") <= k).select("feature", "value", "n")
+
+
+def karyotype_rules() -> dict[str, Column]:
+    """What has to hold between the flags of the karyotype block."""
+    on = lambda c: F.coalesce(F.col(c), F.lit(0)) == 1
+    adverse = ("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26")
+    rules = {f"{c} is adverse": ~on(c) | on("eln_cyto_adverse") for c in adverse}
+    rules["not favorable and adverse"] = ~(on("eln_cyto_favorable") & on("eln_cyto_adverse"))
+    rules["normal is intermediate"] = ~on("normal_karyotype") | on("eln_cyto_intermediate")
+    rules["normal is not favorable"] = ~on("normal_karyotype") | ~on("eln_cyto_favorable")
+    rules["normal is not adverse"] = ~on("normal_karyotype") | ~on("eln_cyto_adverse")
+    return rules
+
+
 def violations(df: DataFrame, rules: dict[str, Column], key: str = "ID") -> DataFrame:
     """(key, rule) for each row that breaks a rule; a rule that can't be told isn't broken. One pass for all rules."""
     broken = F.array(*[F.when(~ok, F.lit(name)) for name, ok in rules.items()])

@@ -63,11 +63,79 @@ def compared_models(spark: SparkSession, d: str) -> DataFrame:
     return _round(drift.compared(long.withColumnRenamed("pred", "score")))
 
 
-QUERIES = {f.__name__: f for f in (harmonised_mutations, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores)}
+def harmonised_clinic(spark: SparkSession, d: str) -> DataFrame:
+    """Patients and structural events of a cohort with sample barcodes, in the common layout."""
+    c, m = view(spark, d, "fx_clinical"), view(spark, d, "fx_molecular")
+    sv = m.filter("EFFECT IN ('ITD', 'PTD')").select(F.concat("ID", F.lit("-03")).alias("Sample_Id"), F.col("GENE").alias("Site1_Hugo_Symbol"), F.lit("GENE2").alias("Site2_Hugo_Symbol"), F.lit("SOMATIC").alias("SV_Status"), F.concat("GENE", F.lit(" "), "EFFECT").alias("Event_info"))
+    events = genes.structural_events(sv, genes.patient_of_barcode(F.col("Sample_Id")), {"Site1_Hugo_Symbol": "SITE1_GENE", "Site2_Hugo_Symbol": "SITE2_GENE", "SV_Status": "SV_STATUS", "Event_info": "EVENT_INFO"})
+    patients = c.select(F.col("ID").alias("PATIENT_ID"), F.col("BM_BLAST").cast("string").alias("BM_BLAST_PERCENTAGE"), F.col("WBC").cast("string").alias("WBC"), "CYTOGENETICS")
+    out = genes.harmonised_clinic(patients, events, "COHORT", {"PATIENT_ID": "ID", "BM_BLAST_PERCENTAGE": "BM_BLAST", "WBC": "WBC", "CYTOGENETICS": "CYTOGENETICS"}, ["BM_BLAST", "WBC", "ANC", "MONOCYTES", "HB", "PLT"], ["ID", "CENTER", "BM_BLAST", "WBC", "ANC", "MONOCYTES", "HB", "PLT", "CYTOGENETICS"])
+    return _round(out)
+
+
+def karyotype_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Flags from the digits of the id against the rules that they have to keep."""
+    n = F.expr("CAST(substr(ID, 2) AS BIGINT)")
+    names = ("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26", "eln_cyto_favorable", "eln_cyto_adverse", "normal_karyotype", "eln_cyto_intermediate")
+    flags = view(spark, d, "fx_clinical").select("ID", *[F.when(n % (i + 2) != 1, (n % (i + 3) == 0).cast("int")).alias(c) for i, c in enumerate(names)])
+    return drift.violations(flags, drift.karyotype_rules())
+
+
+def frequent_values(spark: SparkSession, d: str) -> DataFrame:
+    return drift.top_values(view(spark, d, "fx_clinical"), ["CENTER", "CYTOGENETICS"])
+
+
+def feature_subset(spark: SparkSession, d: str) -> DataFrame:
+    """The core set of a table that has some of its columns."""
+    from tidewell import config as C
+    from tidewell.operators import clean
+
+    return _round(clean.choose(view(spark, d, "fx_clinical"), C.FEATURE_SETS["core"])[0])
+
+
+def rare_group_flags(spark: SparkSession, d: str) -> DataFrame:
+    """Rare columns put together before they would be dropped."""
+    from tidewell.operators import fitted
+
+    m = view(spark, d, "fx_molecular").groupBy("ID").agg(*[F.max((F.col("GENE") == g).cast("int")).alias(f"mut_{g}") for g in ("STAT3", "KDM6A", "PTPN11")])
+    return fitted.rare_aggregates(m, {"any_rare": (["mut_STAT3", "mut_KDM6A", "absent"], "any"), "n_rare": (["mut_STAT3", "mut_KDM6A", "mut_PTPN11"], "sum")})
+
+
+def latest_run(spark: SparkSession, d: str) -> DataFrame:
+    """The last of many runs, by time and then by name."""
+    from tidewell.operators import ordered
+
+    e = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("run-"), F.col("o_orderkey").cast("string")).alias("run_id"), F.col("o_orderdate").cast("string").alias("created_at"))
+    return ordered.latest(e)
+
+
+def extra_interactions(spark: SparkSession, d: str) -> DataFrame:
+    from tidewell import config as C
+
+    m = mutations.by_patient(view(spark, d, "fx_molecular"), mutations.presence(["RUNX1", "ASXL1", "STAG2"]))
+    c = view(spark, d, "fx_clinical").select("ID", (F.col("BM_BLAST") > 20).cast("int").alias("high_blast_count"), (F.col("PLT") < 50).cast("int").alias("thrombocytopenia_severe"))
+    out, _ = mutations.interactions(mutations.with_blocks(c, m), C.EXTRA_INTERACTIONS)
+    return out.select("ID", *C.EXTRA_INTERACTIONS)
+
+
+QUERIES = {f.__name__: f for f in (harmonised_mutations, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions)}
 
 _N = lambda p: f"coalesce(len(list_filter(flatten(list_transform(string_split(lower(CYTOGENETICS), '/'), lambda c: string_split(regexp_replace(c, '\\[\\d+\\]', '', 'g'), ','))), lambda x: regexp_matches(x, '{p}'))), 0)::DOUBLE"
+_RULES = [f"SELECT ID, '{c} is adverse' AS rule FROM f WHERE {c} = 1 AND coalesce(eln_cyto_adverse, 0) <> 1" for c in ("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26")] + [
+    "SELECT ID, 'not favorable and adverse' FROM f WHERE eln_cyto_favorable = 1 AND eln_cyto_adverse = 1",
+    "SELECT ID, 'normal is intermediate' FROM f WHERE normal_karyotype = 1 AND coalesce(eln_cyto_intermediate, 0) <> 1",
+    "SELECT ID, 'normal is not favorable' FROM f WHERE normal_karyotype = 1 AND eln_cyto_favorable = 1",
+    "SELECT ID, 'normal is not adverse' FROM f WHERE normal_karyotype = 1 AND eln_cyto_adverse = 1",
+]
 
 ORACLES = {
+    "harmonised_clinic": oracle("WITH e AS (SELECT ID, string_agg(DISTINCT GENE || ' ' || EFFECT, '; ' ORDER BY GENE || ' ' || EFFECT) AS ev FROM fx_molecular WHERE EFFECT IN ('ITD', 'PTD') GROUP BY ID) SELECT ID, 'COHORT' AS CENTER, BM_BLAST, round(WBC, 6) AS WBC, NULL::DOUBLE AS ANC, NULL::DOUBLE AS MONOCYTES, NULL::DOUBLE AS HB, NULL::DOUBLE AS PLT, coalesce(nullif(CYTOGENETICS, ''), ev, '') AS CYTOGENETICS FROM fx_clinical LEFT JOIN e USING (ID)", "fx_clinical", "fx_molecular"),
+    "karyotype_audit": oracle("WITH f AS (SELECT ID, " + ", ".join(f"CASE WHEN CAST(substr(ID, 2) AS BIGINT) % {i + 2} <> 1 THEN (CAST(substr(ID, 2) AS BIGINT) % {i + 3} = 0)::INT END AS {c}" for i, c in enumerate(("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26", "eln_cyto_favorable", "eln_cyto_adverse", "normal_karyotype", "eln_cyto_intermediate"))) + " FROM fx_clinical) " + " UNION ALL ".join(_RULES), "fx_clinical"),
+    "frequent_values": oracle("WITH l AS (SELECT 'CENTER' AS feature, coalesce(CENTER, 'missing') AS value FROM fx_clinical UNION ALL SELECT 'CYTOGENETICS', coalesce(CYTOGENETICS, 'missing') FROM fx_clinical), n AS (SELECT feature, value, count(*) AS n, count(*) OVER (PARTITION BY feature) AS k FROM l GROUP BY feature, value) SELECT feature, value, n FROM n WHERE k >= 10 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value DESC) <= 5", "fx_clinical"),
+    "feature_subset": oracle("SELECT ID, BM_BLAST, round(WBC, 6) AS WBC, ANC, MONOCYTES, HB, PLT FROM fx_clinical", "fx_clinical"),
+    "rare_group_flags": oracle("WITH g AS (SELECT ID, max((GENE = 'STAT3')::INT) AS mut_STAT3, max((GENE = 'KDM6A')::INT) AS mut_KDM6A, max((GENE = 'PTPN11')::INT) AS mut_PTPN11 FROM fx_molecular GROUP BY ID) SELECT *, greatest(mut_STAT3, mut_KDM6A) AS any_rare, mut_STAT3 + mut_KDM6A + mut_PTPN11 AS n_rare FROM g", "fx_molecular"),
+    "latest_run": "SELECT concat('run-', CAST(o_orderkey AS VARCHAR)) AS run_id, CAST(o_orderdate AS VARCHAR) AS created_at FROM orders ORDER BY created_at DESC, run_id DESC LIMIT 1",
+    "extra_interactions": oracle("WITH g AS (SELECT ID, max((GENE = 'RUNX1')::INT) AS r, max((GENE IN ('ASXL1', 'STAG2'))::INT) AS o FROM fx_molecular GROUP BY ID) SELECT ID, (coalesce(r, 0) = 1 AND coalesce(o, 0) = 1)::INT AS lucky_high_burden_survivor, coalesce(BM_BLAST > 20 AND PLT < 50, false)::INT AS unlucky_low_burden_aggressive FROM fx_clinical LEFT JOIN g USING (ID)", "fx_clinical", "fx_molecular"),
     "harmonised_mutations": oracle("WITH j AS (SELECT ID, CHR, START, \"END\", REF, CASE WHEN ALT = 'CT' THEN REF ELSE ALT END AS ALT, GENE, PROTEIN_CHANGE, EFFECT, DEPTH + 5 AS DEPTH FROM fx_molecular WHERE ID IN (SELECT ID FROM fx_clinical WHERE CENTER <> 'CTR_3')), f AS (SELECT * FROM j QUALIFY row_number() OVER (PARTITION BY ID, CHR, START, \"END\", REF, ALT, GENE ORDER BY DEPTH DESC, PROTEIN_CHANGE, EFFECT) = 1) SELECT ID, count(*) AS n, sum(DEPTH) AS depth, count(*) FILTER (PROTEIN_CHANGE = 'p.R882H') AS r882h FROM f GROUP BY ID", "fx_clinical", "fx_molecular"),
     "subgroup_drivers": oracle("WITH r AS (SELECT CENTER = 'CTR_1' AS g, CASE WHEN ANC BETWEEN 0 AND 100 THEN ANC END AS ANC, CASE WHEN HB BETWEEN 2 AND 25 THEN HB END AS HB, (WBC IS NULL OR WBC NOT BETWEEN 0 AND 400)::INT::DOUBLE AS wbc_missing, (CAST(substr(ID, 2) AS BIGINT) % 10)::DOUBLE AS b FROM fx_clinical), k AS (SELECT * FROM r WHERE b >= (SELECT quantile_cont(b, 0.5) FROM r)), l AS (UNPIVOT k ON ANC, HB, wbc_missing INTO NAME feature VALUE value), s AS (SELECT feature, bool_and(value IN (0, 1)) AS is_binary, avg(value) FILTER (g) AS mg, avg(value) FILTER (NOT g) AS mr, stddev_samp(value) FILTER (NOT g) AS sr FROM l GROUP BY feature) SELECT feature, is_binary, round(mg, 6) AS mean_group, round(mr, 6) AS mean_rest, round(CASE WHEN is_binary THEN mg - mr ELSE (mg - mr) / sr END, 6) AS effect FROM s WHERE NOT is_binary OR greatest(mg, mr) >= 0.05", "fx_clinical"),
     "compared_models": oracle("WITH l AS (UNPIVOT fx_scores ON m_a, m_b, m_c INTO NAME model VALUE pred), t AS (SELECT model, avg(pred) AS m, max(pred) AS most, min(pred) AS least FROM l GROUP BY model) SELECT model, round(m, 6) AS mean, most, least, m = max(m) OVER () AS best FROM t", "fx_scores"),

@@ -76,7 +76,21 @@ def retrained_scores(spark: SparkSession, d: str) -> DataFrame:
     return _round(models.retrained_without(_baseline(spark, d), outlier_ids(spark, d), FEATURES, {"cox": {}}, folds=3), 5)
 
 
-QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_search, retrained_scores)}
+def stacked_scores(spark: SparkSession, d: str) -> DataFrame:
+    """A Cox model on the three given scores."""
+    from tidewell.operators.survival import long_scores
+
+    target = clean.clean_target(view(spark, d, "fx_target"))
+    oof = long_scores(view(spark, d, "fx_scores"), ["m_a", "m_b", "m_c"])
+    wide = view(spark, d, "fx_scores")
+    return models.fit_stacking(oof, target, ["m_a", "m_b", "m_c"]).transform(wide).select("ID", F.round("risk", 5).alias("risk"))
+
+
+def forest_importances(spark: SparkSession, d: str) -> DataFrame:
+    return _round(models.importances(models.fit_forest(_baseline(spark, d), FEATURES), spark))
+
+
+QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_search, retrained_scores, stacked_scores, forest_importances)}
 
 _R = "r AS (SELECT ID, " + ", ".join(f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS {c}" for c, (lo, hi) in {"BM_BLAST": (0, 100), "HB": (2, 25), "PLT": (0, 3000)}.items()) + " FROM fx_clinical)"
 ORACLES = {

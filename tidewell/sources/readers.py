@@ -108,6 +108,13 @@ def run_record(spark: SparkSession, run_id: str, created_at: str, config: dict,
     return row.select("run_id", "created_at", F.sha2("config", 256).alias("config_sig"), "features")
 
 
+def append_run(record: DataFrame, path: str, predictions: DataFrame | None = None) -> None:
+    """Add a run to the table of runs, and its predictions (kept by run) beside it."""
+    record.write.mode("append").parquet(f"{path}/runs")
+    if predictions is not None:
+        predictions.crossJoin(F.broadcast(record.select("run_id"))).write.mode("append").partitionBy("run_id").parquet(f"{path}/predictions")  # one row
+
+
 def training_rows(x: DataFrame, y: DataFrame, time: str = "OS_YEARS", event: str = "OS_STATUS", key: str = "ID") -> DataFrame:
     """Features and target joined by key; both target columns have to be there."""
     missing = {time, event} - set(y.columns)
