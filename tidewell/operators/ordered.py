@@ -32,7 +32,7 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _range(df: DataFrame, order: str, descending: bool) -> Column:
+def range_of(df: DataFrame, order: str, descending: bool = False) -> Column:
     """Number of the range that a value of the order column lies in, ascending along the order, found by binary search among the bounds."""
     n, bounds = df.agg(F.count(order), F.percentile_approx(order, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 10_000)).first()
     wanted = max(RANGES, min(MOST_RANGES, n // ROWS))
@@ -58,7 +58,7 @@ def prefix_sums(df: DataFrame, order: str, values: dict[str, Column], by: tuple[
     """
     grouped = df.groupBy(*by, order).agg(*[F.sum(v).alias(n) for n, v in values.items()])
     grouped = settle(grouped.filter(F.col(order).isNotNull()))
-    grouped = grouped.withColumn("_range", _range(grouped, order, descending))
+    grouped = grouped.withColumn("_range", range_of(grouped, order, descending))
     end = F.max(order) if descending else F.min(order)
     totals = grouped.groupBy(*by, "_range").agg(end.alias("_first"), *[F.sum(n).alias(f"_t_{n}") for n in values])
     ranges = Window.partitionBy(*by).orderBy("_range")
@@ -128,7 +128,7 @@ def latest(runs: DataFrame, name: str = "run_id", at: str = "created_at") -> Dat
 def last_known(df: DataFrame, order: str, then: str, value: str, out: str) -> DataFrame:
     """The value of the last row at or before each row, in the order of two columns, that has one. Ranges of the order hand on their last value."""
     rows = settle(df)
-    rows = rows.withColumn("_range", _range(rows, order, False))
+    rows = rows.withColumn("_range", range_of(rows, order))
     inside = Window.partitionBy("_range").orderBy(order, then).rowsBetween(Window.unboundedPreceding, 0)
     ends = rows.groupBy("_range").agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(order, then))).alias("_end"))
     ends = ends.select("_range", F.last("_end", ignorenulls=True).over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)).alias("_carried"))  # MOST_RANGES rows at most

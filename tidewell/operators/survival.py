@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators.ordered import average_ranks, last_known, prefix_sums, settle
+from tidewell.operators.ordered import average_ranks, last_known, prefix_sums, range_of, settle
 
 
 def kaplan_meier(df: DataFrame, time: str = "OS_YEARS", event: str = "OS_STATUS", censoring: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
@@ -47,13 +47,14 @@ def concordance(df: DataFrame, score: str, train: DataFrame | None = None, tau:
     times = prefix_sums(rows.select("_t").distinct(), "_t", {"_one": F.lit(1)}).select("_t", F.col("_one_before").cast("long").alias("_k"))
     weights = censoring_weights(df, train if train is not None else df, tau, time, event).select(F.col(time).alias("_t"), "weight")
     rows = settle(rows.join(times, "_t").join(weights, "_t", "left").withColumn("_w", F.when(F.col("_e") == 1, F.col("weight"))))
+    rows = rows.withColumn("_slice", range_of(rows, "_s"))  # so that no task sorts a whole group
     bits = max(1, (rows.agg(F.max("_k")).first()[0] or 0).bit_length())
     # collapse to distinct (time, score, event) before spreading over levels
-    cells = rows.groupBy(*by, "_k", "_s", "_e", "_w").agg(F.count(F.lit(1)).alias("_n"))
+    cells = rows.groupBy(*by, "_k", "_s", "_slice", "_e", "_w").agg(F.count(F.lit(1)).alias("_n"))
     spread = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
     spread = spread.withColumns({"_high": F.expr("shiftright(_k, _level + 1)"), "_bit": F.expr("shiftright(_k, _level) & 1")})
     node = [*by, "_level", "_high"]
-    per_score = spread.groupBy(*node, "_s").agg(
+    per_score = spread.groupBy(*node, "_s", "_slice").agg(
         F.sum(F.when(F.col("_bit") == 1, F.col("_n")).otherwise(0)).alias("_later"),
         F.sum(F.when((F.col("_bit") == 0) & F.col("_w").isNotNull(), F.col("_w") * F.col("_n")).otherwise(0.0)).alias("_weight"),
         F.sum(F.when((F.col("_bit") == 0) & F.col("_w").isNotNull(), F.col("_n")).otherwise(0)).alias("_firsts"),
@@ -63,7 +64,7 @@ def concordance(df: DataFrame, score: str, train: DataFrame | None = None, tau:
         F.sum(F.col("_weight") * F.col("_below")).alias("c"), F.sum(F.col("_weight") * F.col("_later")).alias("e"), F.sum(F.col("_weight") * F.col("_all")).alias("n"), F.sum(F.col("_firsts") * F.col("_all")).alias("pairs")
     )
     # equal times: an event and a censored row
-    same = cells.groupBy(*by, "_k", "_s").agg(
+    same = cells.groupBy(*by, "_k", "_s", "_slice").agg(
         F.sum(F.when(F.col("_e") == 0, F.col("_n")).otherwise(0)).alias("_later"), F.sum(F.coalesce(F.col("_w") * F.col("_n"), F.lit(0.0))).alias("_weight"), F.sum(F.when(F.col("_w").isNotNull(), F.col("_n")).otherwise(0)).alias("_firsts")
     )
     ties = _strictly_below(same, [*by, "_k"]).groupBy(*by).agg(
@@ -73,15 +74,9 @@ def concordance(df: DataFrame, score: str, train: DataFrame | None = None, tau:
     return total.select(*by, F.try_divide(F.col("c") + F.col("e") / 2, F.col("n")).alias("c_index"), F.col("c").alias("concordant"), F.col("e").alias("tied"), F.col("pairs").cast("long").alias("comparable"))
 
 
-#: Score ranges that a group of the concordance is cut into, so that no task sorts a whole group.
-SLICES = 64
-
-
 def _strictly_below(cells: DataFrame, node: list[str]) -> DataFrame:
-    """_below: later rows of the node with a strictly lower score; _all: all of its later rows. Nodes are cut into slices of the score."""
-    bounds = cells.agg(F.percentile_approx("_s", [i / SLICES for i in range(1, SLICES)], 10_000)).first()[0] or []
-    slice_of = F.aggregate(F.array(*[F.lit(float(b)) for b in sorted(set(bounds))]), F.lit(0), lambda n, b: n + (b < F.col("_s")).cast("int")) if bounds else F.lit(0)
-    cells = cells.withColumn("_slice", slice_of)
+    """_below: later rows of the node with a strictly lower score; _all: all of its later rows. Nodes are cut into slices of the score, as many
+    as the rows ask for."""
     totals = cells.groupBy(*node, "_slice").agg(F.sum("_later").alias("_sum"))
     w = Window.partitionBy(*node)
     totals = totals.select(*node, "_slice", F.coalesce(F.sum("_sum").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_sum").over(w).alias("_all"))
