@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.common import bytes_of, settle
-from tidewell.llm.tokens import Encoder, default_path, slices, small
+from tidewell.llm.tokens import Encoder, default_path, release, slices, small
 
 CAPACITY, GROUP, END = 4096, 4096, 1
 
@@ -53,6 +53,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end: int = END, path: str
     path = path or default_path()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         encoder, tail = Encoder.at(path), np.array([end], "<u4").tobytes()
         for batch in small(batches):
             data, doc_ids = batch.column("data").to_pylist(), batch.column("doc_id").to_pylist()
