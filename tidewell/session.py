@@ -7,6 +7,8 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+#: Rows of an Arrow batch between Spark and Python.
+BATCH = 2000
 ROOT = str(Path(__file__).resolve().parent.parent)
 
 
@@ -33,4 +35,7 @@ def attach(spark: SparkSession) -> SparkSession:
     have = env.get("PYTHONPATH", "")
     if ROOT not in have.split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, have) if x)
+    # whole texts in batches of the default 10,000 rows take much memory on both sides; a smaller setting of the user's stays
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     return spark
