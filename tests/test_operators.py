@@ -161,6 +161,32 @@ def test_correlation_pruning_sides():
     assert fitted.correlated_drops(["x_median", "x_mean", "c"], m, 0.96, [("mean", "median")]) == ["x_median"]
 
 
+def test_quantiles_from_running_counts_equal_sorted_ones(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    values = {"a": rng.integers(0, 50, 501).astype(float), "b": np.round(rng.normal(size=40), 2), "c": np.array([7.0])}
+    df = spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v] + [("a", None), ("d", None)], "feature string, value double")
+    at = [0.0, 0.01, 0.25, 0.5, 0.9, 1.0]
+    got = ordered.long_quantiles(df, "value", at, "feature")
+    assert set(got) == set(values) and all(np.allclose(got[k], np.quantile(v, at)) for k, v in values.items())
+
+
+def test_next_values_cross_ranges(spark):
+    df = spark.range(3000).select((F.col("id") * 3 % 1009).cast("double").alias("x"), F.when(F.col("id") % 2 == 0, "p").otherwise("q").alias("g"))
+    rows = ordered.prefix_sums(df, "x", {"n": F.lit(1)}, ("g",), following="then").collect()
+    for g in "pq":
+        xs = sorted(r.x for r in rows if r.g == g)
+        assert {r.x: r.then for r in rows if r.g == g} == dict(zip(xs, [*xs[1:], None], strict=True))
+
+
+def test_driver_matches_need_gene_flags_and_kind(spark):
+    df = spark.createDataFrame([("p", "Missense_Variant", 1, 1, 0, 0), ("p", "missense", 1, 0, 0, 0), ("p", "stop_gained", 0, 0, 1, 1), ("p", None, 1, 1, 1, 1), ("p", "splice_x", 0, 0, 1, 0)], "ID string, EFFECT string, is_oncogene int, cosmic_has_missense_common int, is_tumor_suppressor int, cosmic_has_splice_common int")
+    r = mutations.by_patient(df, mutations.driver_matches(df.columns)).first()
+    assert (r.oncogene_missense_match, r.tsg_truncating_match) == (1, 1)
+    assert mutations.by_patient(df.select("ID", "EFFECT"), mutations.driver_matches(["ID", "EFFECT"])).first().tsg_truncating_match == 0
+
+
 def test_group_folds_keep_groups(spark):
     df = spark.createDataFrame([(str(i), f"g{i % 7}") for i in range(70)], "ID string, g string")
     folds = survival.group_folds(df, "g", 3).groupBy("g").agg(F.count_distinct("fold").alias("n")).collect()

@@ -96,6 +96,17 @@ def test_iterative_impute_recovers_a_linear_relation(spark):
     assert all(abs(r.b - (2 * r.a + 1)) < 0.5 for r in out)
 
 
+def test_trials_go_on_from_their_log(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"p{i}", float(np.ceil(20 * rng.exponential(np.exp(-x)))), int(rng.random() < 0.8), float(x)) for i, x in enumerate(rng.normal(size=120))]
+    df = spark.createDataFrame(rows, "ID string, OS_YEARS double, OS_STATUS int, a double")
+    first = models.run_trials(df, ["a"], "cox", {"alpha": [0.1]}, folds=2, tau=None)
+    both = models.run_trials(df, ["a"], "cox", {"alpha": [0.1, 5.0]}, first, folds=2, tau=None)
+    assert first.count() == 2 and both.count() == 4 and models.best_trial(both).first().mean_score > 0.6
+    kept = models.retrained_without(df, df.filter("a > 1"), ["a"], {"cox": {}}, folds=2, tau=None)
+    assert kept.count() == 2
+
+
 def test_folds_are_balanced_and_seeded(spark, sf_dir):
     from tidewell.plans.ranking import kfold
 

@@ -17,6 +17,11 @@ from tidewell.operators.ordered import settle
 
 _NAMES = list(EVENTS)
 
+# fixed values: how clones are parted, what a clone's cell count and its beginning look like
+CLONE_BREAK = r"\s*/\s*|\s{2,}"
+CELL_COUNT = r"\[\s*(?:cp)?\s*(\d+)(?:/\d+)?\s*\]$"
+CLONE_START = r"^\s*\d{1,2}(?:-\d{1,2})?\s*,\s*X[XY]*"
+
 
 def normalized(text: Column) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, "(?i)" + r[0], r[1]), NORMALIZATION, text)
@@ -56,15 +61,14 @@ def clones(df: DataFrame, text: str = "CYTOGENETICS") -> DataFrame:
     cell-weighted mean of abnormalities."""
     norm = normalized(_strip(F.col(text)))
     zero = F.array(*[F.lit(0)] * len(_NAMES))
-    raw = F.filter(F.transform(F.split(F.col("_norm"), r"\s*/\s*|\s{2,}"), _strip), lambda c: c != "")
-    cell = r"\[\s*(?:cp)?\s*(\d+)(?:/\d+)?\s*\]$"
+    raw = F.filter(F.transform(F.split(F.col("_norm"), CLONE_BREAK), _strip), lambda c: c != "")
 
     def piece(c: Column) -> Column:
-        body = _strip(F.regexp_replace(c, cell, ""))
-        events = _strip_commas(F.regexp_replace(body, r"^\s*\d{1,2}(?:-\d{1,2})?\s*,\s*X[XY]*", ""))
+        body = _strip(F.regexp_replace(c, CELL_COUNT, ""))
+        events = _strip_commas(F.regexp_replace(body, CLONE_START, ""))
         idem = F.lower(events).contains("idem")
         return F.struct(
-            F.coalesce(F.regexp_extract(c, cell, 1).try_cast("int"), F.lit(1)).alias("cells"),
+            F.coalesce(F.regexp_extract(c, CELL_COUNT, 1).try_cast("int"), F.lit(1)).alias("cells"),
             F.lower(body).contains("idem").alias("inherits"),
             idem.alias("idem"),
             F.when(idem, _strip_commas(F.regexp_replace(events, "(?i)idem", ""))).otherwise(events).alias("events"),

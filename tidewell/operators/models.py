@@ -387,8 +387,6 @@ def baseline(clinical: DataFrame, mutation_rows: DataFrame, target: DataFrame, c
     return fit_median(rows, list(columns)).transform(rows)
 
 
-
-
 def impute_class(df: DataFrame, target: str, features: list[str], unknown: float = 0.5, trees: int = 20, seed: int = 42) -> DataFrame:
     """Rows whose 0/1 column has the `unknown` mark get the class that a forest fitted on the known rows predicts."""
     from pyspark.ml.classification import RandomForestClassifier
