@@ -547,6 +547,16 @@ def test_samples_of_a_table_equal_brute_force(spark):
         assert all(a.perturbed >= b.perturbed for a, b in zip(rows, rows[1:], strict=False)) and all(r.log_inclusion <= 0 for r in rows)
 
 
+def test_kept_units_change_no_sample(monkeypatch):
+    batches = [["the at"], ["zebra quilt", "x"], ["the at zebra"], [""], ["quilt the", "new words"], ["the at"]]
+    for keep in (0, 60, 1 << 21):
+        monkeypatch.setattr(gumbel_pieces, "KEEP", keep)
+        lattices = gumbel_pieces.Lattices(gumbel_pieces.default_path(), 1.0)
+        got = [[(x[0].tolist(), x[1]) for x in t] for texts in batches for t in gumbel_pieces.sample(lattices, texts, np.arange(len(texts), dtype=np.uint64) + np.uint64(9), 3)]
+        first = got if keep == 0 else first
+        assert got == first
+
+
 def test_few_segmentations_come_whole():
     lattices = gumbel_pieces.Lattices.at(gumbel_pieces.default_path(), 1.0)
     samples = gumbel_pieces.sample(lattices, ["of"], np.array([5], np.uint64), 50)[0]

@@ -199,10 +199,9 @@ class Shelf:
 
     def of(self, units: list[str], lattices: "Lattices") -> tuple["Lattice", np.ndarray]:
         """A lattice that holds all the units, and the number of each."""
-        place = dict.fromkeys(units)
-        new = [u for u in place if u not in self.units]
+        new = [u for u in dict.fromkeys(units) if u not in self.units]
         known = len(self.units)
-        place = self.units | {u: known + i for i, u in enumerate(new)} if len(new) < len(place) else {u: known + i for i, u in enumerate(new)}
+        fresh = {u: known + i for i, u in enumerate(new)}
         part = lattices.build(new)
         out = object.__new__(Lattice)
         for name, at, add in (("start", self.edges, self.nodes), ("end", self.edges, self.nodes), ("ids", self.edges, 0), ("log_p", self.edges, 0), ("cum", self.edges, 0), ("heads", self.groups, self.edges), ("nth", self.nodes, self.groups), ("last", known, self.nodes)):
@@ -214,6 +213,7 @@ class Shelf:
                 self.room[name] = room
             self.room[name][at:upto] = np.where(values < 0, -1, values + add) if name == "nth" else values + add if add else values
             setattr(out, name, self.room[name][:upto])
+        place = self.units | fresh
         if self.edges + len(part.start) <= KEEP:
             self.units = place
             self.nodes, self.edges, self.groups = self.nodes + len(part.nth), self.edges + len(part.start), self.groups + len(part.heads) - 1
