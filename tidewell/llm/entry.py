@@ -13,6 +13,10 @@ from tidewell.llm.hash_tree import shards
 from tidewell.llm.language import languages
 from tidewell.llm.packing import pack
 from tidewell.llm.prefix_counts import token_counts
+from tidewell.llm.prefix_trie import ORACLE as TRIE_SQL
+from tidewell.llm.prefix_trie import trie_nodes
+from tidewell.llm.rotated_centroids import clusters
+from tidewell.llm.rotated_centroids import oracle as centroid_sql
 from tidewell.llm.scaled_sketch import fingerprints_with_edits
 from tidewell.llm.simhash import near_duplicates
 from tidewell.llm.token_files import token_files
@@ -59,8 +63,23 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op12_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters(read(spark, sf_dir, "embeddings"))
+
+
+def op13_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie_nodes(read(spark, sf_dir, "conversations"))
+
+
+#: One query for each operator.
+QUERIES = (
+    op1_gumbel_top_k, op2_scaled_sketch, op3_subword_bag, op4_hash_tree, op5_block_naming, op6_prefix_counts, op7_multi_index, op8_word_backoff,
+    op9_token_files, op10_sum_of_squares, op12_rotated_centroids, op13_double_array,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_gumbel_top_k, op2_scaled_sketch, op3_subword_bag, op4_hash_tree, op5_block_naming, op6_prefix_counts, op7_multi_index, op8_word_backoff, op9_token_files, op10_sum_of_squares)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -69,4 +88,6 @@ def oracle_sql() -> dict[str, str]:
             WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents),
             g AS (SELECT t, min(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
             SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM d JOIN g USING (t)""",
+        "op12_rotated_centroids": centroid_sql(),
+        "op13_double_array": TRIE_SQL,
     }
