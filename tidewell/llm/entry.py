@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.block_names import exact_duplicates
+from tidewell.llm.bottom_k import near_duplicates as near_duplicates_by_sketches
 from tidewell.llm.common import read
 from tidewell.llm.gumbel_pieces import sampled_encodings
 from tidewell.llm.hash_tree import shards
@@ -63,6 +64,10 @@ def op10_sum_of_squares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read(spark, sf_dir, "documents"))
 
 
+def op11_bottom_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates_by_sketches(read(spark, sf_dir, "documents"))
+
+
 def op12_rotated_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters(read(spark, sf_dir, "embeddings"))
 
@@ -74,7 +79,7 @@ def op13_double_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: One query for each operator.
 QUERIES = (
     op1_gumbel_top_k, op2_scaled_sketch, op3_subword_bag, op4_hash_tree, op5_block_naming, op6_prefix_counts, op7_multi_index, op8_word_backoff,
-    op9_token_files, op10_sum_of_squares, op12_rotated_centroids, op13_double_array,
+    op9_token_files, op10_sum_of_squares, op11_bottom_k, op12_rotated_centroids, op13_double_array,
 )
 
 

@@ -1,74 +1,24 @@
 """SimHash near duplicates with a guaranteed similarity: each link is verified by the exact Jaccard similarity of the word shingles.
 
 Candidates are what the multi-index search finds (fingerprints within 3 bits), and more: at a similarity of 0.8 two 64-bit fingerprints differ
-in 9.7 bits on average, and balls that reach so far hold a share of all pairs. So there is a second index, of banded minima. For it a document is the set of its distinct shingle hashes. Of ROWS * BANDS random orders of the hashes its smallest are taken, ROWS of them make
-the key of a band, and documents that share a key are candidates: a pair of similarity s shares one with probability 1 - (1 - s**ROWS)**BANDS,
-which is 1 - 4e-6 at 0.8 and higher above. Every candidate pair is then judged by the exact similarity of its two sets, so no link is wrong.
-
-Of a bucket with at most CROWD documents all pairs are judged. In a larger one each document is judged against the bucket's lead, a different
-one for each bucket, and the bucket is cut by its documents' next keys (LEVELS times), so that no work grows with the square of a group. A pair
-that meets in crowded buckets only, linked neither to a common lead nor in a part, isn't found; documents that share a passage, but no more, fall
-apart by their other bands.
+in 9.7 bits on average, and balls that reach so far hold a share of all pairs. So the bottom-k sketches of bottom_k give further candidates, of
+which a pair at the limit is missed with a probability of 2e-10 at most, also in crowds of documents that share a passage. Every candidate is then
+judged by its full sets, so no link is wrong.
 
 Defined results: words and hashes as in simhash; equal sets are linked, and so are all texts without a word; of repeated rows each is a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import FEW, bytes_of, settle, without
-from tidewell.llm.simhash import SEED, classes, majority, shingle_hashes
+from tidewell.llm.bottom_k import near_groups
+from tidewell.llm.common import settle, without
 from tidewell.llm.simhash import links as fingerprint_links
-from tidewell.llm.tokens import forget
-
-WORDS, SIMILARITY = 5, 0.8
-ROWS, BANDS, CROWD, LEVELS = 4, 24, 16, 3
-_FLIP, _TIMES = np.random.default_rng(SEED).integers(0, 2**64, (2, ROWS * BANDS, 1), dtype=np.uint64)
-_TIMES |= np.uint64(1)
-_BATCH = 1 << 12
-
-
-def digest(hashes: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(hashes.tobytes(), SEED)).view(np.int64))
-
-
-def band_keys(hashes: np.ndarray) -> list[int]:
-    """One key for each band; none for the empty set."""
-    if not len(hashes):
-        return []
-    least = np.full(ROWS * BANDS, 2**64 - 1, dtype=np.uint64)
-    for i in range(0, len(hashes), _BATCH):
-        np.minimum(least, ((hashes[i : i + _BATCH] ^ _FLIP) * _TIMES).min(axis=1), out=least)
-    data, size = least.tobytes(), 8 * ROWS
-    return np.array([xxhash.xxh64_intdigest(data[size * k : size * (k + 1)], k) for k in range(BANDS)], dtype=np.uint64).view(np.int64).tolist()
+from tidewell.llm.simhash import majority
 
-
-def _over_sets(docs: DataFrame, words: int, value, column: str, kind: str, arrow: pa.DataType) -> DataFrame:
-    """doc_id, print (the digest of the shingle set), n (its size), fingerprint (SimHash of the shingles), and a value of the set."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forget()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                every = [np.array(shingle_hashes(d, words), dtype="<u8") for d in part.column("data").to_pylist()]
-                sets = [np.unique(h) for h in every]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"), pa.array([digest(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([majority(h) for h in every], pa.int64()), pa.array([value(s) for s in sets], arrow),
-                    ],
-                    names=["doc_id", "print", "n", "fingerprint", column],
-                )
-
-    return bytes_of(docs).mapInArrow(run, f"doc_id long, print long, n long, fingerprint long, {column} {kind}")
+WORDS, PERCENT = 5, 80
 
 
 def fingerprint_pairs(groups: DataFrame) -> DataFrame:
@@ -82,50 +32,14 @@ def fingerprint_pairs(groups: DataFrame) -> DataFrame:
     return near.unionByName(same)
 
 
-def candidates(groups: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Pairs (a < b) of prints that share a key and whose sizes allow the similarity, for a table of distinct print, n and keys."""
-    fits = lambda m, n: F.least(m, n) >= F.greatest(m, n) * F.lit(similarity)
-    entries = groups.select("print", "n", F.posexplode("keys").alias("band", "bucket"))
-    out = None
-    for level in range(1, LEVELS + 1):
-        leads = entries.groupBy("bucket").agg(F.count(F.lit(1)).alias("many"), F.min(F.struct(F.xxhash64("print", "bucket").alias("by"), "print", "n")).alias("lead")).filter("many > 1")
-        met = settle(entries.join(leads.select("bucket", "many", F.col("lead.print").alias("lead"), F.col("lead.n").alias("lead_n")), "bucket"), "met")
-        few, crowded = met.filter(F.col("many") <= CROWD), met.filter(F.col("many") > CROWD)
-        other = few.select("bucket", F.col("print").alias("b"), F.col("n").alias("b_n"))
-        pairs = few.join(other, "bucket").filter((F.col("print") < F.col("b")) & fits(F.col("n"), F.col("b_n"))).select(F.col("print").alias("a"), "b")
-        stars = crowded.filter((F.col("print") != F.col("lead")) & fits(F.col("n"), F.col("lead_n"))).select(F.least("print", "lead").alias("a"), F.greatest("print", "lead").alias("b"))
-        out = pairs.unionByName(stars) if out is None else out.unionByName(pairs).unionByName(stars)
-        if level == LEVELS or not crowded.head(1):
-            break
-        again = F.xxhash64("bucket", F.get("keys", (F.col("band") + level) % BANDS))
-        entries = crowded.select("print", "n", "band", "bucket").join(groups.select("print", "keys"), "print").select("print", "n", "band", again.alias("bucket"))
-    return out.unionByName(fingerprint_pairs(groups))
-
-
-def links(docs: DataFrame, groups: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """Candidates (a, b) whose shingle sets have at least the similarity; only texts that occur in one are read again."""
-    pairs = settle(candidates(groups, similarity).distinct(), "candidates")
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("print")).distinct()
-    wanted = settle(groups.join(nodes, "print", "left_semi").select(F.col("least").alias("_tw_id")).distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_tw_id")), "left_semi")
-    sets = _over_sets(texts, words, lambda s: s.view("<i8"), "hashes", "array<long>", pa.list_(pa.int64()))
-    sets = settle(sets.groupBy("print").agg(F.any_value("hashes").alias("hashes")), "sets")
-    both = pairs.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
-    both = both.select("a", "b", (F.size("x") + F.size("y")).alias("sizes"), F.size(F.array_intersect("x", "y")).alias("common"))
-    return settle(both.filter(F.col("common") / (F.col("sizes") - F.col("common")) >= F.lit(similarity)).select("a", "b"), "links")
-
-
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id and component_id, the smallest doc_id reachable over links, for each row."""
-    rows = settle(_over_sets(docs, words, band_keys, "keys", "array<long>", pa.list_(pa.int64())), "rows")
-    groups = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.min("fingerprint").alias("fingerprint"), F.any_value("keys").alias("keys")), "groups")
-    return rows.select("doc_id", "print").join(classes(groups.select("print", "least"), links(docs, groups, words, similarity)), "print").select("doc_id", "component_id")
+    return near_groups(docs, words, percent, majority, fingerprint_pairs).select("doc_id", "component_id")
 
 
-def without_near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+def without_near_copies(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """The rows of docs that stay, with all their columns: of each component the document with the smallest doc_id. Rows of one doc_id share
     their fate, so those that repeat it are left as they are; rows without doc_id stay."""
-    found = near_copies(docs, words, similarity)
+    found = near_copies(docs, words, percent)
     gone = found.groupBy("doc_id").agg(F.max(F.col("doc_id") == F.col("component_id")).alias("stays")).filter("doc_id is not null and not stays")
     return without(docs, settle(gone.select(F.col("doc_id").alias("_tw_id")), "gone"), docs["doc_id"] == F.col("_tw_id"))
