@@ -699,5 +699,5 @@ def test_queries_are_registered():
     import __spark_entry__ as e
 
     names = list(e.queries())
-    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 11)) and "pipeline" in names
-    assert "op5_block_naming" in e.oracle_sql()
+    assert all(sum(n.startswith(f"op{i}_") for n in names) == 1 for i in range(1, 14)) and "pipeline" in names
+    assert {"op5_block_naming", "op12_rotated_centroids", "op13_double_array"} <= set(e.oracle_sql())
