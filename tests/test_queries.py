@@ -58,9 +58,9 @@ def test_cox_recovers_a_coefficient(spark):
     assert abs(model.beta[0] - 0.8) < 0.2 and abs(model.beta[1]) < 0.15
     again = models.LinearRisk.from_json(model.to_json())
     assert math.isclose(again.transform(df).first().risk, model.transform(df).first().risk)
-    path = models.fit_coxnet(df, ["a", "b"], path=2, rounds=8)
-    assert path[0][1].beta[1] == 0 and path[-1][1].beta[0] > 0
-    linear = models.fit_componentwise(df, ["a", "b"], rounds=3)
+    path = models.fit_coxnet(df, ["a", "b"], path=2, least=0.05)
+    assert path[0][1].beta == [0, 0] and path[-1][1].beta[0] > 0
+    linear = models.fit("componentwise", df, ["a", "b"], rounds=3, rate=0.3, share=1.0)
     assert linear.beta[0] > 0.2 and linear.beta[1] == 0
 
 

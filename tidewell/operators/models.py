@@ -3,66 +3,27 @@
 from __future__ import annotations
 
 import json
-import warnings
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
 import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.fitted import quantiles
-from tidewell.operators.ordered import prefix_sums, settle
+from tidewell.operators.ordered import average_ranks, prefix_sums, settle
+from tidewell.operators.risk import EVENT, TIME, Fit, Fitted, RiskTable, boosted_lines, fit_all, penalty_path, risk_table
 from tidewell.operators.survival import concordance, k_folds
-
-TIME, EVENT = "OS_YEARS", "OS_STATUS"
+from tidewell.operators.trees import Growth, TreeRisk, fit_boosted, fit_forests
 
 
 def _linear(features: list[str], beta: np.ndarray) -> Column:
     return sum((F.col(c) * F.lit(float(b)) for c, b in zip(features, beta, strict=True)), F.lit(0.0))
 
 
-def _risk_sums(df: DataFrame, features: list[str], beta: np.ndarray, second: bool) -> DataFrame:
-    """By distinct time: events, their feature sums, and the risk set's sums of exp(eta), exp(eta) x, and exp(eta) x x' (Breslow ties).
-
-    The risk set of a time is all rows with that time or a later one, so the sums run from the latest time down.
-    """
-    w = F.exp(F.least(_linear(features, beta), F.lit(50.0)))
-    values = {"_d": F.col(EVENT).cast("double"), "_s0": w}
-    for i, c in enumerate(features):
-        values[f"_e{i}"] = F.col(c) * F.col(EVENT)
-        values[f"_s{i + 1}"] = w * F.col(c)
-    if second:
-        for i in range(len(features)):
-            for j in range(i + 1):
-                values[f"_q{i}_{j}"] = w * F.col(features[i]) * F.col(features[j])
-    return prefix_sums(df, TIME, values, descending=True)
-
-
-def _gradient(df: DataFrame, features: list[str], beta: np.ndarray, second: bool = True) -> tuple[np.ndarray, np.ndarray | None, float]:
-    """Gradient, Hessian and value of the Cox partial log likelihood."""
-    p = len(features)
-    sums = _risk_sums(df, features, beta, second)
-    at = lambda n: F.col(n) + F.col(f"{n}_before")
-    s0, d = at("_s0"), F.col("_d")
-    eta = sum((F.col(f"_e{i}") * F.lit(float(b)) for i, b in enumerate(beta)), F.lit(0.0))
-    aggs = [F.sum(eta - d * F.ln(s0)).alias("ll")] + [F.sum(F.col(f"_e{i}") - d * at(f"_s{i + 1}") / s0).alias(f"g{i}") for i in range(p)]
-    if second:
-        aggs += [F.sum(d * (at(f"_q{i}_{j}") / s0 - at(f"_s{i + 1}") * at(f"_s{j + 1}") / (s0 * s0))).alias(f"h{i}_{j}") for i in range(p) for j in range(i + 1)]
-    row = sums.filter(d > 0).agg(*aggs).first()
-    g = np.array([row[f"g{i}"] or 0.0 for i in range(p)])
-    h = None
-    if second:
-        h = np.zeros((p, p))
-        for i in range(p):
-            for j in range(i + 1):
-                h[i, j] = h[j, i] = row[f"h{i}_{j}"] or 0.0
-    return g, h, row["ll"] or 0.0
-
-
 @dataclass
 class LinearRisk:
     """A model that scores by a weighted sum."""
@@ -83,144 +44,95 @@ class LinearRisk:
         return cls(**json.loads(text))
 
 
-def _standardised(df: DataFrame, features: list[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
-    row = df.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(features)], *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(features)]).first()
-    mean = np.array([row[f"m{i}"] or 0.0 for i in range(len(features))])
-    sd = np.array([row[f"s{i}"] or 1.0 for i in range(len(features))])
-    kept = df.select(TIME, EVENT, *[((F.col(c) - F.lit(float(m))) / F.lit(float(s))).alias(c) for c, m, s in zip(features, mean, sd, strict=True)])
-    return settle(kept), mean, sd
+def _risk(table: RiskTable, found: Fitted) -> LinearRisk:
+    return LinearRisk(table.features, found.beta.tolist(), found.center.tolist())
 
 
-def fit_cox(df: DataFrame, features: list[str], alpha: float = 0.01, rounds: int = 15, tolerance: float = 1e-6) -> LinearRisk:
-    """Cox regression with a ridge penalty, by Newton's method: one pass for each step."""
-    rows, mean, sd = _standardised(df, features)
-    beta = np.zeros(len(features))
-    for _ in range(rounds):
-        g, h, _ = _gradient(rows, features, beta)
-        step = np.linalg.solve(h + alpha * np.eye(len(beta)), g - alpha * beta)
-        beta = beta + np.clip(step, -2, 2)
-        if np.abs(step).max() < tolerance:
-            break
-    else:
-        warnings.warn(f"coefficients still move by {np.abs(step).max():.1g} after {rounds} steps", stacklevel=2)
-    return LinearRisk(features, (beta / sd).tolist(), mean.tolist())
-
-
-def _elastic_step(beta: np.ndarray, g: np.ndarray, h: np.ndarray, lasso: float, ridge: float) -> np.ndarray:
-    """Minimum of the quadratic approximation at beta plus both penalties, by coordinate descent on a matrix of the number of features."""
-    new = beta.copy()
-    for _ in range(1000):
-        before = new.copy()
-        for j in range(len(new)):
-            slope = g[j] - h[j] @ (new - beta) + h[j, j] * new[j]
-            new[j] = np.sign(slope) * max(abs(slope) - lasso, 0.0) / max(h[j, j] + ridge, 1e-12)
-        if np.abs(new - before).max() < 1e-10:
-            break
-    return new
-
-
-def fit_coxnet(df: DataFrame, features: list[str], mixing: float = 0.9, path: int = 5, least: float = 0.05, rounds: int = 30, tolerance: float = 1e-5) -> list[tuple[float, LinearRisk]]:
-    """The elastic-net path: models by falling penalty, each from the one before by proximal Newton steps (one pass over the rows for each).
-    A model that hasn't settled after `rounds` steps gives a warning."""
-    rows, mean, sd = _standardised(df, features)
-    n = rows.count() or 1
-    g0, _, _ = _gradient(rows, features, np.zeros(len(features)))
-    top = np.abs(g0).max() / n / max(mixing, 1e-3)
-    beta, out = np.zeros(len(features)), []
-    for lam in np.geomspace(top, top * least, path):
-        for _ in range(rounds):
-            g, h, _ = _gradient(rows, features, beta)
-            new = _elastic_step(beta, g / n, h / n, lam * mixing, lam * (1 - mixing))
-            moved, beta = np.abs(new - beta).max(), new
-            if moved < tolerance:
-                break
-        else:
-            warnings.warn(f"penalty {lam:.3g}: coefficients still move by {moved:.1g} after {rounds} steps", stacklevel=2)
-        out.append((float(lam), LinearRisk(features, (beta / sd).tolist(), mean.tolist())))
-    return out
+# Fitters take rows with a fold column (or None), the folds to leave out (-1: none) and any number of parameter rows, and return the models by
+# parameter row and fold. Those of linear models advance together, in the same passes over the rows.
 
 
-def cox_residuals(df: DataFrame, score: str = "risk") -> DataFrame:
-    """df with `residual`: event - exp(score) x cumulative hazard at the row's time, the negative gradient of the Cox loss."""
-    w = F.exp(F.least(F.col(score), F.lit(50.0)))
-    sums = prefix_sums(df.select(TIME, EVENT, score), TIME, {"_d": F.col(EVENT).cast("double"), "_s0": w}, descending=True)
-    rate = settle(sums.select(TIME, (F.col("_d") / (F.col("_s0") + F.col("_s0_before"))).alias("_r")))
-    hazard = prefix_sums(rate, TIME, {"_h": F.col("_r")}).select(F.col(TIME).alias("_t"), (F.col("_h") + F.col("_h_before")).alias("_hz"))
-    return df.join(hazard, df[TIME] == hazard["_t"]).withColumn("residual", F.col(EVENT) - w * F.col("_hz")).drop("_t", "_hz")
+def cox_models(df: DataFrame, features: list[str], folds: list[int], fold: Column | None, key: str | None, params: list[dict]) -> list[list[LinearRisk]]:
+    """Cox regression with a ridge penalty `alpha` on standardised coefficients."""
+    table = risk_table(df, features, fold, key)
+    found = fit_all(table, [Fit(f, 0.0, p.get("alpha", 0.01)) for p in params for f in folds])
+    return [[_risk(table, found[i * len(folds) + j]) for j in range(len(folds))] for i in range(len(params))]
+
 
+def coxnet_models(df: DataFrame, features: list[str], folds: list[int], fold: Column | None, key: str | None, params: list[dict]) -> list[list[LinearRisk]]:
+    """The elastic net at one penalty for each row, `penalty` being a share of the smallest one at which all coefficients are zero."""
+    table = risk_table(df, features, fold, key)
+    fits = [penalty_path(table, p.get("mixing", 0.95), 2, p.get("penalty", 0.1), f)[-1] for p in params for f in folds]
+    found = fit_all(table, fits)
+    return [[_risk(table, found[i * len(folds) + j]) for j in range(len(folds))] for i in range(len(params))]
 
-def fit_componentwise(df: DataFrame, features: list[str], rounds: int = 20, rate: float = 0.3) -> LinearRisk:
+
+def componentwise_models(df: DataFrame, features: list[str], folds: list[int], fold: Column | None, key: str | None, params: list[dict]) -> list[list[LinearRisk]]:
     """Boosting with one feature's linear term for each round, the one that explains the residuals best."""
-    rows, mean, sd = _standardised(df, features)
-    squares = rows.agg(*[F.sum(F.col(c) * F.col(c)).alias(f"b{i}") for i, c in enumerate(features)]).first()
-    b = np.array([squares[f"b{i}"] or 0.0 for i in range(len(features))])
-    beta = np.zeros(len(features))
-    for _ in range(rounds):
-        a, _, _ = _gradient(rows, features, beta, second=False)  # sums of feature times residual
-        slope = np.divide(a, b, out=np.zeros_like(a), where=b > 0)
-        best = int(np.argmax(a * slope))
-        beta[best] += rate * slope[best]
-    return LinearRisk(features, (beta / sd).tolist(), mean.tolist())
+    table = risk_table(df, features, fold, key)
+    return [[_risk(table, x) for x in boosted_lines(table, [Fit(f) for f in folds], p.get("rounds", 200), p.get("rate", 0.1), p.get("share", 0.7), p.get("seed", 42))] for p in params]
 
 
-@dataclass
-class TreeRisk:
-    """Trees added up."""
+def boosting_models(df: DataFrame, features: list[str], folds: list[int], fold: Column | None, key: str | None, params: list[dict]) -> list[list[TreeRisk]]:
+    """Gradient boosting of the Cox loss by trees with Newton steps, each grown on a share of the rows."""
+    of = lambda p: {"rounds": 200, "depth": 3, "rate": 0.1, "share": 0.7, "leaf": 20, "seed": 42} | p
+    return [fit_boosted(df, features, folds, fold, **of(p), key=key) for p in params]
 
-    features: list[str]
-    trees: list
-    rate: float
 
-    def transform(self, df: DataFrame, out: str = "risk") -> DataFrame:
-        scored = VectorAssembler(inputCols=self.features, outputCol="_x", handleInvalid="keep").transform(df)
-        names = []
-        for i, tree in enumerate(self.trees):
-            scored = tree.copy().setPredictionCol(f"_p{i}").transform(scored)
-            names.append(f"_p{i}")
-        total = sum((F.col(c) for c in names), F.lit(0.0)) * F.lit(self.rate)
-        return scored.withColumn(out, total).drop("_x", *names)
+def forest_models(df: DataFrame, features: list[str], folds: list[int], fold: Column | None, key: str | None, params: list[dict]) -> list[list[TreeRisk]]:
+    """A survival forest with log-rank splits; a node looks at the square root of the number of features."""
+    looks = max(1, int(len(features) ** 0.5))
+    of = lambda p: Growth(**({"looks": looks} | {k: v for k, v in p.items() if k != "trees"}))
+    return [fit_forests(df, features, folds, fold, p.get("trees", 400), of(p), key) for p in params]
 
 
-def fit_boosting(df: DataFrame, features: list[str], rounds: int = 5, depth: int = 3, rate: float = 0.3, share: float = 0.8, seed: int = 42) -> TreeRisk:
-    """Gradient boosting of the Cox loss with regression trees on a sample of the rows; the score is settled each round."""
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(df.select(TIME, EVENT, *features)).select(TIME, EVENT, "_x")
-    rows = settle(rows.withColumn("risk", F.lit(0.0)))
-    model = TreeRisk(features, [], rate)
-    for i in range(rounds):
-        res = cox_residuals(rows)
-        tree = DecisionTreeRegressor(featuresCol="_x", labelCol="residual", maxDepth=depth, seed=seed + i).fit(res.sample(share, seed + i))
-        model.trees.append(tree)
-        rows = settle(tree.transform(rows).withColumn("risk", F.col("risk") + F.col("prediction") * rate).drop("prediction"))
-    return model
+FITTERS = {"cox": cox_models, "coxnet": coxnet_models, "componentwise": componentwise_models, "boosting": boosting_models, "forest": forest_models}
 
 
-def fit_forest(df: DataFrame, features: list[str], trees: int = 10, depth: int = 4, seed: int = 42) -> TreeRisk:
-    """A forest on null-model martingale residuals (log-rank scores), the one-step approximation of survival trees."""
-    res = settle(cox_residuals(df.withColumn("risk", F.lit(0.0))))
-    rows = VectorAssembler(inputCols=features, outputCol="_x").transform(res)
-    return TreeRisk(features, [RandomForestRegressor(featuresCol="_x", labelCol="residual", numTrees=trees, maxDepth=depth, seed=seed).fit(rows)], 1.0)
+def fit(kind: str, df: DataFrame, features: list[str], key: str | None = None, **params) -> LinearRisk | TreeRisk:
+    """One model of all rows."""
+    return FITTERS[kind](df, features, [-1], None, key, [params])[0][0]
 
 
-FITTERS = {"cox": fit_cox, "componentwise": fit_componentwise, "boosting": fit_boosting, "forest": fit_forest}
+def fit_cox(df: DataFrame, features: list[str], alpha: float = 0.01) -> LinearRisk:
+    return fit("cox", df, features, alpha=alpha)
+
+
+def fit_coxnet(df: DataFrame, features: list[str], mixing: float = 0.95, path: int = 100, least: float = 0.01) -> list[tuple[float, LinearRisk]]:
+    """The elastic-net path: models by falling penalty (for each row), all fitted to the optimality conditions in the same passes."""
+    table = risk_table(df, features)
+    found = fit_all(table, penalty_path(table, mixing, path, least))
+    return [(f.fit.lasso / mixing / max(table.n[-1], 1), _risk(table, f)) for f in found]
+
+
+def cox_residuals(df: DataFrame, score: str = "risk") -> DataFrame:
+    """df with `residual`: event - exp(score) x cumulative hazard at the row's time, the negative gradient of the Cox loss."""
+    w = F.exp(F.least(F.col(score), F.lit(50.0)))
+    sums = prefix_sums(df.select(TIME, EVENT, score), TIME, {"_d": F.col(EVENT).cast("double"), "_s0": w}, descending=True)
+    rate = settle(sums.select(TIME, (F.col("_d") / (F.col("_s0") + F.col("_s0_before"))).alias("_r")))
+    hazard = prefix_sums(rate, TIME, {"_h": F.col("_r")}).select(F.col(TIME).alias("_t"), (F.col("_h") + F.col("_h_before")).alias("_hz"))
+    return df.join(hazard, df[TIME] == hazard["_t"]).withColumn("residual", F.col(EVENT) - w * F.col("_hz")).drop("_t", "_hz")
+
+
+def _scored(rows: DataFrame, models: list, folds: list[int], name: str, key: str) -> DataFrame:
+    """(key, fold, model, pred) of each fold's rows by the model that left it out."""
+    parts = [m.transform(rows.filter(F.col("fold") == f), "pred").select(key, "fold", F.lit(name).alias("model"), F.col("pred").cast("double").alias("pred")) for f, m in zip(folds, models, strict=True)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def out_of_fold(df: DataFrame, features: list[str], models: dict[str, dict], folds: int = 5, key: str = "ID", seed: int = 42) -> DataFrame:
-    """(key, fold, model, pred): each row scored by models that were fitted without its fold. A fit that fails leaves NULL predictions."""
-    rows = settle(k_folds(df, folds, seed, key))
+    """(key, fold, model, pred): each row scored by models that were fitted without its fold. The folds of a model advance in the same passes, and so do
+    all models of one linear kind. A fit that fails leaves NULL predictions."""
+    rows, every = settle(k_folds(df, folds, seed, key)), list(range(folds))
     parts = []
-    for f in range(folds):
-        train, test = rows.filter(F.col("fold") != f), rows.filter(F.col("fold") == f)
-        for name, params in models.items():
-            kind = params.get("kind", name)
-            try:
-                model = FITTERS[kind](train, features, **{k: v for k, v in params.items() if k != "kind"})
-                parts.append(model.transform(test, "pred").select(key, "fold", F.lit(name).alias("model"), F.col("pred").cast("double").alias("pred")))
-            except (ArithmeticError, np.linalg.LinAlgError):
-                parts.append(test.select(key, "fold", F.lit(name).alias("model"), F.lit(None).cast("double").alias("pred")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return settle(out)
+    for kind in dict.fromkeys(p.get("kind", name) for name, p in models.items()):
+        same = {name: {k: v for k, v in p.items() if k != "kind"} for name, p in models.items() if p.get("kind", name) == kind}
+        try:
+            found = FITTERS[kind](rows, features, every, F.col("fold"), key, list(same.values()))
+            parts += [_scored(rows, m, every, name, key) for name, m in zip(same, found, strict=True)]
+        except (ArithmeticError, np.linalg.LinAlgError):
+            parts += [rows.select(key, "fold", F.lit(name).alias("model"), F.lit(None).cast("double").alias("pred")) for name in same]
+    return settle(reduce(DataFrame.unionByName, parts))
 
 
 def fold_scores(oof: DataFrame, target: DataFrame, tau: float | None = 7.0, key: str = "ID") -> DataFrame:
@@ -241,18 +153,26 @@ def trials(space: dict[str, list], done: DataFrame | None, spark, most: int | No
     return table.join(done.select("trial"), "trial", "left_anti") if done is not None else table
 
 
-def run_trials(df: DataFrame, features: list[str], kind: str, space: dict[str, list], log: DataFrame | None = None, folds: int = 5, tau: float | None = 7.0, most: int | None = None, key: str = "ID") -> DataFrame:
+def run_trials(df: DataFrame, features: list[str], kind: str, space: dict[str, list], log: DataFrame | None = None, folds: int = 5, tau: float | None = 7.0, most: int | None = None, key: str = "ID", halving: bool = False) -> DataFrame:
     """(trial, params, fold, score): every parameter row of the grid that the log lacks is fitted and scored out of fold; rows of the log stay.
 
-    Trials run one after another (each is a distributed fit), and a run that is broken off goes on from the log that it has written."""
-    open_ = trials(space, log, df.sparkSession, most).orderBy("params").collect()  # one row for each trial
-    rows, target = settle(df), df.select(key, TIME, EVENT)
-    done = [log] if log is not None else []
-    for trial in open_:
-        oof = out_of_fold(rows, features, {kind: json.loads(trial["params"])}, folds, key)
-        score = fold_scores(oof, target, tau, key)
-        done.append(settle(score.select(F.lit(trial["trial"]).alias("trial"), F.lit(trial["params"]).alias("params"), "fold", "score")))
-    return reduce(DataFrame.unionByName, done)
+    All open trials of a linear kind are fitted on all folds in the same passes, and all are scored by one concordance. With halving, trials are first
+    scored on one fold, the better half of them on another, and so on; the log then has fewer folds of the others."""
+    rows = settle(k_folds(df, folds, 42, key))
+    open_ = [(r["trial"], r["params"]) for r in trials(space, log, df.sparkSession, most).orderBy("params").collect()]  # one row for each trial
+    target, done, left = df.select(key, TIME, EVENT), [log] if log is not None else [], list(range(folds))
+    names = df.sparkSession.createDataFrame(open_, "trial string, params string") if open_ else None
+    while open_ and left:
+        now, left = (left[:1], left[1:]) if halving and len(open_) > 1 else (left, [])
+        found = FITTERS[kind](rows, features, now, F.col("fold"), key, [json.loads(p) for _, p in open_])
+        oof = settle(reduce(DataFrame.unionByName, [_scored(rows, m, now, trial, key) for (trial, _), m in zip(open_, found, strict=True)]))
+        score = settle(fold_scores(oof, target, tau, key).withColumnRenamed("model", "trial").join(F.broadcast(names), "trial").select("trial", "params", "fold", "score"))
+        done.append(score)
+        if left:
+            so_far = reduce(DataFrame.unionByName, done[1 if log is not None else 0 :])
+            best = {r["trial"] for r in best_trial(so_far.join(F.broadcast(df.sparkSession.createDataFrame(open_, "trial string, params string").select("trial")), "trial")).limit(-(-len(open_) // 2)).collect()}
+            open_ = [t for t in open_ if t[0] in best]
+    return reduce(DataFrame.unionByName, done) if done else df.sparkSession.createDataFrame([], "trial string, params string, fold int, score double")
 
 
 def retrained_without(df: DataFrame, outliers: DataFrame, features: list[str], models: dict[str, dict], folds: int = 5, tau: float | None = 7.0, key: str = "ID") -> DataFrame:
@@ -267,12 +187,42 @@ def best_trial(log: DataFrame) -> DataFrame:
 
 
 def importances(model: TreeRisk, spark, k: int = 20) -> DataFrame:
-    """The k features with the largest mean importance over trees."""
-    total = np.mean([t.featureImportances.toArray() for t in model.trees], axis=0)
-    rows = sorted(zip(model.features, total.tolist(), strict=True), key=lambda x: (-x[1], x[0]))[:k]
+    """The k features with the largest share of what splits gained."""
+    rows = sorted(zip(model.features, map(float, model.gains), strict=True), key=lambda x: (-x[1], x[0]))[:k]
     return spark.createDataFrame(rows, "feature string, importance double")
 
 
+def coefficients(model: LinearRisk, spark, k: int = 20) -> DataFrame:
+    """The k coefficients of a linear model that are largest in size."""
+    rows = sorted(zip(model.features, map(float, model.beta), map(abs, map(float, model.beta)), strict=True), key=lambda x: (-x[2], x[0]))[:k]
+    return spark.createDataFrame(rows, "feature string, coefficient double, magnitude double")
+
+
+def save_models(models: dict[str, LinearRisk | TreeRisk], path: str, spark) -> None:
+    """Models by name as one table at the path, in place of models of the same names; the others stay."""
+    made = {"LinearRisk": LinearRisk, "TreeRisk": TreeRisk}
+    rows = [(n, next(k for k, c in made.items() if isinstance(m, c)), m.to_json()) for n, m in models.items()]
+    spark.createDataFrame(rows, "name string, class string, model string").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("name").parquet(path)
+
+
+def load_models(path: str, spark, names: list[str] | None = None) -> dict[str, LinearRisk | TreeRisk]:
+    """The named models (or all) of a table; a name that it lacks is an error."""
+    rows = spark.read.schema("class string, model string, name string").parquet(path)
+    found = {r["name"]: (TreeRisk if r["class"] == "TreeRisk" else LinearRisk).from_json(r["model"]) for r in (rows if names is None else rows.filter(F.col("name").isin(names))).collect()}
+    if missing := set(names or ()) - set(found):
+        raise KeyError(f"no saved model {', '.join(sorted(missing))}")
+    return dict(sorted(found.items()))
+
+
+def scored_by(df: DataFrame, models: dict[str, LinearRisk | TreeRisk], key: str = "ID") -> DataFrame:
+    """(key, risk_score): the mean over models of the rank that each gives a row."""
+    for i, m in enumerate(models.values()):
+        df = m.transform(df, f"_m{i}")
+    rows = settle(df.select(key, *[f"_m{i}" for i in range(len(models))]))
+    long = rows.select(key, F.explode(F.array(*[F.struct(F.lit(i).alias("model"), F.col(f"_m{i}").alias("pred")) for i in range(len(models))])).alias("m")).select(key, "m.*")
+    return average_ranks(long, "pred", by=("model",)).groupBy(key).agg(F.avg("rank").alias("risk_score"))
+
+
 # imputation by models
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import clean, models
+from tidewell.operators.ordered import settle, shared_path
 from tidewell.plans.features import _clinical, _round
 from tidewell.plans.fixtures import oracle, view
 
@@ -21,8 +22,8 @@ def baseline_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cox_fit(spark: SparkSession, d: str) -> DataFrame:
-    model = models.fit_cox(_baseline(spark, d), FEATURES)
-    return model.transform(_baseline(spark, d)).select("ID", F.round("risk", 5).alias("risk"))
+    rows = settle(_baseline(spark, d))
+    return models.fit_cox(rows, FEATURES).transform(rows).select("ID", F.round("risk", 5).alias("risk"))
 
 
 def coxnet_path(spark: SparkSession, d: str) -> DataFrame:
@@ -31,21 +32,25 @@ def coxnet_path(spark: SparkSession, d: str) -> DataFrame:
 
 
 def boost_linear(spark: SparkSession, d: str) -> DataFrame:
-    model = models.fit_componentwise(_baseline(spark, d), FEATURES)
-    return model.transform(_baseline(spark, d)).select("ID", F.round("risk", 5).alias("risk"))
+    rows = settle(_baseline(spark, d))
+    return models.fit("componentwise", rows, FEATURES, "ID").transform(rows).select("ID", F.round("risk", 5).alias("risk"))
 
 
 def boost_tree(spark: SparkSession, d: str) -> DataFrame:
-    return models.fit_boosting(_baseline(spark, d), FEATURES).transform(_baseline(spark, d)).select("ID", "risk")
+    rows = settle(_baseline(spark, d))
+    return models.fit("boosting", rows, FEATURES, "ID").transform(rows).select("ID", "risk")
 
 
 def survival_forest(spark: SparkSession, d: str) -> DataFrame:
-    return models.fit_forest(_baseline(spark, d), FEATURES).transform(_baseline(spark, d)).select("ID", "risk")
+    """400 trees of depth 15."""
+    rows = settle(_baseline(spark, d))
+    return models.fit("forest", rows, FEATURES, "ID").transform(rows).select("ID", "risk")
 
 
 def oof_scores(spark: SparkSession, d: str) -> DataFrame:
-    rows = _baseline(spark, d)
-    oof = models.out_of_fold(rows, FEATURES, {"cox": {}, "forest": {}})
+    """Fold scores of a Cox model, an elastic net and a forest; 80 trees for each fold, 400 in all."""
+    rows = settle(_baseline(spark, d))
+    oof = models.out_of_fold(rows, FEATURES, {"cox": {}, "coxnet": {}, "forest": {"trees": 80}})
     return models.fold_scores(oof, rows.select("ID", "OS_YEARS", "OS_STATUS"))
 
 
@@ -66,14 +71,15 @@ def supervised_impute(spark: SparkSession, d: str) -> DataFrame:
 
 def trial_search(spark: SparkSession, d: str) -> DataFrame:
     """A grid of ridge penalties, each fitted and scored out of fold, the best first."""
-    return _round(models.best_trial(models.run_trials(_baseline(spark, d), FEATURES, "cox", {"alpha": [0.01, 10.0]}, folds=3)), 5)
+    space = {"alpha": [0.01, 0.1, 1.0, 10.0, 100.0, 1000.0, 3000.0, 10000.0]}
+    return _round(models.best_trial(models.run_trials(settle(_baseline(spark, d)), FEATURES, "cox", space)), 5)
 
 
 def retrained_scores(spark: SparkSession, d: str) -> DataFrame:
     """Fold scores of a Cox model without the 50 patients that the given scores miss most."""
     from tidewell.plans.ranking import outlier_ids
 
-    return _round(models.retrained_without(_baseline(spark, d), outlier_ids(spark, d), FEATURES, {"cox": {}}, folds=3), 5)
+    return _round(models.retrained_without(_baseline(spark, d), outlier_ids(spark, d), FEATURES, {"cox": {}}), 5)
 
 
 def stacked_scores(spark: SparkSession, d: str) -> DataFrame:
@@ -87,10 +93,21 @@ def stacked_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def forest_importances(spark: SparkSession, d: str) -> DataFrame:
-    return _round(models.importances(models.fit_forest(_baseline(spark, d), FEATURES), spark))
+    return _round(models.importances(models.fit("forest", settle(_baseline(spark, d)), FEATURES, "ID"), spark))
 
 
-QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_search, retrained_scores, stacked_scores, forest_importances)}
+def cox_coefficients(spark: SparkSession, d: str) -> DataFrame:
+    return _round(models.coefficients(models.fit_cox(settle(_baseline(spark, d)), FEATURES), spark))
+
+
+def saved_model_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Mean ranks by two saved models that are chosen by name."""
+    rows, at = settle(_baseline(spark, d)), shared_path(spark, "models")
+    models.save_models({"ridge": models.fit_cox(rows, FEATURES, 10.0), "net": models.fit("coxnet", rows, FEATURES), "other": models.fit_cox(rows, FEATURES[:2])}, at, spark)
+    return _round(models.scored_by(rows, models.load_models(at, spark, ["ridge", "net"])), 5)
+
+
+QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_search, retrained_scores, stacked_scores, forest_importances, cox_coefficients, saved_model_scores)}
 
 _R = "r AS (SELECT ID, " + ", ".join(f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS {c}" for c, (lo, hi) in {"BM_BLAST": (0, 100), "HB": (2, 25), "PLT": (0, 3000)}.items()) + " FROM fx_clinical)"
 ORACLES = {
