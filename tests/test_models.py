@@ -185,3 +185,34 @@ def test_saved_models_by_name(spark, tmp_path):
     ranks = models.scored_by(df, found).agg(F.sum("risk_score")).first()[0]
     assert abs(ranks - 150 * 151 / 2) < 1e-9
     assert models.coefficients(one, spark, 2).count() == 2 and models.importances(two, spark).first().importance > 0
+
+
+def test_correlations_use_the_rows_that_each_pair_has(spark):
+    from tidewell.operators import fitted
+
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 30))
+    x[:, 1] += 2 * x[:, 0]
+    x[rng.random(x.shape) < 0.3] = np.nan
+    names = [f"c{i}" for i in range(30)]
+    frame = pd.DataFrame(x, columns=names)
+    df = spark.createDataFrame([tuple(None if np.isnan(v) else float(v) for v in r) for r in x], ", ".join(f"{c} double" for c in names))
+    got, r = fitted.correlations(df.withColumn("flat", F.lit(1.0)), [*names, "flat"])
+    assert got == names and np.allclose(r, frame.corr().to_numpy())
+
+
+def test_a_later_column_goes_even_if_its_partner_went(spark):
+    from tidewell.operators import fitted
+
+    names = ["a", "b", "c"]
+    chain = [[1.0, 0.95, 0.8], [0.95, 1.0, 0.95], [0.8, 0.95, 1.0]]
+    assert fitted.correlated_drops(names, chain, 0.9, keep="first") == ["b", "c"]
+    df = spark.createDataFrame([(float(i), 2.0) for i in range(9)], "x double, flat double")
+    assert fitted.uncorrelated(df, ["x", "flat"], 0.9) == ["x", "flat"] and fitted.uncorrelated(df, ["x", "flat"], 0.9, 1e-6) == ["x"]
+
+
+def test_every_named_feature_is_made(spark, sf_dir):
+    from tidewell import config as C
+    from tidewell.plans.complete import full_features
+
+    assert set(C.EXPLORATORY_FEATURES) <= set(full_features(spark, sf_dir).columns)

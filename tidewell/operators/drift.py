@@ -22,9 +22,11 @@ def distances(long: DataFrame, least: int = 10, by: tuple[str, ...] = ()) -> Dat
     sizes = sizes.filter((F.col("n_a") >= least) & (F.col("n_b") >= least))
     steps = prefix_sums(long.filter("value IS NOT NULL"), "value", {"a": (F.col("in_b") == 0).cast("int"), "b": F.col("in_b")}, keys, following="_next")
     steps = steps.join(sizes, list(keys))
-    gap = F.abs((F.col("a") + F.col("a_before")) / F.col("n_a") - (F.col("b") + F.col("b_before")) / F.col("n_b"))
+    # gaps between the two running shares as whole numbers, in units of 1 / (n_a * n_b): their sums don't depend on the order of rows
+    gap = F.abs((F.col("a") + F.col("a_before")) * F.col("n_b") - (F.col("b") + F.col("b_before")) * F.col("n_a"))
     steps = steps.select(*keys, "n_a", "n_b", gap.alias("gap"), (F.col("_next") - F.col("value")).alias("step"))
-    return steps.groupBy(*keys, "n_a", "n_b").agg(F.max("gap").alias("ks"), F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0)).alias("wasserstein"))
+    unit = F.col("n_a") * F.col("n_b")
+    return steps.groupBy(*keys, "n_a", "n_b").agg((F.max("gap") / unit).alias("ks"), (F.coalesce(F.sum(F.col("gap") * F.col("step")), F.lit(0.0)) / unit).alias("wasserstein"))
 
 
 def moments(long: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import flag
 from tidewell.operators.ordered import long_quantiles, prefix_sums
+from tidewell.operators.risk import added_up, matrix
 
 
 #: Rows up to which one aggregation may hold a column's distinct values; larger tables take running counts instead, with equal results.
@@ -166,14 +168,30 @@ def zero_variance(df: DataFrame, columns: list[str], split: str, protected: tupl
 
 
 def correlations(df: DataFrame, columns: list[str]) -> tuple[list[str], list[list[float]]]:
-    """Pearson matrix of the columns that vary, from one pass; missing values have to be imputed first."""
-    spread = df.agg(*[(F.max(c) > F.min(c)).alias(c) for c in columns]).first()
-    usable = [c for c in columns if spread[c]]
+    """Pearson matrix of the columns that vary; each pair is taken over the rows that have both (NaN where these don't vary).
+
+    One pass gathers, for all pairs at once, the co-moments of their common rows: four matrix products of the values and of what is present."""
+    spread = df.agg(*[(F.max(c) > F.min(c)).alias(f"v{i}") for i, c in enumerate(columns)], *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    usable = [(c, float(spread[f"m{i}"])) for i, c in enumerate(columns) if spread[f"v{i}"]]
     if len(usable) < 2:
-        return usable, [[1.0]] * len(usable)
-    vectors = VectorAssembler(inputCols=usable, outputCol="_v", handleInvalid="skip").transform(df.select(*[F.col(c).cast("double").alias(c) for c in usable])).select("_v")
-    matrix = Correlation.corr(vectors, "_v").first()[0].toArray()
-    return usable, matrix.tolist()
+        return [c for c, _ in usable], [[1.0]] * len(usable)
+    p = len(usable)
+    x = F.array(*[F.coalesce(F.col(c).cast("double") - F.lit(m), F.lit(float("nan"))) for c, m in usable])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((4, p, p))
+        for b in batches:
+            v = matrix(b)
+            have = ~np.isnan(v)
+            v, have = np.where(have, v, 0.0), have.astype(float)
+            out += np.stack([have.T @ have, v.T @ have, (v * v).T @ have, v.T @ v])
+        return out.ravel()
+
+    n, s, q, c = added_up(df.select(x.alias("x")), 4 * p * p, partial).reshape(4, p, p)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        spread_of = np.maximum(q - s * s / n, 0.0)
+        r = np.clip((c - s * s.T / n) / np.sqrt(spread_of * spread_of.T), -1, 1)
+    return [c for c, _ in usable], r.tolist()
 
 
 def correlated_drops(names: list[str], matrix: list[list[float]], limit: float, rules: list[tuple[str, str]] = (), ignored: tuple[str, ...] = (), keep: str = "last") -> list[str]:
@@ -192,19 +210,21 @@ def correlated_drops(names: list[str], matrix: list[list[float]], limit: float,
                 gone.append(hit)
                 break
     for i, j in pairs:
-        if names[i] in gone or names[j] in gone:
-            continue
-        gone.append(names[i] if keep == "last" else names[j])
+        if keep == "first":  # a column above the limit with any earlier one goes, whether that one goes or not
+            if names[j] not in gone:
+                gone.append(names[j])
+        elif names[i] not in gone and names[j] not in gone:
+            gone.append(names[i])
     return gone
 
 
 def uncorrelated(df: DataFrame, columns: list[str], limit: float, least_variance: float = 0.0) -> list[str]:
-    """Columns that stay: a variance above the floor, and of correlated pairs the earlier one."""
+    """Columns that stay: a variance not below the floor, and not above the limit of correlation with any earlier such column."""
     row = df.agg(*[F.var_samp(c).alias(c) for c in columns]).first()
-    varied = [c for c in columns if row[c] is not None and row[c] > least_variance]
+    varied = [c for c in columns if row[c] is not None and row[c] >= least_variance]
     names, matrix = correlations(df, varied)
     gone = set(correlated_drops(names, matrix, limit, keep="first"))
-    return [c for c in names if c not in gone]
+    return [c for c in varied if c not in gone]
 
 
 def rare_binary(df: DataFrame, columns: list[str], split: str, share: float, protected: tuple[str, ...] = ()) -> list[str]:

@@ -47,7 +47,7 @@ def pathways(groups: dict[str, list[str]], gene: str = "GENE") -> dict[str, Colu
         own = F.col(gene).isin(genes)
         out[f"{name}_altered"] = F.max(flag(own))
         out[f"{name}_count"] = F.count_if(own)
-    out["pathway_diversity"] = reduce(Column.__add__, [F.max(flag(F.col(gene).isin(g))) for g in groups.values()])
+    out["pathway_diversity_score"] = reduce(Column.__add__, [F.max(flag(F.col(gene).isin(g))) for g in groups.values()])
     return out
 
 
@@ -65,17 +65,43 @@ def categories(column: str, values: list[str], prefix: str) -> dict[str, Column]
     return {f"{prefix}{v}": F.count_if(F.col(column) == v) for v in values}
 
 
+#: Categories of significance that are counted together.
+TOGETHER = {"pathogenic_like": ("pathogenic", "likely_pathogenic"), "uncertain_or_conflicting": ("uncertain", "conflicting")}
+
+
 def significance(column: str, patterns: dict[str, str], prefix: str = "clinvar_") -> dict[str, Column]:
-    """Rows whose text contains a category's name, whether any, and the share of rows that say something. Containment means that
-    'likely_pathogenic' counts as 'pathogenic' too."""
+    """Rows that say something and whether any does; rows whose text contains a category's name and whether any does, for each category and for
+    sums of them; and the share of rows that say something which the first sum has. Containment means that 'likely_pathogenic' counts as
+    'pathogenic' too, and twice in their sum."""
+    said = F.count(column)
+    counts = {name: F.count_if(F.lower(F.col(column)).contains(p.lower())) for name, p in patterns.items()}
+    sums = {name: reduce(Column.__add__, [counts[p] for p in parts if p in counts]) for name, parts in TOGETHER.items() if set(parts) & set(counts)}
+    out = {f"{prefix}annotated_variant_count": said, f"{prefix}has_any_annotation": (said > 0).cast("int")}
+    for name, n in (counts | sums).items():
+        out[f"{prefix}{name}_count"], out[f"{prefix}any_{name}"] = n, (n > 0).cast("int")
+    if "pathogenic_like" in sums:
+        out[f"{prefix}pathogenic_like_ratio"] = F.coalesce(F.try_divide(sums["pathogenic_like"], said), F.lit(0.0))
+    return out
+
+
+#: The flags of a gene's role, and what their sums are called.
+ROLES = {"is_oncogene": "oncogene", "is_tumor_suppressor": "tsg"}
+
+
+def gene_roles(columns: list[str]) -> dict[str, Column]:
+    """Mutations in oncogenes and in tumour suppressors, and whether there are any, for those flags that the rows have."""
     out = {}
-    for name, p in patterns.items():
-        n = F.count_if(F.lower(F.col(column)).contains(p.lower()))
-        out[f"{prefix}{name}_count"], out[f"any_{prefix}{name}"] = n, (n > 0).cast("int")
-        out[f"{prefix}{name}_ratio"] = F.coalesce(F.try_divide(n, F.count(column)), F.lit(0.0))
+    for flag_name, role in ROLES.items():
+        if flag_name in columns:
+            n = F.coalesce(F.sum(flag_name), F.lit(0)).cast("long")
+            out[f"num_{role}_muts"], out[f"any_{role}_mut"] = n, (n > 0).cast("int")
     return out
 
 
+#: Impacts of a mutation.
+IMPACTS = ["HIGH", "MODERATE", "LOW", "MODIFIER"]
+
+
 def dimension_flags(columns: list[str]) -> dict[str, Column]:
     """Sums of joined 0/1 columns and whether any is set."""
     out = {}

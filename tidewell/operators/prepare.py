@@ -32,8 +32,8 @@ class Annotations:
         if self.genes is not None:
             new = [c for c in self.genes.columns if c not in rows.columns]
             rows = rows.join(self.genes.select("GENE", *new), "GENE", "left")
-            flags = [c for c in new if c not in ("tier", "arm")]
-            blocks += [mutations.dimension_flags(flags), mutations.driver_matches(rows.columns)]
+            flags = [c for c in new if c not in ("tier", "arm", *mutations.ROLES)]
+            blocks += [mutations.gene_roles(rows.columns), mutations.dimension_flags(flags), mutations.driver_matches(rows.columns), {"cosmic_gene_count": F.count_distinct(F.when(F.greatest(*[F.col(c).isNotNull().cast("int") for c in new], F.lit(0)) > 0, F.col("GENE")))}]
             if "tier" in new:
                 blocks.append(mutations.tiers("tier", list(self.tiers)))
             if "arm" in new:
@@ -49,9 +49,10 @@ class Annotations:
         return rows, blocks
 
 
-def features(patients: DataFrame, mutation_rows: DataFrame, known: Annotations | None = None, leave: tuple[str, ...] = ()) -> DataFrame:
+def features(patients: DataFrame, mutation_rows: DataFrame, known: Annotations | None = None, leave: tuple[str, ...] = (), extra: bool = False) -> DataFrame:
     """Clinical, cytogenetic, molecular, annotation, co-mutation, risk, interaction and arm blocks of cleaned tables; absent mutation features
-    are 0. `leave` names blocks to leave out: clinical, cytogenetic, molecular, annotations, comutations, risk, interactions, arms."""
+    are 0. `leave` names blocks to leave out: clinical, cytogenetic, molecular, annotations, comutations, risk, interactions, arms; `extra`
+    adds the two interactions that are off by default."""
     out = patients
     if "clinical" not in leave:
         out = clinical.clinical_features(out, C.MEASURES, C.RATIOS, C.THRESHOLDS, C.SCORES, C.SCORE_FLAGS)
@@ -59,7 +60,7 @@ def features(patients: DataFrame, mutation_rows: DataFrame, known: Annotations |
         out = add_new_columns(out, karyotype.cytogenetics(patients))
     rows, blocks = known.blocks(mutation_rows) if known and "annotations" not in leave else (mutation_rows, [])
     if "molecular" not in leave:
-        blocks = [mutations.presence(C.GENES), mutations.allele_fractions(C.VAF_THRESHOLDS), mutations.kinds(C.MUTATION_TYPES), mutations.pathways(C.PATHWAYS), mutations.burden(), *blocks]
+        blocks = [mutations.presence(C.GENES), mutations.allele_fractions(C.VAF_THRESHOLDS), mutations.kinds(C.MUTATION_TYPES), mutations.pathways(C.PATHWAYS), mutations.burden(), *([mutations.categories("IMPACT", mutations.IMPACTS, "impact_")] if "IMPACT" in rows.columns else []), *blocks]
     if blocks:
         out = mutations.with_blocks(out, mutations.by_patient(rows, *blocks))
     if "comutations" not in leave:
@@ -67,7 +68,7 @@ def features(patients: DataFrame, mutation_rows: DataFrame, known: Annotations |
     if "risk" not in leave:
         out = mutations.molecular_risk(out, [f"mut_{g}" for g in C.FAVORABLE_GENES], [f"mut_{g}" for g in C.ADVERSE_GENES])
     if "interactions" not in leave:
-        out, _ = mutations.interactions(out, C.INTERACTIONS)
+        out, _ = mutations.interactions(out, C.INTERACTIONS | (C.EXTRA_INTERACTIONS if extra else {}))
     return out if "arms" in leave else mutations.arm_cross(out, C.ARMS)
 
 

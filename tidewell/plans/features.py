@@ -208,7 +208,7 @@ _KINDS = {
 }
 _IN = {n: "(" + ", ".join(f"'{g}'" for g in gs) + ")" for n, gs in C.PATHWAYS.items()}
 _PATHS = {k: v for n in C.PATHWAYS for k, v in ((f"{n}_altered", f"CASE WHEN bool_or(GENE IN {_IN[n]}) THEN 1 ELSE 0 END"), (f"{n}_count", f"count(*) FILTER (GENE IN {_IN[n]})"))} | {
-    "pathway_diversity": "CAST(" + " + ".join(f"CASE WHEN bool_or(GENE IN {_IN[n]}) THEN 1 ELSE 0 END" for n in C.PATHWAYS) + " AS INT)"
+    "pathway_diversity_score": "CAST(" + " + ".join(f"CASE WHEN bool_or(GENE IN {_IN[n]}) THEN 1 ELSE 0 END" for n in C.PATHWAYS) + " AS INT)"
 }
 _BURDEN = {
     "total_mutations": "count(*)", "vaf_mean": "round(avg(VAF), 6)", "vaf_median": "round(median(VAF), 6)", "vaf_max": "round(max(VAF), 6)",

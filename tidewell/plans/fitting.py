@@ -73,9 +73,13 @@ def variable_kinds(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(k, x) for k, xs in kinds.items() for x in xs], "kind string, feature string")
 
 
+#: Breadth of what is added to a measure for a chain of columns: neighbours are correlated above 0.9, the ends aren't.
+_CHAIN = 5
+
+
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     c = _clinical(spark, d).select("ID", *_NUM)
-    return fitted.fit_median(c, _NUM).transform(c).withColumns({"WBC2": F.col("WBC") * 2 + F.col("HB") / 100, "zero": F.lit(0.0), "rare": (F.expr("CAST(substr(ID, 2) AS BIGINT) % 997") == 0).cast("int"), "half": F.expr("CAST(substr(ID, 2) AS INT) % 2"), "split": F.when(_test(), "test").otherwise("train")})
+    return fitted.fit_median(c, _NUM).transform(c).withColumns({"WBC2": F.col("WBC") * 2 + F.col("HB") / 100, "HB2": F.col("HB") + F.expr("CAST(substr(ID, 2) AS BIGINT) * 7919 % 1000 / 1000D") * _CHAIN, "HB3": F.col("HB") + F.expr("(CAST(substr(ID, 2) AS BIGINT) * 7919 % 1000 + CAST(substr(ID, 2) AS BIGINT) * 104729 % 1000) / 1000D") * _CHAIN, "zero": F.lit(0.0), "rare": (F.expr("CAST(substr(ID, 2) AS BIGINT) % 997") == 0).cast("int"), "half": F.expr("CAST(substr(ID, 2) AS INT) % 2"), "split": F.when(_test(), "test").otherwise("train")})
 
 
 def zero_variance_list(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +93,7 @@ def correlation_prune_list(spark: SparkSession, d: str) -> DataFrame:
 
 
 def uncorrelated_list(spark: SparkSession, d: str) -> DataFrame:
-    return spark.createDataFrame([(n,) for n in fitted.uncorrelated(_wide(spark, d), [*_NUM, "WBC2", "zero"], 0.9)], "feature string")
+    return spark.createDataFrame([(n,) for n in fitted.uncorrelated(_wide(spark, d), [*_NUM, "WBC2", "HB2", "HB3", "zero"], 0.9, 1e-9)], "feature string")
 
 
 def rare_binary_list(spark: SparkSession, d: str) -> DataFrame:
@@ -139,7 +143,9 @@ def fold_drift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def most_drifted(spark: SparkSession, d: str) -> DataFrame:
-    return _round(drift.most_drifted(_folded(spark, d), _NUM, k=4))
+    """The measures are tenths, so their drift is told in hundredths of a unit as whole numbers: sums are exact, in whatever order."""
+    rows = _folded(spark, d)
+    return _round(drift.most_drifted(rows.withColumns({c: F.round(F.col(c) * 100) for c in _NUM}), _NUM, k=4))
 
 
 def preprocess_by_cohort(spark: SparkSession, d: str) -> DataFrame:
@@ -197,11 +203,11 @@ _ROBUST = "round((({c}) - {c}_m) / CASE WHEN {c}_b = {c}_a THEN 1 ELSE {c}_b - {
 _QUARTERS = ", ".join(f"quantile_cont({c}, 0.25) AS {c}_a, median({c}) AS {c}_m, quantile_cont({c}, 0.75) AS {c}_b" for c in _NUM)
 _ECDF = f"""{_UNPIVOT}, s AS (SELECT feature, value, {_SQL_TEST} AS b FROM l WHERE value IS NOT NULL), z AS (SELECT feature, count(*) FILTER (NOT b) AS n_a, count(*) FILTER (b) AS n_b FROM s GROUP BY feature),
   v AS (SELECT feature, value, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM s GROUP BY feature, value),
-  g AS (SELECT feature, n_a, n_b, abs(sum(a) OVER w / n_a - sum(c) OVER w / n_b) AS gap, lead(value) OVER w - value AS step FROM v JOIN z USING (feature) WINDOW w AS (PARTITION BY feature ORDER BY value))"""
+  g AS (SELECT feature, n_a, n_b, abs(sum(a) OVER w * n_b - sum(c) OVER w * n_a) AS gap, n_a * n_b AS unit, lead(value) OVER w - value AS step FROM v JOIN z USING (feature) WINDOW w AS (PARTITION BY feature ORDER BY value))"""
 _FOLDS = f"""WITH r AS ({_RANGED}), k AS (SELECT *, CASE WHEN PLT < 100 THEN 1 WHEN PLT >= 100 THEN 0 END::DOUBLE AS few, (CAST(substr(ID, 2) AS BIGINT) * 7919 + 42) % 104729 % 5 AS fold FROM r), o AS (SELECT k.*, f, fold = f AS b FROM k, range(5) t(f))"""
 _FOLD_KS = """l AS (UNPIVOT (SELECT f, b, {cols} FROM o) ON {cols} INTO NAME feature VALUE value), z AS (SELECT f, feature, count(*) FILTER (NOT b) AS n_a, count(*) FILTER (b) AS n_b FROM l GROUP BY ALL),
-  v AS (SELECT f, feature, value, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM l GROUP BY ALL), g AS (SELECT f, feature, abs(sum(a) OVER w / n_a - sum(c) OVER w / n_b) AS gap, lead(value) OVER w - value AS step FROM v JOIN z USING (f, feature) WINDOW w AS (PARTITION BY f, feature ORDER BY value)),
-  ks AS (SELECT f, feature, max(gap) AS ks, sum(gap * step) AS w1 FROM g GROUP BY ALL)"""
+  v AS (SELECT f, feature, value, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM l GROUP BY ALL), g AS (SELECT f, feature, abs(sum(a) OVER w * n_b - sum(c) OVER w * n_a) AS gap, n_a * n_b AS unit, lead(value) OVER w - value AS step FROM v JOIN z USING (f, feature) WINDOW w AS (PARTITION BY f, feature ORDER BY value)),
+  ks AS (SELECT f, feature, max(gap) / unit AS ks, sum(gap * step) / unit AS w1 FROM g GROUP BY f, feature, unit)"""
 
 
 def _own_scale(where: str, cohort: str) -> str:
@@ -213,7 +219,7 @@ def _own_scale(where: str, cohort: str) -> str:
     return f"SELECT ID, {scale}, '{cohort}' AS cohort FROM (SELECT ID, {fill} FROM (SELECT ID, {clip} FROM {r}))"
 
 
-_WIDE = f"{_R}, m AS (SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _NUM) + f" FROM r), w AS (SELECT ID, " + ", ".join(f"coalesce({c}, {c}_m) AS {c}" for c in _NUM) + f", CASE WHEN {_SQL_TEST} THEN 'test' ELSE 'train' END AS split FROM r, m), x AS (SELECT *, WBC * 2 + HB / 100 AS WBC2, 0::DOUBLE AS zero, (CAST(substr(ID, 2) AS BIGINT) % 997 = 0)::INT AS rare, (CAST(substr(ID, 2) AS INT) % 2) AS half FROM w)"
+_WIDE = f"{_R}, m AS (SELECT " + ", ".join(f"median({c}) AS {c}_m" for c in _NUM) + f" FROM r), w AS (SELECT ID, " + ", ".join(f"coalesce({c}, {c}_m) AS {c}" for c in _NUM) + f", CASE WHEN {_SQL_TEST} THEN 'test' ELSE 'train' END AS split FROM r, m), x AS (SELECT *, WBC * 2 + HB / 100 AS WBC2, HB + (CAST(substr(ID, 2) AS BIGINT) * 7919 % 1000) / 1000 * {_CHAIN} AS HB2, HB + (CAST(substr(ID, 2) AS BIGINT) * 7919 % 1000 + CAST(substr(ID, 2) AS BIGINT) * 104729 % 1000) / 1000 * {_CHAIN} AS HB3, 0::DOUBLE AS zero, (CAST(substr(ID, 2) AS BIGINT) % 997 = 0)::INT AS rare, (CAST(substr(ID, 2) AS INT) % 2) AS half FROM w)"
 
 ORACLES = {
     "fold_drift": oracle(_FOLDS + ", " + _FOLD_KS.format(cols="ANC, HB, PLT") + """, n AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY ks DESC, feature) AS nth FROM ks), d AS (SELECT f, avg(ks) AS ks_mean, median(ks) AS ks_median, avg(ks) FILTER (nth <= 5) AS ks_top5, avg(w1) AS w1_mean FROM n GROUP BY f),
@@ -222,12 +228,12 @@ ORACLES = {
       c AS (SELECT f, CENTER, count(*) FILTER (NOT b) AS a, count(*) FILTER (b) AS c FROM o GROUP BY ALL), q AS (SELECT f, (a / sum(a) OVER u + 1e-9) / (1 + 1e-9 * count(*) OVER u) AS p, (c / sum(c) OVER u + 1e-9) / (1 + 1e-9 * count(*) OVER u) AS q FROM c WINDOW u AS (PARTITION BY f)),
       j AS (SELECT f, sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) / 2 + q * ln(q / ((p + q) / 2)) / 2), 0)) AS js FROM q GROUP BY f)
       SELECT f AS fold, round(ks_mean, 6) AS ks_mean, round(ks_median, 6) AS ks_median, round(ks_top5, 6) AS ks_top5, round(w1_mean, 6) AS w1_mean, round(prevalence_shift, 6) AS prevalence_shift, round(missing_shift, 6) AS missing_shift, round(js, 6) AS js FROM d JOIN p USING (f) JOIN h USING (f) JOIN j USING (f)""", "fx_clinical"),
-    "most_drifted": oracle(_FOLDS + ", " + _FOLD_KS.format(cols=", ".join(_NUM)) + ", e AS (SELECT f, feature, avg(value) FILTER (b) - avg(value) FILTER (NOT b) AS d_mean, stddev_samp(value) FILTER (b) - stddev_samp(value) FILTER (NOT b) AS d_std FROM l GROUP BY ALL) SELECT f AS fold, feature, round(ks, 6) AS ks, round(w1, 6) AS wasserstein, round(d_mean, 6) AS d_mean, round(d_std, 6) AS d_std FROM ks JOIN e USING (f, feature) QUALIFY row_number() OVER (PARTITION BY f ORDER BY ks DESC, w1 DESC, feature) <= 4", "fx_clinical"),
+    "most_drifted": oracle(_FOLDS.replace("o AS (SELECT k.*", "o AS (SELECT k.* REPLACE (" + ", ".join(f"round({c} * 100) AS {c}" for c in _NUM) + ")") + ", " + _FOLD_KS.format(cols=", ".join(_NUM)) + ", e AS (SELECT f, feature, avg(value) FILTER (b) - avg(value) FILTER (NOT b) AS d_mean, stddev_samp(value) FILTER (b) - stddev_samp(value) FILTER (NOT b) AS d_std FROM l GROUP BY ALL) SELECT f AS fold, feature, round(ks, 6) AS ks, round(w1, 6) AS wasserstein, round(d_mean, 6) AS d_mean, round(d_std, 6) AS d_std FROM ks JOIN e USING (f, feature) QUALIFY row_number() OVER (PARTITION BY f ORDER BY ks DESC, w1 DESC, feature) <= 4", "fx_clinical"),
     "preprocess_by_cohort": oracle(f"{_R} " + _own_scale("CENTER = 'CTR_2'", "extra") + " UNION ALL " + _own_scale("CENTER <> 'CTR_2'", "main"), "fx_clinical"),
     "zero_variance_list": oracle(_WIDE + ", v AS (SELECT split, " + ", ".join(f"count(DISTINCT {c}) AS {c}" for c in (*_NUM, "WBC2", "zero", "rare", "half")) + " FROM x GROUP BY split), l AS (UNPIVOT v ON " + ", ".join((*_NUM, "WBC2", "zero", "rare", "half")) + " INTO NAME feature VALUE n) SELECT DISTINCT feature FROM l WHERE n <= 1", "fx_clinical"),
     "rare_binary_list": oracle(_WIDE + f", v AS (SELECT split, avg(rare) AS rare, avg(half) AS half FROM x GROUP BY split), l AS (UNPIVOT v ON rare, half INTO NAME feature VALUE p) SELECT DISTINCT feature FROM l WHERE p < {C.RARE_SHARE}", "fx_clinical"),
     "correlation_prune_list": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + f") SELECT DISTINCT a AS feature FROM p WHERE abs(r) > {C.CORRELATION_LIMIT}", "fx_clinical"),
-    "uncorrelated_list": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + ") SELECT feature FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in (*_NUM, "WBC2")) + "]) AS feature) WHERE feature NOT IN (SELECT b FROM p WHERE abs(r) > 0.9)", "fx_clinical"),
+    "uncorrelated_list": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2", "HB2", "HB3"), 2)) + ") SELECT feature FROM (SELECT unnest([" + ", ".join(f"'{c}'" for c in (*_NUM, "WBC2", "HB2", "HB3")) + "]) AS feature) WHERE feature NOT IN (SELECT b FROM p WHERE abs(r) > 0.9)", "fx_clinical"),
     "variable_kinds": oracle("WITH n AS (SELECT count(DISTINCT (WBC IS NOT NULL)) AS h, count(DISTINCT length(CYTOGENETICS)) AS e, count(DISTINCT CAST(HB AS INT)) AS g FROM fx_clinical) SELECT 'continuous' AS kind, unnest([" + ", ".join(f"'{c}'" for c in _NUM) + "]) AS feature UNION ALL SELECT 'categorical', unnest(['CENTER', 'CYTOGENETICS']) UNION ALL SELECT CASE WHEN h <= 2 THEN 'binary' ELSE 'ordinal' END, 'has_wbc' FROM n UNION ALL SELECT 'count', 'n_events' FROM n UNION ALL SELECT 'ordinal', 'grade' FROM n", "fx_clinical"),
     "corr_pairs": oracle(_WIDE + ", p AS (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM x" for a, b in combinations((*_NUM, "WBC2"), 2)) + ") SELECT a, b, round(r, 6) AS r FROM p WHERE abs(r) > 0.5", "fx_clinical"),
     "clip_quantiles": oracle(_CLIP + " SELECT ID, " + ", ".join(f"round({c}, 6) AS {c}" for c in _NUM) + " FROM c", "fx_clinical"),
@@ -239,8 +245,8 @@ ORACLES = {
     "rare_crosstab": oracle("WITH k AS (SELECT GENE FROM fx_molecular GROUP BY GENE HAVING count(*) >= 2500) SELECT ID, CASE WHEN GENE IN (SELECT GENE FROM k) THEN GENE ELSE 'rare' END AS value, count(*) AS n FROM fx_molecular GROUP BY ALL", "fx_molecular"),
     "stratified_split": oracle("WITH v AS (SELECT ID, OS_STATUS, CAST(substr(ID, 2) AS BIGINT) AS k FROM fx_target WHERE OS_YEARS > 0 AND OS_STATUS IS NOT NULL) SELECT ID, OS_STATUS, CASE WHEN row_number() OVER (PARTITION BY OS_STATUS ORDER BY (k * 7919 + 42) % 104729, k) <= floor(count(*) OVER (PARTITION BY OS_STATUS) * 0.2::DOUBLE) THEN 'test' ELSE 'train' END AS part FROM v", "fx_target"),
     "preprocess_full": oracle(_CLIP + ", m AS (SELECT " + ", ".join(f"median({c}) AS {c}_d" for c in _NUM) + " FROM c), i AS (SELECT ID, " + ", ".join(f"coalesce({c}, {c}_d) AS {c}" for c in _NUM) + f" FROM c, m), s AS (SELECT {_QUARTERS} FROM i) SELECT ID, " + ", ".join(_ROBUST.format(c=c) for c in _NUM) + " FROM i, s", "fx_clinical"),
-    "ks_drift": oracle(_ECDF + " SELECT feature, n_a, n_b, round(max(gap), 6) AS ks FROM g GROUP BY ALL", "fx_clinical"),
-    "wasserstein": oracle(_ECDF + " SELECT feature, round(sum(gap * step), 6) AS wasserstein FROM g GROUP BY feature", "fx_clinical"),
+    "ks_drift": oracle(_ECDF + " SELECT feature, n_a, n_b, round(max(gap) / unit, 6) AS ks FROM g GROUP BY feature, n_a, n_b, unit", "fx_clinical"),
+    "wasserstein": oracle(_ECDF + " SELECT feature, round(sum(gap * step) / unit, 6) AS wasserstein FROM g GROUP BY feature, unit", "fx_clinical"),
     "moment_drift": oracle(f"{_UNPIVOT} SELECT feature, round(avg(value) FILTER ({_SQL_TEST}) - avg(value) FILTER (NOT ({_SQL_TEST})), 6) AS d_mean, round(stddev_samp(value) FILTER ({_SQL_TEST}) - stddev_samp(value) FILTER (NOT ({_SQL_TEST})), 6) AS d_std FROM l GROUP BY feature", "fx_clinical"),
     "prevalence_shift": oracle(f"{_R}, m AS (SELECT ID, " + ", ".join(f"({c} IS NULL)::INT AS {c}_missing" for c in _NUM) + " FROM r), l AS (UNPIVOT m ON " + ", ".join(f"{c}_missing" for c in _NUM) + f" INTO NAME feature VALUE value), p AS (SELECT feature, avg(value) FILTER (NOT ({_SQL_TEST})) AS p_train, avg(value) FILTER ({_SQL_TEST}) AS p_test FROM l GROUP BY feature) SELECT feature, round(p_train, 6) AS p_train, round(p_test, 6) AS p_test, round(p_test - p_train, 6) AS delta, round(abs(p_test - p_train), 6) AS abs_delta FROM p", "fx_clinical"),
     "js_distance": oracle(f"WITH c AS (SELECT CENTER, count(*) FILTER (NOT ({_SQL_TEST})) AS a, count(*) FILTER ({_SQL_TEST}) AS b FROM fx_clinical GROUP BY CENTER), s AS (SELECT (a / (SELECT sum(a) FROM c) + 1e-9) / (1 + 1e-9 * (SELECT count(*) FROM c)) AS p, (b / (SELECT sum(b) FROM c) + 1e-9) / (1 + 1e-9 * (SELECT count(*) FROM c)) AS q FROM c) SELECT round(sqrt(greatest(sum(p * ln(p / ((p + q) / 2)) / 2 + q * ln(q / ((p + q) / 2)) / 2), 0)), 6) AS js FROM s", "fx_clinical"),

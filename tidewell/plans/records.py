@@ -227,6 +227,7 @@ QUERIES = {
 }
 
 _DIM = "dim AS (SELECT GENE, max(CASE WHEN regexp_matches(EFFECT, '(?i)stop|frameshift') THEN 1 ELSE 0 END) AS is_trunc, max(CASE WHEN regexp_matches(EFFECT, '(?i)ITD') THEN 1 ELSE 0 END) AS is_itd, max(CASE WHEN VAF > 0.9 THEN 1 ELSE 0 END) AS is_high, min(CAST(CHR AS INT) % 3 + 1) AS tier, min(PROTEIN_CHANGE) AS PROTEIN_CHANGE FROM fx_molecular GROUP BY GENE)"
+_SAID = ("pathogenic", "likely_pathogenic", "benign", "uncertain", "conflicting")
 _SIG = "s AS (SELECT ID, split_part('pathogenic|likely_pathogenic|benign|uncertain_significance|conflicting', '|', 1 + CAST(CHR AS INT) % 5) AS s FROM fx_molecular)"
 _TRUST = "(VAF BETWEEN 0 AND 1 AND DEPTH >= 10) IS TRUE OR EFFECT = 'ITD' OR contains(PROTEIN_CHANGE, 'ITD') OR (GENE IN ('MLL', 'KMT2A') AND (contains(EFFECT, 'PTD') OR contains(PROTEIN_CHANGE, 'PTD')))"
 _VID = "concat('chr', CHR, ':g.', CAST(CAST(START AS BIGINT) AS VARCHAR), REF, '>', ALT)"
@@ -247,7 +248,9 @@ ORACLES = {
     "vcf_scan": oracle("WITH m AS (SELECT CHR, START, REF, ALT, min(DEPTH) AS dp FROM fx_molecular GROUP BY ALL) SELECT concat('chr', CHR, ':g.', CAST(CAST(START AS BIGINT) AS VARCHAR), REF, '>', ALT) AS vid, CAST(START AS BIGINT) AS POS, REF, ALT, CASE WHEN dp > 30 THEN 'Pathogenic' ELSE 'Benign' END AS CLNSIG FROM m WHERE dp > 10 AND dp % 7 <> 0", "fx_molecular"),
     "gene_dimension": oracle(f"WITH {_DIM} SELECT * FROM dim", "fx_molecular"),
     "gene_flags_by_patient": oracle(f"WITH {_DIM} SELECT ID, sum(is_itd)::BIGINT AS is_itd_count, CASE WHEN sum(is_itd) > 0 THEN 1 ELSE 0 END AS any_is_itd, min(tier) AS tier_min, count(*) FILTER (tier = 1) AS tier1_gene_count, count(*) FILTER (tier = 2) AS tier2_gene_count, count(*) FILTER (tier = 3) AS tier3_gene_count, max((tier IS NOT NULL)::INT) AS has_tier, count(DISTINCT GENE) AS gene_count FROM fx_molecular JOIN dim USING (GENE) GROUP BY ID", "fx_molecular"),
-    "clinvar_features": oracle(f"WITH {_SIG} SELECT ID, " + ", ".join(f"count(*) FILTER (contains(s, '{c}')) AS clinvar_{c}_count, CASE WHEN count(*) FILTER (contains(s, '{c}')) > 0 THEN 1 ELSE 0 END AS any_clinvar_{c}, round(count(*) FILTER (contains(s, '{c}')) / count(s), 6) AS clinvar_{c}_ratio" for c in ("pathogenic", "likely_pathogenic", "benign", "uncertain", "conflicting")) + " FROM s GROUP BY ID", "fx_molecular"),
+    "clinvar_features": oracle(f"WITH {_SIG}, c AS (SELECT ID, count(s) AS n, " + ", ".join(f"count(*) FILTER (contains(s, '{c}')) AS {c}" for c in _SAID) + " FROM s GROUP BY ID), b AS (SELECT *, pathogenic + likely_pathogenic AS pathogenic_like, uncertain + conflicting AS uncertain_or_conflicting FROM c)"
+        " SELECT ID, n AS clinvar_annotated_variant_count, (n > 0)::INT AS clinvar_has_any_annotation, " + ", ".join(f"{c} AS clinvar_{c}_count, ({c} > 0)::INT AS clinvar_any_{c}" for c in (*_SAID, "pathogenic_like", "uncertain_or_conflicting"))
+        + ", round(pathogenic_like / n, 6) AS clinvar_pathogenic_like_ratio FROM b", "fx_molecular"),
     "cadd_features": oracle("WITH s AS (SELECT ID, CASE WHEN length(REF) = 1 AND length(ALT) = 1 AND START = \"END\" THEN DEPTH * 0.7::DOUBLE END AS c FROM fx_molecular) SELECT ID, round(max(c), 6) AS cadd_max, round(avg(c), 6) AS cadd_mean, count(*) FILTER (c >= 20) AS cadd_high_count FROM s GROUP BY ID", "fx_molecular"),
     "annotation_backlog": oracle(f"WITH v AS (SELECT CHR, {_VID} AS vid FROM fx_molecular WHERE length(REF) = 1 AND length(ALT) = 1) SELECT DISTINCT vid FROM v WHERE vid NOT IN (SELECT vid FROM v WHERE CHR = '1')", "fx_molecular"),
     "effect_standardize": oracle("WITH r AS (SELECT CASE WHEN CHR <> '22' THEN list_extract([" + ", ".join(f"'{e}'" for e in _RAW_EFFECTS) + f"], CAST(START % {len(_RAW_EFFECTS)} AS INT) + 1) END AS raw FROM fx_molecular) SELECT raw, " + """CASE WHEN raw IS NULL THEN 'unknown' WHEN lower(raw) IN ('frameshift_variant', 'stop_gained&splice') THEN 'frameshift_or_stop_gained' WHEN raw = 'stop_lost' THEN 'stop_lost' WHEN raw IN ('start_lost', 'initiator_codon_variant') THEN 'start_lost'
