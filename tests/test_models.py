@@ -216,3 +216,27 @@ def test_every_named_feature_is_made(spark, sf_dir):
     from tidewell.plans.complete import full_features
 
     assert set(C.EXPLORATORY_FEATURES) <= set(full_features(spark, sf_dir).columns)
+
+
+def test_bayesian_ridge_equals_numpy_on_the_rows():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 5)) * [1, 2, 3, 1, 1] + 4
+    y = x @ [1.0, 0, -2, 0.5, 0] + 3 + rng.normal(size=150)
+    v = np.column_stack([x, y, np.ones(150)])
+    got = models.bayesian_ridge(v.T @ v, tolerance=1e-12)
+    xc, yc, noise, weight, b = x - x.mean(axis=0), y - y.mean(), 1 / y.var(), 1.0, np.zeros(5)
+    for _ in range(300):
+        cov = np.linalg.inv(weight * np.eye(5) + noise * xc.T @ xc)
+        b = noise * cov @ xc.T @ yc
+        used = 5 - weight * np.trace(cov)
+        weight, noise = (used + 2e-6) / (b @ b + 2e-6), (150 - used + 2e-6) / (((yc - xc @ b) ** 2).sum() + 2e-6)
+    assert np.allclose(got, [*b, y.mean() - x.mean(axis=0) @ b], atol=1e-8)
+
+
+@pytest.mark.parametrize("model,near", [("bayes", 0.2), ("ridge", 0.5), ("forest", 12), ("boosting", 12)])
+def test_chained_equations_with_each_model(spark, model, near):
+    df = spark.createDataFrame([(str(i), float(i), 2.0 * i + 1 if i % 5 else None) for i in range(60)], "ID string, a double, b double")
+    out = models.iterative_impute(df, ["a", "b"], rounds=4, model=model).filter("CAST(ID AS INT) % 5 = 0").collect()
+    assert all(abs(r.b - (2 * r.a + 1)) < near for r in out)
+    with pytest.raises(ValueError, match="no model"):
+        models.iterative_impute(df, ["a"], model="none")

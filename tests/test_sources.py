@@ -53,3 +53,46 @@ def test_sinks(spark, tmp_path):
     assert a == b and len(a) == 64
     with pytest.raises(ValueError):
         readers.training_rows(scores, scores)
+
+
+def test_runs_and_submissions_can_be_written_again(spark, tmp_path):
+    at = str(tmp_path / "runs")
+    record = lambda run: readers.run_record(spark, run, "2026-01-01", {"x": run}, ["f"])
+    scores = spark.createDataFrame([("a", 1.0), ("b", 2.0)], "ID string, risk_score double")
+    for _ in range(2):
+        readers.append_run(record("1"), at, scores)
+        readers.append_run(record("2"), at, scores)
+        readers.write_submission(scores, str(tmp_path / "s"), "7")
+    readers._in_place(scores.withColumn("run_id", F.lit("3")), f"{at}/predictions", "run_id")  # a run that broke off before its record
+    assert [r.run_id for r in readers.runs(spark, at).orderBy("run_id").collect()] == ["1", "2"]
+    assert readers.run_predictions(spark, at, "ID string, risk_score double").groupBy("run_id").count().orderBy("run_id").collect() == [("1", 2), ("2", 2)]
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
+
+
+def test_upsert_keeps_the_newest_and_can_be_repeated(spark, tmp_path):
+    at, schema = str(tmp_path / "cache"), "vid string, score double, at int"
+    first = spark.createDataFrame([(f"v{i}", float(i), 1) for i in range(40)], schema)
+    later = spark.createDataFrame([("v3", 30.0, 2), ("v4", 40.0, 0), ("new", 5.0, 2), ("new", 6.0, 1)], schema)
+    for rows in (first, later, later, first):
+        readers.upsert(rows, at, "vid", "at", 4)
+    got = {r.vid: r.score for r in readers.upserted(spark, at, schema).collect()}
+    assert got == {f"v{i}": float(i) for i in range(40)} | {"v3": 30.0, "new": 5.0} and readers.upserted(spark, at, schema).count() == 41
+
+
+def test_wide_matrix_of_many_samples(spark, tmp_path):
+    n = 20_000
+    lines = ["# made", "METRIC\t" + "\t".join(f"s{i}" for i in range(n)), "WBC %\t" + "\t".join("NA" if i % 7 == 0 else str(i / 10) for i in range(n)), "other\t" + "\t".join("1" for _ in range(n)), "HB\t" + "\t".join(str(i) for i in range(n))]
+    (tmp_path / "m.tsv").write_text("\n".join(lines) + "\n")
+    got = readers.wide_matrix(spark, str(tmp_path / "m.tsv"), "METRIC", {"WBC %": "WBC", "HB": "HB"})
+    rows = {r.ID: (r.WBC, r.HB) for r in got.collect()}
+    assert len(rows) == n and rows["s7"] == (None, 7.0) and rows["s19998"] == (1999.8, 19998.0)
+    with pytest.raises(ValueError, match="PLT"):
+        readers.wide_matrix(spark, str(tmp_path / "m.tsv"), "METRIC", {"PLT": "PLT"})
+
+
+def test_census_and_gene_list(spark, tmp_path):
+    (tmp_path / "census.tsv").write_text("Gene Symbol \t Tier\tPlace\nTP53\t1\t17p\nbroken\t1\nKIT\tx\t \n")
+    got = readers.gene_census(spark, str(tmp_path / "census.tsv"), ["Gene Symbol ", " Tier", "Place"], {"Gene Symbol": "GENE", "Tier": "TIER", "Place": "BAND"})
+    assert sorted((r.GENE, r.TIER, r.BAND) for r in got.filter("GENE <> 'broken'").collect()) == [("KIT", None, None), ("TP53", 1.0, "17p")]
+    (tmp_path / "list.tsv").write_text("Hugo\tx\tIs Oncogene\nKIT\t1\tYes\n")
+    assert [tuple(r) for r in readers.gene_list(spark, str(tmp_path / "list.tsv"), ["Hugo", "x", "Is Oncogene"], {"Hugo": "GENE", "Is Oncogene": "onc"}).collect()] == [("KIT", "Yes")]

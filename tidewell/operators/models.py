@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.fitted import quantiles
 from tidewell.operators.ordered import average_ranks, prefix_sums, settle
-from tidewell.operators.risk import EVENT, TIME, Fit, Fitted, RiskTable, boosted_lines, fit_all, penalty_path, risk_table
+from tidewell.operators.risk import EVENT, TIME, Fit, Fitted, RiskTable, added_up, boosted_lines, fit_all, matrix, penalty_path, risk_table
 from tidewell.operators.survival import concordance, k_folds
 from tidewell.operators.trees import Growth, TreeRisk, fit_boosted, fit_forests
 
@@ -226,11 +228,62 @@ def scored_by(df: DataFrame, models: dict[str, LinearRisk | TreeRisk], key: str
 # imputation by models
 
 
-def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 5, alpha: float = 1e-3, tolerance: float = 1e-3) -> DataFrame:
-    """Chained equations: from medians on, each column with gaps is predicted by ridge regression on the others, round by round.
+def bayesian_ridge(gram: np.ndarray, tolerance: float = 1e-4, rounds: int = 300) -> np.ndarray:
+    """Weights and intercept of a regression whose noise and weight precisions maximise the evidence. gram: sums of products of the predictors, the
+    target and 1, in that order, which is all that the rows are needed for: each step works on the eigenvalues of the centred predictors."""
+    n, p = gram[-1, -1], len(gram) - 2
+    mean = gram[-1, :-1] / max(n, 1)
+    centred = gram[:-1, :-1] - n * np.outer(mean, mean)
+    xx, xy, yy = centred[:p, :p], centred[:p, p], centred[p, p]
+    values, vectors = np.linalg.eigh(xx)
+    values, turned, beta = np.maximum(values, 0), vectors.T @ xy, np.zeros(p)
+    noise, weight, prior = n / max(yy, 1e-12), 1.0, 1e-6
+    for _ in range(rounds):
+        before, beta = beta, vectors @ (turned / (values + weight / noise))
+        left = max(yy - 2 * beta @ xy + beta @ xx @ beta, 0.0)
+        used = (noise * values / (weight + noise * values)).sum()
+        weight, noise = (used + 2 * prior) / (beta @ beta + 2 * prior), (n - used + 2 * prior) / (left + 2 * prior)
+        if np.abs(beta - before).sum() < tolerance * max(np.abs(beta).sum(), 1e-12):
+            break
+    return np.append(beta, mean[p] - mean[:p] @ beta)
+
+
+def _by_regression(work: DataFrame, others: list[str], target: str, alpha: float | None) -> Column:
+    """The prediction of a column with gaps: Bayesian ridge, or a ridge of fixed share alpha."""
+    x = F.array(*[F.col(c).cast("double") for c in (*others, target)], F.lit(1.0))
+    m = len(others) + 2
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
+        out = np.zeros((m, m))
+        for b in batches:
+            v = matrix(b)
+            out += v.T @ v if len(v) else 0.0
+        return out.ravel()
+
+    gram = added_up(work.filter(~F.col(f"_miss_{target}")).select(x.alias("x")), m * m, partial).reshape(m, m)
+    if alpha is None:
+        beta = bayesian_ridge(gram)
+    else:
+        keep = [*range(m - 2), m - 1]
+        own = gram[np.ix_(keep, keep)]
+        beta = np.linalg.solve(own + alpha * np.diag([*(np.diag(own)[:-1] + 1e-9), 1e-9]), gram[keep, m - 2])
+    return _linear(others, beta[:-1]) + F.lit(float(beta[-1]))
+
+
+#: Tree models that may predict a column with gaps.
+TREE_IMPUTERS = {
+    "forest": lambda label: RandomForestRegressor(featuresCol="_x", labelCol=label, predictionCol="_guess", numTrees=50, maxDepth=8, seed=42),
+    "boosting": lambda label: GBTRegressor(featuresCol="_x", labelCol=label, predictionCol="_guess", maxIter=30, maxDepth=4, seed=42),
+}
+
+
+def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 100, tolerance: float = 1e-3, model: str = "bayes", alpha: float = 1e-3) -> DataFrame:
+    """Chained equations: from medians on, each column with gaps is predicted from the others, round by round, until no imputed value moves by more than
+    the tolerance (in deviations of its column) or the rounds are over.
 
-    For each step, one aggregation gathers the Gram matrix of all columns over the rows where the column was observed."""
-    p = len(columns)
+    model: bayes (Bayesian ridge), ridge (of a fixed share alpha), forest or boosting. A step of a regression is one pass over the rows."""
+    if model not in ("bayes", "ridge", *TREE_IMPUTERS):
+        raise ValueError(f"no model {model}; there are bayes, ridge, {', '.join(TREE_IMPUTERS)}")
     medians = quantiles(df, columns, [0.5])
     gaps = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in columns]).first()
     order = sorted((c for c in columns if gaps[c]), key=lambda c: (gaps[c], c))
@@ -241,20 +294,15 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 5, alpha:
         change = 0.0
         for target in order:
             others = [c for c in columns if c != target]
-            x = [*others, None]  # None: the intercept
-            value = lambda c: F.lit(1.0) if c is None else F.col(c)
-            sums = [F.sum(value(x[i]) * value(x[j])).alias(f"g{i}_{j}") for i in range(p) for j in range(i + 1)] + [F.sum(value(x[i]) * F.col(target)).alias(f"y{i}") for i in range(p)]
-            row = work.filter(~F.col(f"_miss_{target}")).agg(*sums).first()
-            gram, y = np.zeros((p, p)), np.array([row[f"y{i}"] or 0.0 for i in range(p)])
-            for i in range(p):
-                for j in range(i + 1):
-                    gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-            beta = np.linalg.solve(gram + alpha * np.diag([*(np.diag(gram)[:-1] + 1e-9), 1e-9]), y)
-            guess = _linear(others, beta[:-1]) + F.lit(float(beta[-1]))
-            new = work.withColumn("_new", F.when(F.col(f"_miss_{target}"), guess).otherwise(F.col(target)))
+            if model in TREE_IMPUTERS:
+                rows = VectorAssembler(inputCols=others, outputCol="_x").transform(work)
+                new = TREE_IMPUTERS[model](target).fit(rows.filter(~F.col(f"_miss_{target}"))).transform(rows).drop("_x")
+            else:
+                new = work.withColumn("_guess", _by_regression(work, others, target, alpha if model == "ridge" else None))
+            new = new.withColumn("_new", F.when(F.col(f"_miss_{target}"), F.col("_guess")).otherwise(F.col(target)))
             moved = new.agg(F.max(F.abs(F.col("_new") - F.col(target)))).first()[0] or 0.0
             change = max(change, moved / (spread[target] or 1.0))
-            work = new.withColumn(target, F.col("_new")).drop("_new")
+            work = new.withColumn(target, F.col("_new")).drop("_new", "_guess")
         work = settle(work)
         if change < tolerance:
             break
@@ -350,7 +398,7 @@ def impute_class(df: DataFrame, target: str, features: list[str], unknown: float
     return out.select(*df.columns)
 
 
-def early_impute(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]], auxiliary: list[str] = (), rounds: int = 5) -> DataFrame:
+def early_impute(df: DataFrame, columns: list[str], ranges: dict[str, tuple[float, float]], auxiliary: list[str] = (), rounds: int = 100) -> DataFrame:
     """Chained equations with auxiliary columns as predictors, imputed values kept within their ranges."""
     filled = iterative_impute(df, [*columns, *auxiliary], rounds)
     return filled.withColumns({c: F.least(F.greatest(F.col(c), F.lit(float(lo))), F.lit(float(hi))) for c, (lo, hi) in ranges.items() if c in columns})

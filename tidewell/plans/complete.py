@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import drift, genes, legacy, mutations, prepare, survival
-from tidewell.plans.features import _clinical, _round
+from tidewell.operators import clinical, drift, genes, legacy, mutations, prepare, survival
+from tidewell.plans.features import _RANGED, _TRUSTED, _VALID, _clinical, _round
 from tidewell.plans.fixtures import oracle, view
 
 
@@ -119,7 +119,27 @@ def extra_interactions(spark: SparkSession, d: str) -> DataFrame:
     return out.select("ID", *C.EXTRA_INTERACTIONS)
 
 
-QUERIES = {f.__name__: f for f in (harmonised_mutations, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions)}
+def log_features(spark: SparkSession, d: str) -> DataFrame:
+    """Logarithms of measures from 0 on."""
+    return _round(_clinical(spark, d).withColumns(clinical.log_columns(["WBC", "ANC", "PLT"])).select("ID", "log_WBC", "log_ANC", "log_PLT"))
+
+
+def percent_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Cell counts from a total and a percentage."""
+    return _round(_clinical(spark, d).select("ID", clinical.percent_of("PLT", "BM_BLAST").alias("blasts")))
+
+
+def cleaned_tables(spark: SparkSession, d: str) -> DataFrame:
+    """The three cleaned tables together: rows and patients of each."""
+    from tidewell import config as C
+    from tidewell.operators import clean
+
+    tables = clean.clean_tables(view(spark, d, "fx_clinical"), view(spark, d, "fx_molecular"), view(spark, d, "fx_target"), C.MEASURES, C.RANGES)
+    facts = [t.agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n"), F.count_distinct("ID").alias("patients")) for n, t in zip(("clinical", "molecular", "target"), tables, strict=True)]
+    return facts[0].unionByName(facts[1]).unionByName(facts[2])
+
+
+QUERIES = {f.__name__: f for f in (harmonised_mutations, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions, log_features, percent_counts, cleaned_tables)}
 
 _N = lambda p: f"coalesce(len(list_filter(flatten(list_transform(string_split(lower(CYTOGENETICS), '/'), lambda c: string_split(regexp_replace(c, '\\[\\d+\\]', '', 'g'), ','))), lambda x: regexp_matches(x, '{p}'))), 0)::DOUBLE"
 _RULES = [f"SELECT ID, '{c} is adverse' AS rule FROM f WHERE {c} = 1 AND coalesce(eln_cyto_adverse, 0) <> 1" for c in ("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26")] + [
@@ -130,6 +150,13 @@ _RULES = [f"SELECT ID, '{c} is adverse' AS rule FROM f WHERE {c} = 1 AND coalesc
 ]
 
 ORACLES = {
+    "log_features": oracle("SELECT ID, " + ", ".join(f"CASE WHEN {c} >= 0 THEN round(ln(1 + {c}), 6) END AS log_{c}" for c in ("WBC", "ANC", "PLT")) + f" FROM ({_RANGED})", "fx_clinical"),
+    "percent_counts": oracle(f"SELECT ID, round(PLT * BM_BLAST / 100, 6) AS blasts FROM ({_RANGED})", "fx_clinical"),
+    "cleaned_tables": oracle(
+        f"WITH t AS ({_VALID}) SELECT 'clinical' AS name, count(*) AS n, count(DISTINCT ID) AS patients FROM fx_clinical WHERE ID IN (SELECT ID FROM t)"
+        f" UNION ALL SELECT 'molecular', count(*), count(DISTINCT ID) FROM fx_molecular WHERE {_TRUSTED} AND ID IN (SELECT ID FROM t)"
+        " UNION ALL SELECT 'target', count(*), count(DISTINCT ID) FROM t", "fx_clinical", "fx_molecular", "fx_target",
+    ),
     "harmonised_clinic": oracle("WITH e AS (SELECT ID, string_agg(DISTINCT GENE || ' ' || EFFECT, '; ' ORDER BY GENE || ' ' || EFFECT) AS ev FROM fx_molecular WHERE EFFECT IN ('ITD', 'PTD') GROUP BY ID) SELECT ID, 'COHORT' AS CENTER, BM_BLAST, round(WBC, 6) AS WBC, NULL::DOUBLE AS ANC, NULL::DOUBLE AS MONOCYTES, NULL::DOUBLE AS HB, NULL::DOUBLE AS PLT, coalesce(nullif(CYTOGENETICS, ''), ev, '') AS CYTOGENETICS FROM fx_clinical LEFT JOIN e USING (ID)", "fx_clinical", "fx_molecular"),
     "karyotype_audit": oracle("WITH f AS (SELECT ID, " + ", ".join(f"CASE WHEN CAST(substr(ID, 2) AS BIGINT) % {i + 2} <> 1 THEN (CAST(substr(ID, 2) AS BIGINT) % {i + 3} = 0)::INT END AS {c}" for i, c in enumerate(("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26", "eln_cyto_favorable", "eln_cyto_adverse", "normal_karyotype", "eln_cyto_intermediate"))) + " FROM fx_clinical) " + " UNION ALL ".join(_RULES), "fx_clinical"),
     "frequent_values": oracle("WITH l AS (SELECT 'CENTER' AS feature, coalesce(CENTER, 'missing') AS value FROM fx_clinical UNION ALL SELECT 'CYTOGENETICS', coalesce(CYTOGENETICS, 'missing') FROM fx_clinical), n AS (SELECT feature, value, count(*) AS n, count(*) OVER (PARTITION BY feature) AS k FROM l GROUP BY feature, value) SELECT feature, value, n FROM n WHERE k >= 10 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value DESC) <= 5", "fx_clinical"),

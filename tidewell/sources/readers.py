@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from tidewell.functions.nulls import blank_as_null, clean_doubles, number
 from tidewell.operators.joins import stack
 from tidewell.operators.mutations import variant_id
-from tidewell.operators.ordered import first_by_key
+from tidewell.operators.ordered import first_by_key, settle
 
 CLINICAL = "ID string, CENTER string, BM_BLAST double, WBC double, ANC double, MONOCYTES double, HB double, PLT double, CYTOGENETICS string"
 MOLECULAR = "ID string, CHR string, START double, `END` double, REF string, ALT string, GENE string, PROTEIN_CHANGE string, EFFECT string, VAF double, DEPTH double"
@@ -88,6 +89,22 @@ def cohort(main: dict[str, DataFrame], extra: dict[str, DataFrame], name: str, k
     return out
 
 
+def wide_matrix(spark: SparkSession, path: str, name_column: str, metrics: dict[str, str], sample: str = "ID") -> DataFrame:
+    """One row for each sample of a tab-separated matrix with a line for each metric and a column for each sample, however many. metrics: name in the file ->
+    new name; one that the file lacks is an error.
+
+    Lines are split by position and the header is a table like any other, so no plan has a column for each sample."""
+    cells = spark.read.text(path).filter(~F.col("value").startswith("#")).select(F.split("value", "\t").alias("c")).select(F.col("c")[0].alias("name"), "c")
+    cells = cells.filter(F.col("name").isin(name_column, *metrics)).select("name", F.posexplode("c").alias("pos", "text")).filter("pos > 0")
+    cells = settle(cells)
+    found = {r[0] for r in cells.select("name").distinct().collect()}
+    if lost := {name_column, *metrics} - found:
+        raise ValueError(f"the matrix lacks {', '.join(sorted(lost))}")
+    samples = cells.filter(F.col("name") == name_column).select("pos", F.col("text").alias(sample))
+    values = cells.filter(F.col("name") != name_column).join(samples, "pos").filter(blank_as_null(F.col(sample)).isNotNull())
+    return values.groupBy(sample).agg(*[F.max(F.when(F.col("name") == m, number(blank_as_null(F.col("text"), "NA")))).alias(new) for m, new in metrics.items()])
+
+
 def write_table(df: DataFrame, path: str, csv_path: str | None = None) -> None:
     """Parquet, and CSV with a header on request."""
     df.write.mode("overwrite").parquet(path)
@@ -96,8 +113,34 @@ def write_table(df: DataFrame, path: str, csv_path: str | None = None) -> None:
 
 
 def write_submission(scores: DataFrame, path: str, run_id: str, key: str = "ID") -> None:
-    """key and risk_score, kept by run; the latest run is the largest run_id."""
-    scores.select(key, "risk_score", F.lit(run_id).alias("run_id")).write.mode("append").partitionBy("run_id").parquet(path)
+    """key and risk_score, kept by run; the latest run is the largest run_id. Written again, a run takes its own place."""
+    _in_place(scores.select(key, "risk_score", F.lit(run_id).alias("run_id")), path, "run_id")
+
+
+def _in_place(df: DataFrame, path: str, by: str) -> None:
+    """Replace those partitions of a table that the rows have, all at once when the write ends; one that fails leaves the table as it was."""
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+
+
+def upsert(new: DataFrame, path: str, key: str, at: str, buckets: int = 64) -> None:
+    """Put rows into a table that has one row for each key, the one with the largest `at` (of equal ones, the row that comes first by its other columns).
+    Only buckets of keys that are touched are written again, and doing it twice changes nothing."""
+    spark, bucket = new.sparkSession, F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int").alias("bucket")
+    rows = settle(new.select("*", bucket))
+    touched = [r[0] for r in rows.select("bucket").distinct().collect()]  # numbers below `buckets`
+    try:
+        old = spark.read.schema(rows.schema).parquet(path)
+    except AnalysisException:  # no table yet
+        old = rows.limit(0)
+    both = old.filter(F.col("bucket").isin(touched)).unionByName(rows)
+    others = [F.col(c) for c in new.columns if c not in (key, at)]
+    first = Window.partitionBy("bucket", key).orderBy(F.col(at).desc_nulls_last(), *others)
+    _in_place(settle(both.withColumn("_nth", F.row_number().over(first)).filter("_nth = 1").drop("_nth")), path, "bucket")
+
+
+def upserted(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of a table that upsert has written."""
+    return spark.read.schema(f"{schema}, bucket int").parquet(path).drop("bucket")
 
 
 def run_record(spark: SparkSession, run_id: str, created_at: str, config: dict, features: list[str]) -> DataFrame:
@@ -109,10 +152,20 @@ def run_record(spark: SparkSession, run_id: str, created_at: str, config: dict,
 
 
 def append_run(record: DataFrame, path: str, predictions: DataFrame | None = None) -> None:
-    """Add a run to the table of runs, and its predictions (kept by run) beside it."""
-    record.write.mode("append").parquet(f"{path}/runs")
+    """Add a run to the table of runs, and its predictions (kept by run) beside it. The record comes last: predictions without one don't count, so
+    a run that broke off is as if it had never been, and one that is added again takes its own place."""
     if predictions is not None:
-        predictions.crossJoin(F.broadcast(record.select("run_id"))).write.mode("append").partitionBy("run_id").parquet(f"{path}/predictions")  # one row
+        _in_place(predictions.crossJoin(F.broadcast(record.select("run_id"))), f"{path}/predictions", "run_id")  # one row
+    _in_place(record, f"{path}/runs", "run_id")
+
+
+def runs(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("created_at string, config_sig string, features array<string>, run_id string").parquet(f"{path}/runs").select("run_id", "created_at", "config_sig", "features")
+
+
+def run_predictions(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Predictions of the runs that have a record."""
+    return spark.read.schema(f"{schema}, run_id string").parquet(f"{path}/predictions").join(runs(spark, path).select("run_id"), "run_id", "left_semi")
 
 
 def training_rows(x: DataFrame, y: DataFrame, time: str = "OS_YEARS", event: str = "OS_STATUS", key: str = "ID") -> DataFrame:
