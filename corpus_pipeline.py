@@ -45,7 +45,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 or more of their 5-word shingles, the one with the smallest id goes on. Candidates come from
-    the SimHash multi-index and from banded minima, which find what 64 bits can't."""
+    the SimHash multi-index and from bottom-k sketches, which find what 64 bits can't."""
     return without_near_copies(docs)
 
 
