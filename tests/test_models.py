@@ -10,7 +10,7 @@ import pytest
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.sql import functions as F
 
-from tidewell.operators import estimators, models, risk, trees
+from tidewell.operators import estimators, models, neighbours, risk, trees
 from tidewell.operators.ordered import settle
 
 NAMES = list("abcd")
@@ -240,3 +240,44 @@ def test_chained_equations_with_each_model(spark, model, near):
     assert all(abs(r.b - (2 * r.a + 1)) < near for r in out)
     with pytest.raises(ValueError, match="no model"):
         models.iterative_impute(df, ["a"], model="none")
+
+
+def nearest_by_hand(x, k):
+    """Gaps as the mean of the k nearest donors, by (distance, value); the column's mean where no donor has a column in common."""
+    out = x.copy()
+    for i, j in zip(*np.nonzero(np.isnan(x)), strict=True):
+        found = []
+        for q in x[~np.isnan(x[:, j])]:
+            both = ~np.isnan(x[i]) & ~np.isnan(q)
+            if both.any():
+                found.append((sum((a - b) ** 2 for a, b in zip(x[i][both], q[both], strict=True)) * x.shape[1] / both.sum(), q[j]))
+        out[i, j] = np.mean([v for _, v in sorted(found)[:k]]) if found else np.nanmean(x[:, j])
+    return out
+
+
+@pytest.mark.parametrize("kind", ["clusters", "ties", "empty rows"])
+def test_neighbours_equal_brute_force_and_look_at_few_pairs(spark, kind):
+    rng = np.random.default_rng(7)
+    n = 1200
+    if kind == "ties":
+        x = rng.integers(0, 4, size=(n, 4)).astype(float)
+    else:
+        x = rng.normal(size=(40, 4))[rng.integers(0, 40, n)] * 20 + rng.normal(size=(n, 4))
+    x[rng.random(x.shape) < 0.08] = np.nan
+    if kind == "empty rows":
+        x[::50], x[:, 3] = np.nan, np.nan
+    pdf = pd.DataFrame(x, columns=NAMES).assign(ID=[f"{i:05d}" for i in range(n)])
+    df = settle(spark.createDataFrame(pdf).replace(float("nan"), None))
+    got = neighbours.knn_impute(df, NAMES, 4, blocks=40).orderBy("ID").toPandas()[NAMES].to_numpy(float)
+    want = nearest_by_hand(x, 4) if kind != "empty rows" else np.column_stack([nearest_by_hand(x, 4)[:, :3], x[:, 3]])
+    np.testing.assert_allclose(got, want, rtol=1e-9)
+    if kind == "clusters":
+        search = neighbours.Search(df, NAMES, 4, "ID", 30)
+        search.run()
+        assert search.share() < 0.2
+
+
+def test_neighbours_of_an_empty_table_and_of_one_without_gaps(spark):
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "ID string, a double, b double")
+    assert neighbours.knn_impute(df.filter("false"), ["a", "b"]).count() == 0
+    assert sorted(map(tuple, neighbours.knn_impute(df, ["a", "b"]).collect())) == [("a", 1.0, 2.0), ("b", 3.0, 4.0)]

@@ -12,10 +12,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators.fitted import quantiles
+from tidewell.operators.neighbours import knn_impute  # noqa: F401
 from tidewell.operators.ordered import average_ranks, prefix_sums, settle
 from tidewell.operators.risk import EVENT, TIME, Fit, Fitted, RiskTable, added_up, boosted_lines, fit_all, matrix, penalty_path, risk_table
 from tidewell.operators.survival import concordance, k_folds
@@ -309,54 +310,6 @@ def iterative_impute(df: DataFrame, columns: list[str], rounds: int = 100, toler
     return work.drop(*[f"_miss_{c}" for c in columns])
 
 
-#: Rows of a block of nearest-neighbour search.
-BLOCK = 4096
-
-
-def knn_impute(df: DataFrame, columns: list[str], k: int = 4, key: str = "ID", blocks: int | None = None) -> DataFrame:
-    """Each gap becomes the mean of the k nearest donors that have the value (Euclidean over common columns, scaled up for missing ones).
-
-    Exact: every recipient meets every donor, in blocks. Distances are numpy blocks inside tasks; of each block only the k best for each gap
-    leave, and a second step takes the k best of all. This is a stated all-pairs method; its work is recipients x donors. The number of blocks
-    follows the rows, so that a task holds about BLOCK recipients and BLOCK donors whatever the table.
-    """
-    import pandas as pd
-
-    blocks = blocks or max(2, -(-df.count() // BLOCK))
-
-    p, kinds = len(columns), "key string, col int, dist double, value double"
-    rows = df.select(F.col(key).cast("string").alias("key"), *[F.col(c).cast("double").alias(c) for c in columns])
-    need = rows.filter(" OR ".join(f"{c} IS NULL" for c in columns)).withColumn("side", F.lit(0)).withColumn("block", F.pmod(F.xxhash64("key"), F.lit(blocks)))
-    give = rows.withColumn("side", F.lit(1)).withColumn("block", F.pmod(F.xxhash64("key", F.lit(1)), F.lit(blocks)))
-    cells = need.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).unionByName(give.withColumn("other", F.col("block")).drop("block").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(*need.columns, "other"))
-
-    def nearest(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[pdf.side == 0].sort_values("key"), pdf[pdf.side == 1].sort_values("key")
-        x, y = a[columns].to_numpy(float), b[columns].to_numpy(float)
-        mx, my = ~np.isnan(x), ~np.isnan(y)
-        x0, y0 = np.nan_to_num(x), np.nan_to_num(y)
-        out = []
-        for at in range(0, len(x), 512):
-            s = slice(at, at + 512)
-            both = mx[s].astype(float) @ my.T.astype(float)
-            d = (x0[s] ** 2) @ my.T + mx[s] @ (y0**2).T - 2 * x0[s] @ y0.T
-            d = np.where(both > 0, np.maximum(d, 0) * p / np.maximum(both, 1), np.inf)
-            for j in range(p):
-                rec, don = np.flatnonzero(~mx[s][:, j]), np.flatnonzero(my[:, j])
-                if not len(rec) or not len(don):
-                    continue
-                dj = d[np.ix_(rec, don)]
-                for i, r in enumerate(rec):
-                    best = np.lexsort((don, dj[i]))[:k]
-                    out += [(a["key"].iloc[at + r], j, float(dj[i, q]), float(y[don[q], j])) for q in best if np.isfinite(dj[i, q])]
-        return pd.DataFrame(out, columns=["key", "col", "dist", "value"])
-
-    found = cells.groupBy("block", "other").applyInPandas(nearest, kinds)
-    nth = F.row_number().over(Window.partitionBy("key", "col").orderBy("dist", "value"))
-    means = found.withColumn("nth", nth).filter(F.col("nth") <= k).groupBy("key").agg(*[F.avg(F.when(F.col("col") == j, F.col("value"))).alias(f"_v{j}") for j in range(p)])
-    return df.join(means, df[key].cast("string") == means["key"], "left").select(*[F.coalesce(F.col(c), F.col(f"_v{columns.index(c)}")).alias(c) if c in columns else F.col(c) for c in df.columns])
-
-
 def supervised_impute(df: DataFrame, target: str, features: list[str], least_rows: int = 50, cap: str | None = None, upper: float = 0.995, seed: int = 42) -> DataFrame:
     """Gaps of one non-negative column predicted by boosted trees on log1p of the observed rows, kept at or above 0, at or below `cap`, and
     below a high quantile of the predictions; `<target>_imputed` says where. Too few observed rows leave the table as it is."""

@@ -110,6 +110,17 @@ def saved_model_scores(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (baseline_features, cox_fit, coxnet_path, boost_linear, boost_tree, survival_forest, oof_scores, iterative_impute, knn_impute, supervised_impute, trial_search, retrained_scores, stacked_scores, forest_importances, cox_coefficients, saved_model_scores)}
 
 _R = "r AS (SELECT ID, " + ", ".join(f"CASE WHEN {c} BETWEEN {lo} AND {hi} THEN {c} END AS {c}" for c, (lo, hi) in {"BM_BLAST": (0, 100), "HB": (2, 25), "PLT": (0, 3000)}.items()) + " FROM fx_clinical)"
+
+#: The donors of each gap in order; common columns are counted by hand, as b is always there.
+_KNN = """WITH e AS (SELECT CAST(c_custkey AS VARCHAR) AS ID, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal END AS a, CAST(c_custkey % 13 AS DOUBLE) AS b,
+    CASE WHEN c_custkey % 11 <> 0 THEN CAST(c_custkey % 29 AS DOUBLE) END AS c FROM customer),
+  p AS (SELECT r.ID, 'a' AS col, q.a AS v, ((r.b - q.b) * (r.b - q.b) + coalesce((r.c - q.c) * (r.c - q.c), 0)) * 3 / (1 + (r.c IS NOT NULL AND q.c IS NOT NULL)::INT) AS d
+      FROM e r JOIN e q ON r.a IS NULL AND q.a IS NOT NULL
+    UNION ALL SELECT r.ID, 'c', q.c, (coalesce((r.a - q.a) * (r.a - q.a), 0) + (r.b - q.b) * (r.b - q.b)) * 3 / (1 + (r.a IS NOT NULL AND q.a IS NOT NULL)::INT)
+      FROM e r JOIN e q ON r.c IS NULL AND q.c IS NOT NULL),
+  k AS (SELECT ID, avg(v) FILTER (col = 'a') AS a, avg(v) FILTER (col = 'c') AS c FROM (SELECT *, row_number() OVER (PARTITION BY ID, col ORDER BY d, v) AS nth FROM p) WHERE nth <= 4 GROUP BY ID)
+  SELECT ID, round(coalesce(e.a, k.a), 6) AS a, b, round(coalesce(e.c, k.c), 6) AS c FROM e LEFT JOIN k USING (ID)"""
 ORACLES = {
+    "knn_impute": _KNN,
     "baseline_features": oracle(f"WITH {_R}, j AS (SELECT r.*, OS_YEARS, OS_STATUS, coalesce(n, 0)::DOUBLE AS n_mut FROM r JOIN fx_target t USING (ID) LEFT JOIN (SELECT ID, count(*) AS n FROM fx_molecular GROUP BY ID) m USING (ID) WHERE OS_YEARS > 0 AND OS_STATUS IS NOT NULL), q AS (SELECT median(BM_BLAST) AS a, median(HB) AS b, median(PLT) AS c FROM j) SELECT ID, coalesce(BM_BLAST, a) AS BM_BLAST, coalesce(HB, b) AS HB, coalesce(PLT, c) AS PLT, n_mut, OS_YEARS, OS_STATUS FROM j, q", "fx_clinical", "fx_target", "fx_molecular"),
 }

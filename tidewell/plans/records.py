@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import clean, genes, mutations
+from tidewell.operators.relational import CATEGORY, NUMBER, Relation, Tables
 from tidewell.plans.features import _round
 from tidewell.plans.fixtures import oracle, view
 from tidewell.sources import readers
@@ -121,6 +122,56 @@ def relational_features(spark: SparkSession, d: str) -> DataFrame:
     return _round(out).withColumns({f"{c}_skew": F.col(f"{c}_skew") + F.lit(0.0) for c in ("DEPTH", "VAF")})  # no negative zero
 
 
+#: What relational_graph makes of its tables' columns, by kind.
+_STACKED = ("count", "sum", "mean", "min", "max", "std", "distinct", "mode")
+
+
+def relational_graph(spark: SparkSession, d: str) -> DataFrame:
+    """Customers by their orders, the orders by their lines, and what nation and region say of them: all stacks to depth 2."""
+    frames = {t: spark.read.parquet(f"{d}/{t}.parquet") for t in ("region", "nation", "customer", "orders", "lineitem")}
+    frames["orders"] = frames["orders"].withColumn("price", F.floor("o_totalprice"))
+    columns = {
+        "region": {"r_name": CATEGORY}, "nation": {"n_name": CATEGORY}, "customer": {"c_mktsegment": CATEGORY},
+        "orders": {"price": NUMBER, "o_orderpriority": CATEGORY}, "lineitem": {"l_quantity": NUMBER, "l_returnflag": CATEGORY},
+    }
+    relations = [
+        Relation("region", "nation", "r_regionkey", "n_regionkey"), Relation("nation", "customer", "n_nationkey", "c_nationkey"),
+        Relation("customer", "orders", "c_custkey", "o_custkey"), Relation("orders", "lineitem", "o_orderkey", "l_orderkey"),
+    ]
+    tables = Tables(frames, columns, relations, _STACKED)
+    return _round(tables.compute(tables.plan("customer", 2), ["c_custkey"]), 8)
+
+
+def _stacked_sql() -> str:
+    """The same by hand: aggregates of lines by order, then of orders by customer."""
+    by = {"sum": "coalesce(sum({c}), 0)", "mean": "avg({c})", "min": "min({c})", "max": "max({c})", "std": "stddev_samp({c})"}
+
+    def level(name: str, rows: str, key: str, label: str, numbers: list[str], kinds: list[str]) -> str:
+        modes = "".join(
+            f", {name}_{c} AS (SELECT {key} AS k_{c}, {c} AS m_{c} FROM (SELECT {key}, {c}, row_number() OVER (PARTITION BY {key} ORDER BY count(*) DESC, {c}) AS nth"
+            f" FROM {rows} WHERE {c} IS NOT NULL GROUP BY {key}, {c}) WHERE nth = 1)"
+            for c in kinds
+        )
+        aggs = ["count(*) AS own_n", *[f"{x.format(c=c)} AS {label}_{c}_{p}" for c in numbers for p, x in by.items()], *[f"count(DISTINCT {c}) AS {label}_{c}_distinct" for c in kinds]]
+        joins = "".join(f" LEFT JOIN {name}_{c} ON own_key = k_{c}" for c in kinds)
+        return f"{name}_g AS (SELECT {key} AS own_key, {', '.join(aggs)} FROM {rows} GROUP BY {key}){modes}, {name} AS (SELECT *, {', '.join(f'm_{c} AS {label}_{c}_mode' for c in kinds)} FROM {name}_g{joins})"
+
+    lines = ["lineitem_count", *[f"lineitem_l_quantity_{p}" for p in by], "lineitem_l_returnflag_distinct"]
+    zero = {"lineitem_count": "own_n", "lineitem_l_quantity_sum": "lineitem_l_quantity_sum", "lineitem_l_returnflag_distinct": "lineitem_l_returnflag_distinct"}
+    given = ", ".join(f"coalesce({zero[c]}, 0) AS {c}" if c in zero else c for c in lines)
+    numbers, kinds = ["price", *lines], ["o_orderpriority", "lineitem_l_returnflag_mode"]
+    counted = [f"orders_{c}_sum" for c in numbers] + [f"orders_{c}_distinct" for c in kinds]
+    shown = [f"orders_{c}_{p}" for c in numbers for p in by if p != "sum"]
+    out = ["c_custkey", "c_mktsegment", "n_name AS nation_n_name", "r_name AS nation_region_r_name", "coalesce(own_n, 0) AS orders_count"]
+    out += [f"round(coalesce({c}, 0), 8) AS {c}" for c in counted] + [f"round({c}, 8) AS {c}" for c in shown] + [f"orders_{c}_mode" for c in kinds]
+    return (
+        f"WITH {level('l', 'lineitem', 'l_orderkey', 'lineitem', ['l_quantity'], ['l_returnflag'])},"
+        f" o AS (SELECT o_custkey, floor(o_totalprice)::BIGINT AS price, o_orderpriority, {given}, lineitem_l_returnflag_mode FROM orders LEFT JOIN l ON o_orderkey = own_key),"
+        f" {level('c', 'o', 'o_custkey', 'orders', numbers, kinds)}"
+        f" SELECT {', '.join(out)} FROM customer LEFT JOIN c ON c_custkey = own_key LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey"
+    )
+
+
 def string_agg_events(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "fx_molecular").groupBy("ID").agg(F.array_join(F.sort_array(F.collect_set("EFFECT")), "; ").alias("events"))
 
@@ -222,7 +273,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         gene_dimension, gene_flags_by_patient, clinvar_features, cadd_features, annotation_backlog, effect_standardize, protein_short, lab_transpose, derive_vaf, json_props, annotate_mutations, harmonised_target,
-        relational_features, string_agg_events, value_counts, pattern_counts, external_cohort, aux_flags, driver_matches, arm_flags, nested_effects, old_risk, exon_parts, float_columns, vcf_scan,
+        relational_features, relational_graph, string_agg_events, value_counts, pattern_counts, external_cohort, aux_flags, driver_matches, arm_flags, nested_effects, old_risk, exon_parts, float_columns, vcf_scan,
     )
 }
 
@@ -263,6 +314,7 @@ ORACLES = {
     "annotate_mutations": oracle("WITH m AS (SELECT *, CASE WHEN DEPTH > 25 THEN EFFECT ELSE 'non_synonymous_codon' END AS e, CASE WHEN DEPTH > 25 THEN PROTEIN_CHANGE ELSE 'p.R882H' END AS p FROM fx_molecular) SELECT e AS EFFECT, p AS PROTEIN_CHANGE, 'MODERATE' AS IMPACT, count(*) AS n, count(*) AS genes, round(avg(coalesce(VAF, 0.25)), 6) AS vaf FROM m GROUP BY e, p", "fx_molecular"),
     "harmonised_target": oracle("SELECT t.ID, CAST(OS_STATUS AS DOUBLE) AS OS_STATUS, round(OS_YEARS * 12 / 12, 6) AS OS_YEARS, CASE WHEN CENTER = 'CTR_0' THEN 'CTR_UNKNOWN' ELSE CENTER END AS CENTER FROM fx_target t JOIN fx_clinical USING (ID)", "fx_target", "fx_clinical"),
     "relational_features": oracle("WITH g AS (SELECT ID, count(*) AS n, " + ", ".join(f"round(sum({c}), 6) AS {c}_sum, round(avg({c}), 6) AS {c}_mean, round(min({c}), 6) AS {c}_min, round(max({c}), 6) AS {c}_max, round(stddev_samp({c}), 6) AS {c}_std, CASE WHEN min({c}) < max({c}) THEN round(avg(power({c} - m_{c}, 3)) / power(stddev_pop({c}), 3), 6) + 0.0::DOUBLE END AS {c}_skew" for c in ("DEPTH", "VAF")) + ", CAST(count(DISTINCT GENE) AS DOUBLE) AS GENE_distinct, any_value(top) AS GENE_mode FROM (SELECT m.*, avg(DEPTH) OVER (PARTITION BY ID) AS m_DEPTH, avg(VAF) OVER (PARTITION BY ID) AS m_VAF, top FROM fx_molecular m JOIN (SELECT ID, GENE AS top FROM fx_molecular GROUP BY ID, GENE QUALIFY row_number() OVER (PARTITION BY ID ORDER BY count(*) DESC, GENE) = 1) USING (ID)) GROUP BY ID) SELECT c.ID, coalesce(n, 0) AS n_rows, g.* EXCLUDE (ID, n) FROM fx_clinical c LEFT JOIN g USING (ID)", "fx_clinical", "fx_molecular"),
+    "relational_graph": _stacked_sql(),
     "string_agg_events": oracle("SELECT ID, string_agg(DISTINCT EFFECT, '; ' ORDER BY EFFECT) AS events FROM fx_molecular GROUP BY ID", "fx_molecular"),
     "value_counts": oracle("WITH t AS (SELECT trim(unnest(regexp_split_to_array(CYTOGENETICS, '[,/]'))) AS value FROM fx_clinical) SELECT value, count(*) AS n FROM t WHERE value <> '' GROUP BY value", "fx_clinical"),
     "pattern_counts": oracle(" UNION ALL ".join(f"SELECT '{n}' AS pattern, count(*) FILTER (contains(CYTOGENETICS, '{p}')) AS rows FROM fx_clinical" for n, p in (("t_8_21", "t(8;21)"), ("inv16", "inv(16)"), ("complex", "complex"), ("minus7", "-7"))), "fx_clinical"),
