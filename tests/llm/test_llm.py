@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 import re
@@ -123,9 +124,39 @@ def test_sketches_merge(spark):
     assert r.h == sorted(set(r.h)) and max(r.h) <= r.b and r.inside == 1.0
 
 
+def test_sketches_keep_what_lies_below_their_threshold(spark, docs):
+    long_one = spark.range(1).select(F.array_join(F.transform(F.sequence(F.lit(1), F.lit(30000)), lambda i: F.concat(F.lit("word"), i.cast("string"))), " ").alias("text"))
+    rows = docs.select("text").unionByName(long_one).select("text", scaled_sketch.sketch(F.coalesce("text", F.lit(""))).alias("s"), F.array_distinct(scaled_sketch.shingle_hashes(F.coalesce("text", F.lit("")))).alias("all"))
+    long, stored, written = 0, 0, 0
+    for r in rows.withColumn("f", scaled_sketch.fingerprint(F.col("s"))).collect():
+        assert r.s.hashes == sorted(h for h in r.all if h <= r.s.bound)
+        halved = max(0, min(scaled_sketch.SCALE, (len(r.all) // scaled_sketch.LEAST).bit_length() - 1))
+        assert r.s.bound == 2 ** (scaled_sketch.BITS - halved) - 1
+        head, _, body = r.f.partition(":")
+        raw = base64.b64decode(body)
+        assert int(head) == halved and [int.from_bytes(raw[i : i + 6], "big") for i in range(0, len(raw), 6)] == r.s.hashes
+        if halved == scaled_sketch.SCALE:
+            long, stored, written = long + 1, stored + len(r.f), written + len(r.text)
+    assert long and stored < written / 8
+
+
 # shards
 
 
+def test_hash_tree_equals_a_tree_in_python(spark):
+    """Draws of shards, their smallest by rack and by region, and the way down."""
+    weights = [1.0, 2.5, 0.0, 1.0, 0.5, 3.0, 1.0, 1.0, 1.0, 4.0, 0.25, 1.0, 1.0]
+    df = spark.range(2000).select(F.col("id").alias("k"), hash_tree.shard_of(F.col("id"), weights).alias("shard"))
+    hashes = df.select("k", "shard", *[F.xxhash64("k", F.lit("shard"), F.lit(i).cast("long")).alias(f"h{i}") for i in range(len(weights))])
+    for r in hashes.collect():
+        draws = [-math.log(((r[f"h{i}"] % 2**64 >> 11) + 0.5) * 2.0**-53) / w if w else math.inf for i, w in enumerate(weights)]
+        racks = [range(i, min(i + 4, len(weights))) for i in range(0, len(weights), 4)]
+        regions = [racks[i : i + 2] for i in range(0, len(racks), 2)]
+        region = min(regions, key=lambda g: min(draws[s] for rack in g for s in rack))
+        rack = min(region, key=lambda g: min(draws[s] for s in g))
+        assert r.shard == min(rack, key=lambda s: draws[s])
+
+
 def test_hash_tree(docs, small, none):
     got = hash_tree.shards(small, 40).collect()
     slots = defaultdict(list)

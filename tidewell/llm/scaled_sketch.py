@@ -1,10 +1,11 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every distinct shingle hash below a fixed fraction of the 64-bit range, so that a long document has a long sketch, sketches
-of parts merge by union, and containment can be estimated between very unequal documents. The fraction decides for documents of more than
-FLOOR * 2**SCALE shingles; shorter ones keep their FLOOR smallest hashes, since few or none may lie below the fraction. The sketch is complete
-up to a known bound either way, and two sketches are compared on the hashes up to the lower of their bounds, which makes the estimate exact for
-documents with at most FLOOR shingles.
+A sketch keeps every distinct shingle hash below a fixed fraction of the hash range, so that a long document has a long sketch, sketches of parts
+merge by union, and containment can be estimated between very unequal documents. The fraction is 1 / 2**SCALE for all documents of LEAST * 2**SCALE
+shingles and more; a shorter one has the smallest of the fractions 1, 1/2, 1/4, ... at which LEAST shingles are to be expected below the threshold, and
+so its whole set if that is smaller than twice LEAST. Nothing but the threshold decides what is kept: each sketch has all hashes up to its bound,
+and two sketches are compared, or merged, at the lower of their bounds. Estimates are exact where both sets are whole; elsewhere the standard deviation
+of a likeness J is sqrt(J * (1 - J) / m), with m hashes in the union of the two sketches, at least LEAST or so.
 
 Only DataFrame functions are used. The text crosses the network once, to meet the next document.
 
@@ -23,9 +24,11 @@ from pyspark.sql import functions as F
 from tidewell.llm.common import BLANKS
 from tidewell.llm.order import lead_in_bucket, with_next
 
-#: Words in a shingle; the kept fraction of the hash range is 1 / 2**SCALE; smallest hashes that are kept in any case.
-WORDS, SCALE, FLOOR = 5, 1, 64
-_TOP = 2**63 - 1
+#: Words in a shingle; the kept fraction of the hash range is 1 / 2**SCALE; shingles that are expected below the threshold of a shorter document;
+#: bits of a hash.
+WORDS, SCALE, LEAST, BITS = 5, 4, 128, 48
+#: Sets of up to so many shingles are kept whole.
+FLOOR = 2 * LEAST - 1
 
 
 def bind(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -38,25 +41,28 @@ def shingle_hashes(text: Column, words: int = WORDS) -> Column:
 
     def over(w: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.size(w) - words, F.lit(0)))
-        return F.transform(starts, lambda i: F.xxhash64(*[F.get(w, i + j) for j in range(words)]))
+        return F.transform(starts, lambda i: F.shiftrightunsigned(F.xxhash64(*[F.get(w, i + j) for j in range(words)]), 64 - BITS))
 
     return bind(F.split(F.trim(F.regexp_replace(text, BLANKS, " ")), " "), over)
 
 
-def sketch(text: Column, words: int = WORDS, scale: int = SCALE, floor: int = FLOOR) -> Column:
-    """Struct of hashes (ascending) and bound: every shingle hash up to the bound is among them."""
-    below = -(2**63) + 2 ** (64 - scale)
+def sketch(text: Column, words: int = WORDS, scale: int = SCALE, least: int = LEAST) -> Column:
+    """Struct of hashes (ascending) and bound: every shingle hash up to the bound is among them, and no other."""
 
     def keep(every: Column) -> Column:
-        kept = F.filter(every, lambda x, i: (x < F.lit(below)) | (i < F.lit(floor)))
-        return bind(kept, lambda k: F.struct(k.alias("hashes"), F.when(F.size(k) == F.size(every), F.lit(_TOP)).otherwise(F.greatest(F.lit(below - 1), F.element_at(k, -1))).alias("bound")))
+        bound = F.lit(2**BITS - 1)
+        for s in range(1, scale + 1):
+            bound = F.when(F.size(every) >= least * 2**s, F.lit(2 ** (BITS - s) - 1)).otherwise(bound)
+        return bind(bound, lambda b: F.struct(F.sort_array(F.filter(every, lambda x: x <= b)).alias("hashes"), b.alias("bound")))
 
-    return bind(F.sort_array(F.array_distinct(shingle_hashes(text, words))), keep)
+    return bind(F.array_distinct(shingle_hashes(text, words)), keep)
 
 
 def fingerprint(s: Column) -> Column:
-    """'=' (all shingles kept) or '<' (those up to the bound), then 16 hexadecimal digits for each hash."""
-    return F.concat(F.when(s["bound"] == F.lit(_TOP), "=").otherwise("<"), F.array_join(F.transform(s["hashes"], lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ""))
+    """How often the range was halved, ':', and the hashes in base 64, BITS bits each."""
+    halved = F.lit(BITS) - F.length(F.bin(s["bound"]))
+    digits = F.array_join(F.transform(s["hashes"], lambda x: F.lpad(F.hex(x), BITS // 4, "0")), "")
+    return F.concat(halved.cast("string"), F.lit(":"), F.base64(F.unhex(digits)))
 
 
 def merged(a: Column, b: Column) -> Column:
