@@ -199,12 +199,17 @@ def structural_events(rows: DataFrame, patient: Column, columns: dict[str, str])
     return rows.select(patient.alias("ID"), *[F.col(c).alias(name) for c, name in columns.items()])
 
 
+def filled_karyotype(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """A missing karyotype becomes the sorted distinct structural events of the patient, joined by semicolons, or else the empty text."""
+    joined = events.filter("EVENT_INFO IS NOT NULL").groupBy(F.col("ID").alias("_id")).agg(F.array_join(F.sort_array(F.collect_set("EVENT_INFO")), "; ").alias("_events"))
+    rows = rows.join(joined, F.col("ID") == F.col("_id"), "left")
+    text = F.coalesce(F.col("CYTOGENETICS"), F.lit(""))
+    return rows.withColumn("CYTOGENETICS", F.when((text == "") & F.col("_events").isNotNull(), F.col("_events")).otherwise(text)).drop("_id", "_events")
+
+
 def harmonised_clinic(patients: DataFrame, events: DataFrame, center: str, columns: dict[str, str], numeric: list[str], layout: list[str]) -> DataFrame:
     """A cohort's patients in the common layout: renamed columns, numbers as numbers, what the cohort lacks as NULL, one center, and where the
     karyotype is missing the sorted distinct structural events of the patient, joined by semicolons."""
     rows = patients.select(*[F.col(c).alias(name) for c, name in columns.items()])
     rows = rows.withColumns({c: number(F.col(c)) for c in numeric if c in rows.columns} | {c: F.lit(None).cast("double") for c in numeric if c not in rows.columns}).withColumn("CENTER", F.lit(center))
-    joined = events.filter("EVENT_INFO IS NOT NULL").groupBy(F.col("ID").alias("_id")).agg(F.array_join(F.sort_array(F.collect_set("EVENT_INFO")), "; ").alias("_events"))
-    rows = rows.join(joined, F.col("ID") == F.col("_id"), "left")
-    text = F.coalesce(F.col("CYTOGENETICS"), F.lit(""))
-    return rows.withColumn("CYTOGENETICS", F.when((text == "") & F.col("_events").isNotNull(), F.col("_events")).otherwise(text)).select(*layout)
+    return filled_karyotype(rows, events).select(*layout)

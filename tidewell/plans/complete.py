@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import clinical, drift, genes, legacy, mutations, prepare, survival
+from tidewell.operators.ordered import shared_path
 from tidewell.plans.features import _RANGED, _TRUSTED, _VALID, _clinical, _round
 from tidewell.plans.fixtures import oracle, view
+from tidewell.sources import cohorts
 
 
 def karyotype_summary_v1(spark: SparkSession, d: str) -> DataFrame:
@@ -74,6 +78,28 @@ def harmonised_clinic(spark: SparkSession, d: str) -> DataFrame:
     return _round(out)
 
 
+def cohort_from_files(spark: SparkSession, d: str) -> DataFrame:
+    """A cohort written as the files of its layout and brought into the common tables: its patients with their mutations and target."""
+    c, m, t, at = (*(view(spark, d, f"fx_{v}") for v in ("clinical", "molecular", "target")), shared_path(spark, "cohort"))
+    text = lambda col: F.col(col).cast("long").cast("string")
+    sample = F.concat("ID", F.lit("-03"))
+    status = F.concat(F.col("OS_STATUS").cast("string"), F.when(F.col("OS_STATUS") == 1, ":DECEASED").otherwise(":LIVING"))
+    tables = {
+        "patient": c.join(t, "ID").select(F.col("ID").alias("PATIENT_ID"), F.coalesce(F.col("BM_BLAST").cast("string"), F.lit("NA")).alias("BM_BLAST_PERCENTAGE"), "WBC", "CYTOGENETICS", status.alias("OS_STATUS"), (F.col("OS_YEARS") * 12).alias("OS_MONTHS")),
+        "mutations": m.select(
+            F.col("GENE").alias("Hugo_Symbol"), F.col("CHR").alias("Chromosome"), text("START").alias("Start_Position"), text("END").alias("End_Position"), F.col("REF").alias("Reference_Allele"), F.col("REF").alias("Tumor_Seq_Allele1"),
+            F.when(F.col("ALT") != "CT", F.col("ALT")).otherwise("-").alias("Tumor_Seq_Allele2"), sample.alias("Tumor_Sample_Barcode"), text("DEPTH").alias("t_ref_count"), F.lit("5").alias("t_alt_count"),
+            F.when(F.col("PROTEIN_CHANGE") != "p.R882H", F.col("PROTEIN_CHANGE")).alias("HGVSp_Short"), F.lit("p.Arg882His").alias("HGVSp"), F.col("EFFECT").alias("Consequence"),
+        ),
+        "structural": m.filter("EFFECT IN ('ITD', 'PTD')").select(sample.alias("Sample_Id"), F.col("GENE").alias("Site1_Hugo_Symbol"), F.lit("GENE2").alias("Site2_Hugo_Symbol"), F.lit("SOMATIC").alias("SV_Status"), F.concat("GENE", F.lit(" "), "EFFECT").alias("Event_info")),
+    }
+    for name, rows in tables.items():
+        rows.write.option("sep", "\t").option("header", True).csv(f"{at}/{name}")
+    out = cohorts.harmonised(spark, {name: f"{at}/{name}" for name in tables}, replace(cohorts.BY_PATIENT, center="COHORT"))
+    by = out["molecular"].groupBy("ID").agg(F.count(F.lit(1)).alias("n"), F.sum("DEPTH").alias("depth"), F.max("VAF").alias("vaf"), F.count_if(F.col("ALT") == F.col("REF")).alias("first_allele"), F.count_if(F.col("PROTEIN_CHANGE") == "p.Arg882His").alias("long_protein"))
+    return _round(out["clinical"].join(by, "ID", "left").join(out["target"], "ID", "left"))
+
+
 def karyotype_audit(spark: SparkSession, d: str) -> DataFrame:
     """Flags from the digits of the id against the rules that they have to keep."""
     n = F.expr("CAST(substr(ID, 2) AS BIGINT)")
@@ -139,7 +165,7 @@ def cleaned_tables(spark: SparkSession, d: str) -> DataFrame:
     return facts[0].unionByName(facts[1]).unionByName(facts[2])
 
 
-QUERIES = {f.__name__: f for f in (harmonised_mutations, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions, log_features, percent_counts, cleaned_tables)}
+QUERIES = {f.__name__: f for f in (harmonised_mutations, cohort_from_files, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions, log_features, percent_counts, cleaned_tables)}
 
 _N = lambda p: f"coalesce(len(list_filter(flatten(list_transform(string_split(lower(CYTOGENETICS), '/'), lambda c: string_split(regexp_replace(c, '\\[\\d+\\]', '', 'g'), ','))), lambda x: regexp_matches(x, '{p}'))), 0)::DOUBLE"
 _RULES = [f"SELECT ID, '{c} is adverse' AS rule FROM f WHERE {c} = 1 AND coalesce(eln_cyto_adverse, 0) <> 1" for c in ("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26")] + [
@@ -158,6 +184,13 @@ ORACLES = {
         " UNION ALL SELECT 'target', count(*), count(DISTINCT ID) FROM t", "fx_clinical", "fx_molecular", "fx_target",
     ),
     "harmonised_clinic": oracle("WITH e AS (SELECT ID, string_agg(DISTINCT GENE || ' ' || EFFECT, '; ' ORDER BY GENE || ' ' || EFFECT) AS ev FROM fx_molecular WHERE EFFECT IN ('ITD', 'PTD') GROUP BY ID) SELECT ID, 'COHORT' AS CENTER, BM_BLAST, round(WBC, 6) AS WBC, NULL::DOUBLE AS ANC, NULL::DOUBLE AS MONOCYTES, NULL::DOUBLE AS HB, NULL::DOUBLE AS PLT, coalesce(nullif(CYTOGENETICS, ''), ev, '') AS CYTOGENETICS FROM fx_clinical LEFT JOIN e USING (ID)", "fx_clinical", "fx_molecular"),
+    "cohort_from_files": oracle(
+        "WITH e AS (SELECT ID, string_agg(DISTINCT GENE || ' ' || EFFECT, '; ' ORDER BY GENE || ' ' || EFFECT) AS ev FROM fx_molecular WHERE EFFECT IN ('ITD', 'PTD') GROUP BY ID),"
+        " m AS (SELECT ID, count(*) AS n, sum(DEPTH + 5) AS depth, max(round_even(5 / (DEPTH + 5), 4)) AS vaf, count(*) FILTER (ALT = 'CT' OR ALT = REF) AS first_allele, count(*) FILTER (PROTEIN_CHANGE = 'p.R882H') AS long_protein FROM fx_molecular GROUP BY ID)"
+        " SELECT ID, 'COHORT' AS CENTER, BM_BLAST, round(WBC, 6) AS WBC, NULL::DOUBLE AS ANC, NULL::DOUBLE AS MONOCYTES, NULL::DOUBLE AS HB, NULL::DOUBLE AS PLT, coalesce(nullif(CYTOGENETICS, ''), ev, '') AS CYTOGENETICS,"
+        " n, depth, vaf, first_allele, long_protein, CASE WHEN OS_STATUS IS NOT NULL THEN round(OS_YEARS * 12 / 12, 6) END AS OS_YEARS, OS_STATUS"
+        " FROM fx_clinical JOIN fx_target USING (ID) LEFT JOIN e USING (ID) LEFT JOIN m USING (ID)", "fx_clinical", "fx_molecular", "fx_target",
+    ),
     "karyotype_audit": oracle("WITH f AS (SELECT ID, " + ", ".join(f"CASE WHEN CAST(substr(ID, 2) AS BIGINT) % {i + 2} <> 1 THEN (CAST(substr(ID, 2) AS BIGINT) % {i + 3} = 0)::INT END AS {c}" for i, c in enumerate(("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26", "eln_cyto_favorable", "eln_cyto_adverse", "normal_karyotype", "eln_cyto_intermediate"))) + " FROM fx_clinical) " + " UNION ALL ".join(_RULES), "fx_clinical"),
     "frequent_values": oracle("WITH l AS (SELECT 'CENTER' AS feature, coalesce(CENTER, 'missing') AS value FROM fx_clinical UNION ALL SELECT 'CYTOGENETICS', coalesce(CYTOGENETICS, 'missing') FROM fx_clinical), n AS (SELECT feature, value, count(*) AS n, count(*) OVER (PARTITION BY feature) AS k FROM l GROUP BY feature, value) SELECT feature, value, n FROM n WHERE k >= 10 QUALIFY row_number() OVER (PARTITION BY feature ORDER BY n DESC, value DESC) <= 5", "fx_clinical"),
     "feature_subset": oracle("SELECT ID, BM_BLAST, round(WBC, 6) AS WBC, ANC, MONOCYTES, HB, PLT FROM fx_clinical", "fx_clinical"),
