@@ -143,18 +143,52 @@ def test_sketches_keep_what_lies_below_their_threshold(spark, docs):
 # shards
 
 
+def tree_in_python(key, weights, rack=4, region=2):
+    """The shard of one key, by all records of all regions in the order of their times."""
+    mask = 2**64 - 1
+
+    def mixed(key, number):
+        z = (key + (number + 1) * 0x9E3779B97F4A7C15) & mask
+        z = ((z ^ z >> 30) * 0xBF58476D1CE4E5B9) & mask
+        z = ((z ^ z >> 27) * 0x94D049BB133111EB) & mask
+        return z ^ z >> 31
+
+    unit = lambda h: ((h >> 11) + 0.5) * 2.0**-53
+    weight = lambda s: weights[s] if s < len(weights) else 0.0
+    records = []
+    for g in range(-(-len(weights) // (rack * region))):
+        for layer, (low, high) in enumerate([(0, 1), (1, 2), (2, 4), (4, 8)]):
+            if low >= max(map(weight, range(g * rack * region, (g + 1) * rack * region))):
+                continue
+            seed, time = mixed(key, (g << 11) + layer), 0.0
+            for i in range(200):
+                record = mixed(seed, i)
+                time -= math.log(unit(record)) / (high - low)
+                r = min(range(region), key=lambda x: mixed(record, 2**20 + x))
+                s = min(range(rack), key=lambda x: mixed(record, 2**40 + r * rack + x))
+                records.append((time, (g * region + r) * rack + s, low + (high - low) * unit(mixed(record, 1))))
+    return next(s for _, s, height in sorted(records) if height < weight(s))
+
+
 def test_hash_tree_equals_a_tree_in_python(spark):
-    """Draws of shards, their smallest by rack and by region, and the way down."""
-    weights = [1.0, 2.5, 0.0, 1.0, 0.5, 3.0, 1.0, 1.0, 1.0, 4.0, 0.25, 1.0, 1.0]
-    df = spark.range(2000).select(F.col("id").alias("k"), hash_tree.shard_of(F.col("id"), weights).alias("shard"))
-    hashes = df.select("k", "shard", *[F.xxhash64("k", F.lit("shard"), F.lit(i).cast("long")).alias(f"h{i}") for i in range(len(weights))])
-    for r in hashes.collect():
-        draws = [-math.log(((r[f"h{i}"] % 2**64 >> 11) + 0.5) * 2.0**-53) / w if w else math.inf for i, w in enumerate(weights)]
-        racks = [range(i, min(i + 4, len(weights))) for i in range(0, len(weights), 4)]
-        regions = [racks[i : i + 2] for i in range(0, len(racks), 2)]
-        region = min(regions, key=lambda g: min(draws[s] for rack in g for s in rack))
-        rack = min(region, key=lambda g: min(draws[s] for s in g))
-        assert r.shard == min(rack, key=lambda s: draws[s])
+    weights = [1.0, 2.5, 0.0, 1.0, 0.5, 3.0, 1.0, 1.0, 1.0, 4.0, 0.25, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.75]
+    df = spark.range(400).select(F.col("id").alias("k"), F.xxhash64("id", F.lit("shard")).alias("h"), hash_tree.shard_of(F.col("id"), weights).alias("shard"))
+    for r in df.collect():
+        assert r.shard == tree_in_python(r.h % 2**64, weights)
+
+
+def test_hash_tree_levels_decide_and_shares_follow_weights():
+    """Every draw is for regions, racks of one region and shards of one rack; shares are those of the weights, also in a region that is mostly empty."""
+    keys = np.random.default_rng(3).integers(0, 2**64, 200_000, dtype=np.uint64)
+    weights = [1.0, 2.5, 0.0, 1.0, 0.5, 3.0, 1.0, 1.0, 5.5]
+    share = np.bincount(hash_tree.drawn(keys, weights), minlength=9) / len(keys)
+    assert np.abs(share - np.array(weights) / sum(weights)).max() < 0.005
+    shrunk = [1.0, 2.5, 0.0, 1.0, 0.5, 1.25, 1.0, 1.0, 5.5]
+    a, b = hash_tree.drawn(keys, weights), hash_tree.drawn(keys, shrunk)
+    assert set(a[a != b]) == {5}
+    for bad in ([], [0.0], [1.0, -1.0], [math.inf]):
+        with pytest.raises(ValueError, match="weights"):
+            hash_tree.drawn(keys[:1], bad)
 
 
 def test_hash_tree(docs, small, none):
