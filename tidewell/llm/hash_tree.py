@@ -23,13 +23,15 @@ table gives an empty table; negative or no positive weights are an error.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import texts_of
+from tidewell.llm.common import settle, texts_of
 
 #: Shards in a rack, racks in a region; rows that a part numbers on its own, shards times parts at most (one short row each is broadcast);
 #: bytes of a row besides its text.
@@ -101,9 +103,18 @@ def shard_of(key: Column, weights: list[float], rack: int = RACK, region: int =
 def shards(docs: DataFrame, n: int, rack: int = RACK, region: int = REGION, weights: list[float] | None = None) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (with one more shard) for each row."""
     weights = weights or [1.0] * n
-    parts = max(1, min(docs.count() // (n * ROWS), PARTS // n))
-    measured = texts_of(docs).select("doc_id", (F.octet_length("text") + OVERHEAD).cast("long").alias("size"), F.crc32(F.col("text").cast("binary")).alias("text_crc32"))
-    rows = measured.select("*", shard_of(F.col("doc_id"), weights, rack, region).alias("shard"), shard_of(F.col("doc_id"), [*weights, 1.0], rack, region).alias("grown_shard"))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64)
+            now, grown = (pa.array(drawn(keys, w, rack, region)) for w in (weights, [*weights, 1.0]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], now, grown], names=["doc_id", "size", "text_crc32", "shard", "grown_shard"])
+
+    size, crc = (F.octet_length("text") + OVERHEAD).cast("long"), F.crc32(F.col("text").cast("binary"))
+    measured = texts_of(docs).select("doc_id", size.alias("size"), crc.alias("text_crc32"), F.xxhash64("doc_id", F.lit("shard")).alias("key"))
+    # texts are read once: what is left of them is measured here, and both the counts and the numbers come from the settled rows
+    rows = settle(measured.mapInArrow(place, "doc_id long, size long, text_crc32 long, shard int, grown_shard int"), "rows")
+    parts = max(1, min(rows.count() // (n * ROWS), PARTS // n))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("slot")), F.lit(parts)).cast("int"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))  # PARTS rows at most
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
