@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import math
 import re
 import unicodedata
@@ -370,6 +371,32 @@ def brute_components(texts):
     return prints, {k: find(k) for k in ids}
 
 
+@pytest.mark.parametrize("distance", [0, 1, 2, 3])
+@pytest.mark.parametrize("hot", [1, 256])
+def test_classes_of_dense_fingerprints(spark, distance, hot):
+    """Clouds around a few centres, one half that many share, the top bit, and chains: the components are those of all pairs."""
+    rng = np.random.default_rng(distance)
+    flips = lambda v, k: v ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False))
+    values = [int(v) for v in rng.integers(0, 2**64, 30, dtype=np.uint64)]
+    values += [flips(v, int(rng.integers(1, 6))) for v in values[:6] for _ in range(60)]
+    values += [7 << 32 | int(v) for v in rng.integers(0, 2**32, 60)] + [7 << 32 | 1 << i | 1 << j for i in range(0, 30, 3) for j in range(0, 30, 5)]
+    values += [0, 2**63, 2**64 - 1, 2**64 - 2]
+    values = sorted({v - 2**64 if v >= 2**63 else v for v in values})
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for a, b in itertools.combinations(values, 2):
+        if ((a ^ b) % 2**64).bit_count() <= distance and root(a) != root(b):
+            parent[max(root(a), root(b))] = min(root(a), root(b))
+    prints = spark.createDataFrame([(v,) for v in values], "print long")
+    got = {r.node: r.root for r in simhash.components(simhash.class_edges(prints, distance, hot)).collect()}
+    assert {v: got.get(v, v) for v in values} == {v: root(v) for v in values}
+
+
 def test_simhash_components(docs, small, none):
     for df in (docs, small):
         prints, component = brute_components(by_text(df))

@@ -5,7 +5,10 @@ distinct fingerprint under each of its halves, every fingerprint probes the tabl
 halves, and complete distances are verified on what meets. Documents with equal fingerprints are one entry of the table from the start
 (aggregated before the shuffle), so copies never meet each other. Links join into components by minimum labels with pointer jumping.
 
-Probing is by fingerprint and not by group: no task holds the pairs of a group, and skewed values of a half are split by the join.
+Documents are put into components, so not every pair is formed. All fingerprints within one bit of a common centre (any 64-bit value, at most 65 of
+them) link each other; each is tied to the least one, which settles all distances up to 2. Probes for the rest verify only pairs of different
+components so far, and yield pairs of components. A half that more than HOT fingerprints have is split by segments of the other half: there at
+most 3 bits are left, so one of its two 16-bit segments is within one bit as well. No link is lost by this, whatever HOT is.
 
 Defined results: words are runs of other than ASCII white space after lower-casing A-Z; fewer words than a shingle make one shingle, no word
 makes fingerprint zero, which links like any other; a null text is the empty text; a bit is set if more than half of the shingles (repeats
@@ -20,13 +23,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import bytes_of, settle
+from tidewell.llm.common import FEW, bytes_of, settle
 from tidewell.llm.tokens import forget
 
 WORDS, SEED, DISTANCE = 3, 42, 3
+#: Fingerprints of one half value beyond which they also have to share a segment of the other half.
+HOT = 256
 #: Copies of a table of labels that the rows of one label are spread over.
 SALTS = 16
 _BATCH = 1 << 16
@@ -123,8 +128,68 @@ def classes(groups: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(groups.join(joined, groups["print"] == joined["linked"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
 
 
+def _ball(value: Column, bits: int) -> Column:
+    """All values within one bit of a value of some bits, as an array."""
+    masks = [0, *((1 << i) - (1 << 64 if i == 63 else 0) for i in range(bits))]
+    return F.transform(F.array(*[F.lit(m).cast("long") for m in masks]), lambda m: value.bitwiseXOR(m))
+
+
+def _parts(value: Column, bits: int) -> Column:
+    """The upper and the lower part of a value, of some bits each, with the part that is left over."""
+    upper, lower = F.shiftrightunsigned(value, bits), value.bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    return F.array(F.struct(F.lit(0).alias("which"), upper.alias("value"), lower.alias("other")), F.struct(F.lit(1).alias("which"), lower.alias("value"), upper.alias("other")))
+
+
+def stars(prints: DataFrame) -> DataFrame:
+    """Edges (a, b) from the least to each other one of the distinct fingerprints within one bit of a common centre. All of them differ in at
+    most 2 bits, and any two that do have such a centre."""
+    centres = prints.select("print", F.explode(_ball(F.col("print"), 64)).alias("centre"))
+    least = F.min("print").over(Window.partitionBy("centre"))  # of 65 rows at most
+    return centres.select(least.alias("a"), F.col("print").alias("b")).filter("a < b").distinct()
+
+
+def links_across(labelled: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """Pairs (a < b) of labels of which some fingerprints differ in at most `distance` bits (3 at most), for a settled table of distinct
+    `print` with a `label`."""
+    halves = labelled.select("print", "label", F.explode(_parts(F.col("print"), 32)).alias("s")).select("print", "label", "s.*")
+    crowded = settle(halves.groupBy("which", "value").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("which", "value"), "crowded")
+    crowds = crowded.count()
+    crowded = F.broadcast(crowded) if crowds <= FEW else crowded.hint("merge")
+    probes = halves.withColumn("value", F.explode(_ball(F.col("value"), 32)))
+
+    def met(table: DataFrame, probes: DataFrame, *keys: str) -> DataFrame:
+        t, q = table.alias("t"), probes.alias("q")
+        same = [F.col(f"t.{k}") == F.col(f"q.{k}") for k in keys]
+        near = (F.col("t.label") < F.col("q.label")) & (F.bit_count(F.col("t.print").bitwiseXOR(F.col("q.print"))) <= distance)
+        return t.join(q, [*same, near]).select(F.col("t.label").alias("a"), F.col("q.label").alias("b")).distinct()
+
+    if not crowds:
+        return met(halves, probes, "which", "value")
+
+    def split(rows: DataFrame) -> DataFrame:
+        inside = rows.join(crowded, ["which", "value"], "left_semi")
+        return inside.select("print", "label", "which", "value", F.explode(_parts(F.col("other"), 16)).alias("s")).select(
+            "print", "label", "which", "value", F.col("s.which").alias("segment"), F.col("s.value").alias("part")
+        )
+
+    few = met(halves.join(crowded, ["which", "value"], "left_anti"), probes.join(crowded, ["which", "value"], "left_anti"), "which", "value")
+    many = met(split(halves), split(probes).withColumn("part", F.explode(_ball(F.col("part"), 16))), "which", "value", "segment", "part")
+    return few.unionByName(many).distinct()
+
+
+def class_edges(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """Edges (a, b) over a settled table of distinct `print`, with the components of all pairs that differ in at most `distance` bits."""
+    if distance < 2:
+        return links(prints, distance)
+    near = components(stars(prints))
+    if distance == 2:
+        return near.filter("root < node").select(F.col("root").alias("a"), F.col("node").alias("b"))
+    labelled = settle(prints.join(near, prints["print"] == near["node"], "left").select("print", F.coalesce("root", "print").alias("label")), "labelled")
+    return labelled.filter("label < print").select(F.col("label").alias("a"), F.col("print").alias("b")).unionByName(links_across(labelled, distance, hot))
+
+
 def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANCE) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable over links, for each row."""
     rows = settle(fingerprints(docs, words), "prints")
     groups = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "groups")
-    return rows.join(classes(groups, links(groups.select("print"), distance)), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(classes(groups, class_edges(groups.select("print"), distance)), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
