@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tidewell import config as C
 from tidewell.operators import clean, clinical, joins, karyotype, mutations
 from tidewell.plans.fixtures import SHUFFLED, oracle, view
+from tidewell.plans.karyotypes import block
 
 
 def _round(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -189,8 +190,18 @@ def karyotype_flags(spark: SparkSession, d: str) -> DataFrame:
     return karyotype.cytogenetics(view(spark, d, "fx_clinical")).select("ID", *[F.col(c).cast("double").alias(c) for c in _KARYO_FLAGS])
 
 
+def _karyotypes(df: DataFrame) -> DataFrame:
+    out = karyotype.cytogenetics(df)
+    return _round(out.select("ID", *[F.col(c).cast("double").alias(c) for c in out.columns if c != "ID"]))
+
+
 def karyotype_clones(spark: SparkSession, d: str) -> DataFrame:
-    return _round(karyotype.cytogenetics(view(spark, d, "fx_clinical")))
+    return _karyotypes(view(spark, d, "fx_clinical"))
+
+
+def karyotype_mixtures(spark: SparkSession, d: str) -> DataFrame:
+    """The whole block for texts of many kinds: several clones, inherited events, ranges, rings, markers, pooled cells."""
+    return _karyotypes(view(spark, d, "fx_karyotypes"))
 
 
 def karyotype_quick_risk(spark: SparkSession, d: str) -> DataFrame:
@@ -234,7 +245,7 @@ QUERIES = {
     for f in (
         center_summary, clean_clinical_features, target_clean, target_summary, scan_clinical, scan_molecular, range_to_null, mutation_quality_filter, semi_anti_ids, schema_align_union, iqr_winsorize,
         formula_columns, placeholder_targets, row_sample, mutation_presence, vaf_features, mutation_types, pathway_features, burden, category_pivot, frequent_genes, base_counts, patient_aggregates,
-        variant_ids, comutation, risk_label, interactions, molecular_block, karyotype_flags, karyotype_clones, karyotype_quick_risk,
+        variant_ids, comutation, risk_label, interactions, molecular_block, karyotype_flags, karyotype_clones, karyotype_mixtures, karyotype_quick_risk,
     )
 }
 
@@ -277,5 +288,7 @@ ORACLES = {
           CASE WHEN t IS NOT NULL THEN coalesce(TRY_CAST(nullif(regexp_extract(t, '\[cp(\d+)\]', 1), '') AS INT), 0) END AS cp_max, len(regexp_extract_all(t, '(?i)-\s*[xy]')) AS sex_chromosome_loss_count FROM f)""",
         "fx_clinical",
     ),
+    "karyotype_clones": block("fx_clinical"),
+    "karyotype_mixtures": block("fx_karyotypes"),
     "karyotype_quick_risk": oracle(r"""WITH k AS (SELECT ID, coalesce(CYTOGENETICS, '') AS t FROM fx_clinical), f AS (SELECT ID, t, regexp_matches(t, '(?i)complex|-\s*7([^0-9]|$)|-\s*5([^0-9]|$)|del\s*\(\s*17\s*\)\s*\(p|inv\s*\(\s*3\s*\)') AS a, regexp_matches(t, '(?i)t\s*\(\s*8\s*;\s*21\s*\)|inv\s*\(\s*16\s*\)|t\s*\(\s*16\s*;\s*16\s*\)|t\s*\(\s*15\s*;\s*17\s*\)') AS v FROM k) SELECT ID, CAST(t <> '' AND a AS INT) AS aux_cyto_adverse, CAST(t <> '' AND v AND NOT a AS INT) AS aux_cyto_favorable, CAST(t <> '' AND NOT v AND NOT a AS INT) AS aux_cyto_intermediate FROM f""", "fx_clinical"),
 }

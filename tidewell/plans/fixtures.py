@@ -40,7 +40,17 @@ SELECT concat('P', CAST(o_orderkey AS STRING)) AS ID,
   CAST((o_orderkey * 17) % 211 AS DOUBLE) AS m_a, CAST((o_orderkey * 29) % 307 AS DOUBLE) AS m_b, CAST(o_custkey % 53 AS DOUBLE) AS m_c
 FROM orders"""
 
-VIEWS = {"fx_clinical": FX_CLINICAL, "fx_molecular": FX_MOLECULAR, "fx_target": FX_TARGET, "fx_scores": FX_SCORES}
+#: Karyotypes of one to three clones, put together from beginnings, events, cell counts and further clones.
+FX_KARYOTYPES = """
+SELECT concat('P', CAST(o_orderkey AS STRING)) AS ID, CASE WHEN o_orderkey % 31 = 0 THEN NULL ELSE concat(
+  split_part('46,XX|46,XY|45,X,-Y|47,XY,+8|43~47,XX|92,XXYY|61-66,XX|44,XY|complex|46,xy|48,XX,+X,+21|trisomy 8|normal|del(7)(q22), t(9;11)|47,XXY,+Y', '|', CAST(1 + o_orderkey % 15 AS INT)),
+  split_part('|,t(9;11)(p22;q23)|,del(5)(q13q33)|,inv(3)(q21q26)|,-7|,+mar|,der(12)t(12;13)|,add(17)(p13),-18|,i(17)(q10)|,dic(5;17)|,+r[3]|,dmin|,ins(10;11)', '|', CAST(1 + o_custkey % 13 AS INT)),
+  split_part('|,-5,-17|,del(12)(p11)|,t(8;21)(q22;q22)|,+21|,inc|,-X', '|', CAST(1 + (o_orderkey * 3 + o_custkey) % 7 AS INT)),
+  split_part('[20]|[cp11]|[12]|', '|', CAST(1 + o_custkey % 4 AS INT)),
+  split_part('|/46,XX[8]|/47,idem,+8[5]|/48,IDEM,+8,+21[30]|/47,XX,+mar1[4]/46,XY[cp3]|/46,XX,-7[3]/47,idem,+r[2]', '|', CAST(1 + (o_orderkey + o_custkey) % 6 AS INT))) END AS CYTOGENETICS
+FROM orders"""
+
+VIEWS = {"fx_karyotypes": FX_KARYOTYPES, "fx_clinical": FX_CLINICAL, "fx_molecular": FX_MOLECULAR, "fx_target": FX_TARGET, "fx_scores": FX_SCORES}
 _TABLE = {"fx_molecular": "lineitem"}
 
 
