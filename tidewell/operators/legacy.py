@@ -23,7 +23,7 @@ def karyotype_summary(df: DataFrame, text: str = "CYTOGENETICS", version: int =
     cells = lambda c: F.coalesce(F.regexp_extract(c, r"\[(\d+)\]", 1).try_cast("int"), F.lit(default))
 
     def clone(c: Column) -> Column:
-        parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"\[\d+\]", ""), ","), F.trim), lambda p: p != "")
+        parts = F.filter(F.transform(F.split(F.regexp_replace(c, r"\[\d+\]", ""), ","), lambda p: F.trim(p)), lambda p: p != "")
         w = cells(c) if weighted else F.lit(1)
 
         def amount(patterns: tuple[str, str]) -> Column:
