@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from tidewell.operators import clinical, drift, genes, legacy, mutations, prepar
 from tidewell.operators.ordered import shared_path
 from tidewell.plans.features import _RANGED, _TRUSTED, _VALID, _clinical, _round
 from tidewell.plans.fixtures import oracle, view
+from tidewell.plans.karyotypes import summaries
 from tidewell.sources import cohorts
 
 
@@ -23,6 +25,14 @@ def karyotype_summary_v3(spark: SparkSession, d: str) -> DataFrame:
     return _round(legacy.karyotype_summary(view(spark, d, "fx_clinical").select("ID", "CYTOGENETICS"), version=3))
 
 
+def karyotype_summaries(spark: SparkSession, d: str) -> DataFrame:
+    """All four versions of the older summary, every column, for karyotypes of many kinds."""
+    texts = view(spark, d, "fx_karyotypes")
+    made = [legacy.karyotype_summary(texts, version=v).drop("CYTOGENETICS").withColumn("version", F.lit(v)) for v in (1, 2, 3, 4)]
+    out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), made)
+    return _round(out.select("ID", *[F.col(c).cast("double").alias(c) for c in out.columns if c != "ID"]))
+
+
 def full_features(spark: SparkSession, d: str) -> DataFrame:
     """All blocks, with gene flags, tiers and arms, significances and scores that follow from the mutation rows."""
     m = view(spark, d, "fx_molecular")
@@ -165,7 +175,7 @@ def cleaned_tables(spark: SparkSession, d: str) -> DataFrame:
     return facts[0].unionByName(facts[1]).unionByName(facts[2])
 
 
-QUERIES = {f.__name__: f for f in (harmonised_mutations, cohort_from_files, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions, log_features, percent_counts, cleaned_tables)}
+QUERIES = {f.__name__: f for f in (harmonised_mutations, cohort_from_files, subgroup_drivers, compared_models, karyotype_summary_v1, karyotype_summary_v3, karyotype_summaries, full_features, preprocessed_matrix, integrated_scores, harmonised_clinic, karyotype_audit, frequent_values, feature_subset, rare_group_flags, latest_run, extra_interactions, log_features, percent_counts, cleaned_tables)}
 
 _N = lambda p: f"coalesce(len(list_filter(flatten(list_transform(string_split(lower(CYTOGENETICS), '/'), lambda c: string_split(regexp_replace(c, '\\[\\d+\\]', '', 'g'), ','))), lambda x: regexp_matches(x, '{p}'))), 0)::DOUBLE"
 _RULES = [f"SELECT ID, '{c} is adverse' AS rule FROM f WHERE {c} = 1 AND coalesce(eln_cyto_adverse, 0) <> 1" for c in ("complex_karyotype", "monosomal_karyotype", "monosomy_7_or_del7q", "del_5q_or_mono5", "del_17p_or_i17q", "rearr_3q26")] + [
@@ -176,6 +186,7 @@ _RULES = [f"SELECT ID, '{c} is adverse' AS rule FROM f WHERE {c} = 1 AND coalesc
 ]
 
 ORACLES = {
+    "karyotype_summaries": summaries("fx_karyotypes"),
     "log_features": oracle("SELECT ID, " + ", ".join(f"CASE WHEN {c} >= 0 THEN round(ln(1 + {c}), 6) END AS log_{c}" for c in ("WBC", "ANC", "PLT")) + f" FROM ({_RANGED})", "fx_clinical"),
     "percent_counts": oracle(f"SELECT ID, round(PLT * BM_BLAST / 100, 6) AS blasts FROM ({_RANGED})", "fx_clinical"),
     "cleaned_tables": oracle(

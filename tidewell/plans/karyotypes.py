@@ -77,3 +77,46 @@ def block(view: str) -> str:
         " FROM (SELECT ID, CAST(CYTOGENETICS IS NULL AS INT) AS cyto_is_missing, j.* EXCLUDE (raw) FROM @ LEFT JOIN j ON CYTOGENETICS = raw)".replace("@", view),
         view,
     ).replace("FROM @", f"FROM {view}")
+
+
+#: A term's pattern for presence in a part, and the one whose occurrences version 2 counts (`p` is the part).
+_TERMS = {
+    "num_translocations": (r"t\(\d+;\d+\)", r"t\(\d+;\d+\)"),
+    "num_deletions": (r"del\(", r"del\([^)]*\)"),
+    "num_inversions": (r"inv\(", r"inv\([^)]*\)"),
+    "num_duplications": (r"dup\(", r"dup\([^)]*\)"),
+    "num_additions": (r"add\(", r"add\([^)]*\)"),
+    "num_monosomies": (r"-\d+", r"-\d+"),
+    "num_trisomies": (r"\+\d+", r"\+\d+"),
+}
+
+
+def _amount(present: str, counted: str, name: str) -> str:
+    # version 2 leaves out a minus after a letter or a parenthesis
+    part = r"regexp_replace(p, '([a-zA-Z(])-', '\1', 'g')" if name == "num_monosomies" else "p"
+    return f"coalesce(sum((CASE WHEN version = 2 THEN len(regexp_extract_all({part}, '{counted}')) ELSE CAST(regexp_matches(p, '{present}') AS INT) END) * w), 0) AS {name}"
+
+
+def summaries(view: str) -> str:
+    """The four versions of the older summary, one row for each version and text."""
+    terms = list(_TERMS)
+    return oracle(
+        rf"""WITH v AS (SELECT unnest([1, 2, 3, 4]) AS version),
+        k AS (SELECT DISTINCT version, CYTOGENETICS AS raw, CASE WHEN version = 1 OR trim(CYTOGENETICS) <> '' THEN lower(CYTOGENETICS) END AS t FROM {view}, v WHERE CYTOGENETICS IS NOT NULL),
+        c AS (SELECT version, raw, unnest(string_split(t, '/')) AS c, generate_subscripts(string_split(t, '/'), 1) AS pos FROM k),
+        n AS (SELECT *, coalesce(TRY_CAST(nullif(regexp_extract(c, '\[(\d+)\]', 1), '') AS INT), CASE WHEN version = 1 THEN 0 ELSE 1 END) AS cells FROM c),
+        w AS (SELECT *, CASE WHEN version = 1 THEN 1 ELSE cells END AS w, string_split(regexp_replace(c, '\[\d+\]', '', 'g'), ',') AS split FROM n),
+        p AS (SELECT version, raw, w, pos, trim(unnest(split)) AS p, generate_subscripts(split, 1) AS nth FROM w),
+        s AS (SELECT *, CASE WHEN contains(p, 'xy') THEN 1 WHEN contains(p, 'xx') THEN -1 END AS s, CASE WHEN regexp_matches(p, '^\d+$') THEN CAST(p AS DOUBLE) END AS x FROM p),
+        a AS (SELECT version, raw, {', '.join(_amount(*_TERMS[n], n) for n in terms)}, CASE WHEN version = 1 THEN coalesce(arg_min(s, pos * 1000 + nth) FILTER (s IS NOT NULL), 0) ELSE coalesce(sign(sum(s * w)), 0) END AS sided,
+          sum(x * w) / nullif(sum(w) FILTER (x IS NOT NULL), 0) AS avg_chromosomes FROM s GROUP BY version, raw),
+        m AS (SELECT version, raw, count(*) AS num_subclones, sum(cells) AS total_mitoses, sum(w) AS mitoses FROM w GROUP BY version, raw),
+        e AS (SELECT version, raw, -sum(CASE WHEN w > 0 THEN w / mitoses * ln(w / mitoses) ELSE 0 END) AS entropy FROM w JOIN m USING (version, raw) WHERE mitoses > 0 GROUP BY version, raw),
+        o AS (SELECT ID, v.version, (coalesce(sided, 0) + 1) / 2 AS sex, avg_chromosomes, coalesce(total_mitoses, 0) AS total_mitoses, coalesce(num_subclones, 0) AS num_subclones, {', '.join(f'coalesce({n}, 0) AS {n}' for n in terms)},
+          coalesce({' + '.join(terms[:5])}, 0) AS complexity_score, CASE WHEN v.version > 1 THEN CAST(coalesce(contains(t, 'complex'), false) AS INT) END AS complex_flag,
+          CASE WHEN v.version > 2 THEN CASE WHEN mitoses > 0 AND num_subclones > 1 THEN entropy / ln(num_subclones) ELSE 0 END END AS mosaicism_index
+          FROM {view} CROSS JOIN v LEFT JOIN k ON CYTOGENETICS = k.raw AND v.version = k.version LEFT JOIN a ON k.raw = a.raw AND k.version = a.version LEFT JOIN m ON k.raw = m.raw AND k.version = m.version
+          LEFT JOIN e ON k.raw = e.raw AND k.version = e.version)
+        SELECT ID, round(COLUMNS(* EXCLUDE (ID))::DOUBLE, 6) FROM o""",
+        view,
+    )
