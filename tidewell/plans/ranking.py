@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -152,6 +154,21 @@ def ensemble_search(spark: SparkSession, d: str) -> DataFrame:
     return _round(survival.ensembles(wide, target, MODELS, C.TAU))
 
 
+def _ensembles_sql() -> str:
+    """Every model and every rank-averaged subset, each pair of rows compared."""
+    ranks = ", ".join(f"rank() OVER (ORDER BY {m}) + (count(*) OVER (PARTITION BY {m}) - 1) / 2.0::DOUBLE AS {m}" for m in MODELS)
+    sets = " UNION ALL ".join(
+        f"SELECT t, e, '{' + '.join(c)}' AS name, {len(c)} AS size, ({' + '.join(c)}) / {len(c)} AS s FROM r" for n in range(1, len(MODELS) + 1) for c in combinations(MODELS, n)
+    )
+    return f"""WITH v AS ({_VALID}), r AS (SELECT OS_YEARS AS t, OS_STATUS AS e, {ranks} FROM fx_scores JOIN v USING (ID)),
+      g AS (SELECT t, sum(e)::BIGINT AS e, (count(*) - sum(e))::BIGINT AS q FROM r GROUP BY t), h AS (SELECT *, (sum(e + q) OVER (ORDER BY t DESC))::BIGINT AS r FROM g),
+      k AS (SELECT t, exp(sum(ln(1 - q::DOUBLE / greatest(r - e, 1) + CASE WHEN q = r - e AND q > 0 THEN 1 ELSE 0 END)) OVER (ORDER BY t)) AS surv FROM h),
+      c AS (SELECT name, size, t, s, e, count(*) AS n FROM ({sets}) GROUP BY ALL),
+      i AS (SELECT name, size, c.t, c.s, c.n, 1 / (k.surv * k.surv) AS w FROM c JOIN k USING (t) WHERE c.e = 1 AND c.t < {C.TAU}),
+      p AS (SELECT name, i.size, i.w * i.n * j.n AS w, CASE WHEN i.s > j.s THEN 1.0::DOUBLE WHEN i.s = j.s THEN 0.5::DOUBLE ELSE 0::DOUBLE END AS c FROM i JOIN c j USING (name) WHERE j.t > i.t OR (j.t = i.t AND j.e = 0))
+      SELECT name, size, round(sum(w * c) / sum(w), 6) AS score FROM p GROUP BY name, size"""
+
+
 def _errors(spark: SparkSession, d: str) -> DataFrame:
     target = _target(spark, d)
     return survival.errors(view(spark, d, "fx_scores").join(target.select("ID"), "ID"), target, MODELS)
@@ -200,6 +217,7 @@ ORACLES = {
     "km_censoring": oracle(_km(True), "fx_target"),
     "km_events": oracle(_km(False), "fx_target"),
     "cindex_ipcw": oracle(_CINDEX, "fx_target", "fx_scores"),
+    "ensemble_search": oracle(_ensembles_sql(), "fx_target", "fx_scores"),
     "rank_ensemble": oracle("WITH l AS (UNPIVOT fx_scores ON m_a, m_b, m_c INTO NAME model VALUE pred), r AS (SELECT ID, rank() OVER (PARTITION BY model ORDER BY pred) + (count(*) OVER (PARTITION BY model, pred) - 1) / 2.0::DOUBLE AS rank FROM l) SELECT ID, round(avg(rank), 6) AS risk_score FROM r GROUP BY ID", *_S),
     "error_analysis": oracle(_RANKED + " SELECT ID, round(avg(rank), 6) AS consensus, round(stddev_samp(rank), 6) AS disagreement, round(avg(error), 6) AS mean_error, round(avg(abs(error)), 6) AS mean_abs_error FROM x GROUP BY ID", "fx_target", "fx_scores"),
     "model_bias": oracle(_RANKED + " SELECT model, round(avg(error), 6) AS bias, round(avg(abs(error)), 6) AS mae, count(*) FILTER (error < -0.2) AS optimistic, count(*) FILTER (error > 0.2) AS pessimistic FROM x WHERE error IS NOT NULL GROUP BY model", "fx_target", "fx_scores"),
