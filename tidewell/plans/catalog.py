@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import complete, features, fitting, modeling, ranking, records
+from tidewell.plans import complete, features, files, fitting, modeling, ranking, records
 
-_PARTS = (features, ranking, fitting, records, modeling, complete)
+_PARTS = (features, ranking, fitting, records, modeling, complete, files)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
