@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.nulls import clean_doubles
+from tidewell.operators import clean
 from tidewell.operators.ordered import shared_path
 from tidewell.plans.fixtures import oracle, view
 from tidewell.sources import readers
@@ -39,7 +41,22 @@ def score_files(spark: SparkSession, d: str) -> DataFrame:
     return table.join(written, "ID").join(by_run, "ID").join(cache, "ID")
 
 
-QUERIES = {f.__name__: f for f in (gene_files, score_files)}
+def training_set(spark: SparkSession, d: str) -> DataFrame:
+    """Features with NaN, infinities and redundant columns, cleaned and joined with the target; the redundancy rules decide which columns stay."""
+    n = F.expr("CAST(substr(ID, 2) AS BIGINT)")
+    x = view(spark, d, "fx_scores").withColumns(
+        {
+            "m_a": F.when(F.col("m_a") % 5 == 0, float("nan")).otherwise(F.col("m_a")),
+            "m_b": F.when(F.col("m_b") % 7 == 0, float("inf")).when(F.col("m_b") % 7 == 1, float("-inf")).otherwise(F.col("m_b")),
+            "wbc_missing": (n % 2).cast("int"), "anc_missing": (n % 3).cast("int"), "TP53_altered": (n % 5 == 0).cast("int"), "TP53_count": n % 5, "any_kit": (n % 7 == 0).cast("int"), "kit_count": n % 7,
+            "flt3_count": n % 11, "cosmic_kit_count": n % 13, "sex_chromosomes": (n % 2).cast("int"), "SEX_XX": (n % 2 == 0).cast("int"),
+        }
+    )
+    x = clean_doubles(x.drop(*clean.redundant(x.columns, ("wbc",), counts_of_altered=True, counts_of_any=True, listed=("m_c", "not there"))))
+    return readers.training_rows(x, view(spark, d, "fx_target"))
+
+
+QUERIES = {f.__name__: f for f in (gene_files, score_files, training_set)}
 
 ORACLES = {
     "gene_files": oracle(
@@ -49,4 +66,10 @@ ORACLES = {
         "fx_molecular",
     ),
     "score_files": oracle("SELECT ID, m_a, m_b, CASE WHEN m_a % 2 <> 0 THEN m_a END AS gap, 2::BIGINT AS runs, m_b AS risk_score, m_c AS score FROM fx_scores", "fx_scores"),
+    "training_set": oracle(
+        """WITH x AS (SELECT *, CAST(substr(ID, 2) AS BIGINT) AS n FROM fx_scores)
+        SELECT ID, CASE WHEN m_a % 5 <> 0 THEN m_a END AS m_a, CASE WHEN m_b % 7 > 1 THEN m_b END AS m_b, (n % 2)::INT AS wbc_missing, (n % 5 = 0)::INT AS TP53_altered, (n % 7 = 0)::INT AS any_kit,
+          n % 11 AS flt3_count, n % 13 AS cosmic_kit_count, (n % 2 = 0)::INT AS SEX_XX, OS_YEARS, OS_STATUS FROM x JOIN fx_target USING (ID)""",
+        "fx_scores", "fx_target",
+    ),
 }
