@@ -44,6 +44,15 @@ def test_query_equals_sql(spark, duck, sf_dir, name):
     assert rows(got) == rows(want)
 
 
+def test_stratified_split_of_large_keys_equals_sql(spark, sf_dir, tmp_path):
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    orders.withColumn("o_orderkey", F.col("o_orderkey") * 104_743).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    got, want = catalog.queries()["stratified_split"](spark, str(tmp_path)).toPandas(), con.execute(catalog.oracle_sql()["stratified_split"]).df()
+    assert rows(got) == rows(want)
+
+
 def test_every_name_is_known():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 

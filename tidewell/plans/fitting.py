@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewell import config as C
 from tidewell.operators import clean, drift, fitted
 from tidewell.plans.features import _RANGED, _clinical, _round
-from tidewell.plans.fixtures import oracle, view
+from tidewell.plans.fixtures import SHUFFLED, oracle, view
 
 _NUM = C.MEASURES
 
@@ -58,8 +58,7 @@ def rare_crosstab(spark: SparkSession, d: str) -> DataFrame:
 
 def stratified_split(spark: SparkSession, d: str) -> DataFrame:
     t = clean.clean_target(view(spark, d, "fx_target"))
-    number = F.expr("CAST(substr(ID, 2) AS BIGINT)")
-    return fitted.stratified_split(t, "OS_STATUS", 0.2, order=(number * 7919 + 42) % 104729 * 100000 + number).select("ID", "OS_STATUS", "part")
+    return fitted.stratified_split(t, "OS_STATUS", 0.2, order=F.expr(SHUFFLED)).select("ID", "OS_STATUS", "part")
 
 
 def preprocess_full(spark: SparkSession, d: str) -> DataFrame:
