@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewell.functions import nulls
-from tidewell.operators import clean, clinical, drift, fitted, genes, joins, karyotype, mutations, ordered, survival
+from tidewell.operators import clean, clinical, drift, fitted, genes, joins, karyotype, legacy, mutations, ordered, survival
 
 
 def test_missing_values_become_null(spark):
@@ -230,3 +230,14 @@ def test_concordance_with_other_training_rows(spark):
     w = {t: 1 / g[t] ** 2 for t in g}
     want = (w[1.0] * 2) / (w[1.0] * 2 + w[4.0])  # a before b and c: both concordant; b before c: discordant
     assert math.isclose(survival.concordance(test, "s", train=train).first().c_index, want, rel_tol=1e-9)
+
+
+def test_karyotype_summaries_read_each_text_once(spark, monkeypatch):
+    texts, seen = ["46,XX[20]", "45,XY,-7[12]/46,XY[8]", " ", None], []
+    keep = legacy.settle
+    monkeypatch.setattr(legacy, "settle", lambda df: seen.append(keep(df)) or seen[-1])
+    rows = spark.createDataFrame([(i, texts[i % 4]) for i in range(40)], "ID int, CYTOGENETICS string")
+    for version in (1, 2, 3, 4):
+        got = legacy.karyotype_summary(rows, version=version).collect()
+        assert seen[-1].count() == 4 and sorted(r["ID"] for r in got) == list(range(40))
+        assert all(r["num_monosomies"] == (0 if r["ID"] % 4 != 1 else 12 if version >= 2 else 1) for r in got)

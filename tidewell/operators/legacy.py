@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.functions.nulls import flag
+from tidewell.operators.ordered import settle
 
 _TERMS = {"num_translocations": (r"t\(\d+;\d+\)", r"t\(\d+;\d+\)"), "num_deletions": (r"del\(", r"del\([^)]*\)"), "num_inversions": (r"inv\(", r"inv\([^)]*\)"), "num_duplications": (r"dup\(", r"dup\([^)]*\)"), "num_additions": (r"add\(", r"add\([^)]*\)"), "num_monosomies": (r"-\d+", r"(?<![a-zA-Z(])-\d+"), "num_trisomies": (r"\+\d+", r"\+\d+")}
 
@@ -16,7 +17,15 @@ def karyotype_summary(df: DataFrame, text: str = "CYTOGENETICS", version: int =
     Version 1 counts terms once per part and clone, takes the first sex found and the plain mean. From version 2 on clones weigh by their
     cells (1 without a count), sex goes to the heavier side, and `complex_flag` says whether the text does; version 2 counts every occurrence
     in a part. Versions 3 and 4 add `mosaicism_index`, the entropy of the clones' shares over its largest possible value.
+
+    Texts repeat, so each distinct one is summed up once and joined back, as karyotype.cytogenetics does.
     """
+    found = settle(_summed_up(df.select(text).distinct(), text, version)).withColumnRenamed(text, "_text")
+    new = [c for c in found.columns if c != "_text"]
+    return df.join(found, df[text].eqNullSafe(found["_text"]), "left").select(*[F.col(c) for c in df.columns if c not in new], *new)
+
+
+def _summed_up(df: DataFrame, text: str, version: int) -> DataFrame:
     weighted, every = version >= 2, version == 2
     t = F.when(F.trim(F.col(text)) != "", F.lower(F.col(text))) if weighted else F.lower(F.col(text))
     default = 1 if weighted else 0
