@@ -241,3 +241,17 @@ def test_karyotype_summaries_read_each_text_once(spark, monkeypatch):
         got = legacy.karyotype_summary(rows, version=version).collect()
         assert seen[-1].count() == 4 and sorted(r["ID"] for r in got) == list(range(40))
         assert all(r["num_monosomies"] == (0 if r["ID"] % 4 != 1 else 12 if version >= 2 else 1) for r in got)
+
+
+def test_zero_variance_aggregates_only_what_the_first_rows_leave_open(spark, monkeypatch):
+    rows = spark.range(6000).select(
+        F.when(F.col("id") % 2 == 0, "train").otherwise("test").alias("split"), F.col("id").alias("varies"), F.lit(1).alias("flat"), (F.col("id") >= 5998).cast("int").alias("late"),
+        F.lit(None).cast("double").alias("empty"), F.when(F.col("id") != 4001, 1).alias("gap"), F.when(F.col("id") % 2 == 0, F.col("id").cast("string")).otherwise("x").alias("one_side"), F.lit(float("nan")).alias("nan"),
+    )
+    names = [c for c in rows.columns if c != "split"]
+    monkeypatch.setattr(fitted, "FIRST_ROWS", 50)
+    asked, keep = [], fitted._flat
+    monkeypatch.setattr(fitted, "_flat", lambda df, columns, many: asked.append(columns) or keep(df, columns, many))
+    assert fitted.zero_variance(rows, names, "split") == ["flat", "empty", "gap", "one_side", "nan"]
+    assert fitted.zero_variance(rows, names, "split", ("flat", "nan")) == ["empty", "gap", "one_side"]
+    assert all("varies" not in c for c in asked[1::2])

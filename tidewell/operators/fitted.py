@@ -160,11 +160,34 @@ def preprocessed_by(df: DataFrame, cohort: str, kinds: dict[str, list[str]]) ->
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else df, models
 
 
+#: Rows of a split that are looked at first, and columns of one aggregation.
+FIRST_ROWS, COLUMNS = 4096, 16
+
+
 def zero_variance(df: DataFrame, columns: list[str], split: str, protected: tuple[str, ...] = ()) -> list[str]:
-    """Columns with one distinct value at most (NULL counting as one) in any of the splits: one aggregation over all columns."""
-    varies = [(F.coalesce(F.min(c) < F.max(c), F.lit(False)) | (F.bool_or(F.col(c).isNull()) & F.bool_or(F.col(c).isNotNull()))).alias(c) for c in columns]
-    rows = df.groupBy(split).agg(*varies).collect()  # one row for each split
-    return [c for c in columns if c not in protected and any(not r[c] for r in rows)]
+    """Columns with one distinct value at most (NULL counting as one) in any of the splits.
+
+    A column that varies within some rows varies within all, so the first rows of each split settle most columns; the others are aggregated over all
+    rows, few at a time."""
+    open_ = [c for c in columns if c not in protected]
+    splits = [r[0] for r in df.select(split).distinct().collect()]  # one row for each split
+    flat: set[str] = set()
+    for s in splits:
+        own = df.filter(F.col(split).eqNullSafe(F.lit(s)))
+        left = _flat(own.select(*open_).limit(FIRST_ROWS), open_, len(open_))
+        flat |= set(_flat(own, left, COLUMNS))
+    return [c for c in open_ if c in flat]
+
+
+def _flat(df: DataFrame, columns: list[str], many: int) -> list[str]:
+    """Columns of a table that have one distinct value at most, so many looked at together."""
+    varies = lambda c: F.coalesce(F.min(c) < F.max(c), F.lit(False)) | (F.bool_or(F.col(c).isNull()) & F.bool_or(F.col(c).isNotNull()))
+    out = []
+    for i in range(0, len(columns), max(many, 1)):
+        some = columns[i : i + many]
+        row = df.agg(*[varies(c).alias(c) for c in some]).first()
+        out += [c for c in some if not row[c]]
+    return out
 
 
 def correlations(df: DataFrame, columns: list[str]) -> tuple[list[str], list[list[float]]]:
