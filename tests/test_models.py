@@ -140,6 +140,19 @@ def test_forest_is_the_same_however_it_is_cut(spark, monkeypatch):
     assert max(len(tree.feature) for tree in grown[40].trees) > 7 and grown[40].transform(df).filter("risk IS NULL").count() == 0
 
 
+def test_tree_tables_hold_blocks_and_nodes_grow_together(spark, monkeypatch):
+    x, t, e = survival_rows(300)
+    df = table(spark, x, t, e).repartition(2)
+    assert trees.binned(df, NAMES, np.unique(t), key="ID").rows.count() <= 2  # 300 rows before
+    one = models.fit("forest", df, NAMES, "ID", trees=3, depth=6)
+    boosted = models.fit("boosting", df, NAMES, "ID", rounds=22)
+    monkeypatch.setattr(trees, "BLOCK", 16)
+    monkeypatch.setattr(trees, "AT_ONCE", 1)
+    for p, q in zip(one.trees, models.fit("forest", df, NAMES, "ID", trees=3, depth=6).trees, strict=True):
+        assert np.array_equal(p.feature, q.feature) and np.array_equal(p.bin, q.bin) and np.array_equal(p.value, q.value)
+    assert np.allclose(boosted.score(x), models.fit("boosting", df, NAMES, "ID", rounds=22).score(x))
+
+
 def test_forest_and_boosting_rank_held_out_rows_as_well_as_cox(spark):
     x, t, e = survival_rows(900, seed=2)
     df = table(spark, x, t, e)
