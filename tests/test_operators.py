@@ -255,3 +255,18 @@ def test_zero_variance_aggregates_only_what_the_first_rows_leave_open(spark, mon
     assert fitted.zero_variance(rows, names, "split") == ["flat", "empty", "gap", "one_side", "nan"]
     assert fitted.zero_variance(rows, names, "split", ("flat", "nan")) == ["empty", "gap", "one_side"]
     assert all("varies" not in c for c in asked[1::2])
+
+
+def test_concordance_by_group_spreads_slices_and_not_rows(spark, monkeypatch):
+    """Scores of which some are alone and one has many rows; what is spread over bit levels is sums by slice."""
+    monkeypatch.setattr(ordered, "RANGES", 4)
+    rows = [(g, float(1 + (i * 31) % 9), int(i % 3 != 0), float(i * 37 % 401) if i % 4 else 100.0) for g in "ab" for i in range(400 if g == "a" else 90)]
+    df, seen, keep = spark.createDataFrame(rows, "g string, OS_YEARS double, OS_STATUS int, s double"), [], survival._strictly_below
+    monkeypatch.setattr(survival, "_strictly_below", lambda cells, node: seen.append(cells) or keep(cells, node))
+    got = {r.g: r for r in survival.concordance(df, "s", train=df, by=("g",)).collect()}
+    w = {r.OS_YEARS: r.weight for r in survival.censoring_weights(df, df, None).collect()}
+    for g in "ab":
+        own = [r[1:] for r in rows if r[0] == g]
+        pairs = [(w[ti], (si > sj) + (si == sj) / 2) for ti, ei, si in own if ei for tj, ej, sj in own if tj > ti or (tj == ti and not ej)]
+        assert math.isclose(got[g].c_index, sum(a * b for a, b in pairs) / sum(a for a, _ in pairs), rel_tol=1e-9) and got[g].comparable == len(pairs)
+    assert sum(c.count() for c in seen) < len(rows) * 2

@@ -35,9 +35,12 @@ class LinearRisk:
     beta: list[float]
     center: list[float] = field(default_factory=list)
 
-    def transform(self, df: DataFrame, out: str = "risk") -> DataFrame:
+    def score(self) -> Column:
         shift = sum(b * m for b, m in zip(self.beta, self.center or [0.0] * len(self.beta), strict=True))
-        return df.withColumn(out, _linear(self.features, np.array(self.beta)) - F.lit(float(shift)))
+        return _linear(self.features, np.array(self.beta)) - F.lit(float(shift))
+
+    def transform(self, df: DataFrame, out: str = "risk") -> DataFrame:
+        return df.withColumn(out, self.score())
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__)
@@ -117,9 +120,16 @@ def cox_residuals(df: DataFrame, score: str = "risk") -> DataFrame:
     return df.join(hazard, df[TIME] == hazard["_t"]).withColumn("residual", F.col(EVENT) - w * F.col("_hz")).drop("_t", "_hz")
 
 
-def _scored(rows: DataFrame, models: list, folds: list[int], name: str, key: str) -> DataFrame:
-    """(key, fold, model, pred) of each fold's rows by the model that left it out."""
-    parts = [m.transform(rows.filter(F.col("fold") == f), "pred").select(key, "fold", F.lit(name).alias("model"), F.col("pred").cast("double").alias("pred")) for f, m in zip(folds, models, strict=True)]
+def _scored(rows: DataFrame, found: dict[str, list], folds: list[int], keep: list[str]) -> DataFrame:
+    """(`keep`, fold, model, pred) of each fold's rows by the models that left it out; all linear models score in one scan of the rows."""
+    linear = {name: ms for name, ms in found.items() if all(isinstance(m, LinearRisk) for m in ms)}
+    parts = []
+    if linear:
+        pred = {name: reduce(lambda c, fm: c.when(F.col("fold") == fm[0], fm[1].score()), zip(folds, ms, strict=True), F) for name, ms in linear.items()}
+        each = F.explode(F.array(*[F.struct(F.lit(name).alias("model"), p.cast("double").alias("pred")) for name, p in pred.items()])).alias("_m")
+        parts.append(rows.filter(F.col("fold").isin(folds)).select(*keep, "fold", each).select(*keep, "fold", "_m.*"))
+    for name in found.keys() - linear.keys():
+        parts += [m.transform(rows.filter(F.col("fold") == f), "pred").select(*keep, "fold", F.lit(name).alias("model"), F.col("pred").cast("double").alias("pred")) for f, m in zip(folds, found[name], strict=True)]
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -132,15 +142,15 @@ def out_of_fold(df: DataFrame, features: list[str], models: dict[str, dict], fol
         same = {name: {k: v for k, v in p.items() if k != "kind"} for name, p in models.items() if p.get("kind", name) == kind}
         try:
             found = FITTERS[kind](rows, features, every, F.col("fold"), key, list(same.values()))
-            parts += [_scored(rows, m, every, name, key) for name, m in zip(same, found, strict=True)]
+            parts.append(_scored(rows, dict(zip(same, found, strict=True)), every, [key]))
         except (ArithmeticError, np.linalg.LinAlgError):
             parts += [rows.select(key, "fold", F.lit(name).alias("model"), F.lit(None).cast("double").alias("pred")) for name in same]
     return settle(reduce(DataFrame.unionByName, parts))
 
 
 def fold_scores(oof: DataFrame, target: DataFrame, tau: float | None = 7.0, key: str = "ID") -> DataFrame:
-    """(model, fold, score) by censoring-weighted concordance."""
-    return concordance(oof.join(target, key), "pred", train=target, tau=tau, by=("model", "fold")).select("model", "fold", F.col("c_index").alias("score"))
+    """(model, fold, score) by censoring-weighted concordance; the target is joined to predictions that come without it."""
+    return concordance(oof if {TIME, EVENT} <= set(oof.columns) else oof.join(target, key), "pred", train=target, tau=tau, by=("model", "fold")).select("model", "fold", F.col("c_index").alias("score"))
 
 
 def fit_stacking(oof: DataFrame, target: DataFrame, models: list[str], key: str = "ID", alpha: float = 0.1) -> LinearRisk:
@@ -168,7 +178,7 @@ def run_trials(df: DataFrame, features: list[str], kind: str, space: dict[str, l
     while open_ and left:
         now, left = (left[:1], left[1:]) if halving and len(open_) > 1 else (left, [])
         found = FITTERS[kind](rows, features, now, F.col("fold"), key, [json.loads(p) for _, p in open_])
-        oof = settle(reduce(DataFrame.unionByName, [_scored(rows, m, now, trial, key) for (trial, _), m in zip(open_, found, strict=True)]))
+        oof = _scored(rows, {trial: m for (trial, _), m in zip(open_, found, strict=True)}, now, [TIME, EVENT])
         score = settle(fold_scores(oof, target, tau, key).withColumnRenamed("model", "trial").join(F.broadcast(names), "trial").select("trial", "params", "fold", "score"))
         done.append(score)
         if left:

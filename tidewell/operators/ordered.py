@@ -32,20 +32,22 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def range_of(df: DataFrame, order: str, descending: bool = False) -> Column:
-    """Number of the range that a value of the order column lies in, ascending along the order, found by binary search among the bounds."""
+def range_of(df: DataFrame, order: str, descending: bool = False, apart: bool = False) -> Column:
+    """Number of the range that a value of the order column lies in, ascending along the order, found by binary search among the bounds. With
+    `apart`, ranges have even numbers, and the rows of a value that is itself a bound have the odd number that follows."""
     n, bounds = df.agg(F.count(order), F.percentile_approx(order, [i / MOST_RANGES for i in range(1, MOST_RANGES)], 10_000)).first()
     wanted = max(RANGES, min(MOST_RANGES, n // ROWS))
     bounds = sorted(set((bounds or [])[MOST_RANGES // wanted - 1 :: MOST_RANGES // wanted]))
     kind = df.schema[order].dataType.simpleString()
     if not bounds:
-        return F.lit(0)
+        return F.lit(0)  # no values at all
     if kind in ("double", "float", "bigint", "int", "smallint", "tinyint"):
         table = F.from_json(F.lit(json.dumps(bounds)), f"array<{kind}>")  # a constant
     else:
         table = F.array(*[F.lit(b) for b in bounds])
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(bounds).bit_length()))])
     at = F.aggregate(steps, F.lit(0), lambda k, s: F.when(F.get(table, k + s - 1) < F.col(order), k + s).otherwise(k))  # bounds below the value
+    at = 2 * at + F.when(F.get(table, at) == F.col(order), 1).otherwise(0) if apart else at
     return -at if descending else at
 
 

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators.ordered import average_ranks, last_known, prefix_sums, range_of, settle
 
+#: Distinct times that are broadcast at most.
+SMALL = 100_000
+
 
 def kaplan_meier(df: DataFrame, time: str = "OS_YEARS", event: str = "OS_STATUS", censoring: bool = False, by: tuple[str, ...] = ()) -> DataFrame:
     """By distinct time: at_risk, events, censored and the product-limit estimate up to and including it. With `censoring`, the estimate is of
@@ -39,49 +45,67 @@ def concordance(df: DataFrame, score: str, train: DataFrame | None = None, tau:
     """Concordance weighted by the inverse probability of censoring, by group: c_index, concordant and tied (weighted), comparable (pairs).
 
     Pairs (i, j): i has an event before tau, and j's time is later, or equal without an event. The higher score of i is concordant, an equal
-    one counts half. Pairs are never formed. Times are numbered; at each bit level, rows that share all higher bits meet in one group, those
-    with bit 0 being earlier than those with bit 1, and any two different times meet in exactly one group. There, running counts along the
-    score say how many later rows have a lower or an equal score. That is rows x bits work and one sort.
+    one counts half. Pairs are never formed. Times and events make one number, larger for every j that i may be paired with. Scores are cut into
+    slices: rows of different slices meet as sums by slice and number, rows of one slice in one task. A score that has many rows is a slice of its
+    own, and its rows are all ties.
     """
     rows = df.select(*by, F.col(time).alias("_t"), F.coalesce(F.col(event), F.lit(0)).alias("_e"), F.round(F.col(score), 8).alias("_s")).filter("_t IS NOT NULL AND _s IS NOT NULL")
-    times = prefix_sums(rows.select("_t").distinct(), "_t", {"_one": F.lit(1)}).select("_t", F.col("_one_before").cast("long").alias("_k"))
-    weights = censoring_weights(df, train if train is not None else df, tau, time, event).select(F.col(time).alias("_t"), "weight")
-    rows = settle(rows.join(times, "_t").join(weights, "_t", "left").withColumn("_w", F.when(F.col("_e") == 1, F.col("weight"))))
-    rows = rows.withColumn("_slice", range_of(rows, "_s"))  # so that no task sorts a whole group
-    bits = max(1, (rows.agg(F.max("_k")).first()[0] or 0).bit_length())
-    # collapse to distinct (time, score, event) before spreading over levels
-    cells = rows.groupBy(*by, "_k", "_s", "_slice", "_e", "_w").agg(F.count(F.lit(1)).alias("_n"))
-    spread = cells.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-    spread = spread.withColumns({"_high": F.expr("shiftright(_k, _level + 1)"), "_bit": F.expr("shiftright(_k, _level) & 1")})
+    cells = settle(rows.groupBy(*by, "_t", "_e", "_s").agg(F.count(F.lit(1)).alias("_n")))  # distinct (time, event, score)
+    times = prefix_sums(cells.select("_t").distinct(), "_t", {"_one": F.lit(1)}).select("_t", F.col("_one_before").cast("long").alias("_k"))
+    weights = censoring_weights(cells.select(F.col("_t").alias(time), F.col("_e").alias(event)), train if train is not None else df, tau, time, event)
+    times = settle(times.join(weights.select(F.col(time).alias("_t"), "weight"), "_t", "left"))
+    last = times.agg(F.max("_k")).first()[0] or 0
+    cells = cells.join(F.broadcast(times) if last < SMALL else times, "_t")
+    weight = F.when(F.col("_e") == 1, F.col("weight"))
+    cells = cells.select(*by, (2 * F.col("_k") + (F.col("_e") == 0).cast("long")).alias("_k"), "_s", range_of(cells, "_s", apart=True).alias("_slice"), "_n", (weight * F.col("_n")).alias("_w"), F.when(weight.isNotNull(), F.col("_n")).alias("_firsts"))
+    sums = [F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("_n", "_w", "_firsts")]
+    # all pairs
+    slices = settle(cells.groupBy(*by, "_slice", "_k").agg(*sums))
+    after = prefix_sums(slices, "_k", {c: F.col(c) for c in ("_n", "_w", "_firsts")}, by, descending=True)
+    total = after.groupBy(*by).agg(F.sum(F.col("_w") * F.col("_n_before")).alias("n"), F.sum(F.col("_firsts") * F.col("_n_before")).alias("pairs"))
+    # rows of different slices: at each bit level, numbers that share all higher bits meet in one group, and any two numbers meet in exactly one
     node = [*by, "_level", "_high"]
-    per_score = spread.groupBy(*node, "_s", "_slice").agg(
-        F.sum(F.when(F.col("_bit") == 1, F.col("_n")).otherwise(0)).alias("_later"),
-        F.sum(F.when((F.col("_bit") == 0) & F.col("_w").isNotNull(), F.col("_w") * F.col("_n")).otherwise(0.0)).alias("_weight"),
-        F.sum(F.when((F.col("_bit") == 0) & F.col("_w").isNotNull(), F.col("_n")).otherwise(0)).alias("_firsts"),
-    )
-    lower = _strictly_below(per_score, node)
-    pairs = lower.groupBy(*by).agg(
-        F.sum(F.col("_weight") * F.col("_below")).alias("c"), F.sum(F.col("_weight") * F.col("_later")).alias("e"), F.sum(F.col("_weight") * F.col("_all")).alias("n"), F.sum(F.col("_firsts") * F.col("_all")).alias("pairs")
-    )
-    # equal times: an event and a censored row
-    same = cells.groupBy(*by, "_k", "_s", "_slice").agg(
-        F.sum(F.when(F.col("_e") == 0, F.col("_n")).otherwise(0)).alias("_later"), F.sum(F.coalesce(F.col("_w") * F.col("_n"), F.lit(0.0))).alias("_weight"), F.sum(F.when(F.col("_w").isNotNull(), F.col("_n")).otherwise(0)).alias("_firsts")
-    )
-    ties = _strictly_below(same, [*by, "_k"]).groupBy(*by).agg(
-        F.sum(F.col("_weight") * F.col("_below")).alias("c"), F.sum(F.col("_weight") * F.col("_later")).alias("e"), F.sum(F.col("_weight") * F.col("_all")).alias("n"), F.sum(F.col("_firsts") * F.col("_all")).alias("pairs")
-    )
-    total = pairs.unionByName(ties).groupBy(*by).agg(F.sum("c").alias("c"), F.sum("e").alias("e"), F.sum("n").alias("n"), F.sum("pairs").alias("pairs"))
+    spread = slices.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit((2 * last + 1).bit_length() - 1))))
+    second = F.expr("shiftright(_k, _level) & 1") == 1
+    per_slice = spread.groupBy(*node[:-1], F.expr("shiftright(_k, _level + 1)").alias("_high"), "_slice").agg(F.sum(F.when(second, F.col("_n")).otherwise(0)).alias("_later"), F.sum(F.when(second, 0.0).otherwise(F.col("_w"))).alias("_weight"))
+    parts = [_strictly_below(per_slice, node).groupBy(*by).agg(F.sum(F.col("_weight") * F.col("_below")).alias("c"), F.lit(0.0).alias("e"))]
+    # rows of one slice
+    own = Window.partitionBy(*by, "_s").orderBy(F.desc("_k")).rowsBetween(Window.unboundedPreceding, -1)
+    parts.append(cells.filter("_slice % 2 = 1").withColumn("_later", F.sum("_n").over(own)).groupBy(*by).agg(F.lit(0.0).alias("c"), F.coalesce(F.sum(F.col("_w") * F.col("_later")), F.lit(0.0)).alias("e")))
+    kinds = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in cells.select(*by).schema.fields) + "c double, e double"
+    parts.append(cells.filter("_slice % 2 = 0").select(*by, "_slice", "_k", "_s", "_n", "_w").groupBy("_slice").applyInPandas(lambda pdf: _within(pdf, list(by)), kinds))
+    found = reduce(DataFrame.unionByName, parts).groupBy(*[F.col(b).alias(f"_by{i}") for i, b in enumerate(by)]).agg(F.sum("c").alias("c"), F.sum("e").alias("e"))
+    total = total.join(found, reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_by{i}")) for i, b in enumerate(by)])) if by else total.crossJoin(F.broadcast(found))  # one row
     return total.select(*by, F.try_divide(F.col("c") + F.col("e") / 2, F.col("n")).alias("c_index"), F.col("c").alias("concordant"), F.col("e").alias("tied"), F.col("pairs").cast("long").alias("comparable"))
 
 
+def _within(cells: pd.DataFrame, by: list[str]) -> pd.DataFrame:
+    """By group: c, the weighted pairs of these cells whose second has a larger number and a strictly lower score; e, those with an equal score."""
+    group = cells.groupby(by, sort=False, dropna=False).ngroup().to_numpy("int64") if by else np.zeros(len(cells), "int64")
+    order = np.lexsort((cells["_s"].to_numpy(float), group))
+    g, s, k, n = (a[order] for a in (group, cells["_s"].to_numpy(float), cells["_k"].to_numpy("int64"), cells["_n"].to_numpy(float)))
+    w, m = np.nan_to_num(cells["_w"].to_numpy(float, na_value=np.nan))[order], int(group.max()) + 1
+    run = np.cumsum(np.append(True, (g[1:] != g[:-1]) | (s[1:] != s[:-1])))
+    c, e, bits = np.zeros(m), np.zeros(m), int(k.max()).bit_length()
+    for level in range(bits):
+        node = (g << bits) + (k >> (level + 1))
+        o = np.argsort(node, kind="stable")
+        second = (k[o] >> level) & 1 == 1
+        later, weight, node, r = np.where(second, n[o], 0), np.where(second, 0, w[o]), node[o], run[o]
+        before, new = np.cumsum(later) - later, np.append(True, node[1:] != node[:-1])
+        step = new | np.append(True, r[1:] != r[:-1])
+        at = lambda starts, before=before: before[np.maximum.accumulate(np.where(starts, np.arange(len(starts)), 0))]
+        c += np.bincount(g[o], weight * (at(step) - at(new)), m)
+        equal = np.cumsum(step) - 1
+        e += np.bincount(g[o], weight * np.bincount(equal, later)[equal], m)
+    first = np.unique(group, return_index=True)[1]
+    return cells[by].iloc[first].reset_index(drop=True).assign(c=c, e=e)
+
+
 def _strictly_below(cells: DataFrame, node: list[str]) -> DataFrame:
-    """_below: later rows of the node with a strictly lower score; _all: all of its later rows. Nodes are cut into slices of the score, as many
-    as the rows ask for."""
-    totals = cells.groupBy(*node, "_slice").agg(F.sum("_later").alias("_sum"))
-    w = Window.partitionBy(*node)
-    totals = totals.select(*node, "_slice", F.coalesce(F.sum("_sum").over(w.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"), F.sum("_sum").over(w).alias("_all"))
-    inside = Window.partitionBy(*node, "_slice").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    return cells.withColumn("_in", F.coalesce(F.sum("_later").over(inside), F.lit(0))).join(totals, [*node, "_slice"]).withColumn("_below", F.col("_in") + F.col("_base"))
+    """_below: later rows of the node in strictly lower slices."""
+    w = Window.partitionBy(*node).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("_below", F.coalesce(F.sum("_later").over(w), F.lit(0)))
 
 
 def k_folds(df: DataFrame, k: int = 5, seed: int = 42, key: str = "ID", order: Column | None = None) -> DataFrame:
