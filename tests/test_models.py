@@ -294,3 +294,16 @@ def test_neighbours_of_an_empty_table_and_of_one_without_gaps(spark):
     df = spark.createDataFrame([("a", 1.0, 2.0), ("b", 3.0, 4.0)], "ID string, a double, b double")
     assert neighbours.knn_impute(df.filter("false"), ["a", "b"]).count() == 0
     assert sorted(map(tuple, neighbours.knn_impute(df, ["a", "b"]).collect())) == [("a", 1.0, 2.0), ("b", 3.0, 4.0)]
+
+
+def test_gaps_of_one_kind_have_donors_of_their_own(spark):
+    """Values of the missing column, spread widest, would cut all blocks, and ties of the others fill them: every gap had to search them all."""
+    n = 900
+    x = np.array([[i * 37 % 901 * 10.0, i % 3, i % 5] for i in range(n)])
+    x[::6, 0] = np.nan
+    df = settle(spark.createDataFrame(pd.DataFrame(x, columns=list("abc")).assign(ID=[f"{i:05d}" for i in range(n)])).replace(float("nan"), None))
+    got = neighbours.knn_impute(df, list("abc"), 4, blocks=30).orderBy("ID").toPandas()[list("abc")].to_numpy(float)
+    np.testing.assert_allclose(got, nearest_by_hand(x, 4), rtol=1e-9)
+    search = neighbours.Search(df, list("abc"), 4, "ID", 30)
+    search.run()
+    assert search.share() < 0.1
