@@ -96,3 +96,14 @@ def test_census_and_gene_list(spark, tmp_path):
     assert sorted((r.GENE, r.TIER, r.BAND) for r in got.filter("GENE <> 'broken'").collect()) == [("KIT", None, None), ("TP53", 1.0, "17p")]
     (tmp_path / "list.tsv").write_text("Hugo\tx\tIs Oncogene\nKIT\t1\tYes\n")
     assert [tuple(r) for r in readers.gene_list(spark, str(tmp_path / "list.tsv"), ["Hugo", "x", "Is Oncogene"], {"Hugo": "GENE", "Is Oncogene": "onc"}).collect()] == [("KIT", "Yes")]
+
+
+def test_annotation_lines_are_parsed_once(spark):
+    found = readers.annotations(spark.createDataFrame([('{"v1":{"a":1}}',), ('{"v1":1,"v2":2}',), ("{}",), ("broken",), (" ",)], "value string"))
+    assert [r.vid for r in found.collect()] == ["v1"]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+
+
+def test_a_list_of_effects_may_stand_for_many_rows(spark):
+    found = spark.createDataFrame([(3, [("ITD",), ("PTD",)]), (2, [("ITD",), (None,)])], "times long, ann array<struct<effect:string>>")
+    assert sorted(map(tuple, genes.distinct_effects(found, times="times").collect())) == [("ITD", 5), ("PTD", 3)]

@@ -93,14 +93,21 @@ def annotation_list(payload: Column) -> Column:
     return F.coalesce(many, F.when(one.isNotNull(), F.array(one)))
 
 
+def cleaned_annotation(a: Column) -> Column:
+    """Effect and protein notation of one entry standardised."""
+    return F.struct(a["gene_name"].alias("gene_name"), short_protein(a["hgvs_p"]).alias("hgvs_p"), standard_effect(a["effect"]).alias("effect"), a["putative_impact"].alias("putative_impact"))
+
+
 def cleaned_annotations(ann: Column) -> Column:
     """Effects and protein notations of all entries standardised."""
-    return F.transform(ann, lambda a: F.struct(a["gene_name"].alias("gene_name"), short_protein(a["hgvs_p"]).alias("hgvs_p"), standard_effect(a["effect"]).alias("effect"), a["putative_impact"].alias("putative_impact")))
+    return F.transform(ann, cleaned_annotation)
 
 
-def distinct_effects(found: DataFrame, ann: str = "ann") -> DataFrame:
-    """(effect, n): the distinct effects inside lists of annotations, with the number of entries that have each."""
-    return found.select(F.explode(ann).alias("a")).select(F.col("a.effect").alias("effect")).filter("effect IS NOT NULL").groupBy("effect").agg(F.count(F.lit(1)).alias("n"))
+def distinct_effects(found: DataFrame, ann: str = "ann", times: str | None = None) -> DataFrame:
+    """(effect, n): the distinct effects inside lists of annotations, with the number of entries that have each. `times`: how many rows a list
+    stands for."""
+    rows = found.select(F.col(times) if times else F.lit(1).alias("times"), F.explode(ann).alias("a"))
+    return rows.select(rows.columns[0], F.col("a.effect").alias("effect")).filter("effect IS NOT NULL").groupBy("effect").agg(F.sum(rows.columns[0]).alias("n"))
 
 
 def best_annotation(ann: Column) -> Column:
@@ -111,9 +118,12 @@ def best_annotation(ann: Column) -> Column:
     return F.get(F.filter(ann, lambda a: score(a) == highest), F.lit(0))
 
 
-def fill_from_annotations(rows: DataFrame, found: DataFrame, vid: Column) -> DataFrame:
-    """Missing gene, protein change and effect from the best annotation; impact always from it; missing VAF and DEPTH from its call."""
+def fill_from_annotations(rows: DataFrame, found: DataFrame, vid: Column, raw: bool = False) -> DataFrame:
+    """Missing gene, protein change and effect from the best annotation; impact always from it; missing VAF and DEPTH from its call. With `raw`,
+    the annotations are as they came, and the best one is standardised: cleaning changes no impact, so it needn't be done to the others."""
     notes = found.select(F.col("vid").alias("_vid"), best_annotation(F.col("ann")).alias("_a"), F.col("freq").alias("_f"), F.col("dp").alias("_d"))
+    if raw:
+        notes = notes.withColumn("_a", F.when(F.col("_a").isNotNull(), cleaned_annotation(F.col("_a"))))
     out = rows.withColumn("_key", vid).join(notes, F.col("_key") == F.col("_vid"), "left")
     return out.select(
         *[c for c in rows.columns if c not in ("GENE", "PROTEIN_CHANGE", "EFFECT", "IMPACT", "VAF", "DEPTH")],

@@ -57,8 +57,9 @@ def vcf(spark: SparkSession, path: str) -> DataFrame:
 
 def annotations(lines: DataFrame, column: str = "value") -> DataFrame:
     """(vid, payload) of JSON lines that are objects with exactly one key; blank and broken lines are left out."""
-    parsed = lines.select(F.from_json(column, "map<string,variant>").alias("m")).filter("m IS NOT NULL AND size(m) = 1")
-    return parsed.select(F.explode("m").alias("vid", "payload"))
+    parsed = lines.select(F.from_json(column, "map<string,variant>").alias("m"))
+    # an outer explode, since Spark would parse once more for each condition on the map that it can move below
+    return parsed.select(F.explode_outer(F.when(F.size("m") == 1, F.col("m"))).alias("vid", "payload")).filter("vid IS NOT NULL")
 
 
 def score_cache(lines: DataFrame, column: str = "value") -> DataFrame:
