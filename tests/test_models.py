@@ -53,6 +53,21 @@ def test_every_penalty_meets_its_optimality_conditions(spark):
         assert off.max() / len(x) < 1e-6
 
 
+def test_linear_boosting_takes_one_pass_a_round_over_blocks_of_rows(spark, monkeypatch):
+    x, t, e = survival_rows(300, 4, 3)
+    df = table(spark, x, t, e).withColumn("fold", F.col("ID").cast("int") % 3)
+    tab = risk.risk_table(df, NAMES, F.col("fold"), "ID")
+    assert tab.rows.count() <= 8  # 300 rows before
+    passes, add = [], risk.added_up
+    monkeypatch.setattr(risk, "added_up", lambda *a: passes.append(1) or add(*a))
+    fits = [risk.Fit(-1), risk.Fit(0), risk.Fit(2)]
+    once = risk.boosted_lines(tab, fits, 10, 0.1, 0.7)
+    assert len(passes) == 12  # 22 before
+    monkeypatch.setattr(risk, "FEW", 0)
+    for a, b in zip(once, risk.boosted_lines(tab, fits, 10, 0.1, 0.7), strict=True):
+        assert (b.beta != 0).any() and np.allclose(a.beta, b.beta, rtol=0, atol=1e-12)
+
+
 def test_folds_together_equal_folds_apart(spark):
     x, t, e = survival_rows(200)
     df = table(spark, x, t, e).withColumn("fold", (F.col("ID").cast("int") % 3))
