@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import nulls
 from tidewell.operators import clean, clinical, drift, fitted, genes, joins, karyotype, legacy, mutations, ordered, survival
+from tidewell.plans import catalog
 
 
 def test_missing_values_become_null(spark):
@@ -270,3 +271,11 @@ def test_concordance_by_group_spreads_slices_and_not_rows(spark, monkeypatch):
         pairs = [(w[ti], (si > sj) + (si == sj) / 2) for ti, ei, si in own if ei for tj, ej, sj in own if tj > ti or (tj == ti and not ej)]
         assert math.isclose(got[g].c_index, sum(a * b for a, b in pairs) / sum(a for a, _ in pairs), rel_tol=1e-9) and got[g].comparable == len(pairs)
     assert sum(c.count() for c in seen) < len(rows) * 2
+
+
+@pytest.mark.parametrize("query", ["gene_flags_by_patient", "mutation_quality_filter"])
+def test_tasks_that_group_by_key_hold_a_share_of_the_rows(spark, monkeypatch, query):
+    monkeypatch.setattr(ordered, "SHARE", 100)
+    out = catalog.queries()[query](spark, "/root/testdata/sf0.001")
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
+    assert out.rdd.getNumPartitions() == -(-lines // 100)  # the session's number of shuffle partitions before

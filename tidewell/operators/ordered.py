@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Ranges that an order is cut into at least and at most (the driver holds their bounds), and rows that one is meant to have.
 RANGES, MOST_RANGES, ROWS = 200, 2000, 1_000_000
+#: Rows that a task groups by key.
+SHARE = 500_000
 
 
 def shared_path(spark: SparkSession, what: str) -> str:
@@ -32,6 +34,11 @@ def settle(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def in_shares(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows dealt by key to tasks of about SHARE rows, so that what a task holds to group them doesn't grow with the table. n: rows of the table."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-n // SHARE)), key)
+
+
 def range_of(df: DataFrame, order: str, descending: bool = False, apart: bool = False) -> Column:
     """Number of the range that a value of the order column lies in, ascending along the order, found by binary search among the bounds. With
     `apart`, ranges have even numbers, and the rows of a value that is itself a bound have the odd number that follows."""
