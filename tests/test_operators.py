@@ -279,3 +279,12 @@ def test_tasks_that_group_by_key_hold_a_share_of_the_rows(spark, monkeypatch, qu
     out = catalog.queries()[query](spark, "/root/testdata/sf0.001")
     lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet").count()
     assert out.rdd.getNumPartitions() == -(-lines // 100)  # the session's number of shuffle partitions before
+
+
+def test_a_median_stands_apart_from_hash_aggregation(spark, capsys):
+    rows = spark.createDataFrame([("a", "TP53", 0.5), ("a", "KIT", 0.1), ("a", "KIT", None), ("b", "KIT", None), (None, "TP53", 0.2)], "ID string, GENE string, VAF double")
+    blocks = mutations.presence(["TP53", "KIT"]), mutations.burden()
+    apart, together = mutations.by_patient(rows, *blocks, apart=mutations.APART), mutations.by_patient(rows, *blocks)
+    assert apart.columns == together.columns and sorted(map(str, apart.collect())) == sorted(map(str, together.collect()))
+    apart.explain()
+    assert " HashAggregate(" in (plan := capsys.readouterr().out) or "- HashAggregate(" in plan  # only ObjectHashAggregate before
