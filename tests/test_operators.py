@@ -288,3 +288,18 @@ def test_a_median_stands_apart_from_hash_aggregation(spark, capsys):
     assert apart.columns == together.columns and sorted(map(str, apart.collect())) == sorted(map(str, together.collect()))
     apart.explain()
     assert " HashAggregate(" in (plan := capsys.readouterr().out) or "- HashAggregate(" in plan  # only ObjectHashAggregate before
+
+
+def test_flags_are_added_up_as_bits_of_few_numbers(spark, capsys):
+    names = [f"G{i}" for i in range(100)]
+    rows = spark.createDataFrame([("a", "G0", "ITD"), ("a", "G99", None), ("a", "G99", "x"), ("b", "G61", "x"), ("b", "G62", "itd"), ("b", None, "x"), (None, "G1", "x"), ("c", "other", None)], "ID string, GENE string, EFFECT string")
+    kinds = mutations.kinds({"itd": {"gene": "G0", "column": "EFFECT", "pattern": "ITD"}, "twice": {"gene": "G99", "least": 2}})
+    out = mutations.by_patient(rows, mutations.presence(names), kinds, mutations.pathways({"p": ["G0", "G1"], "q": ["G62", "G99"], "r": ["G61"]}), {"genes": mutations.distinct_values(F.col("GENE"))}, apart=("genes",))
+    got = {r.ID: r.asDict() for r in out.collect()}
+    assert {k: [g for g in names if r[f"mut_{g}"] == 1] for k, r in got.items()} == {"a": ["G0", "G99"], "b": ["G61", "G62"], None: ["G1"], "c": []}
+    assert all(r[f"mut_{g}"] in (0, 1) for r in got.values() for g in names)
+    some = ("itd", "twice", "p_altered", "p_count", "q_altered", "q_count", "r_altered", "pathway_diversity_score", "genes")
+    assert {k: tuple(r[c] for c in some) for k, r in got.items()} == {"a": (1, 1, 1, 1, 1, 2, 0, 2, 2), "b": (0, 0, 0, 0, 1, 1, 1, 2, 2), None: (0, 0, 1, 1, 0, 0, 0, 1, 1), "c": (0, 0, 0, 0, 0, 0, 0, 0, 1)}
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "max(" not in plan and "distinct" not in plan and "bit_or(" in plan  # a maximum for each flag before

@@ -119,10 +119,15 @@ def cytogenetics(df: DataFrame, text: str = "CYTOGENETICS", key: str = "ID") ->
 
     Texts repeat, so each distinct one is parsed once and joined back (by broadcast if the written table is small, else Spark splits what is
     skewed)."""
+    return with_cytogenetics(df.select(key, text), text).drop(text)
+
+
+def with_cytogenetics(df: DataFrame, text: str = "CYTOGENETICS") -> DataFrame:
+    """The rows with those features of `cytogenetics` that they lack, joined by text alone."""
     parsed = settle(_parsed(df.select(text).filter(F.col(text).isNotNull()).distinct(), text)).withColumnRenamed(text, "_text")
-    rows = df.select(key, text).join(parsed, F.col(text) == F.col("_text"), "left")
-    made = {c: F.col(c) for c in parsed.columns if c != "_text"} | {"cyto_is_missing": F.col(text).isNull().cast("int")}
-    return rows.select(key, *[made[c].alias(c) for c in sorted(made)])
+    rows = df.join(parsed.withColumnsRenamed({c: f"_made_{c}" for c in parsed.columns if c != "_text"}), F.col(text) == F.col("_text"), "left")
+    made = {c: F.col(f"_made_{c}") for c in parsed.columns if c != "_text"} | {"cyto_is_missing": F.col(text).isNull().cast("int")}
+    return rows.select(*df.columns, *[made[c].alias(c) for c in sorted(made) if c not in df.columns])
 
 
 def _parsed(texts: DataFrame, text: str) -> DataFrame:

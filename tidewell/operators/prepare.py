@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from tidewell import config as C
 from tidewell.operators import clean, clinical, fitted, karyotype, mutations
-from tidewell.operators.joins import add_new_columns
 from tidewell.operators.ordered import settle
 
 
@@ -18,7 +17,8 @@ class Annotations:
     """What is known about genes and variants, each table optional.
 
     genes: GENE, 0/1 flags, and `tier` and `arm` where known (genes.gene_dimension and genes.arm make it); significance: vid and CLNSIG
-    (readers.vcf makes it); scores: vid and score (readers.score_cache makes it). One row for each gene or variant.
+    (readers.vcf makes it); scores: vid and score (readers.score_cache makes it). One row for each gene or variant. A table with all three
+    columns can be given as both.
     """
 
     genes: DataFrame | None = None
@@ -26,25 +26,26 @@ class Annotations:
     scores: DataFrame | None = None
     tiers: tuple[int, ...] = (1, 2)
 
-    def blocks(self, rows: DataFrame) -> tuple[DataFrame, list[dict[str, Column]]]:
+    def blocks(self, rows: DataFrame) -> tuple[DataFrame, list[mutations.Block]]:
         """Mutation rows with the annotations joined to them, and the aggregates of those that there are."""
-        blocks: list[dict[str, Column]] = []
+        blocks: list[mutations.Block] = []
         if self.genes is not None:
             new = [c for c in self.genes.columns if c not in rows.columns]
             rows = rows.join(self.genes.select("GENE", *new), "GENE", "left")
             flags = [c for c in new if c not in ("tier", "arm", *mutations.ROLES)]
-            blocks += [mutations.gene_roles(rows.columns), mutations.dimension_flags(flags), mutations.driver_matches(rows.columns), {"cosmic_gene_count": F.count_distinct(F.when(F.greatest(*[F.col(c).isNotNull().cast("int") for c in new], F.lit(0)) > 0, F.col("GENE")))}]
+            blocks += [mutations.gene_roles(rows.columns), mutations.dimension_flags(flags), mutations.driver_matches(rows.columns), {"cosmic_gene_count": mutations.distinct_values(F.when(F.greatest(*[F.col(c).isNotNull().cast("int") for c in new], F.lit(0)) > 0, F.col("GENE")))}]
             if "tier" in new:
                 blocks.append(mutations.tiers("tier", list(self.tiers)))
             if "arm" in new:
                 blocks.append(mutations.arms("arm", list(C.ARMS)))
-        if self.significance is not None or self.scores is not None:
+        wanted = [(t, own, name) for t, own, name in ((self.significance, "CLNSIG", "CLNSIG"), (self.scores, "score", "_score")) if t is not None]
+        if wanted:
             rows = rows.withColumn("_vid", mutations.variant_id())
+        for table in {id(t): t for t, _, _ in wanted}.values():  # one that has both is joined once
+            rows = rows.join(table.select(F.col("vid").alias("_vid"), *[F.col(own).alias(name) for t, own, name in wanted if t is table]), "_vid", "left")
         if self.significance is not None:
-            rows = rows.join(self.significance.select(F.col("vid").alias("_vid"), "CLNSIG"), "_vid", "left")
             blocks.append(mutations.significance("CLNSIG", C.CLINVAR_CATEGORIES))
         if self.scores is not None:
-            rows = rows.join(self.scores.select(F.col("vid").alias("_vid"), F.col("score").alias("_score")), "_vid", "left")
             blocks.append(mutations.pathogenicity("_score", C.CADD_HIGH))
         return rows, blocks
 
@@ -53,16 +54,21 @@ def features(patients: DataFrame, mutation_rows: DataFrame, known: Annotations |
     """Clinical, cytogenetic, molecular, annotation, co-mutation, risk, interaction and arm blocks of cleaned tables; absent mutation features
     are 0. `leave` names blocks to leave out: clinical, cytogenetic, molecular, annotations, comutations, risk, interactions, arms; `extra`
     adds the two interactions that are off by default."""
-    out = patients
-    if "clinical" not in leave:
-        out = clinical.clinical_features(out, C.MEASURES, C.RATIOS, C.THRESHOLDS, C.SCORES, C.SCORE_FLAGS)
-    if "cytogenetic" not in leave:
-        out = add_new_columns(out, karyotype.cytogenetics(patients))
     rows, blocks = known.blocks(mutation_rows) if known and "annotations" not in leave else (mutation_rows, [])
     if "molecular" not in leave:
         blocks = [mutations.presence(C.GENES), mutations.allele_fractions(C.VAF_THRESHOLDS), mutations.kinds(C.MUTATION_TYPES), mutations.pathways(C.PATHWAYS), mutations.burden(), *([mutations.categories("IMPACT", mutations.IMPACTS, "impact_")] if "IMPACT" in rows.columns else []), *blocks]
-    if blocks:
-        out = mutations.with_blocks(out, mutations.by_patient(rows, *blocks))
+    out, made = patients, {}
+    if blocks:  # both sides of the join are narrow: flags are bits, and the patients have no features yet
+        summed, made = mutations.packed(rows, *blocks, apart=mutations.APART)
+        out = out.join(summed, "ID", "left")
+        made = {n: c for n, c in made.items() if n not in patients.columns}
+    held = set(out.columns) - set(patients.columns)
+    if "clinical" not in leave:
+        out = clinical.clinical_features(out, C.MEASURES, C.RATIOS, C.THRESHOLDS, C.SCORES, C.SCORE_FLAGS)
+    if "cytogenetic" not in leave:
+        out = karyotype.with_cytogenetics(out)
+    made = {n: c for n, c in made.items() if n not in out.columns}
+    out = out.select(*[c for c in out.columns if c not in held], *[c.alias(n) for n, c in made.items()]).na.fill(0, subset=list(made))
     if "comutations" not in leave:
         out = mutations.comutations(out, C.COMUTATIONS, C.PATHWAYS)
     if "risk" not in leave:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import clinical, drift, genes, legacy, mutations, prepare, survival
-from tidewell.operators.ordered import shared_path
+from tidewell.operators.ordered import settle, shared_path
 from tidewell.plans.features import _RANGED, _TRUSTED, _VALID, _clinical, _round
 from tidewell.plans.fixtures import oracle, view
 from tidewell.plans.karyotypes import summaries
@@ -38,7 +38,8 @@ def full_features(spark: SparkSession, d: str) -> DataFrame:
     m = view(spark, d, "fx_molecular")
     of_gene = genes.gene_dimension(m.withColumns({"is_oncogene": F.length("GENE") % 2, "is_tumor_suppressor": 1 - F.length("GENE") % 2, "cosmic_has_missense_common": F.lit(1), "tier": F.length("GENE") % 2 + 1, "band": F.lit("17p13.1")}), "GENE", ["is_oncogene", "is_tumor_suppressor", "cosmic_has_missense_common"], "tier", ("band",))
     vid = m.select(mutations.variant_id().alias("vid"), "DEPTH").groupBy("vid").agg(F.max("DEPTH").alias("depth"))
-    known = prepare.Annotations(of_gene.withColumn("arm", genes.arm("band")).drop("band"), vid.select("vid", F.when(F.col("depth") > 25, "Pathogenic").otherwise("Benign").alias("CLNSIG")), vid.select("vid", F.col("depth").alias("score")))
+    said = vid.select("vid", F.when(F.col("depth") > 25, "Pathogenic").otherwise("Benign").alias("CLNSIG"), F.col("depth").alias("score"))
+    known = prepare.Annotations(settle(of_gene.withColumn("arm", genes.arm("band")).drop("band")), said, said)
     impact = F.element_at(F.array(*map(F.lit, mutations.IMPACTS)), (1 + F.col("DEPTH") % 4).cast("int"))
     return prepare.features(_clinical(spark, d).drop("CENTER"), m.withColumn("IMPACT", impact), known, extra=True)
 
