@@ -18,12 +18,14 @@ NUMBER, CATEGORY = "number", "category"
 
 @dataclass(frozen=True)
 class Primitive:
-    """An aggregate: what kind of column it takes (None: rows, no column), what kind it gives, how it is computed, and its value without rows."""
+    """An aggregate: what kind of column it takes (None: rows, no column), what kind it gives, how it is computed (None: only from counts), its value
+    without rows, and how it is computed from the distinct values with their counts `_n`."""
 
     takes: str | None
     gives: str
-    of: Callable[[Column], Column]
+    of: Callable[[Column], Column] | None
     empty: float | None = None
+    counted: Callable[[Column], Column] | None = None
 
 
 #: By name. A mode takes the smallest of the most frequent values.
@@ -35,8 +37,8 @@ PRIMITIVES = {
     "max": Primitive(NUMBER, NUMBER, F.max),
     "std": Primitive(NUMBER, NUMBER, F.stddev_samp),
     "skew": Primitive(NUMBER, NUMBER, lambda c: F.when(F.min(c) < F.max(c), F.skewness(c))),
-    "distinct": Primitive(CATEGORY, NUMBER, F.count_distinct, 0),
-    "mode": Primitive(CATEGORY, CATEGORY, lambda c: F.mode(c, True)),
+    "distinct": Primitive(CATEGORY, NUMBER, F.count_distinct, 0, F.count),
+    "mode": Primitive(CATEGORY, CATEGORY, None, None, lambda c: F.min(F.struct(-F.col("_n"), c.alias("value")))["value"]),
 }
 
 
@@ -121,14 +123,26 @@ class Tables:
         return out.select(*keep, *named)
 
     def _with_children(self, out: DataFrame, r: Relation, features: list[Feature]) -> DataFrame:
-        """All aggregates over one relation: one group-by, one join."""
-        needed = [f.source for f in features if f.source]
+        """All aggregates over one relation: one group-by and one join. Those of a category with a mode have their own, since a mode and a distinct
+        count beside the numbers would take all of them out of hash aggregation."""
+        counted = dict.fromkeys(f.source for f in features if PRIMITIVES[f.primitive].of is None)
+        if plain := [f for f in features if f.source not in counted]:
+            rows = self._children(r, [f.source for f in plain if f.source])
+            out = self._joined(out, r, rows.groupBy("_key").agg(*[PRIMITIVES[f.primitive].of(F.col(f.source.name) if f.source else F.lit(1)).alias(f"_new_{f.name}") for f in plain]))
+        for source in counted:
+            rows = self._children(r, [source]).select("_key", F.col(source.name).alias("_value")).filter("_value IS NOT NULL")
+            counts = rows.groupBy("_key", "_value").agg(F.count(F.lit(1)).alias("_n"))
+            out = self._joined(out, r, counts.groupBy("_key").agg(*[PRIMITIVES[f.primitive].counted(F.col("_value")).alias(f"_new_{f.name}") for f in features if f.source == source]))
+        return out.na.fill({f"_new_{f.name}": PRIMITIVES[f.primitive].empty for f in features if PRIMITIVES[f.primitive].empty is not None})
+
+    def _children(self, r: Relation, needed: list[Feature]) -> DataFrame:
+        """Rows of a relation's child with their parent's key as `_key` and the needed features."""
+        needed = list(dict.fromkeys(needed))
         child = self.compute(needed, [r.child_key] if r.child_key not in {f.name for f in needed} else []) if needed else self.frames[r.child].select(r.child_key)
-        made = child.filter(F.col(r.child_key).isNotNull()).groupBy(F.col(r.child_key).alias("_key")).agg(
-            *[PRIMITIVES[f.primitive].of(F.col(f.source.name) if f.source else F.lit(1)).alias(f"_new_{f.name}") for f in features]
-        )
-        empty = {f"_new_{f.name}": PRIMITIVES[f.primitive].empty for f in features if PRIMITIVES[f.primitive].empty is not None}
-        return out.join(made, F.col(r.parent_key) == F.col("_key"), "left").drop("_key").na.fill(empty)
+        return child.filter(F.col(r.child_key).isNotNull()).select(F.col(r.child_key).alias("_key"), *[f.name for f in needed])
+
+    def _joined(self, out: DataFrame, r: Relation, made: DataFrame) -> DataFrame:
+        return out.join(made, F.col(r.parent_key) == F.col("_key"), "left").drop("_key")
 
     def _with_parent(self, out: DataFrame, r: Relation, features: list[Feature]) -> DataFrame:
         needed = [f.source for f in features]
