@@ -22,9 +22,10 @@ def number(c: Column) -> Column:
 
 
 def blank_as_null(c: Column, *tokens: str) -> Column:
-    """Empty text and the given tokens become NULL."""
-    out = F.when(F.trim(c) != "", c)
-    return F.when(~F.trim(out).isin(*tokens), out) if tokens else out
+    """Empty text and the given tokens become NULL. They are looked for in a constant, as comparisons for many columns make a method that Java won't compile."""
+    if not tokens:
+        return F.when(F.trim(c) != "", c)
+    return F.when(~F.array_contains(F.array(*map(F.lit, ("", *tokens))), F.trim(c)), c)
 
 
 def flag(condition: Column) -> Column:
