@@ -16,7 +16,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidewell.llm import block_names, gumbel_pieces, hash_tree, language, near_copies, packing, prefix_counts, scaled_sketch, simhash, textarrays, token_files, toxicity
+from tidewell.llm import block_names, bottom_k, common, gumbel_pieces, hash_tree, language, near_copies, packing, prefix_counts, scaled_sketch, simhash, textarrays, token_files, toxicity
 from tidewell.llm.common import read
 from tidewell.llm.tokens import Encoder, default_path
 
@@ -427,6 +427,26 @@ def test_components_of_long_chains(spark):
     assert got == {**dict.fromkeys(range(61), 0), **dict.fromkeys((100, 101, 102, 105), 100)}
 
 
+def test_sides_that_grow_with_the_corpus_are_never_broadcast(spark, docs, monkeypatch):
+    plans = []
+
+    def planned(df, what):
+        plans.append((what, df._jdf.queryExecution().executedPlan().toString()))
+        return df
+
+    def recorded(df, what):
+        return common.settle(planned(df, what), what)
+
+    for module in (simhash, near_copies, bottom_k):
+        monkeypatch.setattr(module, "settle", recorded)
+    planned(simhash.near_duplicates(docs), "op7")
+    planned(near_copies.near_copies(docs), "near copies")
+    planned(simhash.links_across(docs.select(F.col("doc_id").alias("print"), F.lit(1).alias("label"))), "across")
+    planned(simhash.links(docs.select(F.col("doc_id").alias("print"))), "links")
+    assert len(plans) > 30
+    assert {what for what, plan in plans if "BroadcastExchange" in plan} <= {"sets"}  # there by keys that were counted
+
+
 def brute_near_copies(texts):
     """Ids that stay: of each component over pairs whose sets of 5-word shingles have a similarity of at least 0.8, the smallest."""
     def shingles(t):

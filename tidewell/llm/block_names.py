@@ -19,7 +19,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import settle, without
+from tidewell.llm.common import settle, shuffled, without
 
 #: Bytes in a block. Two in five documents of the check tables have more than one, the longest sixty.
 BLOCK = 2048
@@ -68,7 +68,7 @@ def block_identities(docs: DataFrame, block: int = BLOCK, place: Callable[[Colum
     names = settle(_ranked(alone, F.col("place"), ["place", "nth"]), "names")
 
     parts = rows.select("row_id", F.size("places").alias("n_blocks"), F.posexplode("places").alias("at", "place"))
-    named = parts.join(names.filter("nth = 0").select("place", "name"), "place").select("row_id", "n_blocks", "at", "name")
+    named = parts.join(shuffled(names.filter("nth = 0").select("place", "name")), "place").select("row_id", "n_blocks", "at", "name")
     if mixed:
         # the few rows concerned are found again by doc_id and digest, since row_id exists only in the settled table
         again = whole.select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), F.posexplode(_blocks(F.col("text"), block)).alias("at", "block")).withColumn("place", place(F.col("block")))

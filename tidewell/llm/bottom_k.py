@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import FEW, bytes_of, settle
+from tidewell.llm.common import FEW, bytes_of, settle, shuffled
 from tidewell.llm.simhash import SEED, classes, components, shingle_hashes
 from tidewell.llm.tokens import forget
 
@@ -93,13 +93,13 @@ def _pairs(entries: DataFrame) -> DataFrame:
     """Pairs (a < b) of prints in a list, once for each list, and the overlap asked of them: shared values of long lists aren't seen, so a pair is
     asked for that many fewer."""
     x, y = (entries.select("value", F.col("print").alias(c), F.col("long").alias(f"long_{c}"), F.col("asked").alias(f"asked_{c}")) for c in "ab")
-    return x.join(y, "value").filter("a < b").select("a", "b", (F.greatest("asked_a", "asked_b") - F.least("long_a", "long_b")).alias("asked"))
+    return x.join(shuffled(y), "value").filter("a < b").select("a", "b", (F.greatest("asked_a", "asked_b") - F.least("long_a", "long_b")).alias("asked"))
 
 
 def _listed(entries: DataFrame) -> DataFrame:
     """value and print of each entry whose list has more than one, with `many`, the list's length."""
     lists = entries.groupBy("value").agg(F.count(F.lit(1)).alias("many")).filter("many > 1")
-    return entries.join(lists, "value")
+    return entries.join(shuffled(lists), "value")
 
 
 def _overlapping(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -107,7 +107,7 @@ def _overlapping(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     met = settle(_listed(entries), "lists")
     crowded = met.filter(F.col("many") > MOST)
     counts = crowded.groupBy("print").agg(F.count(F.lit(1)).alias("long"))
-    short = met.filter(F.col("many") <= MOST).join(counts, "print", "left").na.fill(0, ["long"])
+    short = met.filter(F.col("many") <= MOST).join(shuffled(counts), "print", "left").na.fill(0, ["long"])
     pairs = _pairs(short).groupBy("a", "b").agg(F.count(F.lit(1)).alias("overlap"), F.any_value("asked").alias("asked"))
     return pairs.filter("overlap >= asked").select("a", "b"), crowded
 
@@ -121,7 +121,8 @@ def _enough(shared: Column, union: Column, percent: int) -> Column:
 def estimated(pairs: DataFrame, groups: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose union sketch allows the similarity. Upper halves of hashes keep their order and are enough for that."""
     halves = groups.select("print", F.transform("hashes", lambda h: F.shiftright(h, 32).cast("int")).alias("half"))
-    both = pairs.join(halves.select(F.col("print").alias("a"), F.col("half").alias("x")), "a").join(halves.select(F.col("print").alias("b"), F.col("half").alias("y")), "b")
+    x, y = (shuffled(halves.select(F.col("print").alias(p), F.col("half").alias(h))) for p, h in ("ax", "by"))
+    both = pairs.join(x, "a").join(y, "b")
     both = both.withColumn("union", F.slice(F.sort_array(F.array_union("x", "y")), 1, SKETCH))
     shared = F.size(F.array_intersect(F.array_intersect("x", "y"), "union"))
     return both.filter(_enough(shared, F.size("union"), percent)).select("a", "b")
@@ -133,13 +134,14 @@ def linked(common: Column, a: Column, b: Column, percent: int) -> Column:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs whose full sets are similar enough."""
-    both = pairs.join(sets.select(F.col("print").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("print").alias("b"), F.col("hashes").alias("y")), "b")
+    x, y = (shuffled(sets.select(F.col("print").alias(p), F.col("hashes").alias(h))) for p, h in ("ax", "by"))
+    both = pairs.join(x, "a").join(y, "b")
     return both.filter(linked(F.size(F.array_intersect("x", "y")).cast("long"), F.size("x"), F.size("y"), percent)).select("a", "b")
 
 
 def sets_of(docs: DataFrame, groups: DataFrame, prints: DataFrame, words: int) -> DataFrame:
     """print and hashes of some groups' sets, of which only the representatives' texts are read again."""
-    wanted = settle(groups.join(prints.distinct(), "print", "left_semi").select(F.col("least").alias("_tw_id")).distinct(), "wanted")
+    wanted = settle(groups.join(shuffled(prints.distinct()), "print", "left_semi").select(F.col("least").alias("_tw_id")).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= FEW else wanted.hint("merge")
     found = shingle_sets(docs.join(wanted, docs["doc_id"].eqNullSafe(F.col("_tw_id")), "left_semi"), words, whole=True)
     return settle(found.groupBy("print").agg(F.any_value("hashes").alias("hashes")), "sets")
@@ -148,7 +150,7 @@ def sets_of(docs: DataFrame, groups: DataFrame, prints: DataFrame, words: int) -
 def _rooted(prints: DataFrame, labels: DataFrame, column: str, root: str) -> DataFrame:
     """prints with the component of a column as a further one."""
     known = labels.select(F.col("node").alias(column), F.col("root").alias(root))
-    return prints.join(known, column, "left").withColumn(root, F.coalesce(root, column))
+    return prints.join(shuffled(known), column, "left").withColumn(root, F.coalesce(root, column))
 
 
 def _across(sets: list[np.ndarray], side: np.ndarray, roots: list[int], prints: list[int], percent: int) -> list[tuple[int, int]]:
@@ -207,7 +209,7 @@ def _crowd_links(crowded: DataFrame, labels: DataFrame, docs: DataFrame, groups:
     rows = rows.withColumn("own", own).withColumn("stray", stray)
     placed = rows.select("value", "print", "root", F.explode(F.when(F.col("stray"), F.concat(as_left, as_right)).otherwise(as_right)).alias("block")).select("value", "print", "root", "block.*")
     sets = sets_of(docs, groups, rows.select("print"), words)
-    blocks = placed.join(sets, "print").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
+    blocks = placed.join(shuffled(sets), "print").repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
@@ -242,10 +244,10 @@ def links(docs: DataFrame, groups: DataFrame, words: int = WORDS, percent: int =
     out, crowd = [pairs], None
     if crowded.head(1):
         asked = F.least(F.lit(most), F.ceil(F.least("n", F.lit(SKETCH)) * percent / 100)).cast("int")
-        again = groups.join(crowded.select("print").distinct(), "print", "left_semi")
+        again = groups.join(shuffled(crowded.select("print").distinct()), "print", "left_semi")
         pairs, crowded = _overlapping(entry(again, SKETCH, asked))
         left = crowded.groupBy("print", "asked").agg(F.count(F.lit(1)).alias("long")).filter("long >= asked")
-        crowd = settle(_listed(entry(groups.join(left.select("print"), "print", "left_semi"), size, F.lit(0))), "crowd")
+        crowd = settle(_listed(entry(groups.join(shuffled(left.select("print")), "print", "left_semi"), size, F.lit(0))), "crowd")
         leads = crowd.groupBy("value").agg(F.min(F.struct(F.xxhash64("print", "value").alias("by"), "print")).alias("lead"))
         stars = crowd.join(leads.select("value", F.col("lead.print").alias("lead")), "value").filter("print <> lead")
         out += [pairs, stars.select(F.least("print", "lead").alias("a"), F.greatest("print", "lead").alias("b"))]
@@ -259,7 +261,7 @@ def links(docs: DataFrame, groups: DataFrame, words: int = WORDS, percent: int =
     first = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
     found = settle(confirmed(first, sets, percent), "links")
     labels = components(found)
-    rest = _rooted(_rooted(pairs.join(first, ["a", "b"], "left_anti"), labels, "a", "root_a"), labels, "b", "root_b").filter("root_a <> root_b")
+    rest = _rooted(_rooted(pairs.join(shuffled(first), ["a", "b"], "left_anti"), labels, "a", "root_a"), labels, "b", "root_b").filter("root_a <> root_b")
     found = settle(found.unionByName(confirmed(rest.select("a", "b"), sets, percent)), "links")
     if crowd is not None:
         across = _crowd_links(crowd, components(found), docs, groups, words, percent)
@@ -274,7 +276,7 @@ def near_groups(docs: DataFrame, words: int, percent: int, also: Callable[[np.nd
     kept = [F.min("doc_id").alias("least"), F.any_value("n").alias("n"), F.any_value("hashes").alias("hashes")] + ([F.min("fingerprint").alias("fingerprint")] if also else [])
     groups = settle(rows.groupBy("print").agg(*kept), "groups")
     found = links(docs, groups, words, percent, more(groups) if more else None)
-    return rows.select("doc_id", "n", "print").join(classes(groups.select("print", "least"), found), "print").select("doc_id", "n", "component_id")
+    return rows.select("doc_id", "n", "print").join(shuffled(classes(groups.select("print", "least"), found)), "print").select("doc_id", "n", "component_id")
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS, percent: int = PERCENT) -> DataFrame:

@@ -60,6 +60,12 @@ def held_out(doc_id: Column) -> Column:
 FEW = 200_000
 
 
+def shuffled(table: DataFrame) -> DataFrame:
+    """A side of a join that is never broadcast. Where both sides grow with the corpus, Spark's sizes don't tell: they are those of files, and
+    what an explode makes of a table counts as large as the table."""
+    return table.hint("merge")
+
+
 def without(docs: DataFrame, gone: DataFrame, same: Column) -> DataFrame:
     """docs less the rows that `gone` (a settled table of keys) matches: by broadcast where its counted rows are few, else by a shuffle."""
     return docs.join(F.broadcast(gone) if gone.count() <= FEW else gone.hint("merge"), same, "left_anti")

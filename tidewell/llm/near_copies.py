@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.bottom_k import near_groups
-from tidewell.llm.common import settle, without
+from tidewell.llm.common import settle, shuffled, without
 from tidewell.llm.simhash import links as fingerprint_links
 from tidewell.llm.simhash import majority
 
@@ -26,9 +26,9 @@ def fingerprint_pairs(groups: DataFrame) -> DataFrame:
     ones of fingerprints that link. Their chains hold all links of fingerprints without forming all pairs."""
     leads = settle(groups.groupBy("fingerprint").agg(F.min("print").alias("lead")), "leads")
     near = fingerprint_links(leads.select(F.col("fingerprint").alias("print")))
-    lead = lambda c: leads.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"{c}_lead"))
+    lead = lambda c: shuffled(leads.select(F.col("fingerprint").alias(c), F.col("lead").alias(f"{c}_lead")))
     near = near.join(lead("a"), "a").join(lead("b"), "b").select(F.least("a_lead", "b_lead").alias("a"), F.greatest("a_lead", "b_lead").alias("b"))
-    same = groups.join(leads, "fingerprint").filter("print <> lead").select(F.col("lead").alias("a"), F.col("print").alias("b"))
+    same = groups.join(shuffled(leads), "fingerprint").filter("print <> lead").select(F.col("lead").alias("a"), F.col("print").alias("b"))
     return near.unionByName(same)
 
 

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.common import FEW, bytes_of, settle
+from tidewell.llm.common import FEW, bytes_of, settle, shuffled
 from tidewell.llm.tokens import forget
 
 WORDS, SEED, DISTANCE = 3, 42, 3
@@ -84,7 +84,7 @@ def links(prints: DataFrame, distance: int = DISTANCE) -> DataFrame:
     probes = prints.select(F.col("print").alias("b"), F.explode(F.array(*[F.struct(F.lit(k).alias("which"), v.alias("own")) for k, v in half.items()])).alias("s")).select("b", "s.*")
     probes = probes.select("b", "which", F.explode(F.transform(F.array(*map(F.lit, ball)), lambda x: F.col("own").bitwiseXOR(x.cast("long")))).alias("value"))
     near = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= distance)
-    return table.join(probes, (table["which"] == probes["which"]) & (table["value"] == probes["value"]) & near).select("a", "b").distinct()
+    return table.join(shuffled(probes), (table["which"] == probes["which"]) & (table["value"] == probes["value"]) & near).select("a", "b").distinct()
 
 
 def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
@@ -92,7 +92,7 @@ def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
     spread over SALTS copies of the table by their node."""
     copies = table.select("at", "to", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("_copy"))
     spread = rows.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-    return spread.join(copies, (F.col(key) == F.col("at")) & (F.col("_salt") == F.col("_copy")), "left").drop("at", "_copy", "_salt")
+    return spread.join(shuffled(copies), (F.col(key) == F.col("at")) & (F.col("_salt") == F.col("_copy")), "left").drop("at", "_copy", "_salt")
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
@@ -105,13 +105,13 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     both = settle(both, "edges")
     labels = settle(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("root")), "labels")
     for _ in range(rounds):
-        offered = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
-        lower = settle(labels.join(offered, "node").select("node", F.col("root").alias("old"), F.least("root", "offer").alias("root")), "offers")
+        offered = both.join(shuffled(labels.select(F.col("node").alias("b"), "root")), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("offer"))
+        lower = settle(labels.join(shuffled(offered), "node").select("node", F.col("root").alias("old"), F.least("root", "offer").alias("root")), "offers")
         # a root that has learned of a lower one tells all nodes that point to it
         hooked = lower.filter("root < old").groupBy(F.col("old").alias("at")).agg(F.min("root").alias("to"))
         lower = settle(_looked_up(lower, "root", hooked).select("node", "old", F.least("root", F.coalesce("to", "root")).alias("root")), "lower")
         # a label that is no longer its own label gives way to that one's
-        jump = lower.filter("root < node").select(F.col("node").alias("at"), F.col("root").alias("to")).join(lower.select(F.col("root").alias("at")).distinct(), "at", "left_semi")
+        jump = lower.filter("root < node").select(F.col("node").alias("at"), F.col("root").alias("to")).join(shuffled(lower.select(F.col("root").alias("at")).distinct()), "at", "left_semi")
         new = settle(_looked_up(lower, "root", jump).select("node", "old", F.least("root", F.coalesce("to", "root")).alias("root")), "labels")
         labels = new.select("node", "root")
         if not new.filter("root < old").head(1):
@@ -122,10 +122,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def classes(groups: DataFrame, edges: DataFrame) -> DataFrame:
     """print and component_id, the smallest `least` reachable over the edges (a, b), for a table of distinct print with their `least` doc_id."""
     linked = components(edges)
-    linked = settle(linked.join(groups, linked["node"] == groups["print"]).select("node", "root", "least"), "linked")
+    linked = settle(linked.join(shuffled(groups), linked["node"] == groups["print"]).select("node", "root", "least"), "linked")
     lowest = linked.groupBy(F.col("root").alias("at")).agg(F.min("least").alias("to"))
     joined = settle(_looked_up(linked, "root", lowest).select(F.col("node").alias("linked"), F.col("to").alias("component_id")), "joined")
-    return settle(groups.join(joined, groups["print"] == joined["linked"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
+    return settle(groups.join(shuffled(joined), groups["print"] == joined["linked"], "left").select("print", F.coalesce("component_id", "least").alias("component_id")), "classes")
 
 
 def _ball(value: Column, bits: int) -> Column:
@@ -161,7 +161,7 @@ def links_across(labelled: DataFrame, distance: int = DISTANCE, hot: int = HOT)
         t, q = table.alias("t"), probes.alias("q")
         same = [F.col(f"t.{k}") == F.col(f"q.{k}") for k in keys]
         near = (F.col("t.label") < F.col("q.label")) & (F.bit_count(F.col("t.print").bitwiseXOR(F.col("q.print"))) <= distance)
-        return t.join(q, [*same, near]).select(F.col("t.label").alias("a"), F.col("q.label").alias("b")).distinct()
+        return t.join(shuffled(q), [*same, near]).select(F.col("t.label").alias("a"), F.col("q.label").alias("b")).distinct()
 
     if not crowds:
         return met(halves, probes, "which", "value")
@@ -184,7 +184,7 @@ def class_edges(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) ->
     near = components(stars(prints))
     if distance == 2:
         return near.filter("root < node").select(F.col("root").alias("a"), F.col("node").alias("b"))
-    labelled = settle(prints.join(near, prints["print"] == near["node"], "left").select("print", F.coalesce("root", "print").alias("label")), "labelled")
+    labelled = settle(prints.join(shuffled(near), prints["print"] == near["node"], "left").select("print", F.coalesce("root", "print").alias("label")), "labelled")
     return labelled.filter("label < print").select(F.col("label").alias("a"), F.col("print").alias("b")).unionByName(links_across(labelled, distance, hot))
 
 
@@ -192,4 +192,4 @@ def near_duplicates(docs: DataFrame, words: int = WORDS, distance: int = DISTANC
     """doc_id, fingerprint (16 hexadecimal digits) and component_id, the smallest doc_id reachable over links, for each row."""
     rows = settle(fingerprints(docs, words), "prints")
     groups = settle(rows.groupBy("print").agg(F.min("doc_id").alias("least")), "groups")
-    return rows.join(classes(groups, class_edges(groups.select("print"), distance)), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
+    return rows.join(shuffled(classes(groups, class_edges(groups.select("print"), distance))), "print").select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id")
