@@ -177,6 +177,21 @@ def test_forest_and_boosting_rank_held_out_rows_as_well_as_cox(spark):
     assert all(score[m] > score["cox"] - 0.03 for m in ("net", "forest", "boosting"))
 
 
+@pytest.mark.parametrize("error", [ArithmeticError, np.linalg.LinAlgError])
+def test_a_fit_that_fails_is_an_error(spark, monkeypatch, error):
+    x, t, e = survival_rows(60)
+    df = table(spark, x, t, e)
+
+    def failing(*_):
+        raise error("no fit")
+
+    monkeypatch.setattr(models, "fit_all", failing)
+    with pytest.raises(error):
+        models.out_of_fold(df, NAMES, {"cox": {}}, folds=2)
+    with pytest.raises(error):
+        models.retrained_without(df, df.limit(5), NAMES, {"cox": {}}, folds=2)
+
+
 def test_halving_drops_the_worse_half(spark):
     x, t, e = survival_rows(200)
     log = models.run_trials(table(spark, x, t, e), NAMES, "cox", {"alpha": [0.1, 1.0, 10.0, 1e5]}, folds=3, tau=None, halving=True)
