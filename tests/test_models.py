@@ -155,6 +155,24 @@ def test_forest_is_the_same_however_it_is_cut(spark, monkeypatch):
     assert max(len(tree.feature) for tree in grown[40].trees) > 7 and grown[40].transform(df).filter("risk IS NULL").count() == 0
 
 
+def test_rows_stand_in_the_order_of_their_nodes(monkeypatch):
+    rng = np.random.default_rng(4)
+    x, t, e = rng.integers(0, trees.BINS + 1, (5000, 4)).astype(np.uint8), rng.integers(0, 20, 5000).astype(np.uint8), rng.integers(0, 2, 5000).astype(np.uint8)
+    w, g = trees.row_weights(rng.integers(0, 2**62, 5000), 7, 42), trees.Growth(depth=6)
+    assert w.dtype == np.uint8 and w.max() > 3 and abs(w.mean() - 1) < 0.06
+    found = {h: v for h, *v in zip(*trees.grown(x, t, e, w, 20, 7, 1, g), strict=True)}
+    upper = {h: tuple(v) for h, v in found.items()}
+    heaps = trees._heaps(upper, x)
+    for h in [h for h, v in found.items() if v[0] >= 0]:  # each node splits as its own rows tell
+        at = heaps.copy()
+        while (at > h).any():
+            at = np.where(at > h, at >> 1, at)
+        own = np.flatnonzero(at == h)
+        looks = trees.looked_at(g, 7, int(h), 4)
+        stat, j, b = trees.log_rank_split(trees.histogram(x[np.ix_(own, looks)], t[own], e[own].astype(int), w[own].astype(float), 20), g.leaf)
+        assert (looks[j], b) == tuple(found[h][:2]) and stat == found[h][3]
+
+
 def test_tree_tables_hold_blocks_and_nodes_grow_together(spark, monkeypatch):
     x, t, e = survival_rows(300)
     df = table(spark, x, t, e).repartition(2)
